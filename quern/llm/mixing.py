@@ -12,7 +12,7 @@ from .text import counts_of_words
 
 #: Documents that one flight handles; what it leaves undecided (at most two) flies again with that of other blocks.
 BLOCK = 2048
-#: The smallest units of a source's last block, kept for the landing: 2 ** (RESERVE + 2) choices at most.
+#: Units of a source's last block, of sizes from large to small, kept for the landing: 2 ** (RESERVE + 2) choices at most.
 RESERVE = 12
 EPS = 1e-9
 
@@ -64,8 +64,9 @@ def landing(p: list[float], size: list[int]) -> list[float]:
 
 
 def fly_and_land(p: list[float], size: list[int], seed: int) -> list[float]:
-    """All units but the RESERVE smallest fly; what that leaves open and the reserve land together."""
-    spare = [i for i, x in enumerate(p) if 0 < x < 1 and size[i]][-RESERVE:]
+    """All units but a reserve of every size fly; what that leaves open and the reserve land together."""
+    open_ = [i for i, x in enumerate(p) if 0 < x < 1 and size[i]]
+    spare = [open_[(2 * k + 1) * len(open_) // (2 * RESERVE)] for k in range(RESERVE)] if len(open_) > RESERVE else open_
     held = set(spare)
     fly = [i for i in range(len(p)) if i not in held]
     out = list(p)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .lm_scoring import op1_lm_scoring
 from .mixing import op7_mixing
 from .token_counts import op6_token_counts
 from .topk_search import OP4_SQL, op4_topk_search
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op4_topk_search": op4_topk_search,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,

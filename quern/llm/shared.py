@@ -86,4 +86,4 @@ def remove_folder(path: str) -> None:
 
 def text_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df in bytes, without a job; it follows the input's files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
