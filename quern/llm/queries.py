@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .lm_scoring import op1_lm_scoring
 from .mixing import op7_mixing
+from .near_dedup import op9_near_dedup
 from .token_counts import op6_token_counts
 from .topk_search import OP4_SQL, op4_topk_search
 
@@ -12,5 +13,6 @@ QUERIES = {
     "op4_topk_search": op4_topk_search,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
+    "op9_near_dedup": op9_near_dedup,
 }
 SQL = {"op4_topk_search": OP4_SQL}
