@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontamination import op8_decontamination
 from .lm_scoring import op1_lm_scoring
 from .mixing import op7_mixing
 from .near_dedup import op9_near_dedup
+from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op6_token_counts
 from .topk_search import OP4_SQL, op4_topk_search
 
@@ -13,6 +15,8 @@ QUERIES = {
     "op4_topk_search": op4_topk_search,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
+    "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL = {"op4_topk_search": OP4_SQL}
