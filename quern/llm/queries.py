@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op8_decontamination
+from .line_dedup import op3_line_dedup
 from .lm_scoring import op1_lm_scoring
 from .mixing import op7_mixing
 from .near_dedup import op9_near_dedup
@@ -12,6 +13,7 @@ from .topk_search import OP4_SQL, op4_topk_search
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op3_line_dedup": op3_line_dedup,
     "op4_topk_search": op4_topk_search,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
