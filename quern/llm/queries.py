@@ -10,9 +10,11 @@ from .near_dedup import op9_near_dedup
 from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op6_token_counts
 from .topk_search import OP4_SQL, op4_topk_search
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_topk_search": op4_topk_search,
     "op6_token_counts": op6_token_counts,
