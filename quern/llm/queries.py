@@ -7,6 +7,7 @@ from .line_dedup import op3_line_dedup
 from .lm_scoring import op1_lm_scoring
 from .mixing import op7_mixing
 from .near_dedup import op9_near_dedup
+from .quality import op5_quality
 from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op6_token_counts
 from .topk_search import OP4_SQL, op4_topk_search
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_topk_search": op4_topk_search,
+    "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,

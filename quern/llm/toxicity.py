@@ -312,13 +312,13 @@ def _score(model: Model, least: float):
         for b in batches:
             x = np.concatenate([model.features(c, j - i) for i, j, c in clauses_of(b.column("text"))] or [np.zeros((0, len(LABELS)))])
             p = model.score(x)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= least).astype(np.int32)), pa.array(x.sum(1).astype(np.int64))], ["doc_id", "held_out", "score", "predicted", "n_matches"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= least).astype(np.int32)), pa.array(x.sum(1).astype(np.int64)), *(b.column(c) for c in b.schema.names[3:])], ["doc_id", "held_out", "score", "predicted", "n_matches", *b.schema.names[3:]])
 
     return score
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, held_out, least: float = 0.7, most: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted (1 from `least` on), n_matches of every row.
+def toxicity(documents: DataFrame, labels: DataFrame, held_out, least: float = 0.7, most: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score (0 to 1), predicted (1 from `least` on), n_matches and the columns `keep` of every row.
 
     Clauses end at punctuation, brackets, quotes and newlines. Their words become symbols by the lexicon and
     the stems learned from labels, and the grammar - negation, then reported speech, then targets, composed -
@@ -329,7 +329,10 @@ def toxicity(documents: DataFrame, labels: DataFrame, held_out, least: float = 0
     """
     ship(documents.sparkSession)
     model = train(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels, ~held_out, most=most)
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text")).mapInArrow(_score(model, least), "doc_id long, held_out boolean, score double, predicted int, n_matches long")
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
+    scored = rows.mapInArrow(_score(model, least), f"doc_id long, held_out boolean, score double, predicted int, n_matches long{kept}")
+    return scored.withColumnsRenamed({f"kept_{c}": c for c in keep})
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
