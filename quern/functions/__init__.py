@@ -1,0 +1 @@
+"""Scalar and closed functions as Columns."""
