@@ -1,4 +1,675 @@
-"""Queries over the driver's tables, one or more for each operator family, with their SQL."""
+"""Queries over the driver's tables, one or more for each operator family, with their SQL for DuckDB."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import closed
+from ..functions.scalar import as_number, op, truth
+from ..operators import arrays, geometry, relational, spatial
+from ..operators.aggregate import aggregate, expand_range, prefix, statistics
+from ..sources import readers, times
+from ..streaming import refresh
+from ..types import REDUCERS, SEMIRINGS, Factor
+from . import systems
+from .document import Evaluator
+from .expressions import node, parse
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+c = F.col
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+class Tables:
+    """Tables of a folder, each read with the columns asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __call__(self, name: str, *columns) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return df.select(*columns) if columns else df
+
+
+def revenue(price: str = "l_extendedprice", disc: str = "l_discount"):
+    return c(price) * (1 - c(disc))
+
+
+# --- aggregates ---
+
+
+@query("""SELECT n_nationkey, n_name, coalesce(sum(l_extendedprice * (1 - l_discount)), 0.0) AS revenue FROM nation
+LEFT JOIN (customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey) ON c_nationkey = n_nationkey GROUP BY 1, 2""")
+def faq_sum_product_revenue(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    line = Factor(t("lineitem", c("l_orderkey").alias("o"), revenue().alias("rev")), ("o",), "rev")
+    order = Factor(t("orders", c("o_orderkey").alias("o"), c("o_custkey").alias("k"), F.lit(1.0).alias("w1")), ("o", "k"), "w1")
+    cust = Factor(t("customer", c("c_custkey").alias("k"), c("c_nationkey").alias("n_nationkey"), F.lit(1.0).alias("w2")), ("k", "n_nationkey"), "w2")
+    nation = t("nation", "n_nationkey", "n_name")
+    out = aggregate([line, order, cust], ["n_nationkey"], SEMIRINGS["sum_product"], dense=nation, name="revenue")
+    return nation.join(out, "n_nationkey")
+
+
+@query("SELECT p_brand, max((l_extendedprice * (1 - l_discount))) AS best FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
+def faq_max_product(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    line = Factor(t("lineitem", c("l_partkey").alias("p"), revenue().alias("x")), ("p",), "x")
+    part = Factor(t("part", c("p_partkey").alias("p"), "p_brand", F.lit(1.0).alias("y")), ("p", "p_brand"), "y")
+    return aggregate([line, part], ["p_brand"], SEMIRINGS["max_product"], name="best")
+
+
+@query("SELECT l_returnflag, min(l_quantity + l_tax) AS least FROM lineitem GROUP BY 1")
+def faq_min_sum(spark, sf_dir):
+    line = Tables(spark, sf_dir)("lineitem", "l_returnflag", "l_quantity", "l_tax")
+    return line.groupBy("l_returnflag").agg(SEMIRINGS["min_sum"].plus(SEMIRINGS["min_sum"].times(c("l_quantity"), c("l_tax"))).alias("least"))
+
+
+@query("SELECT o_orderpriority, max(o_totalprice + l_extendedprice) AS most FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def faq_max_sum(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    orders = Factor(t("orders", c("o_orderkey").alias("o"), "o_orderpriority", c("o_totalprice").alias("a")), ("o", "o_orderpriority"), "a")
+    line = Factor(t("lineitem", c("l_orderkey").alias("o"), c("l_extendedprice").alias("b")), ("o",), "b")
+    return aggregate([orders, line], ["o_orderpriority"], SEMIRINGS["max_sum"], name="most")
+
+
+@query("SELECT n_nationkey, coalesce(bool_or(o_orderpriority = '1-URGENT'), false) AS urgent FROM nation LEFT JOIN (customer JOIN orders ON o_custkey = c_custkey) ON c_nationkey = n_nationkey GROUP BY 1")
+def faq_bool_and_or(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    orders = Factor(t("orders", c("o_custkey").alias("k"), (c("o_orderpriority") == "1-URGENT").alias("u")), ("k",), "u")
+    cust = Factor(t("customer", c("c_custkey").alias("k"), c("c_nationkey").alias("n_nationkey"), F.lit(True).alias("v")), ("k", "n_nationkey"), "v")
+    return aggregate([orders, cust], ["n_nationkey"], SEMIRINGS["bool_and_or"], dense=t("nation", "n_nationkey"), name="urgent")
+
+
+@query("SELECT n_regionkey, product(n_nationkey + 1.0) AS prod FROM nation GROUP BY 1")
+def faq_reduce_product(spark, sf_dir):
+    f = Factor(Tables(spark, sf_dir)("nation", "n_regionkey", (c("n_nationkey") + 1.0).alias("v"), c("n_nationkey").alias("n")), ("n_regionkey", "n"), "v")
+    return aggregate([f], ["n_regionkey"], REDUCERS["*"], name="prod", early=False)
+
+
+@query("SELECT p_partkey, coalesce(sum(l_quantity), 0.0) AS qty FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 45 GROUP BY 1")
+def faq_empty_identity(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    f = Factor(t("lineitem", c("l_partkey").alias("p_partkey"), c("l_quantity").alias("q")), ("p_partkey",), "q")
+    return aggregate([f], ["p_partkey"], SEMIRINGS["sum_product"], where=c("__v0") > 45, dense=t("part", "p_partkey"), name="qty")
+
+
+@query("SELECT l_linenumber, coalesce(sum(l_extendedprice) FILTER (WHERE l_shipdate >= TIMESTAMP '1996-01-01'), 0.0) AS late FROM lineitem GROUP BY 1")
+def faq_filter(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    f = Factor(t("lineitem", "l_linenumber", "l_shipdate", c("l_extendedprice").alias("x")).where(c("l_shipdate") >= F.lit(datetime(1996, 1, 1))).drop("l_shipdate"), ("l_linenumber",), "x")
+    return aggregate([f], ["l_linenumber"], SEMIRINGS["sum_product"], dense=relational.distinct(t("lineitem"), "l_linenumber"), name="late")
+
+
+@query("SELECT o_orderkey, count(l_linenumber)::BIGINT AS members, coalesce(sum(l_quantity), 0.0) AS qty FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def faq_ragged(spark, sf_dir):
+    """A ragged set: each order's places 1..n, exploded and gathered."""
+    t = Tables(spark, sf_dir)
+    line = t("lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    listed = line.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("places"))
+    places = t("orders", "o_orderkey").join(listed, "o_orderkey").select("o_orderkey", F.posexplode("places").alias("k", "p"))
+    return places.groupBy("o_orderkey").agg(F.count("k").alias("members"), F.sum("p.l_quantity").alias("qty"))
+
+
+@query("SELECT n_nationkey, j FROM nation, LATERAL (SELECT unnest(range(1, n_regionkey + 1)) AS j)")
+def faq_dynamic_range(spark, sf_dir):
+    return expand_range(Tables(spark, sf_dir)("nation", "n_nationkey", "n_regionkey"), F.lit(1), c("n_regionkey"), "j").select("n_nationkey", "j")
+
+
+@query("SELECT l_returnflag, count(l_quantity)::BIGINT AS count, avg(l_quantity) AS mean, sum(l_extendedprice * l_quantity) / sum(l_extendedprice) AS weighted_mean FROM lineitem GROUP BY 1")
+def faq_mean_weighted(spark, sf_dir):
+    return statistics(Tables(spark, sf_dir)("lineitem", "l_returnflag", "l_quantity", "l_extendedprice"), ["l_returnflag"], "l_quantity", "l_extendedprice")
+
+
+@query("""WITH t AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY 1)
+SELECT c_nationkey, sum(c_acctbal + top) AS total FROM customer JOIN t ON o_custkey = c_custkey GROUP BY 1""")
+def faq_nested(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    inner = aggregate([Factor(t("orders", c("o_custkey").alias("k"), "o_orderkey", c("o_totalprice").alias("x")), ("k", "o_orderkey"), "x")], ["k"], SEMIRINGS["max_product"], name="top")
+    outer = Factor(t("customer", c("c_custkey").alias("k"), "c_nationkey", "c_acctbal"), ("k", "c_nationkey"), "c_acctbal")
+    return aggregate([outer, Factor(inner, ("k",), "top")], ["c_nationkey"], SEMIRINGS["sum_product"], body=c("c_acctbal") + c("top"), name="total")
+
+
+_RUN = "SELECT o_custkey, o_orderkey, coalesce({0} OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN {1}), {2}) AS run FROM orders"
+
+
+def _prefix(spark, sf_dir, ring="sum_product", **how):
+    return prefix(Tables(spark, sf_dir)("orders", "o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey", c("o_totalprice"), SEMIRINGS[ring], name="run", **how).drop("o_totalprice")
+
+
+@query(_RUN.format("sum(o_totalprice)", "UNBOUNDED PRECEDING AND CURRENT ROW", "0.0"))
+def prefix_forward(spark, sf_dir):
+    return _prefix(spark, sf_dir)
+
+
+@query(_RUN.format("sum(o_totalprice)", "UNBOUNDED PRECEDING AND 1 PRECEDING", "0.0"))
+def prefix_strict(spark, sf_dir):
+    return _prefix(spark, sf_dir, strict=True)
+
+
+@query(_RUN.format("sum(o_totalprice)", "CURRENT ROW AND UNBOUNDED FOLLOWING", "0.0"))
+def prefix_reverse(spark, sf_dir):
+    return _prefix(spark, sf_dir, reverse=True)
+
+
+@query(_RUN.format("max(o_totalprice)", "UNBOUNDED PRECEDING AND CURRENT ROW", "'-inf'::DOUBLE"))
+def prefix_max(spark, sf_dir):
+    return _prefix(spark, sf_dir, "max_sum")
+
+
+@query("SELECT user_id, event_id, sum(value * (1 + event_id % 3)) OVER (PARTITION BY user_id ORDER BY event_id) AS integral FROM events")
+def prefix_integral(spark, sf_dir):
+    """A running sum with a measure: value times the width of each cell."""
+    e = Tables(spark, sf_dir)("events", "user_id", "event_id", "value")
+    return prefix(e, ["user_id"], "event_id", c("value") * (1 + c("event_id") % 3), SEMIRINGS["sum_product"], name="integral").select("user_id", "event_id", "integral")
+
+
+# --- joins ---
+
+
+@query("SELECT c_mktsegment, count(*)::BIGINT AS pairs FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def join_equi(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return relational.equijoin(t("orders", "o_custkey"), t("customer", "c_custkey", "c_mktsegment"), ["o_custkey"], ["c_custkey"]).groupBy("c_mktsegment").agg(F.count("*").alias("pairs"))
+
+
+@query("SELECT s_nationkey AS k, sum(a * b)::BIGINT AS pairs FROM (SELECT s_nationkey, count(*) AS a FROM supplier GROUP BY 1) JOIN (SELECT c_nationkey, count(*) AS b FROM customer GROUP BY 1) ON s_nationkey = c_nationkey GROUP BY 1")
+def join_m2m(spark, sf_dir):
+    """m * n matches of a key that repeats on both sides, counted without forming them: ones are folded before the join."""
+    t = Tables(spark, sf_dir)
+    a = Factor(t("supplier", c("s_nationkey").alias("k"), "s_suppkey", F.lit(1.0).alias("x")), ("k", "s_suppkey"), "x")
+    b = Factor(t("customer", c("c_nationkey").alias("k"), "c_custkey", F.lit(1.0).alias("y")), ("k", "c_custkey"), "y")
+    return aggregate([a, b], ["k"], SEMIRINGS["sum_product"], name="pairs").withColumn("pairs", c("pairs").cast("long"))
+
+
+@query("SELECT count(*)::BIGINT AS n FROM (SELECT nullif(user_id % 10, 3) AS k FROM events) a JOIN (SELECT DISTINCT nullif(user_id % 10, 3) AS k FROM events) b ON a.k = b.k")
+def join_null_keys(spark, sf_dir):
+    k = Tables(spark, sf_dir)("events", F.nullif(c("user_id") % 10, F.lit(3)).alias("k"))
+    return relational.equijoin(k, k.distinct(), ["k"], ["k"]).agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)")
+def join_exists(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return relational.exists(t("nation", "n_nationkey"), t("supplier", c("s_nationkey").alias("n_nationkey")), ["n_nationkey"])
+
+
+_BOXES = """WITH a AS (SELECT c_custkey AS a, c_acctbal AS x0, c_acctbal + 20 AS x1, c_nationkey * 1.0 AS y0, c_nationkey + 0.5 AS y1 FROM customer),
+b AS (SELECT p_partkey AS b, p_retailprice AS x0, p_retailprice + 10 AS x1, p_size * 0.5 AS y0, p_size * 0.5 + 0.25 AS y1 FROM part)
+SELECT a, b FROM a JOIN b ON a.x0 - 0.1 <= b.x1 + 0.1 AND b.x0 - 0.1 <= a.x1 + 0.1 AND a.y0 - 0.1 <= b.y1 + 0.1 AND b.y0 - 0.1 <= a.y1 + 0.1"""
+
+
+@query(_BOXES)
+def join_overlap(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    a = t("customer", c("c_custkey").alias("a"), c("c_acctbal").alias("xmin"), (c("c_acctbal") + 20).alias("xmax"), c("c_nationkey").cast("double").alias("ymin"), (c("c_nationkey") + 0.5).cast("double").alias("ymax"))
+    y = c("p_size") * 0.5
+    b = t("part", c("p_partkey").alias("b"), c("p_retailprice").alias("xmin"), (c("p_retailprice") + 10).alias("xmax"), y.cast("double").alias("ymin"), (y + 0.25).cast("double").alias("ymax"))
+    return spatial.overlap_join(a, b, "a", "b", eps=0.1)
+
+
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON floor(s_acctbal / 50) = floor(c_acctbal / 50) AND abs(s_acctbal - c_acctbal) <= 10")
+def join_bin_skolem(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    a, b = t("supplier", "s_suppkey", "s_acctbal", spatial.bin_key(c("s_acctbal"), 50).alias("bin")), t("customer", "c_custkey", "c_acctbal", spatial.bin_key(c("c_acctbal"), 50).alias("bin"))
+    return a.join(b, "bin").where(F.abs(c("s_acctbal") - c("c_acctbal")) <= 10).select("s_suppkey", "c_custkey")
+
+
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal <= c_acctbal + 5 AND c_acctbal <= s_acctbal + 15")
+def join_interval(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    a = t("supplier", "s_suppkey", c("s_acctbal").alias("a0"), (c("s_acctbal") + 15).alias("a1"))
+    b = t("customer", "c_custkey", c("c_acctbal").alias("b0"), (c("c_acctbal") + 5).alias("b1"))
+    return spatial.interval_join(a, b, "a0", "a1", "b0", "b1", width=40.0).select("s_suppkey", "c_custkey")
+
+
+# --- value invention ---
+
+
+@query("SELECT DISTINCT least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi FROM lineitem")
+def distinct_edges(spark, sf_dir):
+    e = Tables(spark, sf_dir)("lineitem", relational.skolem_edge(c("l_partkey"), c("l_suppkey")).alias("e"))
+    return e.select("e.lo", "e.hi").distinct()
+
+
+@query("SELECT p_brand, (dense_rank() OVER (ORDER BY p_brand) - 1)::BIGINT AS rank FROM (SELECT DISTINCT p_brand FROM part)")
+def rank_dense(spark, sf_dir):
+    return relational.rank(Tables(spark, sf_dir)("part"), "p_brand")
+
+
+@query("SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderkey))::BIGINT AS rank FROM orders")
+def rank_dense_large(spark, sf_dir):
+    return relational.rank(Tables(spark, sf_dir)("orders"), "o_orderkey", base=1)
+
+
+@query("SELECT l_returnflag, min(l_quantity) AS lo, max(l_quantity) AS hi, sum(l_quantity) AS total FROM lineitem GROUP BY 1")
+def group_aggregate_min_max_sum(spark, sf_dir):
+    df = Tables(spark, sf_dir)("lineitem", "l_returnflag", "l_quantity")
+    return df.groupBy("l_returnflag").agg(F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), F.sum("l_quantity").alias("total"))
+
+
+@query("SELECT o_custkey, list_reduce(list_prepend(0.0, list_sort(list(o_totalprice))), lambda a, b: a + b) AS total FROM orders GROUP BY 1")
+def group_aggregate_exact(spark, sf_dir):
+    return relational.group_aggregate(Tables(spark, sf_dir)("orders", "o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice", SEMIRINGS["sum_product"], "total", exact=True)
+
+
+@query("""SELECT c_custkey, s_suppkey, abs(c_acctbal - s_acctbal) AS distance FROM customer, supplier
+QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) = 1""")
+def argmin_nearest(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return spatial.nearest(t("customer", "c_custkey", "c_acctbal"), t("supplier", "s_suppkey", "s_acctbal"), "c_custkey", "s_suppkey", "c_acctbal", "s_acctbal", width=50.0)
+
+
+@query("SELECT l_partkey, l_orderkey AS w, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_orderkey) = 1")
+def argmax_order(spark, sf_dir):
+    return relational.arg_best(Tables(spark, sf_dir)("lineitem", "l_partkey", "l_orderkey", "l_quantity"), ["l_partkey"], "l_quantity", "l_orderkey", largest=True, name="w")
+
+
+@query("""WITH a AS (SELECT c_custkey, c_acctbal, s_suppkey FROM customer, supplier QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) = 1),
+g AS (SELECT s_suppkey, sum(c_acctbal) AS num, sum(1.0) AS den FROM a GROUP BY 1)
+SELECT s.s_suppkey, coalesce(num, 0.0) AS num, coalesce(den, 0.0)::DOUBLE AS den, CASE WHEN den IS NULL THEN 'NaN'::DOUBLE ELSE num / den END AS centroid FROM supplier s LEFT JOIN g USING (s_suppkey)""")
+def grouped_centroid(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    cust, supp = t("customer", "c_custkey", "c_acctbal"), t("supplier", "s_suppkey")
+    who = spatial.nearest(cust, t("supplier", "s_suppkey", "s_acctbal"), "c_custkey", "s_suppkey", "c_acctbal", "s_acctbal", width=50.0).join(cust, "c_custkey")
+    num = relational.grouped(who, "s_suppkey", SEMIRINGS["sum_product"], c("c_acctbal"), supp, "num")
+    den = relational.grouped(who, "s_suppkey", SEMIRINGS["sum_product"], F.lit(1.0), supp, "den")
+    return num.join(den, "s_suppkey").withColumn("centroid", op("/", c("num"), c("den")))
+
+
+@query("SELECT '[' || string_agg('\"' || p_brand || '\"', ',' ORDER BY p_brand) || ']' AS json FROM (SELECT DISTINCT p_brand FROM part)")
+def canonical_set_json(spark, sf_dir):
+    from ..functions.canonical import set_json
+
+    return set_json(Tables(spark, sf_dir)("part"), "p_brand")
+
+
+# --- arrays ---
+
+_DAILY = "SELECT dayofyear(ts)::BIGINT AS i, sum(value) AS u FROM events GROUP BY 1"
+
+
+def _daily(spark, sf_dir) -> DataFrame:
+    return Tables(spark, sf_dir)("events", "ts", "value").groupBy(F.dayofyear("ts").cast("long").alias("i")).agg(F.sum("value").alias("u"))
+
+
+@query(f"WITH d AS ({_DAILY}) SELECT i, coalesce(lag(u) OVER (ORDER BY i), 0.0) - 2 * u + coalesce(lead(u) OVER (ORDER BY i), 0.0) AS lap FROM d")
+def stencil_1d(spark, sf_dir):
+    return arrays.stencil(_daily(spark, sf_dir), [], "i", "u", {-1: 1.0, 0: -2.0, 1: 1.0}, "lap").select("i", "lap")
+
+
+_GRID = "SELECT n_regionkey::BIGINT + 1 AS i, (n_nationkey % 5)::BIGINT + 1 AS j, sum(n_nationkey::DOUBLE) AS v FROM nation GROUP BY 1, 2"
+_ALL = "SELECT i, j, coalesce(v, 0.0) AS v FROM (SELECT unnest(range(1, 6)) AS i) CROSS JOIN (SELECT unnest(range(1, 6)) AS j) LEFT JOIN (" + _GRID + ") USING (i, j)"
+
+
+def _grid(spark, sf_dir) -> Factor:
+    cells = Tables(spark, sf_dir)("nation", (c("n_regionkey") + 1).cast("long").alias("i"), (c("n_nationkey") % 5 + 1).cast("long").alias("j"), c("n_nationkey").cast("double").alias("v"))
+    axes = spark.range(1, 6).withColumnRenamed("id", "i").crossJoin(spark.range(1, 6).withColumnRenamed("id", "j"))
+    return Factor(aggregate([Factor(cells, ("i", "j"), "v")], ["i", "j"], SEMIRINGS["sum_product"], body=c("v"), dense=axes, name="v"), ("i", "j"), "v")
+
+
+@query(f"WITH g AS ({_ALL}) SELECT a.i, a.j, coalesce(b.v, 0.0) - a.v AS d FROM g a LEFT JOIN g b ON b.i = a.i + 1 AND b.j = a.j")
+def stencil_2d(spark, sf_dir):
+    return arrays.shifted(_grid(spark, sf_dir), "i", 1, "next").select("i", "j", (c("next") - c("v")).alias("d"))
+
+
+@query("SELECT a.p_partkey, b.p_retailprice AS nxt FROM part a JOIN part b ON b.p_partkey = (a.p_partkey + 2) % (SELECT count(*) FROM part) + 1")
+def gather_periodic(spark, sf_dir):
+    part = Tables(spark, sf_dir)("part", "p_partkey", "p_retailprice")
+    n = readers.extent(part)
+    return arrays.gather(part, Factor(part, ("p_partkey",), "p_retailprice"), [arrays.bound(c("p_partkey") + 3, n, "periodic")], "nxt").select("p_partkey", "nxt")
+
+
+@query("SELECT a.p_partkey, b.p_retailprice AS nxt FROM part a JOIN part b ON b.p_partkey = least(a.p_partkey + 3, (SELECT count(*) FROM part))")
+def gather_clamp(spark, sf_dir):
+    part = Tables(spark, sf_dir)("part", "p_partkey", "p_retailprice")
+    n = readers.extent(part)
+    return arrays.gather(part, Factor(part, ("p_partkey",), "p_retailprice"), [arrays.bound(c("p_partkey") + 3, n, "clamp")], "nxt").select("p_partkey", "nxt")
+
+
+@query("SELECT p_partkey, coalesce((SELECT p_retailprice FROM part b WHERE b.p_partkey = a.p_partkey + 3), 0.0) AS nxt FROM part a")
+def gather_ghost(spark, sf_dir):
+    part = Tables(spark, sf_dir)("part", "p_partkey", "p_retailprice")
+    return arrays.gather(part, Factor(part, ("p_partkey",), "p_retailprice"), [c("p_partkey") + 3], "nxt", ghost=0.0).select("p_partkey", "nxt")
+
+
+@query(f"WITH g AS ({_ALL}) SELECT i, j, CASE WHEN i BETWEEN 2 AND 3 AND j BETWEEN 2 AND 4 THEN v * 2 WHEN i BETWEEN 1 AND 3 AND j BETWEEN 1 AND 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS v FROM g")
+def makearray_regions(spark, sf_dir):
+    return arrays.makearray(_grid(spark, sf_dir).df, ["i", "j"], [([(1, 3), (1, 5)], F.lit(1.0)), ([(2, 3), (2, 4)], c("v") * 2)], name="v").df
+
+
+@query(f"WITH g AS ({_ALL}) SELECT j AS i, i AS j, v FROM g")
+def array_transpose(spark, sf_dir):
+    return arrays.transpose(_grid(spark, sf_dir)).df
+
+
+@query(f"WITH g AS ({_ALL}), k AS (SELECT (i - 1) + (j - 1) * 5 AS k, v FROM g) SELECT k % 25 + 1 AS d1, v FROM k")
+def array_reshape(spark, sf_dir):
+    return arrays.reshape(_grid(spark, sf_dir), [5, 5], [25]).df
+
+
+@query(f"WITH g AS ({_ALL}) SELECT i, j, v FROM g UNION ALL SELECT i + 5, j, v * 10 FROM g")
+def array_concat(spark, sf_dir):
+    g = _grid(spark, sf_dir)
+    return arrays.concat([g, Factor(g.df.withColumn("v", c("v") * 10), g.axes, "v")], [5, 5]).df
+
+
+@query(f"WITH g AS ({_ALL}), r AS (SELECT i, sum(v) AS s FROM g GROUP BY 1) SELECT i, j, v + s AS value FROM g JOIN r USING (i)")
+def broadcast_align(spark, sf_dir):
+    g = _grid(spark, sf_dir)
+    rows = Factor(g.df.groupBy("i").agg(F.sum("v").alias("s")), ("i",), "s")
+    return arrays.broadcast(lambda a, b: op("+", a, b), [g, rows], ["i", "j"], {}).df
+
+
+@query("SELECT r, round(sum(v * w), 6) AS y FROM (SELECT vec_id AS r, unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS c FROM embeddings) JOIN (SELECT unnest(range(1, 65)) AS c, 1.0 / unnest(range(1, 65)) AS w) USING (c) GROUP BY 1")
+def matvec(spark, sf_dir):
+    m = Tables(spark, sf_dir)("embeddings", c("vec_id").alias("r"), F.posexplode("embedding").alias("c0", "v")).select("r", (c("c0") + 1).cast("long").alias("c"), c("v").cast("double").alias("v"))
+    x = spark.range(1, 65).select(c("id").alias("c"), (1.0 / c("id")).alias("w"))
+    return arrays.matvec(Factor(m, ("r", "c"), "v"), Factor(x, ("c",), "w"), "r", "c", "y").withColumn("y", F.round("y", 6))
+
+
+@query("SELECT avg(o_totalprice) AS mean, max(o_totalprice) AS max, min(o_totalprice) AS min FROM orders")
+def field_reduce_simple(spark, sf_dir):
+    o = Tables(spark, sf_dir)("orders", "o_totalprice")
+    out = arrays.field_reduce(o, "o_totalprice", "mean")
+    return out.crossJoin(arrays.field_reduce(o, "o_totalprice", "max")).crossJoin(arrays.field_reduce(o, "o_totalprice", "min"))
+
+
+@query("SELECT sqrt(sum((l_extendedprice - 900 * l_quantity) ** 2) / sum((900 * l_quantity) ** 2)) AS L2_error, max(abs(l_extendedprice - 900 * l_quantity)) AS Linf_error FROM lineitem")
+def field_reduce_errors(spark, sf_dir):
+    x = Tables(spark, sf_dir)("lineitem", c("l_extendedprice").alias("x"), (900 * c("l_quantity")).alias("r"))
+    return arrays.field_reduce(x, "x", "L2_error", "r").crossJoin(arrays.field_reduce(x, "x", "Linf_error", "r"))
+
+
+@query("SELECT c_custkey, 'u' AS base, c_custkey AS i, c_nationkey::BIGINT AS j FROM customer")
+def cell_names(spark, sf_dir):
+    named = Tables(spark, sf_dir)("customer", "c_custkey", arrays.cell_name("u", c("c_custkey"), c("c_nationkey")).alias("name"))
+    base, index = arrays.parse_cell(c("name"))
+    return named.select("c_custkey", base.alias("base"), index.alias("ix")).select("c_custkey", "base", c("ix")[0].alias("i"), c("ix")[1].alias("j"))
+
+
+# --- scalars ---
+
+_X = "(l_extendedprice / 1000)"
+_KEY = "l_orderkey, l_linenumber"
+
+
+def _scalars(spark, sf_dir, **exprs) -> DataFrame:
+    x = Tables(spark, sf_dir)("lineitem", "l_orderkey", "l_linenumber", (c("l_extendedprice") / 1000).alias("x"), c("l_quantity").alias("q"), c("l_discount").alias("d"))
+    return x.select("l_orderkey", "l_linenumber", *[e.alias(n) for n, e in exprs.items()])
+
+
+@query(f"SELECT {_KEY}, {_X} + l_quantity * 2 - l_discount AS a, -{_X} AS b, {_X} ** 2 AS p, exp(-l_discount) AS e, abs(l_discount - 0.05) AS ab, sign(l_discount - 0.05)::DOUBLE AS s, sqrt({_X}) AS r, floor({_X})::DOUBLE AS f, ceil({_X})::DOUBLE AS ce FROM lineitem")
+def scalar_arith(spark, sf_dir):
+    x, q, d = c("x"), c("q"), c("d")
+    return _scalars(spark, sf_dir, a=op("-", op("+", x, op("*", q, F.lit(2))), d), b=op("neg", x), p=op("^", x, F.lit(2)), e=op("exp", op("-", d)), ab=op("abs", d - 0.05), s=op("sign", d - 0.05), r=op("sqrt", x), f=op("floor", x), ce=op("ceil", x))
+
+
+@query(f"SELECT {_KEY}, sin({_X}) AS a, cos({_X}) AS b, tan(l_discount) AS t, asin(l_discount) AS c, acos(l_discount) AS d, atan({_X}) AS e, atan2(l_discount, {_X}) AS f, sinh(l_discount) AS g, cosh(l_discount) AS h, tanh(l_discount) AS i, asinh(l_discount) AS j, acosh(1 + l_discount) AS k, atanh(l_discount) AS l FROM lineitem")
+def scalar_trig(spark, sf_dir):
+    x, d = c("x"), c("d")
+    return _scalars(spark, sf_dir, a=op("sin", x), b=op("cos", x), t=op("tan", d), c=op("asin", d), d=op("acos", d), e=op("atan", x), f=op("atan2", d, x), g=op("sinh", d), h=op("cosh", d), i=op("tanh", d), j=op("asinh", d), k=op("acosh", 1 + d), l=op("atanh", d))
+
+
+@query(f"SELECT {_KEY}, (l_quantity > 25)::DOUBLE AS gt, (l_quantity <= 25)::DOUBLE AS le, (l_discount = 0.05)::DOUBLE AS eq, (l_discount <> 0.05)::DOUBLE AS ne, least({_X}, l_quantity, 10.0)::DOUBLE AS lo, greatest({_X}, l_quantity, 10.0)::DOUBLE AS hi, CASE WHEN l_quantity > 25 AND NOT l_discount = 0 OR l_quantity < 5 THEN {_X} ELSE -1.0 END::DOUBLE AS pick FROM lineitem")
+def scalar_compare_logic(spark, sf_dir):
+    x, q, d = c("x"), c("q"), c("d")
+    num = as_number
+    pick = op("ifelse", op("or", op("and", op(">", q, 25), op("not", op("==", d, 0.0))), op("<", q, 5)), x, F.lit(-1.0))
+    return _scalars(spark, sf_dir, gt=num(op(">", q, 25)), le=num(op("<=", q, 25)), eq=num(op("==", d, 0.05)), ne=num(op("!=", d, 0.05)), lo=op("min", x, q, F.lit(10.0)), hi=op("max", x, q, F.lit(10.0)), pick=pick)
+
+
+@query(f"""SELECT {_KEY}, CASE WHEN l_discount = 0 THEN 'inf'::DOUBLE ELSE {_X} / l_discount END AS q, CASE WHEN l_discount = 0 THEN 'nan'::DOUBLE ELSE 0.0 END AS z,
+CASE WHEN l_discount - 0.05 > 0 THEN ln(l_discount - 0.05) WHEN l_discount - 0.05 = 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END AS lg, CASE WHEN l_discount = 0 THEN '-inf'::DOUBLE ELSE log10(l_discount) END AS l10 FROM lineitem""")
+def scalar_ieee(spark, sf_dir):
+    x, d = c("x"), c("d")
+    return _scalars(spark, sf_dir, q=op("/", x, d), z=op("/", F.lit(0.0), d), lg=op("log", d - 0.05), l10=op("log10", d))
+
+
+@query(f"SELECT {_KEY}, l_quantity * (1 - l_discount) ** 2 + greatest({_X}, 3)::DOUBLE AS y FROM lineitem WHERE l_discount <> 0")
+def scalar_parsed(spark, sf_dir):
+    from .expressions import column
+
+    x = Tables(spark, sf_dir)("lineitem", "l_orderkey", "l_linenumber", (c("l_extendedprice") / 1000).alias("x"), "l_quantity", "l_discount")
+    names = {"q": c("l_quantity"), "d": c("l_discount"), "x": c("x")}
+    return x.where(truth(c("l_discount"))).select("l_orderkey", "l_linenumber", column(parse("q * (1 - d)^2 + max(x, 3)"), names).alias("y"))
+
+
+# --- calendar and interpolation ---
+
+
+def _fields(spark, sf_dir, *names) -> DataFrame:
+    e = Tables(spark, sf_dir)("events", "event_id", closed.seconds(c("ts")).alias("s"))
+    return e.select("event_id", *[closed.call(f"datetime.{n}", c("s")).alias(n) for n in names])
+
+
+@query("SELECT event_id, year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, hour(ts)::INT AS hour, minute(ts)::INT AS minute, second(ts)::INT AS second FROM events")
+def cal_fields(spark, sf_dir):
+    return _fields(spark, sf_dir, "year", "month", "day", "hour", "minute", "second")
+
+
+@query("SELECT event_id, dayofyear(ts)::INT AS day_of_year, CASE WHEN (year(ts) % 4 = 0 AND year(ts) % 100 <> 0) OR year(ts) % 400 = 0 THEN 1 ELSE 0 END::INT AS is_leap_year FROM events")
+def cal_day_of_year(spark, sf_dir):
+    return _fields(spark, sf_dir, "day_of_year", "is_leap_year")
+
+
+@query("SELECT event_id, julian(ts) - 0.5 AS julian_day FROM events")
+def cal_julian_day(spark, sf_dir):
+    return _fields(spark, sf_dir, "julian_day")
+
+
+@query(f"SELECT {_KEY}, (len(list_filter([10.0, 20.0, 20.0, 35.0, 50.0], lambda v: v < l_quantity)) + 1)::INT AS i FROM lineitem")
+def interp_searchsorted(spark, sf_dir):
+    return _scalars(spark, sf_dir, i=closed.call("interp.searchsorted", c("q"), [10, 20, 20, 35, 50]))
+
+
+@query(f"""SELECT {_KEY}, CASE WHEN l_quantity <= 5 THEN 1.0 WHEN l_quantity < 20 THEN 1.0 + (l_quantity - 5) / 15 * 3.0 WHEN l_quantity < 40 THEN 4.0 + (l_quantity - 20) / 20 * -2.0 ELSE 2.0 END::DOUBLE AS y FROM lineitem""")
+def interp_linear(spark, sf_dir):
+    return _scalars(spark, sf_dir, y=closed.call("interp.linear", [1, 4, 2], [5, 20, 40], c("q")))
+
+
+@query(f"""WITH p AS (SELECT {_KEY}, least(greatest(l_quantity, 0.0), 50.0) / 50 AS u, least(greatest(l_discount, 0.0), 0.1) / 0.1 AS v FROM lineitem)
+SELECT {_KEY}, round((1 + u * 2) + v * ((2 + u * 3) - (1 + u * 2)), 9) AS z FROM p""")
+def interp_bilinear(spark, sf_dir):
+    return _scalars(spark, sf_dir, z=F.round(closed.call("interp.bilinear", [[1, 2], [3, 5]], [0, 50], [0, 0.1], c("q"), c("d")), 9))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal <= 0 THEN 1.0 WHEN s_acctbal < 5000 THEN 1.0 + s_acctbal / 5000 WHEN s_acctbal < 10000 THEN 2.0 + (s_acctbal - 5000) / 5000 * 7 ELSE 9.0 END::DOUBLE AS y FROM supplier")
+def function_table(spark, sf_dir):
+    table = closed.FunctionTable({"a": [0, 5000, 10000]}, {"y": [1, 2, 9]})
+    return Tables(spark, sf_dir)("supplier", "s_suppkey", table.lookup("y", a=c("s_acctbal")).alias("y"))
+
+
+# --- geometry ---
+
+_QUADS = """WITH q AS (SELECT p_partkey, (p_size % 7)::DOUBLE AS x, (p_size % 5)::DOUBLE AS y, 1 + (p_partkey % 3)::DOUBLE AS w, 1 + (p_partkey % 4)::DOUBLE AS h FROM part)"""
+
+
+def _rect(x, y, w, h):
+    p = lambda a, b: F.struct(a.cast("double").alias("lon"), b.cast("double").alias("lat"))
+    return F.array(p(x, y), p(x + w, y), p(x + w, y + h), p(x, y + h))
+
+
+def _quads(spark, sf_dir) -> DataFrame:
+    k, s = c("p_partkey"), c("p_size")
+    return Tables(spark, sf_dir)("part", "p_partkey", _rect(s % 7, s % 5, 1 + k % 3, 1 + k % 4).alias("ring"))
+
+
+@query(_QUADS + " SELECT p_partkey, w * h AS area FROM q")
+def polygon_area(spark, sf_dir):
+    return geometry.polygon_area(_quads(spark, sf_dir), "p_partkey", "ring")
+
+
+@query(_QUADS + " SELECT p_partkey, greatest(0, least(x + w, 5) - greatest(x, 2)) * greatest(0, least(y + h, 4) - greatest(y, 1)) AS area FROM q")
+def polygon_clip_area(spark, sf_dir):
+    clip = _rect(F.lit(2), F.lit(1), F.lit(3), F.lit(3))
+    return _quads(spark, sf_dir).select("p_partkey", geometry.intersection_area(c("ring"), clip).alias("area"))
+
+
+@query(f"""WITH g AS ({_ALL}), t AS (SELECT unnest(range(0, 4)) AS k),
+o AS (SELECT k, v, greatest(0, least(i, k * 1.25 + 1.25) - greatest(i - 1, k * 1.25)) * (least(j, 5.0) - (j - 1)) AS a FROM t, g)
+SELECT k, sum(a * v) / sum(a) AS value FROM o WHERE a > 0 GROUP BY 1""")
+def conservative_regrid(spark, sf_dir):
+    """A 5 x 5 grid of unit cells onto four strips."""
+    src = _grid(spark, sf_dir).df.select((c("i") * 100 + c("j")).alias("s"), _rect(c("i") - 1, c("j") - 1, F.lit(1), F.lit(1)).alias("ring"), "v")
+    tgt = spark.range(4).select(c("id").alias("k"), _rect(c("id") * 1.25, F.lit(0), F.lit(1.25), F.lit(5)).alias("ring"))
+    return geometry.regrid(src, tgt, "s", "k", "ring", "v")
+
+
+# --- ingest ---
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 2.0 ELSE -1.0 END::DOUBLE AS code FROM events")
+def ingest_codes(spark, sf_dir):
+    return readers.coded(Tables(spark, sf_dir)("events", "event_id", "event_type"), "event_type", {"Click": 1, "VIEW": 2}, unmapped=-1, ignore_case=True, name="code").select("event_id", "code")
+
+
+@query("SELECT event_id, 1.0::DOUBLE AS code FROM events WHERE event_type = 'click'")
+def ingest_codes_drop(spark, sf_dir):
+    return readers.coded(Tables(spark, sf_dir)("events", "event_id", "event_type"), "event_type", {"click": 1}, unmapped="drop", name="code").select("event_id", "code")
+
+
+@query("SELECT event_id, x FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'inf'::DOUBLE WHEN event_id % 13 = 0 THEN 'nan'::DOUBLE ELSE value END AS x FROM events) WHERE isfinite(x)")
+def ingest_finite(spark, sf_dir):
+    k = c("event_id")
+    x = F.when(k % 7 == 0, None).when(k % 11 == 0, float("inf")).when(k % 13 == 0, float("nan")).otherwise(c("value"))
+    return readers.require_finite(Tables(spark, sf_dir)("events", "event_id", x.alias("x")), "x")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey BETWEEN 11 AND 100 AND (p_partkey - 11) % 3 = 0")
+def ingest_select_range(spark, sf_dir):
+    return readers.select_axis(Tables(spark, sf_dir)("part", "p_partkey", "p_name"), "p_partkey", {"range": {"start": 10, "stop": 100, "step": 3}})
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50)")
+def ingest_select_gated(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return readers.select_axis(t("supplier", "s_suppkey", "s_name"), "s_suppkey", {"gated_by": "demand"}, t("lineitem", "l_suppkey", "l_quantity").where("l_quantity = 50").select("l_suppkey"))
+
+
+@query("SELECT p_brand, sum(l_quantity * p_retailprice) AS y FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49 GROUP BY 1")
+def pushdown_support(spark, sf_dir):
+    """A contraction that reads only the matrix rows that its support set names."""
+    t = Tables(spark, sf_dir)
+    demand = t("lineitem", c("l_partkey").alias("p"), c("l_quantity").alias("e")).where("e > 49")
+    rows = readers.supported(t("part", c("p_partkey").alias("p"), "p_brand", c("p_retailprice").alias("a")), "p", demand)
+    return aggregate([Factor(rows, ("p", "p_brand"), "a"), Factor(demand, ("p",), "e")], ["p_brand"], SEMIRINGS["sum_product"], name="y")
+
+
+@query("SELECT event_id, value * 1000.0 / 3600 AS value FROM events")
+def ingest_units(spark, sf_dir):
+    return readers.converted(Tables(spark, sf_dir)("events", "event_id", "value"), "value", systems.convert_units("km/h", "m/s"))
+
+
+@query("SELECT event_id, epoch(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2024-01-01'))::DOUBLE AS slot FROM events")
+def snap_to_period(spark, sf_dir):
+    slot = times.snap_column(c("ts"), datetime(2024, 1, 1), times.Period.parse("PT6H"))
+    return Tables(spark, sf_dir)("events", "event_id", closed.seconds(slot).alias("slot"))
+
+
+@query("SELECT strftime(d, 'data/%Y/%m.nc') AS url FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS d FROM orders)")
+def file_anchors(spark, sf_dir):
+    lo, hi = Tables(spark, sf_dir)("orders").agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+    anchors = times.file_anchors(lo, hi, datetime(1990, 1, 1), times.Period.parse("P1M"))
+    return spark.createDataFrame([(times.expand_url("data/{date:%Y/%m}.nc", a),) for a in anchors], "url string")
+
+
+# --- streaming and events ---
+
+
+@query("SELECT event_type, sum(value) AS total, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def refresh_foreach_batch(spark, sf_dir):
+    """Refreshes by micro-batches, merged: the same as one batch over everything."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    import uuid
+
+    at = f"{base}/refresh-{uuid.uuid4().hex}"
+    source = f"{at}/in"
+    Tables(spark, sf_dir)("events", "event_type", "value").repartition(4).write.parquet(source)
+    return refresh.fold_stream(spark, source, "event_type string, value double", ["event_type"], {"total": c("value"), "n": F.lit(1).cast("long")}, f"{at}/out", f"{at}/log")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, value - 245 AS x, lag(value - 245) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE (p < 0 AND x >= 0)")
+def event_crossing(spark, sf_dir):
+    e = Tables(spark, sf_dir)("events", "user_id", "event_id", (c("value") - 245).alias("x"))
+    return refresh.crossings(e, ["user_id"], "event_id", "x", "up").select("user_id", "event_id")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, value > 400 AS x, coalesce(lag(value > 400) OVER (PARTITION BY user_id ORDER BY event_id), false) AS p FROM events) WHERE x AND NOT p")
+def event_condition(spark, sf_dir):
+    return refresh.became_true(Tables(spark, sf_dir)("events", "user_id", "event_id", "value"), ["user_id"], "event_id", c("value") > 400).select("user_id", "event_id")
+
+
+# --- documents, reactions, graphs, simulation ---
+
+DOCUMENT = {
+    "index_sets": {"nations": {"kind": "interval", "size": 25}, "regions": {"kind": "interval", "size": 5}},
+    "enums": {"kind": {"low": 0, "high": 1}},
+    "models": {
+        "M": {
+            "variables": {"scale": {"type": "parameter", "default": 2.0}},
+            "equations": [
+                {"lhs": "balance", "rhs": {"op": "aggregate", "output_idx": ["r"], "ranges": {"r": {"from": "regions"}, "n": {"from": "nations"}}, "filter": node("==", node("index", "region", "n"), "r"), "expr": node("*", "scale", node("index", "acct", "n"))}},
+                {"lhs": "rank_sum", "rhs": {"op": "aggregate", "output_idx": ["r"], "ranges": {"r": {"from": "regions"}, "k": [1, "r"]}, "expr": node("index", "balance", "k")}},
+            ],
+        }
+    },
+}
+
+
+@query("""WITH a AS (SELECT n_regionkey + 1 AS r, 2.0 * sum(s) AS b FROM nation LEFT JOIN (SELECT c_nationkey, sum(c_acctbal) AS s FROM customer GROUP BY 1) ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT r::BIGINT AS r, sum(b) OVER (ORDER BY r) AS value FROM a""")
+def document_model(spark, sf_dir):
+    """A JSON document: a filtered aggregate over nations, and a second one with a bound that depends on its output index."""
+    t = Tables(spark, sf_dir)
+    n = (c("n_nationkey") + 1).cast("long").alias("n")
+    region = Factor(t("nation", n, (c("n_regionkey") + 1).cast("double").alias("value")), ("n",))
+    acct = Factor(t("customer").groupBy((c("c_nationkey") + 1).cast("long").alias("n")).agg(F.sum("c_acctbal").alias("value")), ("n",))
+    return Evaluator(spark, DOCUMENT, "M", {"region": region, "acct": acct}).evaluate("rank_sum")
+
+
+REACTIONS = [{"rate": "k1", "substrates": {"A": 2}, "products": {"B": 1}}, {"rate": "k2", "substrates": {"B": 1, "C": 1}, "products": {"A": 1, "C": 1}}]
+
+
+@query("SELECT 'A' AS species, -2 * (0.5 * a * a) + 0.25 * b * 3.0 AS change FROM (SELECT count(*)::DOUBLE AS a FROM region) , (SELECT count(*)::DOUBLE AS b FROM nation) UNION ALL SELECT 'B', 0.5 * a * a - 0.25 * b * 3.0 FROM (SELECT count(*)::DOUBLE AS a FROM region), (SELECT count(*)::DOUBLE AS b FROM nation) UNION ALL SELECT 'C', 0.0")
+def mass_action(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    amounts = t("region").agg(F.lit("A").alias("species"), F.count("*").cast("double").alias("amount")).union(t("nation").agg(F.lit("B"), F.count("*").cast("double"))).union(spark.createDataFrame([("C", 3.0)], "species string, amount double"))
+    rates = spark.createDataFrame([(1, 0.5), (2, 0.25)], "reaction long, rate double")
+    return systems.reaction_rates(systems.stoichiometry(spark, REACTIONS), rates, amounts)
+
+
+@query("SELECT * FROM (VALUES ('A', -2.0::DOUBLE, 1.0::DOUBLE), ('B', 1.0, -1.0), ('C', 0.0, 0.0)) t(species, r1, r2)")
+def stoich_matrix(spark, sf_dir):
+    return systems.stoichiometric_matrix(systems.stoichiometry(spark, REACTIONS), 2)
+
+
+@query("SELECT * FROM (VALUES ('a', 'b'), ('k', 'b'), ('b', 'y'), ('a', 'y')) t(src, dst)")
+def graph_edges(spark, sf_dir):
+    return systems.expression_graph(spark, {"b": parse("a * k"), "y": parse("b + a")})[1]
+
+
+@query("SELECT * FROM (VALUES ('a', 0), ('k', 0), ('b', 1), ('y', 2)) t(id, level)")
+def graph_levels(spark, sf_dir):
+    return systems.levels(graph_edges(spark, sf_dir))
+
+
+@query("SELECT s_suppkey AS member, t, 'x' AS variable, round(exp(-(1 + s_nationkey / 25.0) * t), 6) AS value FROM supplier, (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS t)")
+def sweep_ode(spark, sf_dir):
+    """One decay for each supplier, its rate from the table: an ensemble solved member by member."""
+    members = Tables(spark, sf_dir)("supplier", c("s_suppkey").alias("member"), (1 + c("s_nationkey") / 25.0).alias("k"))
+    return systems.simulate(members, {"x": parse("-k * x")}, {"x": 1.0}, [0.0, 0.5, 1.0]).withColumn("value", F.round("value", 6))
