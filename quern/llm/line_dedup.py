@@ -356,7 +356,7 @@ def _clean(folder: str, shards: int):
 
 
 def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_lines, dropped (numbers of lines, from 0), text (without them) and the columns `keep` of every row.
+    """doc_id, n_lines, dropped (numbers of lines, from 0), text (without them) and the columns `keep` (as kept_<name>) of every row.
 
     Lines stand between newlines, without white space around them, A-Z lower-cased; blank ones don't count.
     Lines of a class - equal ones, and, from LEAST bytes on, those linked by chains of at most EDITS edits of bytes - are
@@ -369,9 +369,9 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     spark = documents.sparkSession
     ship(spark)
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     real = rows.where("doc_id is not null").select("doc_id", "text")
-    shards, folder = shard_number(text_bytes(real.select("text")), 16 << 20), new_folder(spark, "lines")
+    shards, folder = shard_number(text_bytes(real.select("text")), 28 << 20), new_folder(spark, "lines")
     real.mapInArrow(_owners(shards), "shard int, data binary").groupBy("shard").applyInArrow(_merge_owners(folder), "n long").agg(F.sum("n")).collect()
     real.mapInArrow(_key_counts(folder, shards), "shard int, data binary").groupBy("shard").applyInArrow(_merge_keys(folder), "n long").agg(F.sum("n")).collect()
     met = saved(real.mapInArrow(_probe(folder, shards), "key long, name long, line binary"), "line-probes")
@@ -389,7 +389,7 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     best.withColumn("shard", shard).groupBy("shard").applyInArrow(_write_names(folder, "best", shards, ("doc_line", "mark")), "n long").agg(F.sum("n")).collect()
     kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     schema = f"doc_id long, n_lines long, dropped array<long>, text string{kept}"
-    whole = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_lines"), F.array().cast("array<long>").alias("dropped"), "text", *keep)
+    whole = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_lines"), F.array().cast("array<long>").alias("dropped"), "text", *rows.columns[2:])
     return rows.where("doc_id is not null").mapInArrow(_clean(folder, shards), schema).unionByName(whole)
 
 

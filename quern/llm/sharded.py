@@ -14,8 +14,8 @@ import zstandard
 
 from .shared import write_array_file
 
-#: Bytes of input to a shard of its statistics.
-SHARD_BYTES = 8 << 20
+#: Bytes of text to a shard of its statistics.
+SHARD_BYTES = 14 << 20
 
 
 def shard_number(input_bytes: int, shard_bytes: int = SHARD_BYTES) -> int:

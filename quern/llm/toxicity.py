@@ -318,7 +318,7 @@ def _score(model: Model, least: float):
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, held_out, least: float = 0.7, most: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score (0 to 1), predicted (1 from `least` on), n_matches and the columns `keep` of every row.
+    """doc_id, held_out, score (0 to 1), predicted (1 from `least` on), n_matches and the columns `keep` (as kept_<name>) of every row.
 
     Clauses end at punctuation, brackets, quotes and newlines. Their words become symbols by the lexicon and
     the stems learned from labels, and the grammar - negation, then reported speech, then targets, composed -
@@ -331,8 +331,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, held_out, least: float = 0
     model = train(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels, ~held_out, most=most)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
-    scored = rows.mapInArrow(_score(model, least), f"doc_id long, held_out boolean, score double, predicted int, n_matches long{kept}")
-    return scored.withColumnsRenamed({f"kept_{c}": c for c in keep})
+    return rows.mapInArrow(_score(model, least), f"doc_id long, held_out boolean, score double, predicted int, n_matches long{kept}")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
