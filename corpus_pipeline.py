@@ -20,14 +20,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar does not predict as toxic; labels with crc32(doc_id) mod 3 = 1 are never learned from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     own = [c for c in docs.columns if c != "doc_id"]
-    return toxicity(docs, labels, crc_is("doc_id", 3, 1), keep=tuple(own)).where("predicted = 0").select(*docs.columns)
+    clean = toxicity(docs, labels, crc_is("doc_id", 3, 1), keep=tuple(own)).where("predicted = 0")
+    return clean.select(*[F.col(f"kept_{c}").alias(c) if c in own else c for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each line class stays where it first occurs; a document whose every line stood elsewhere first goes."""
     own = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     left = dedup_lines(docs, keep=own).where("n_lines is null or n_lines = 0 or size(dropped) < n_lines")
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    named = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")} | {c: F.col(f"kept_{c}") for c in own}
+    return left.select(*[named[c].alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their copies, words taken and their source's target."""
     taken = mix(docs).where("copies > 0").select("doc_id", "size", "source_size", "target", "copies", "taken").dropDuplicates(["doc_id"])
-    return docs.join(taken, "doc_id")
+    return docs.join(taken.withColumnsRenamed({c: f"mix_{c}" for c in taken.columns if c in docs.columns and c != "doc_id"}), "doc_id")
 
 
 STAGES = [
