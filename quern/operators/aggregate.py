@@ -81,7 +81,7 @@ def expand_range(df: DataFrame, lo, hi, name: str, step: int = 1) -> DataFrame:
         raise QuernError("range_step", "a step is not zero")
     lo, hi = (x if isinstance(x, Column) else F.lit(x) for x in (lo, hi))
     some = hi >= lo if step > 0 else hi <= lo
-    return df.where(some).withColumn(name, F.explode(F.sequence(lo.cast("long"), hi.cast("long"), F.lit(step).cast("long"))))
+    return df.withColumn(name, F.explode(F.when(some, F.sequence(lo.cast("long"), hi.cast("long"), F.lit(step).cast("long")))))
 
 
 def ragged(parents: DataFrame, parent: str, lengths: Factor, values: Factor, k: str, member: str) -> DataFrame:

@@ -44,9 +44,11 @@ def spherical_area(ring: Column, radius: float = 1.0) -> Column:
 
 def polygon_area(df: DataFrame, key: str, ring: str) -> DataFrame:
     """The same planar area as an aggregate over exploded vertices: (key, area)."""
-    v = df.select(key, F.posexplode(close_ring(F.col(ring))).alias("k", "p"))
-    a, b = v.select(key, "k", F.col("p.lon").alias("x"), F.col("p.lat").alias("y")), v.select(key, (F.col("k") - 1).alias("k"), F.col("p.lon").alias("x2"), F.col("p.lat").alias("y2"))
-    return a.join(b, [key, "k"]).groupBy(key).agg((F.abs(F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y"))) / 2.0).alias("area"))
+    v = df.select(F.col(key).alias("__key"), F.posexplode(close_ring(F.col(ring))).alias("__k", "p"))
+    a = v.select("__key", "__k", F.col("p.lon").alias("x"), F.col("p.lat").alias("y"))
+    b = v.select("__key", (F.col("__k") - 1).alias("__k"), F.col("p.lon").alias("x2"), F.col("p.lat").alias("y2"))
+    area = F.abs(F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y"))) / 2.0
+    return a.join(b, ["__key", "__k"]).groupBy(F.col("__key").alias(key)).agg(area.alias("area"))
 
 
 def _points(ring) -> list[tuple[float, float]]:

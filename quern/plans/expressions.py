@@ -48,6 +48,8 @@ def substitute(e: Expr, by: Mapping[str, Expr]) -> Expr:
     for k in ("expr", "filter", "key"):
         if k in e:
             out[k] = substitute(e[k], inner)
+    if "bindings" in e:
+        out["bindings"] = {k: substitute(v, inner) for k, v in e["bindings"].items()}
     return out
 
 
