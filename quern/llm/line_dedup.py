@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .near_dedup import Links
-from .sharded import Sorted, packed, runs, shard_number, shard_of, small, totals, unpacked, write_sorted
+from .sharded import Sorted, grouped, packed, runs, shard_number, shard_of, small, totals, unpacked, write_sorted
 from .shared import new_folder, saved, ship, text_bytes
 from .text import LOWER, SPACE, _powers, buffers, mix, pair, pieces
 
@@ -372,8 +372,8 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     real = rows.where("doc_id is not null").select("doc_id", "text")
     shards, folder = shard_number(text_bytes(real.select("text")), 28 << 20), new_folder(spark, "lines")
-    real.mapInArrow(_owners(shards), "shard int, data binary").groupBy("shard").applyInArrow(_merge_owners(folder), "n long").agg(F.sum("n")).collect()
-    real.mapInArrow(_key_counts(folder, shards), "shard int, data binary").groupBy("shard").applyInArrow(_merge_keys(folder), "n long").agg(F.sum("n")).collect()
+    grouped(real.mapInArrow(_owners(shards), "shard int, data binary"), shards, "shard").applyInArrow(_merge_owners(folder), "n long").agg(F.sum("n")).collect()
+    grouped(real.mapInArrow(_key_counts(folder, shards), "shard int, data binary"), shards, "shard").applyInArrow(_merge_keys(folder), "n long").agg(F.sum("n")).collect()
     met = saved(real.mapInArrow(_probe(folder, shards), "key long, name long, line binary"), "line-probes")
     sizes = met.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
     blk = F.pmod(F.xxhash64("name"), F.col("m")).cast("int")
@@ -382,11 +382,11 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     links = saved(spread.groupBy("key", "i", "j").applyInArrow(_verify, "a long, b long"), "line-links")
     joined = components(links, "line-classes")
     shard = F.expr(f"cast(shiftright(shiftrightunsigned(key, 32) * {shards}L, 32) as int)")
-    joined.select(F.col("node").alias("key"), F.lit(1).cast("byte").alias("one")).withColumn("shard", shard).groupBy("shard").applyInArrow(_write_names(folder, "linked", shards, ("one",)), "n long").agg(F.sum("n")).collect()
+    grouped(joined.select(F.col("node").alias("key"), F.lit(1).cast("byte").alias("one")).withColumn("shard", shard), shards, "shard").applyInArrow(_write_names(folder, "linked", shards, ("one",)), "n long").agg(F.sum("n")).collect()
     placed = saved(real.mapInArrow(_classes(folder, shards), "name long, doc long, line long"), "line-places").join(joined, F.col("name") == F.col("node"))
     low = placed.groupBy("component").agg(F.min(F.struct("doc", "line")).alias("s"))
     best = placed.select("name", "component").distinct().join(low, "component").select(F.col("name").alias("key"), "s.doc", "s.line", F.lit(1).cast("byte").alias("mark"))
-    best.withColumn("shard", shard).groupBy("shard").applyInArrow(_write_names(folder, "best", shards, ("doc_line", "mark")), "n long").agg(F.sum("n")).collect()
+    grouped(best.withColumn("shard", shard), shards, "shard").applyInArrow(_write_names(folder, "best", shards, ("doc_line", "mark")), "n long").agg(F.sum("n")).collect()
     kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     schema = f"doc_id long, n_lines long, dropped array<long>, text string{kept}"
     whole = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_lines"), F.array().cast("array<long>").alias("dropped"), "text", *rows.columns[2:])

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sharded import Sorted, packed, runs, shard_number, shard_of, small, totals, unpacked, write_sorted
+from .sharded import Sorted, grouped, packed, runs, shard_number, shard_of, small, totals, unpacked, write_sorted
 from .shared import new_folder, ship, text_bytes
 from .text import batches_of_words, pair
 
@@ -232,7 +232,7 @@ def train(texts: DataFrame, order: int = 2, text: str = "text") -> Model:
     shards, folder = shard_number(text_bytes(rows)), new_folder(spark, "lm")
     df = rows.mapInArrow(_count(order, shards), ROWS)
     for level in range(order, 0, -1):
-        df = df.groupBy("level", "shard").applyInArrow(_reduce(level, folder, shards), ROWS)
+        df = grouped(df, 2 * shards, "level", "shard").applyInArrow(_reduce(level, folder, shards), ROWS)
     sums = df.where("level = -1").groupBy("shard").agg(F.array(*[F.sum(F.element_at("stats", i + 1)) for i in range(STATS)]).alias("s")).collect()
     return Model(folder, order, shards, {r["shard"]: list(r["s"]) for r in sums})
 

@@ -22,6 +22,11 @@ def shard_number(input_bytes: int, shard_bytes: int = SHARD_BYTES) -> int:
     return max(4, -(-input_bytes // shard_bytes))
 
 
+def grouped(cells, shards: int, *keys: str):
+    """Cells grouped by shard, in as many tasks as shards ask for, whatever the session's number of shuffle partitions."""
+    return cells.repartition(shards, *keys).groupBy(*keys)
+
+
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     """Monotone in h, so hashes in order are shards in order."""
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
