@@ -134,6 +134,8 @@ def within(a: bytes, b: bytes, edits: int = EDITS) -> bool:
             new &= valid
             before, below = new, old
             level[e] = new
+        if not level[edits]:
+            return False
     return bool(level[edits] >> (len(b) - len(a) + edits) & 1)
 
 
