@@ -13,13 +13,15 @@ from ..errors import QuernError
 DAY = 86_400
 
 
-def instant(seconds: Column) -> Column:
-    """Seconds since 1970 as a timestamp; fields of it are read in UTC (the session's zone must be UTC)."""
-    return F.timestamp_micros(F.floor(seconds.cast("double") * 1_000_000).cast("long"))
+def seconds(ts: Column) -> Column:
+    """Seconds since 1970 of a wall-clock time, read as UTC whatever the session's zone."""
+    whole = F.unix_date(ts.cast("date")) * DAY + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return whole.cast("double") + F.date_part(F.lit("SECOND"), ts).cast("double")
 
 
-def seconds(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp")).cast("double") / 1_000_000
+def wall_clock(s: Column) -> Column:
+    """The wall-clock time, without zone, of seconds since 1970 in UTC."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=s.cast("decimal(18,6)"))
 
 
 def _days(s: Column) -> Column:

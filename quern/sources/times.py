@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import QuernError
+from ..functions.closed import seconds, wall_clock
 
 
 @dataclass(frozen=True)
@@ -59,8 +60,7 @@ def snap_column(ts: Column, anchor: datetime, period: Period) -> Column:
         k = F.floor(F.months_between(ts, start) / period.months).cast("int")
         return start + F.make_ym_interval(F.lit(0), k * period.months)
     base = (anchor if anchor.tzinfo else anchor.replace(tzinfo=UTC)).timestamp()
-    s = F.unix_micros(ts.cast("timestamp")) / 1e6
-    return F.timestamp_seconds(F.lit(base) + F.floor((s - base) / period.seconds) * period.seconds)
+    return wall_clock(F.lit(base) + F.floor((seconds(ts) - base) / period.seconds) * period.seconds)
 
 
 def file_anchors(start: datetime, end: datetime, anchor: datetime, period: Period) -> list[datetime]:
