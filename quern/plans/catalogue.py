@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import closed
+from ..functions import closed, solar
 from ..functions.scalar import as_number, op, truth
 from ..operators import arrays, geometry, relational, spatial
 from ..operators.aggregate import aggregate, expand_range, prefix, statistics
@@ -494,6 +494,15 @@ def function_table(spark, sf_dir):
     return Tables(spark, sf_dir)("supplier", "s_suppkey", table.lookup("y", a=c("s_acctbal")).alias("y"))
 
 
+@query("""WITH t AS (SELECT event_id, 2 * pi() / 365 * (dayofyear(ts) - 1 + (hour(ts) - 12) / 24.0) AS g, hour(ts) * 60.0 + minute(ts) + second(ts) / 60.0 AS clock, user_id % 90 * 1.0 AS lat, user_id % 180 - 90.0 AS lon FROM events),
+u AS (SELECT *, 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) AS d,
+229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) AS eot FROM t)
+SELECT event_id, round(sin(radians(lat)) * sin(d) + cos(radians(lat)) * cos(d) * cos(radians((clock + eot + 4 * lon) / 4 - 180)), 9) AS cz FROM u""")
+def solar_zenith(spark, sf_dir):
+    e = Tables(spark, sf_dir)("events", "event_id", closed.seconds(c("ts")).alias("s"), (c("user_id") % 90).cast("double").alias("lat"), (c("user_id") % 180 - 90.0).alias("lon"))
+    return e.select("event_id", F.round(solar.cos_zenith(c("s"), c("lat"), c("lon")), 9).alias("cz"))
+
+
 # --- geometry ---
 
 _QUADS = """WITH q AS (SELECT p_partkey, (p_size % 7)::DOUBLE AS x, (p_size % 5)::DOUBLE AS y, 1 + (p_partkey % 3)::DOUBLE AS w, 1 + (p_partkey % 4)::DOUBLE AS h FROM part)"""
