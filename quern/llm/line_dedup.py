@@ -261,14 +261,14 @@ def _merge_keys(folder: str):
 
 
 def _probe(folder: str, shards: int):
-    """(key, line, text) of lines that share a key with another line. A line's name is its first hash pair's mix."""
+    """(key, name, line's bytes, document and number where it first stands) of lines that share a key with another line. A name is the mix of a line's two hashes."""
 
     def probe(batches):
         owner, shared = _open_owners(folder, shards), Sorted(folder, "key", shards, ("one",))
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, j, lines in _pieces(batch.column("text")):
-                _, _, here = _firsts(lines, ids[i:j], owner)
+                doc, _, here = _firsts(lines, ids[i:j], owner)
                 row, key = line_keys(lines, np.flatnonzero(here & (lines.size >= LEAST)))
                 own = shared.get(key)[0] > 0
                 row, key = row[own], key[own]
@@ -276,7 +276,7 @@ def _probe(folder: str, shards: int):
                     at, inverse = np.unique(row, return_inverse=True)
                     text = pa.array(_cells(lines, at), pa.binary()).take(pa.array(inverse))
                     name = pair(*lines.hash)[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name.view(np.int64)), text], ["key", "name", "line"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name.view(np.int64)), text, pa.array(doc[row]), pa.array(lines.number[row].astype(np.int64))], ["key", "name", "line", "doc", "number"])
 
     return probe
 
@@ -297,22 +297,6 @@ def _verify(key, table):
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def _classes(folder: str, shards: int):
-    """(name, document, line) where linked lines first occur."""
-
-    def classes(batches):
-        owner, linked = _open_owners(folder, shards), Sorted(folder, "linked", shards, ("one",))
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, j, lines in _pieces(batch.column("text")):
-                doc, line, here = _firsts(lines, ids[i:j], owner)
-                name = pair(*lines.hash)
-                own = here & (linked.get(name)[0] > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(name[own].view(np.int64)), pa.array(doc[own]), pa.array(line[own].astype(np.int64))], ["name", "doc", "line"])
-
-    return classes
-
-
 def _write_names(folder: str, name: str, shards: int, columns: tuple[str, ...]):
     """Rows of one shard (key and columns) as sorted arrays."""
 
@@ -376,18 +360,17 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     shards, folder = shard_number(text_bytes(real.select("text")), 28 << 20), new_folder(spark, "lines")
     grouped(real.mapInArrow(_owners(shards), "shard int, data binary"), shards, "shard").applyInArrow(_merge_owners(folder), "n long").agg(F.sum("n")).collect()
     grouped(real.mapInArrow(_key_counts(folder, shards), "shard int, data binary"), shards, "shard").applyInArrow(_merge_keys(folder), "n long").agg(F.sum("n")).collect()
-    met = saved(real.mapInArrow(_probe(folder, shards), "key long, name long, line binary"), "line-probes")
+    met = saved(real.mapInArrow(_probe(folder, shards), "key long, name long, line binary, doc long, number long"), "line-probes")
     sizes = met.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
     blk = F.pmod(F.xxhash64("name"), F.col("m")).cast("int")
     spread = met.join(sizes, "key").select("key", "name", "line", blk.alias("blk"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
     spread = spread.select("key", "name", "line", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     links = saved(spread.groupBy("key", "i", "j").applyInArrow(_verify, "a long, b long"), "line-links")
     joined = components(links, "line-classes")
+    placed = met.select("name", "doc", "number").distinct().join(joined, F.col("name") == F.col("node"))
     shard = F.expr(f"cast(shiftright(shiftrightunsigned(key, 32) * {shards}L, 32) as int)")
-    grouped(joined.select(F.col("node").alias("key"), F.lit(1).cast("byte").alias("one")).withColumn("shard", shard), shards, "shard").applyInArrow(_write_names(folder, "linked", shards, ("one",)), "n long").agg(F.sum("n")).collect()
-    placed = saved(real.mapInArrow(_classes(folder, shards), "name long, doc long, line long"), "line-places").join(joined, F.col("name") == F.col("node"))
-    low = placed.groupBy("component").agg(F.min(F.struct("doc", "line")).alias("s"))
-    best = placed.select("name", "component").distinct().join(low, "component").select(F.col("name").alias("key"), "s.doc", "s.line", F.lit(1).cast("byte").alias("mark"))
+    low = placed.groupBy("component").agg(F.min(F.struct("doc", "number")).alias("s"))
+    best = placed.select("name", "component").join(low, "component").select(F.col("name").alias("key"), "s.doc", F.col("s.number").alias("line"), F.lit(1).cast("byte").alias("mark"))
     grouped(best.withColumn("shard", shard), shards, "shard").applyInArrow(_write_names(folder, "best", shards, ("doc_line", "mark")), "n long").agg(F.sum("n")).collect()
     kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     schema = f"doc_id long, n_lines long, dropped array<long>, text string{kept}"
