@@ -185,7 +185,7 @@ def _tail(t: pa.Table) -> pa.Table:
 
 
 def _chunk(t: pa.Table) -> list[list[np.ndarray]]:
-    """Spans of rows in suffix order: of neighbours, and where a run stands in three or more settings, of neighbours among those that agree on the words before it.
+    """Spans of rows in suffix order: of neighbours, and where a run of three or more rows stands in different settings, of neighbours among those that agree on the words before it.
 
     A partner that shares few following words may share many words before the run, so for each number of
     words before, the rows that agree on them are looked at in suffix order by themselves: each row meets the
@@ -199,7 +199,8 @@ def _chunk(t: pa.Table) -> list[list[np.ndarray]]:
     right[1:] = np.cumsum((rows.key[1:] != rows.key[:-1]) | (rows.sides[0][1:] != rows.sides[0][:-1]).any(1))
     key = np.cumsum(np.concatenate([[False], rows.key[1:] != rows.key[:-1]]))
     kinds = np.unique(np.stack([key, right, left]), axis=1)[0]
-    own = np.flatnonzero(np.bincount(kinds, minlength=key[-1] + 1)[key] > 2)
+    # Two rows are neighbours anyway, and rows that agree in everything are each other's partners.
+    own = np.flatnonzero((np.bincount(kinds, minlength=key[-1] + 1)[key] > 1) & (np.bincount(key)[key] > 2))
     if len(own):
         by = own[np.lexsort((left[own], key[own]))]
         agree = np.full(len(by), -1)
