@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .sharded import Sorted, grouped, packed, shard_number, shard_of, small, totals, unpacked, write_sorted
+from .sharded import Sorted, grouped, packed, runs, shard_number, shard_of, small, totals, unpacked, write_sorted
 from .shared import new_folder, saved, ship, text_bytes
-from .text import batches_of_words, grams
+from .text import batches_of_words, grams, pair
 
 #: Words of the shortest passage, and of the runs whose hashes select suffixes. Any WINDOW runs in a row, so
 #: any passage of LEAST words, have their smallest hash selected, in every document that holds them.
@@ -18,10 +17,12 @@ LEAST, RUN = 50, 20
 WINDOW = LEAST - RUN + 1
 #: Words kept on each side of a suffix's run: further than that, the next selected suffix carries on.
 SIDE = WINDOW - 1
-#: Hashes gathered before they are sent on, and rows compared at a time.
-GATHER, CHUNK = 1_500_000, 60_000
-ROW = "key long, right binary, left binary, doc_id long, pos int"
-SPAN = "doc_id long, first_word int, end_word int, other_doc long, edge int, row struct<key:long,right:binary,left:binary,doc_id:long,pos:int>"
+#: Hashes gathered before they are sent on, windows likewise, and rows compared at a time.
+GATHER, GATHER_WINDOWS, CHUNK = 1_500_000, 600_000, 60_000
+#: Rows of one run that a task compares by itself; a run that stands in more places is hot, and its windows are counted.
+HOT = 1_000
+ROW = "key long, right binary, left binary, doc_id long, pos int, hot boolean"
+SPAN = "doc_id long, first_word int, end_word int, other_doc long"
 
 
 def sliding(x: np.ndarray, n: int, fold: np.ufunc) -> np.ndarray:
@@ -52,7 +53,7 @@ def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[own], at[own]
 
 
-def _keys(shards: int):
+def _keys(shards: int, hot: int):
     def keys(batches):
         held, size = [], 0
 
@@ -60,7 +61,7 @@ def _keys(shards: int):
             k, n = totals(np.concatenate(held), np.ones(size, np.int64)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             cut = np.searchsorted(shard_of(k, shards), np.arange(shards + 1))
             own = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([packed(k[cut[s] : cut[s + 1]], small(np.minimum(n[cut[s] : cut[s + 1]], 2))) for s in own], pa.binary())], ["shard", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([packed(k[cut[s] : cut[s + 1]], small(np.minimum(n[cut[s] : cut[s + 1]], hot + 1))) for s in own], pa.binary())], ["shard", "data"])
 
         for b in batches:
             for _, _, _, _, w in batches_of_words(b.column("text")):
@@ -74,12 +75,12 @@ def _keys(shards: int):
     return keys
 
 
-def _repeated(folder: str):
+def _repeated(folder: str, hot: int):
     def repeated(key, table):
         parts = [unpacked(b) for b in table["data"].to_pylist()]
         k, n = totals(np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts]))
-        k = k[n > 1]
-        write_sorted(folder, "repeated", key[0].as_py(), key=k, one=np.ones(len(k), np.uint8))
+        k, n = k[n > 1], n[n > 1]
+        write_sorted(folder, "repeated", key[0].as_py(), key=k, kind=np.where(n > hot, 2, 1).astype(np.uint8))
         return pa.table({"n": pa.array([len(k)], pa.int64())})
 
     return repeated
@@ -87,13 +88,14 @@ def _repeated(folder: str):
 
 def _suffixes(folder: str, shards: int):
     def suffixes(batches):
-        seen = Sorted(folder, "repeated", shards, ("one",))
+        seen = Sorted(folder, "repeated", shards, ("kind",))
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for i, j, _, _, w in batches_of_words(b.column("text")):
                 k, at = anchors(w.hash, w.first)
-                own = seen.get(k)[0] > 0
-                k, at = k[own], at[own]
+                kind = seen.get(k)[0]
+                own = kind > 0
+                k, at, hot = k[own], at[own], kind[own] > 1
                 doc = np.searchsorted(w.first, at, "right") - 1
                 # Zero stands for the document's end, and equals nothing.
                 word = np.concatenate([np.maximum((w.hash >> np.uint64(32)).astype(np.uint32), 1), [np.uint32(0)]])
@@ -104,7 +106,7 @@ def _suffixes(folder: str, shards: int):
                 r, l = side(right, right < w.first[doc + 1][:, None]), side(left, left >= w.first[doc][:, None])
                 cells = lambda raw: pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.arange(0, size * len(k) + 1, size, dtype=np.int32).tobytes()), pa.py_buffer(raw)])
                 if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), cells(r), cells(l), pa.array(ids[i:j][doc].astype(np.int64)), pa.array((at - w.first[doc]).astype(np.int32))], ["key", "right", "left", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), cells(r), cells(l), pa.array(ids[i:j][doc].astype(np.int64)), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(hot)], ["key", "right", "left", "doc_id", "pos", "hot"])
 
     return suffixes
 
@@ -147,41 +149,113 @@ class Rows:
         return self.spans(order[a], order[b])
 
 
-def _span_batch(found: list[list[np.ndarray]], edges: list[tuple[int, pa.Table]]) -> list[pa.RecordBatch]:
-    names = [x.split()[0] for x in SPAN.split(", ")[:5]] + ["row"]
-    row = pa.struct([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("pos", pa.int32())])
-    out = []
-    if found:
-        doc, first, end, other = (np.concatenate(x) for x in zip(*found, strict=True))
-        _, own = np.unique(np.stack([doc, first, end]), axis=1, return_index=True) if len(doc) else (0, np.zeros(0, np.int64))
-        out.append(pa.RecordBatch.from_arrays([pa.array(doc[own].astype(np.int64)), pa.array(first[own].astype(np.int32)), pa.array(end[own].astype(np.int32)), pa.array(other[own].astype(np.int64)), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), row)], names))
-    for which, t in edges:
-        if t.num_rows:
-            out.append(pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([2 * TaskContext.get().partitionId() + which], pa.int32()), pa.array(t.to_pylist(), row)], names))
-    return out
+def _span_batch(doc: np.ndarray, first: np.ndarray, end: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    kinds = zip((doc, first, end, other), (np.int64, np.int32, np.int32, np.int64), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(kind)) for x, kind in kinds], [x.split()[0] for x in SPAN.split(", ")])
+
+
+def _distinct(found: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """doc, first, end once each, with the smallest other document."""
+    doc, first, end, other = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((other, end, first, doc))
+    doc, first, end, other = (x[order] for x in (doc, first, end, other))
+    own = runs(doc, first, end)
+    return [x[own] for x in (doc, first, end, other)]
 
 
-def _compare(batches):
-    """Spans of a sorted range, chunk by chunk, and its first and last rows."""
-    first = held = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        if not t.num_rows:
-            continue
-        first = t.slice(0, 1) if first is None else first
-        held = t if held is None else pa.concat_tables([held, t])
-        if held.num_rows >= CHUNK:
-            yield from _span_batch(_chunk(held), [])
-            held = _tail(held)
-    if held is not None:
-        yield from _span_batch(_chunk(held), [(0, first), (1, held.slice(held.num_rows - 1))])
+def _compare(chunk: int):
+    def compare(batches):
+        """Spans of sorted rows, some whole runs at a time."""
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows >= chunk:
+                key = held["key"].to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))
+                if cut:
+                    yield _span_batch(*_distinct(_chunk(held.slice(0, cut))))
+                    held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield _span_batch(*_distinct(_chunk(held)))
+
+    return compare
+
+
+def _windows(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each number of words before its run, the hash of the LEAST words that hold it there, and whether the document has them."""
+    right, left = ([np.zeros(len(rows.key), np.uint64)] for _ in range(2))
+    left[0] = rows.key.view(np.uint64)
+    for sums, side in zip((right, left), rows.sides, strict=True):
+        for k in range(SIDE):
+            sums.append(pair(sums[-1], side[:, k].astype(np.uint64)))
+    whole = [np.concatenate([np.ones((len(rows.key), 1), bool), side != 0], axis=1) for side in rows.sides]
+    return np.stack([pair(left[k], right[SIDE - k]) for k in range(SIDE + 1)], 1), whole[1] & whole[0][:, ::-1]
+
+
+def _two(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and the two smallest documents of each; the same one twice where it is alone."""
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    own = runs(h, doc)
+    h, doc = h[own], doc[own]
+    at = runs(h)
+    size = np.diff(np.append(at, len(h)))
+    return h[at], doc[at], doc[at + (size > 1)]
+
+
+def _documents_of_windows(shards: int):
+    def documents(batches):
+        held, size = [], 0
 
+        def flush():
+            h, low, high = _two(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            cut = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
+            own = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([packed(*(x[cut[s] : cut[s + 1]] for x in (h, low, high - low))) for s in own], pa.binary())], ["shard", "data"])
+
+        for b in batches:
+            rows = Rows(pa.Table.from_batches([b]))
+            h, whole = _windows(rows)
+            held.append((h[whole], np.repeat(rows.doc, whole.sum(1))))
+            size += len(held[-1][0])
+            if size > GATHER_WINDOWS:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    return documents
+
+
+def _shared_windows(folder: str):
+    def shared(key, table):
+        parts = [unpacked(b) for b in table["data"].to_pylist()]
+        h, low, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, low, high = _two(np.tile(h, 2), np.concatenate([low, low + more]))
+        own = low != high
+        write_sorted(folder, "window", key[0].as_py(), key=h[own], low=low[own], high=high[own])
+        return pa.table({"n": pa.array([int(own.sum())], pa.int64())})
+
+    return shared
+
+
+def _hot_spans(folder: str, shards: int):
+    def spans(batches):
+        seen = Sorted(folder, "window", shards, ("low", "high"))
+        for b in batches:
+            rows = Rows(pa.Table.from_batches([b]))
+            h, whole = _windows(rows)
+            low, high = (x.reshape(h.shape) for x in seen.get(h.ravel()))
+            own = whole & (low != high)
+            some = np.flatnonzero(own.any(1))
+            own, doc, pos = own[some], rows.doc[some], rows.pos[some].astype(np.int64)
+            other = np.where(low[some] == doc[:, None], high[some], low[some])
+            # All windows of a row hold its run, so together they are one stretch.
+            most, least = SIDE - own[:, ::-1].argmax(1), own.argmax(1)
+            yield _span_batch(doc, pos - most, pos - least + LEAST, np.where(own, other, np.iinfo(np.int64).max).min(1))
 
-def _tail(t: pa.Table) -> pa.Table:
-    """The last document's rows of a chunk and the row before them: the next chunk meets them."""
-    doc = t["doc_id"].to_numpy()
-    other = np.flatnonzero(doc != doc[-1])
-    return t.slice(int(other[-1]) if len(other) and len(t) - other[-1] < CHUNK // 2 else len(t) - 1)
+    return spans
 
 
 def _chunk(t: pa.Table) -> list[list[np.ndarray]]:
@@ -212,7 +286,7 @@ def _chunk(t: pa.Table) -> list[list[np.ndarray]]:
     return out
 
 
-def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, first_word, n_words, other_doc of every stretch of 50 words or more that another document repeats.
 
     Words are lower-cased A-Z runs without white space; overlapping and adjoining matches of a document are
@@ -222,29 +296,26 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
 
     Of all suffixes those at content-selected places remain, about one in 16. Their run hashes are merged by
     shards, and those that occur twice become sorted arrays that a second scan maps, so only suffixes with a
-    partner move, each with SIDE words to either side. They are sorted by run, following words and document
-    into ranges: a passage held by any number of documents spreads over many tasks, and each suffix is compared
-    with its neighbours only, in a chunk also for each length of agreement to the left. Rows at the ends of ranges, two a range, meet on the driver.
+    partner move, each with SIDE words to either side. A run of up to `hot` suffixes is compared whole in one
+    task, in the order of the words after it, for each length of agreement to the left. A run of more is in
+    as many tasks as its rows are: all stretches of 50 words around it are hashed, the two smallest documents of each
+    merge by shards, and those with two become sorted arrays that a scan of the suffixes maps.
     """
     spark = documents.sparkSession
     ship(spark)
     rows = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = rows.select("text")
     shards, folder = shard_number(text_bytes(texts), 56 << 20), new_folder(spark, "suffix")
-    grouped(texts.mapInArrow(_keys(shards), "shard int, data binary"), shards, "shard").applyInArrow(_repeated(folder), "n long").agg(F.sum("n")).collect()
+    grouped(texts.mapInArrow(_keys(shards, hot), "shard int, data binary"), shards, "shard").applyInArrow(_repeated(folder, hot), "n long").agg(F.sum("n")).collect()
     suffixes = saved(rows.mapInArrow(_suffixes(folder, shards), ROW), "suffixes")
-    order = ["key", "right", "doc_id", "pos", "left"]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    spans = saved(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_compare, SPAN), "spans")
-    ends = sorted(spans.where("edge is not null").select("edge", "row").collect())
-    edge_rows = [r["row"].asDict() for r in ends]
-    found = []
-    if len(edge_rows) > 1:
-        t = pa.Table.from_pylist(edge_rows)
-        doc, first, end, other = Rows(t).neighbours(np.arange(t.num_rows))
-        found = [(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(doc, first, end, other, strict=True)]
-    names = "doc_id long, first_word int, end_word int, other_doc long"
-    every = spans.where("edge is null").select("doc_id", "first_word", "end_word", "other_doc").unionByName(spark.createDataFrame(found, names))
+    every = suffixes.where("not hot").drop("hot").repartition(parts, "key").sortWithinPartitions("key", "right", "doc_id", "pos", "left").mapInArrow(_compare(chunk), SPAN)
+    often = suffixes.where("hot").drop("hot")
+    n_often = often.count()
+    if n_often:
+        cuts = shard_number(n_often * (SIDE + 1) * 24, 56 << 20)
+        grouped(often.mapInArrow(_documents_of_windows(cuts), "shard int, data binary"), cuts, "shard").applyInArrow(_shared_windows(folder), "n long").agg(F.sum("n")).collect()
+        every = every.unionByName(often.mapInArrow(_hot_spans(folder, cuts), SPAN))
     w = Window.partitionBy("doc_id").orderBy("first_word", "end_word")
     before = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = every.withColumn("new", F.when(before >= F.col("first_word"), 0).otherwise(1)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

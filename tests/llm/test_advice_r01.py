@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from quern.llm import suffix_dedup
 from test_llm_operators import brute_passages, marks
 
@@ -28,3 +30,20 @@ def test_passages_with_a_document_between_that_shares_the_tail(spark):
         assert marks(passages(spark, data), data) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+@pytest.mark.parametrize("with_", [{}, {"chunk": 7}, {"hot": 20, "chunk": 7}])
+def test_passages_that_end_in_a_frequent_stretch(spark, with_):
+    """15 words that two documents share, then 40 that all do; a run of the 40 fills several ranges."""
+    rng = random.Random(2)
+    footer, data = say(rng, 40), []
+    for i in range(60):
+        own, other = say(rng, 15), say(rng, 15)
+        data += [(i, " ".join(say(rng, 20) + own + footer)), (1000 - i, " ".join(say(rng, 20) + own + footer)), (2000 + i, " ".join(say(rng, 5) + footer + other)), (300 + i, " ".join(footer + other + say(rng, 9)))]
+    data.append((None, data[0][1]))
+    want = brute_passages(data, suffix_dedup.LEAST)
+    assert all(map(any, want.values()))
+    got = passages(spark, data, 8, **with_)
+    assert marks(got, data) == want
+    partner = {i: 1000 - i for i in range(60)} | {300 + i: 2000 + i for i in range(60)}
+    assert {(r.doc_id, r.other_doc) for r in got} == set(partner.items()) | {(b, a) for a, b in partner.items()}
