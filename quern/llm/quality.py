@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from .labelled import SAMPLE_ROWS, sample
 from .lm_scoring import crc_is
-from .sharded import Sorted, grouped, packed, runs, shard_number, shard_of, small, unpacked, write_sorted
+from .sharded import Sorted, grouped, packed, runs, shard_number, shard_of, unpacked, write_sorted
 from .shared import new_folder, saved, ship, text_bytes
 from .text import SPACE, Words, batches_of_words, mix
 
 #: Dimensions of word vectors, non-zero places of an index vector, words to either side that count as context.
 DIM, PLACES, REACH = 16, 2, 2
-#: Words seen at least COMMON times, and once in so many bytes of text, have a vector from the whole corpus; a rarer
-#: one has that of its context where it stands. A share of the text keeps the common words of a task alike at every size.
-COMMON, ONE_IN = 8, 10_000_000
+#: Words seen at least so often have a vector from the whole corpus, at every size; a rarer one has that of its context where it stands.
+COMMON = 8
 #: Words gathered before they are sent on.
 GATHER = 900_000
 HIDDEN, ROUNDS, SEED = 24, 400, 7
@@ -81,7 +80,19 @@ def _streams(column):
         yield i, j, (w, shapes(data, w))
 
 
-def _by_shard(keys: np.ndarray, shards: int, value: np.ndarray) -> pa.RecordBatch:
+def folded(v: np.ndarray) -> np.ndarray:
+    """Whole numbers as bytes, low bytes of all first, signs in the lowest bit: high bytes, mostly zero, pack to nothing."""
+    z = ((v << 1) ^ (v >> 31)).astype(np.uint32).ravel()
+    width = max(1, (int(z.max(initial=0)).bit_length() + 7) // 8)
+    return np.ascontiguousarray(z.view(np.uint8).reshape(-1, 4).T[:width]).ravel()
+
+
+def unfolded(b: np.ndarray, n: int) -> np.ndarray:
+    z = sum(p.astype(np.int64) << 8 * i for i, p in enumerate(b.reshape(-1, n)))
+    return (z >> 1) ^ -(z & 1)
+
+
+def _by_shard(keys: np.ndarray, shards: int, value: np.ndarray, coded=np.ravel) -> pa.RecordBatch:
     """Cells of the keys' low halves and their values: inside a shard of the high halves, 32 bits tell a corpus's words apart."""
     where = shard_of(keys, shards)
     low = keys.astype(np.uint32)
@@ -91,7 +102,7 @@ def _by_shard(keys: np.ndarray, shards: int, value: np.ndarray) -> pa.RecordBatc
     own = np.flatnonzero(np.diff(cut))
     # Sorted numbers byte by byte: their high bytes hardly change and pack to nothing.
     planes = [np.ascontiguousarray(low[cut[s] : cut[s + 1]].view(np.uint8).reshape(-1, 4).T).ravel() for s in own]
-    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([packed(p, value[cut[s] : cut[s + 1]].ravel()) for p, s in zip(planes, own, strict=True)], pa.binary())], ["shard", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([packed(p, coded(value[cut[s] : cut[s + 1]])) for p, s in zip(planes, own, strict=True)], pa.binary())], ["shard", "data"])
 
 
 def _keys_of(part: list[np.ndarray]) -> np.ndarray:
@@ -106,7 +117,7 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(values[order], at, axis=0) if len(at) else values
 
 
-def _count(shards: int, least: int):
+def _count(shards: int):
     def count(batches):
         keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int32), [], 0
 
@@ -122,19 +133,19 @@ def _count(shards: int, least: int):
                     keys, counts = merged()
                     held, size = [], 0
                     if len(keys) > 2 * GATHER:
-                        yield _by_shard(keys, shards, small(np.minimum(counts, least)))
+                        yield _by_shard(keys, shards, np.minimum(counts, COMMON).astype(np.uint8))
                         keys, counts = keys[:0], counts[:0]
         keys, counts = merged()
-        yield _by_shard(keys, shards, small(np.minimum(counts, least)))
+        yield _by_shard(keys, shards, np.minimum(counts, COMMON).astype(np.uint8))
 
     return count
 
 
-def _common(folder: str, least: int):
+def _common(folder: str):
     def common(key, table):
         parts = [unpacked(b) for b in table["data"].to_pylist()]
         k, n = summed(np.concatenate([_keys_of(p) for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts]))
-        k = k[n >= least]
+        k = k[n >= COMMON]
         write_sorted(folder, "common", key[0].as_py(), key=k, one=np.ones(len(k), np.uint8))
         return pa.table({"n": pa.array([len(k)], pa.int64())})
 
@@ -149,8 +160,7 @@ def _vectors(folder: str, shards: int):
         keys, sums = [np.zeros(0, np.uint64)], [np.zeros((0, DIM), np.int32)]
 
         def cells():
-            top = int(np.abs(sums[0]).max(initial=0))
-            return _by_shard(keys[0], shards, sums[0].astype(np.int8 if top < 128 else np.int16 if top < 32768 else np.int32))
+            return _by_shard(keys[0], shards, sums[0], folded)
 
         for b in batches:
             for _, _, streams in _streams(b.column("text")):
@@ -176,7 +186,8 @@ def _vectors(folder: str, shards: int):
 def _write_vectors(folder: str):
     def write(key, table):
         parts = [unpacked(b) for b in table["data"].to_pylist()]
-        k, v = summed(np.concatenate([_keys_of(p) for p in parts]), np.concatenate([p[1].reshape(-1, DIM).astype(np.int64) for p in parts]))
+        keys = [_keys_of(p) for p in parts]
+        k, v = summed(np.concatenate(keys), np.concatenate([unfolded(p[1], DIM * len(x)).reshape(-1, DIM) for p, x in zip(parts, keys, strict=True)]))
         write_sorted(folder, "vector", key[0].as_py(), key=k, v=unit(v.astype(np.float64)).astype(np.float32))
         return pa.table({"n": pa.array([len(k)], pa.int64())})
 
@@ -223,10 +234,9 @@ def random_index(texts: DataFrame, text: str = "text") -> Vectors:
     """Word vectors from the contexts of all words of all texts: two scans, each merged by shards of word hashes."""
     ship(texts.sparkSession)
     rows = texts.select(F.col(text).alias("text"))
-    size, folder = text_bytes(rows), new_folder(texts.sparkSession, "words")
-    shards, least = shard_number(size), max(COMMON, -(-size // ONE_IN))
+    shards, folder = shard_number(text_bytes(rows)), new_folder(texts.sparkSession, "words")
     cells = "shard int, data binary"
-    grouped(rows.mapInArrow(_count(shards, least), cells), shards, "shard").applyInArrow(_common(folder, least), "n long").agg(F.sum("n")).collect()
+    grouped(rows.mapInArrow(_count(shards), cells), shards, "shard").applyInArrow(_common(folder), "n long").agg(F.sum("n")).collect()
     grouped(rows.mapInArrow(_vectors(folder, shards), cells), shards, "shard").applyInArrow(_write_vectors(folder), "n long").agg(F.sum("n")).collect()
     return Vectors(folder, shards)
 

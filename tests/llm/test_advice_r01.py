@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quern.llm import suffix_dedup
+from quern.llm import quality, sharded, suffix_dedup
 from test_llm_operators import brute_passages, marks
 
 
@@ -47,3 +50,17 @@ def test_passages_that_end_in_a_frequent_stretch(spark, with_):
     assert marks(got, data) == want
     partner = {i: 1000 - i for i in range(60)} | {300 + i: 2000 + i for i in range(60)}
     assert {(r.doc_id, r.other_doc) for r in got} == set(partner.items()) | {(b, a) for a, b in partner.items()}
+
+
+def test_a_word_is_common_at_every_size(spark):
+    """Eight occurrences are enough beside 100 MB of other text."""
+    texts = spark.range(0, 100, 1, 8).select(F.repeat(F.lit("x"), 1_000_000).alias("text")).unionByName(spark.createDataFrame([("seldom seen words",)] * 8 + [("rarer still words",)] * 7, "text string"))
+    vectors = quality.random_index(texts)
+    (_, _, (w, _)), *_ = quality._streams(pa.array(["seldom rarer"]))
+    (v,) = sharded.Sorted(vectors.folder, "vector", vectors.shards, ("v",)).get(w.hash.astype(np.uint32), w.hash)
+    assert v.any(1).tolist() == [True, False]
+
+
+def test_sums_as_bytes():
+    for v in ([0, -1, 1], [127, -128, 300], [-(2**30), 2**30 - 1, 5]):
+        assert quality.unfolded(quality.folded(np.array(v, np.int32)), 3).tolist() == v
