@@ -14,7 +14,7 @@ from .shared import new_folder, saved, ship, text_bytes
 from .text import SPACE, Words, batches_of_words, mix
 
 #: Dimensions of word vectors, non-zero places of an index vector, words to either side that count as context.
-DIM, PLACES, REACH = 16, 2, 2
+DIM, PLACES, REACH = 32, 4, 2
 #: Words seen at least so often have a vector from the whole corpus, at every size; a rarer one has that of its context where it stands.
 COMMON = 8
 #: Words gathered before they are sent on.
@@ -50,9 +50,15 @@ def shapes(data: np.ndarray, w: Words) -> Words:
 
 
 def index_vectors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the non-zero values of words' index vectors, drawn from their hashes."""
+    """Places, all different, and signs of the non-zero values of words' index vectors, drawn from their hashes."""
     h = mix(h ^ np.uint64(0x5DEECE66D1234567))
-    place = np.stack([(h >> np.uint64(8 * i)) % np.uint64(DIM) for i in range(PLACES)], 1).astype(np.int64)
+    place = np.zeros((len(h), PLACES), np.int64)
+    for i in range(PLACES):
+        # One of the places still free, counted from the left.
+        p = ((h >> np.uint64(8 * i)) % np.uint64(DIM - i)).astype(np.int64)
+        for taken in np.sort(place[:, :i], axis=1).T:
+            p += p >= taken
+        place[:, i] = p
     sign = np.stack([(h >> np.uint64(40 + i)) & np.uint64(1) for i in range(PLACES)], 1).astype(np.float64) * 2 - 1
     return place, sign
 

@@ -64,3 +64,12 @@ def test_a_word_is_common_at_every_size(spark):
 def test_sums_as_bytes():
     for v in ([0, -1, 1], [127, -128, 300], [-(2**30), 2**30 - 1, 5]):
         assert quality.unfolded(quality.folded(np.array(v, np.int32)), 3).tolist() == v
+
+
+def test_index_vectors_have_four_places_and_tell_words_apart():
+    place, sign = quality.index_vectors(np.arange(20_000, dtype=np.uint64))
+    vectors = np.zeros((len(place), quality.DIM), np.int64)
+    np.add.at(vectors, (np.arange(len(place))[:, None], place), sign.astype(np.int64))
+    assert quality.DIM >= 32 and (np.abs(vectors).sum(1) == 4).all() and (vectors != 0).sum(1).tolist() == [4] * len(place)
+    assert len(np.unique(vectors, axis=0)) > 19_000
+    assert np.abs(np.abs(vectors).mean(0) * quality.DIM / 4 - 1).max() < 0.1
