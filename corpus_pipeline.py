@@ -13,6 +13,7 @@ from quern.llm.line_dedup import dedup_lines
 from quern.llm.lm_scoring import crc_is
 from quern.llm.mixing import mix
 from quern.llm.near_dedup import near_duplicates
+from quern.llm.shared import saved
 from quern.llm.toxicity import toxicity
 
 
@@ -63,6 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        # Written and read again: no later action repeats a stage.
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

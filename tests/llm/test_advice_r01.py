@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quern.llm import quality, sharded, suffix_dedup
 from test_llm_operators import brute_passages, marks
 
@@ -73,3 +74,17 @@ def test_index_vectors_have_four_places_and_tell_words_apart():
     assert quality.DIM >= 32 and (np.abs(vectors).sum(1) == 4).all() and (vectors != 0).sum(1).tolist() == [4] * len(place)
     assert len(np.unique(vectors, axis=0)) > 19_000
     assert np.abs(np.abs(vectors).mean(0) * quality.DIM / 4 - 1).max() < 0.1
+
+
+def test_run_writes_and_reads_each_stage(spark, tmp_path, monkeypatch):
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append([f.rsplit("/", 2)[-2] for f in docs.inputFiles()])
+        return docs.where("doc_id <> 1")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first one", stage), ("second", stage)])
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert [(r.doc_id, r.text) for r in out.collect()] == [(2, "b")]
+    assert [{f.split("-")[0] for f in x} for x in read] == [{"documents.parquet"}, {"first"}] and "/second-" in out.inputFiles()[0]
