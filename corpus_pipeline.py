@@ -46,9 +46,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their copies, words taken and their source's target."""
-    taken = mix(docs).where("copies > 0").select("doc_id", "size", "source_size", "target", "copies", "taken").dropDuplicates(["doc_id"])
-    return docs.join(taken.withColumnsRenamed({c: f"mix_{c}" for c in taken.columns if c in docs.columns and c != "doc_id"}), "doc_id")
+    """The documents that the mix takes, with their copies, words taken and their source's target; null and repeated ids are rows like others."""
+    own = [c for c in docs.columns if c != "doc_id"]
+    taken = mix(docs, keep=tuple(own)).where("copies > 0")
+    mixed = [F.col(c).alias(f"mix_{c}" if c in own else c) for c in ("size", "source_size", "target", "copies", "taken")]
+    return taken.select(*[F.col(f"kept_{c}").alias(c) if c in own else c for c in docs.columns], *mixed)
 
 
 STAGES = [

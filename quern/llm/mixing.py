@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import saved, ship
 from .text import counts_of_words
@@ -81,14 +82,15 @@ def _fly(last: bool):
         table = table.take(pa.array(order))
         size = table["size"].to_pylist()
         p = (fly_and_land if last else flight)(table["p"].to_pylist(), size, int(np.bitwise_xor.reduce(table["u"].to_numpy()) & 0x7FFFFFFF))
-        return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p, pa.float64())).select(["row", "doc_id", "source", "size", "u", "p"])
+        return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p, pa.float64())).select(["row", "doc_id", "source", "size", "u", "p", *[c for c in table.column_names if c == "place"]])
 
     return fly
 
 
 def _sizes(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(counts_of_words(b.column("text")), pa.int64())], ["doc_id", "source", "size"])
+        more = [c for c in b.schema.names if c not in ("doc_id", "source", "text")]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(counts_of_words(b.column("text")), pa.int64()), *map(b.column, more)], ["doc_id", "source", "size", *more])
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -113,8 +115,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return by.select("source", "n_docs", "source_size", F.least("bound", F.coalesce(F.col("at") * F.col("w"), F.col("bound"))).alias("target"))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken of every row: how often the mix takes it, and so how many words.
+def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken and the columns `keep` (as kept_<name>) of every row: how often the mix takes it, and so how many words.
 
     A source whose target is r times its size takes every document floor(r) times and, by balanced sampling
     with probability r - floor(r), once more, so that both the words and the number of documents taken come
@@ -126,15 +128,22 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     """
     spark = documents.sparkSession
     ship(spark)
-    sizes = saved(documents.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).mapInArrow(_sizes, "doc_id long, source string, size long"), "mix-sizes")
+    kept = [f"kept_{c}" for c in keep]
+    # Units fly without what is kept; it comes back by their place in the saved table, which tells equal rows apart too.
+    place = ["place"] if keep else []
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), *(F.monotonically_increasing_id().alias(c) for c in place), *(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)))
+    shape = StructType.fromDDL("doc_id long, source string, size long")
+    for c in (*place, *kept):
+        shape.add(rows.schema[c])
+    sizes = saved(rows.mapInArrow(_sizes, shape), "mix-sizes")
     goal = saved(targets(sizes, weights, share, most).withColumnRenamed("source", "of"), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.least(F.floor(ratio + EPS), F.lit(int(most)))
     # row tells repeated rows apart only as far as they differ; equal ones are interchangeable.
-    row = F.xxhash64("doc_id", "size", "source")
+    row = F.xxhash64("doc_id", "size", "source", *kept)
     of = F.col("source").eqNullSafe(F.col("of"))
-    units = sizes.join(goal, of).select(row.alias("row"), "doc_id", "source", "size", F.xxhash64(row, F.lit(7)).alias("u"), F.greatest(F.lit(0.0), ratio - copies).alias("p"))
-    schema = "row long, doc_id long, source string, size long, u long, p double"
+    units = sizes.join(goal, of).select(row.alias("row"), "doc_id", "source", "size", F.xxhash64(row, F.lit(7)).alias("u"), F.greatest(F.lit(0.0), ratio - copies).alias("p"), *place)
+    schema = "row long, doc_id long, source string, size long, u long, p double" + ", place long" * len(place)
     undecided = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
     parts, left = [units.where(~undecided)], units.where(undecided)
     n = goal.agg(F.max("n_docs")).first()[0] or 0
@@ -149,7 +158,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     for p in parts[1:]:
         every = every.unionByName(p)
     taken = (copies + F.round("p").cast("long")).cast("long")
-    return every.join(goal, of).select("doc_id", "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken"), "source")
+    out = every.join(goal, of).select("doc_id", "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken"), "source", *place)
+    return out.join(sizes.select("place", *kept), "place").drop("place") if keep else out
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,17 @@ def test_run_writes_and_reads_each_stage(spark, tmp_path, monkeypatch):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert [(r.doc_id, r.text) for r in out.collect()] == [(2, "b")]
     assert [{f.split("-")[0] for f in x} for x in read] == [{"documents.parquet"}, {"first"}] and "/second-" in out.inputFiles()[0]
+
+
+def test_mix_keeps_null_and_repeated_ids(spark):
+    """A source alone is taken 1.5 times, so every row once or twice."""
+    rng = random.Random(3)
+    ids = [*range(40), None, None, None, 5, 5, 6]
+    data = [(i, " ".join(say(rng, rng.randint(1, 30))), "s") for i in ids]
+    data += [data[7], data[-2]]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = corpus_pipeline.mix_sources(spark, docs.repartition(3), "").collect()
+    assert sorted(map(str, ((r.doc_id, r.text, r.source) for r in got))) == sorted(map(str, data))
+    assert all(r.size == len(r.text.split()) and r.taken == r.copies * r.size and r.copies in (1, 2) for r in got)
+    assert {r.source_size for r in got} == {sum(r.size for r in got)}
+    assert sorted(map(str, got)) == sorted(map(str, corpus_pipeline.mix_sources(spark, docs.repartition(7), "").collect()))
