@@ -6,42 +6,75 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import ship
-from .text import batches_of_words, grams, pair
+from .shared import saved, ship
+from .text import _powers, batches_of_words, grams, pair
 
 #: Words of the shortest tile, the share of an item that tiles must cover, and the most bytes of benchmark that go to every task.
 TILE, COVER, BROADCAST_BYTES = 5, 0.5, 32 << 20
 
 
+def _sums(h: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(len(h) + 1)[0][: len(h)], out=out[1:])
+    return out
+
+
+def matches(item: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in item, place in doc and length of every maximal match of at least `least` words.
+
+    Running Karp-Rabin hashes of `least` words give the seeds. A match starts at a seed whose words before
+    differ, so of a word said a thousand times only the ends of the stretch pair up; its length is found by
+    halving on the same hashes.
+    """
+    a, ia = grams(item, np.array([0, len(item)]), least)
+    b, ib = grams(doc, np.array([0, len(doc)]), least)
+    # Zero stands for what is before the first word, and is no word's hash here.
+    before = lambda h, at: np.where(at > 0, np.maximum(h[np.maximum(at - 1, 0)], np.uint64(1)), np.uint64(0))
+    pa_, pb = before(item, ia), before(doc, ib)
+    order = np.lexsort((pa_, a))
+    a, pa_, ia = a[order], pa_[order], ia[order]
+    seeds, first = np.unique(a, return_index=True)
+    cut = np.append(first, len(a))
+    at = np.searchsorted(seeds, b)
+    at[at == len(seeds)] = 0
+    hit = np.flatnonzero(seeds[at] == b)
+    ib, pb, lo, hi = ib[hit], pb[hit], cut[at[hit]], cut[at[hit] + 1]
+    # In each seed's range those with the same word before are one range too; at the very beginning nothing is the same.
+    rank, names = np.unique(np.concatenate([pa_, pb]), return_inverse=True)
+    names = names.ravel()
+    key = np.searchsorted(seeds, a).astype(np.int64) * len(rank) + names[: len(a)]
+    own = at[hit].astype(np.int64) * len(rank) + names[len(a) :]
+    skip, end = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
+    end = np.where(pb == 0, skip, end)
+    spans = [(lo, skip), (end, hi)]
+    n = np.concatenate([y - x for x, y in spans])
+    start = np.concatenate([x for x, _ in spans])
+    j = np.repeat(np.tile(ib, 2), n)
+    i = ia[np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    sa, sb, down = _sums(item), _sums(doc), _powers(max(len(item), len(doc)) + 1)[1]
+    good, bad = np.full(len(i), least), np.minimum(len(item) - i, len(doc) - j) + 1
+    while (bad - good > 1).any():
+        mid = (good + bad) >> 1
+        same = (sa[i + mid] - sa[i]) * down[i] == (sb[j + mid] - sb[j]) * down[j]
+        good, bad = np.where(same, mid, good), np.where(same, bad, mid)
+    return i, j, good
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
     """(place in item, place in doc, words) of non-overlapping matches, the longest marked first.
 
-    Running Karp-Rabin hashes of `least` words give every match's seeds; seeds on one diagonal are one maximal
-    match. Of the longest match whose words are unmarked on both sides all words are marked; of one that is
-    partly marked, the unmarked stretches of at least `least` words try again. Ties go to the smaller places.
+    Of the longest match whose words are unmarked on both sides all words are marked; of one that is partly
+    marked, the unmarked stretches of at least `least` words try again. Ties go to the smaller places.
     """
     if min(len(item), len(doc)) < least:
         return []
-    a, ia = grams(item, np.array([0, len(item)]), least)
-    b, ib = grams(doc, np.array([0, len(doc)]), least)
-    order = np.argsort(a, kind="stable")
-    lo, hi = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
-    n = hi - lo
-    j = np.repeat(ib, n)
-    i = ia[order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]]
-    by = np.lexsort((i, j - i))
-    i, j = i[by], j[by]
-    new = np.ones(len(i), bool)
-    new[1:] = (j[1:] - i[1:] != j[:-1] - i[:-1]) | (i[1:] != i[:-1] + 1)
-    first = np.flatnonzero(new)
-    length = np.diff([*first, len(i)]) + least - 1
-    heap = [(-int(k), int(x), int(y)) for k, x, y in zip(length, i[first], j[first], strict=True)]
+    heap = [(-int(k), int(x), int(y)) for x, y, k in zip(*matches(item, doc, least), strict=True)]
     heapq.heapify(heap)
     left, right, out = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
-    while heap:
+    while heap and not left.all():
         k, x, y = heapq.heappop(heap)
         free = ~(left[x : x - k] | right[y : y - k])
         if free.all():
@@ -135,39 +168,75 @@ def _scan(index, cover: float):
     return scan
 
 
-def _seeds(least: int, lengths: tuple[int, ...] | None):
-    """(seed, id) of items (their own lengths) or of documents (every length an item has)."""
+def _item_seeds(least: int):
+    """(item, seed, places, words, k) of each item's distinct seeds."""
 
     def seeds(batches):
         for b in batches:
-            ids, out = np.asarray(b.column("id").to_pylist(), object), []
+            names, out = b.column("item").to_numpy(), []
             for i, j, _, _, w in batches_of_words(b.column("text")):
-                for k in lengths or range(1, least + 1):
+                for d in range(j - i):
+                    h = w.hash[w.first[d] : w.first[d + 1]]
+                    if k := min(least, len(h)):
+                        g, n = np.unique(grams(h, np.array([0, len(h)]), k)[0], return_counts=True)
+                        out.append(np.stack([np.full(len(g), names[i + d]), g.view(np.int64), n, np.full(len(g), len(h)), np.full(len(g), k)]))
+            cols = np.concatenate(out, 1) if out else np.zeros((5, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["item", "seed", "places", "words", "k"])
+
+    return seeds
+
+
+def _document_seeds(least: int):
+    """(doc, seed) of each text's distinct runs of 1 to `least` words, as items have such seeds."""
+
+    def seeds(batches):
+        for b in batches:
+            names = b.column("doc").to_numpy()
+            for i, j, _, _, w in batches_of_words(b.column("text")):
+                for k in range(1, least + 1):
                     g, at = grams(w.hash, w.first, k)
                     d = np.searchsorted(w.first, at, "right") - 1
-                    if lengths is None:
-                        own = np.minimum(np.diff(w.first), least)[d] == k
-                        g, d = g[own], d[own]
                     _, first = np.unique(pair(g, d.astype(np.uint64)), return_index=True)
-                    out.append((g[first], ids[i:j][d[first]]))
-            g = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.concatenate([x for _, x in out]).tolist() if out else [], pa.int64())], ["seed", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i:j][d[first]]), pa.array(g[first].view(np.int64))], ["doc", "seed"])
 
     return seeds
 
 
-def _pairs(cover: float, least: int):
-    def pairs(batches):
+def _tiled(cover: float, least: int):
+    def tiled(batches):
         for b in batches:
             out = []
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                own = Index(row.column("item_id").to_pylist(), row.column("item_text").to_pylist(), least)
+                own = Index([row.column("item")[0].as_py()], row.column("item_text").to_pylist(), least)
                 for _, _, _, _, w in batches_of_words(row.column("text")):
-                    out += [(row.column("doc_id")[0].as_py(), name, n, c, c / n, t, y) for _, name, n, c, t, y in own.found(w, 1, cover)]
+                    out += [(row.column("doc")[0].as_py(), name, n, c, c / n, t, y) for _, name, n, c, t, y in own.found(w, 1, cover)]
             yield _table(out)
 
-    return pairs
+    return tiled
+
+
+def _by_seeds(docs: DataFrame, items: DataFrame, cover: float, least: int) -> DataFrame:
+    """The same rows as a scan with the whole index gives, for a benchmark of any size.
+
+    Distinct texts stand for rows, which come back by their digests at the end, so ids may be null or repeat.
+    A document that covers enough of an item shares at least `need` of its seeds' places. So of each item the
+    seeds that most documents hold are left out as far as their places are fewer than that: whoever shares only
+    those can't cover it, and the most frequent seeds never join. Texts move only for pairs that are left.
+    """
+    digest = lambda c: F.xxhash64(F.lit(11), c)
+    docs, items = docs.where("text is not null").withColumn("doc", digest("text")), items.withColumn("item", digest("item_text"))
+    held = saved(docs.groupBy("doc").agg(F.first("text").alias("text")).mapInArrow(_document_seeds(least), "doc long, seed long"), "tile-seeds")
+    asked = saved(items.groupBy("item").agg(F.first("item_text").alias("text")).mapInArrow(_item_seeds(least), "item long, seed long, places long, words long, k long"), "tile-items")
+    often = held.join(asked.select("seed").distinct(), "seed", "left_semi").groupBy("seed").agg(F.count("*").alias("docs"))
+    w = Window.partitionBy("item").orderBy(F.desc("docs"), "seed")
+    need = F.ceil(F.lit(cover) * F.col("words") / F.col("k"))
+    rare = asked.join(often, "seed").withColumn("so_far", F.sum("places").over(w)).where(F.col("so_far") >= need)
+    pairs = held.join(rare.select("seed", "item"), "seed").select("doc", "item").distinct()
+    texts = docs.select("doc", "text").groupBy("doc").agg(F.first("text").alias("text"))
+    met = pairs.join(items.groupBy("item").agg(F.first("item_text").alias("item_text")), "item").join(texts, "doc")
+    found = met.select("doc", "text", "item", "item_text").mapInArrow(_tiled(cover, least), SCHEMA).withColumnsRenamed({"doc_id": "doc", "item_id": "item"})
+    return docs.select("doc_id", "doc").join(found, "doc").join(items.select("item", "item_id"), "item").select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, cover: float = COVER, least: int = TILE, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -178,21 +247,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, cover: float = COVE
     repeated pairs; null ids stay null; empty tables give no rows; other columns are ignored.
 
     The benchmark's index goes to every task only after its size has been checked; a larger one is joined by
-    seeds, which shuffles the distinct seeds of documents and then only the texts of pairs that share one.
+    seeds, with the same result.
     """
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item_text")).where("item_text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()[0]
-    if size <= broadcast_bytes:
-        rows = items.collect()
-        index = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], least))
-        return docs.mapInArrow(_scan(index, cover), SCHEMA)
-    asked = items.select(F.col("item_id").alias("id"), F.col("item_text").alias("text")).mapInArrow(_seeds(least, None), "seed long, id long").withColumnRenamed("id", "item_id")
-    held = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(_seeds(least, tuple(range(1, least + 1))), "seed long, id long").withColumnRenamed("id", "doc_id")
-    shared = held.join(asked, "seed").select("doc_id", "item_id").distinct()
-    return shared.join(items, "item_id").join(docs, "doc_id").select("doc_id", "text", "item_id", "item_text").mapInArrow(_pairs(cover, least), SCHEMA)
+    if size > broadcast_bytes:
+        return _by_seeds(docs, items, cover, least)
+    rows = items.collect()
+    index = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], least))
+    return docs.mapInArrow(_scan(index, cover), SCHEMA)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .near_dedup import Links
-from .sharded import Sorted, grouped, packed, runs, shard_number, shard_of, small, totals, unpacked, write_sorted
+from .sharded import CELL, Shards, Sorted, cells, grouped, runs, shard_number, shard_of, small, totals, unpacked, write_sorted
 from .shared import new_folder, saved, ship, text_bytes
 from .text import LOWER, SPACE, _powers, buffers, mix, pair, pieces
 
-#: Edits between lines of one class, and bytes of the shortest line that may differ; shorter lines must be equal.
+#: Edits between lines of one class, and by default bytes of the shortest line that may differ; shorter lines must be equal.
 EDITS, LEAST = 2, 24
 #: Keys gathered before they are sent on; lines of one key that one task compares.
 GATHER, BLOCK = 1_500_000, 1000
@@ -70,7 +70,7 @@ def segments(size: np.ndarray, edits: int = EDITS) -> list[tuple[np.ndarray, np.
     return out
 
 
-def line_keys(lines: Lines, own: np.ndarray, edits: int = EDITS) -> tuple[np.ndarray, np.ndarray]:
+def line_keys(lines: Lines, own: np.ndarray, edits: int = EDITS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(line, key): of each line its own segments, and the substrings where segments of lines up to `edits` shorter may stand.
 
     If a longer line s and a line r, d bytes shorter, are within the distance, one segment of r stands in s
@@ -85,7 +85,7 @@ def line_keys(lines: Lines, own: np.ndarray, edits: int = EDITS) -> tuple[np.nda
             tag = mix(short.astype(np.uint64) * np.uint64(64) + np.uint64(i))
             for shift in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1):
                 a = start + at + shift
-                ok = np.flatnonzero((short >= LEAST) & (at + shift >= 0) & (at + shift + k <= size))
+                ok = np.flatnonzero((short >= least) & (at + shift >= 0) & (at + shift + k <= size))
                 keys.append(pair(tag[ok], lines.span(a[ok], (a + k)[ok])))
                 rows.append(ok)
     rows, keys = np.concatenate(rows), np.concatenate(keys)
@@ -150,14 +150,12 @@ def _pieces(column):
         yield i, j, Lines(data[off[i] : off[j]], off[i : j + 1] - off[i])
 
 
-def _by_shard(keys: np.ndarray, shards: int, *columns: np.ndarray):
-    """keys sorted; cells of one shard's columns."""
-    cut = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-    own = np.flatnonzero(np.diff(cut))
-    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([packed(*(c[cut[s] : cut[s + 1]] for c in (keys, *columns))) for s in own], pa.binary())], ["shard", "data"])
+def _by_shard(keys: np.ndarray, shards: Shards, *columns: np.ndarray) -> pa.RecordBatch:
+    """Cells of sorted keys and what belongs to them."""
+    return cells(shard_of(keys, shards), shards, [keys, *columns])
 
 
-def _owners(shards: int):
+def _owners(shards: Shards):
     """Of each distinct line of a gathering: hashes, first document and line there, and whether it occurs again."""
 
     def owners(batches):
@@ -227,7 +225,7 @@ def _open_owners(folder: str, shards: int) -> Owners:
     return Owners(folder, "owner", shards, ("at", "mark"))
 
 
-def _key_counts(folder: str, shards: int):
+def _key_counts(folder: str, shards: Shards, least: int):
     def counts(batches):
         owner, held, size = _open_owners(folder, shards), [], 0
 
@@ -239,7 +237,7 @@ def _key_counts(folder: str, shards: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, j, lines in _pieces(batch.column("text")):
                 _, _, here = _firsts(lines, ids[i:j], owner)
-                held.append(line_keys(lines, np.flatnonzero(here & (lines.size >= LEAST)))[1])
+                held.append(line_keys(lines, np.flatnonzero(here & (lines.size >= least)), least=least)[1])
                 size += len(held[-1])
                 if size > GATHER:
                     yield flush()
@@ -260,7 +258,7 @@ def _merge_keys(folder: str):
     return merge
 
 
-def _probe(folder: str, shards: int):
+def _probe(folder: str, shards: Shards, least: int):
     """(key, name, line's bytes, document and number where it first stands) of lines that share a key with another line. A name is the mix of a line's two hashes."""
 
     def probe(batches):
@@ -269,7 +267,7 @@ def _probe(folder: str, shards: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, j, lines in _pieces(batch.column("text")):
                 doc, _, here = _firsts(lines, ids[i:j], owner)
-                row, key = line_keys(lines, np.flatnonzero(here & (lines.size >= LEAST)))
+                row, key = line_keys(lines, np.flatnonzero(here & (lines.size >= least)), least=least)
                 own = shared.get(key)[0] > 0
                 row, key = row[own], key[own]
                 if len(row):
@@ -341,11 +339,11 @@ def _clean(folder: str, shards: int):
     return clean
 
 
-def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), least: int = LEAST) -> DataFrame:
     """doc_id, n_lines, dropped (numbers of lines, from 0), text (without them) and the columns `keep` (as kept_<name>) of every row.
 
     Lines stand between newlines, without white space around them, A-Z lower-cased; blank ones don't count.
-    Lines of a class - equal ones, and, from LEAST bytes on, those linked by chains of at most EDITS edits of bytes - are
+    Lines of a class - equal ones, and, from `least` bytes on, those linked by chains of at most EDITS edits of bytes - are
     kept where the class first occurs (smallest document id, then line). Null text has no lines and stays null;
     rows with a null id are kept whole; rows that repeat an id and line both keep it; empty input gives no rows.
 
@@ -358,9 +356,9 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     real = rows.where("doc_id is not null").select("doc_id", "text")
     shards, folder = shard_number(text_bytes(real.select("text")), 28 << 20), new_folder(spark, "lines")
-    grouped(real.mapInArrow(_owners(shards), "shard int, data binary"), shards, "shard").applyInArrow(_merge_owners(folder), "n long").agg(F.sum("n")).collect()
-    grouped(real.mapInArrow(_key_counts(folder, shards), "shard int, data binary"), shards, "shard").applyInArrow(_merge_keys(folder), "n long").agg(F.sum("n")).collect()
-    met = saved(real.mapInArrow(_probe(folder, shards), "key long, name long, line binary, doc long, number long"), "line-probes")
+    grouped(real.mapInArrow(_owners(shards), CELL), shards).applyInArrow(_merge_owners(folder), "n long").agg(F.sum("n")).collect()
+    grouped(real.mapInArrow(_key_counts(folder, shards, least), CELL), shards).applyInArrow(_merge_keys(folder), "n long").agg(F.sum("n")).collect()
+    met = saved(real.mapInArrow(_probe(folder, shards, least), "key long, name long, line binary, doc long, number long"), "line-probes")
     sizes = met.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
     blk = F.pmod(F.xxhash64("name"), F.col("m")).cast("int")
     spread = met.join(sizes, "key").select("key", "name", "line", blk.alias("blk"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o"))
@@ -368,10 +366,10 @@ def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     links = saved(spread.groupBy("key", "i", "j").applyInArrow(_verify, "a long, b long"), "line-links")
     joined = components(links, "line-classes")
     placed = met.select("name", "doc", "number").distinct().join(joined, F.col("name") == F.col("node"))
-    shard = F.expr(f"cast(shiftright(shiftrightunsigned(key, 32) * {shards}L, 32) as int)")
+    shard = F.expr(f"cast(shiftright(shiftrightunsigned(key, 32) * {int(shards)}L, 32) as int)")
     low = placed.groupBy("component").agg(F.min(F.struct("doc", "number")).alias("s"))
     best = placed.select("name", "component").join(low, "component").select(F.col("name").alias("key"), "s.doc", F.col("s.number").alias("line"), F.lit(1).cast("byte").alias("mark"))
-    grouped(best.withColumn("shard", shard), shards, "shard").applyInArrow(_write_names(folder, "best", shards, ("doc_line", "mark")), "n long").agg(F.sum("n")).collect()
+    best.withColumn("shard", shard).repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(_write_names(folder, "best", shards, ("doc_line", "mark")), "n long").agg(F.sum("n")).collect()
     kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     schema = f"doc_id long, n_lines long, dropped array<long>, text string{kept}"
     whole = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_lines"), F.array().cast("array<long>").alias("dropped"), "text", *rows.columns[2:])

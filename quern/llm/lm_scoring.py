@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sharded import Sorted, grouped, packed, runs, shard_number, shard_of, small, totals, unpacked, write_sorted
+from .sharded import CELL, Shards, Sorted, cells, gathering, grouped, runs, shard_number, shard_of, small, totals, unpacked, write_sorted
 from .shared import new_folder, ship, text_bytes
-from .text import batches_of_words, pair
+from .text import batches_of_words, mix, pair
 
+#: Words of an n-gram, in the query and by default.
+ORDER = 3
 #: Words that no text holds: they contain spaces.
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-#: n-grams that a task gathers before it sends them on.
-GATHER = 1_200_000
-ROWS = "level int, shard int, data binary, stats array<long>"
-#: stats: n1, n2, n3, n4, the total of (adjusted) counts, entries, the total of raw counts, words.
-STATS = 8
+#: Numbers of words: of the begin mark, of words that training never saw, of what fills an n-gram before the begin mark, of the first others.
+AT_BEGIN, UNSEEN, FILL, FIRST = 0, 1, 2, 3
+#: n-grams that a task gathers before it sends them on, and distinct words likewise; bytes of text scored at a time.
+GATHER, WORDS, PIECE = 1_200_000, 3_000_000, 1_000_000
+#: stats: n1, n2, n3, n4, the total of (adjusted) counts, entries.
+STATS = 6
 
 
 def sequences(w, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,127 +36,264 @@ def sequences(w, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return seq, doc, place
 
 
-def contexts(seq: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the 0, 1, ... order - 1 words before each place; where the document begins sooner, of those there are."""
-    out = [np.zeros(len(seq), np.uint64)]
-    for k in range(1, order):
-        c = out[-1].copy()
-        here = np.flatnonzero(place >= k)
-        c[here] = seq[here - 1] if k == 1 else pair(out[-1][here - 1], seq[here - 1])
-        out.append(c)
+def gram_hash(words: list[np.ndarray]) -> np.ndarray:
+    """A hash of the numbers of an n-gram's words."""
+    h = mix(words[0].astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+    for c in words[1:]:
+        h = pair(h, c.astype(np.uint64))
+    return h
+
+
+# --- n-grams as bytes ---
+
+
+def folded(words: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct n-grams in order, and the sums of their values."""
+    order = np.lexsort(words[::-1])
+    words = [c[order] for c in words]
+    at = runs(*words)
+    return [c[at] for c in words], [np.add.reduceat(v[order], at) if len(at) else v for v in values]
+
+
+def _planes(x: np.ndarray) -> list[bytes]:
+    """Numbers byte by byte, low bytes first, as far as the largest has any."""
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    flat = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    press = zstandard.ZstdCompressor(level=1).compress
+    return [press(np.ascontiguousarray(flat[:, k]).tobytes()) for k in range(width)]
+
+
+def coded(*columns: np.ndarray, n_words: int) -> bytes:
+    """n-grams (their first columns) and values, row for row; each word as the step from the row before where all words before it are the same."""
+    words, values, n = columns[:n_words], columns[n_words:], len(columns[0])
+    same = np.ones(max(0, n - 1), bool)
+    parts = []
+    for c in words:
+        step = c.astype(np.uint64)
+        step[1:] -= np.where(same, step[:-1].copy(), np.uint64(0))
+        same &= c[1:] == c[:-1]
+        parts.append(_planes(step))
+    parts += [_planes(v) for v in values]
+    sizes = [len(b) for p in parts for b in p]
+    head = np.array([n, len(parts), *map(len, parts), *sizes], np.int64)
+    return np.int64(len(head)).tobytes() + head.tobytes() + b"".join(b for p in parts for b in p)
+
+
+def decoded(blob: bytes, n_words: int) -> list[np.ndarray]:
+    head = np.frombuffer(blob, np.int64, int(np.frombuffer(blob, np.int64, 1)[0]), 8)
+    n, k = int(head[0]), int(head[1])
+    sizes, at, out = iter(head[2 + k :]), 8 + head.nbytes, []
+    raw = zstandard.ZstdDecompressor().decompress
+    for width in head[2 : 2 + k]:
+        flat = np.zeros((n, 8), np.uint8)
+        for p in range(width):
+            size = int(next(sizes))
+            flat[:, p] = np.frombuffer(raw(blob[at : at + size]), np.uint8)
+            at += size
+        out.append(flat.view("<u8").ravel())
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in range(n_words):
+        sums = np.cumsum(out[k], dtype=np.uint64)
+        start = np.flatnonzero(new)
+        out[k] = sums - np.repeat(sums[start] - out[k][start], np.diff(np.append(start, n)))
+        new[1:] |= out[k][1:] != out[k][:-1]
     return out
 
 
-def _send(level: int, columns: list[np.ndarray], counts: np.ndarray, shards: int, weight=None):
-    """Rows of one level: columns has the context, its shorter contexts, and the word; equal ones are added up."""
-    ctx, word = columns[0], columns[-1]
-    order = np.lexsort((word, ctx))
-    columns = [c[order] for c in columns]
-    at = runs(columns[0], columns[-1])
-    counts = np.add.reduceat(counts[order], at) if len(at) else counts
-    columns = [c[at] for c in columns]
-    where = shard_of(columns[0] if level > 1 else columns[-1], shards)
-    cut = np.searchsorted(where, np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(cut)):
-        part = slice(cut[s], cut[s + 1])
-        own = [c[part] for c in columns]
-        first = runs(own[0])
-        yield level, int(s), packed(own[0][first], np.diff([*first, len(own[0])]).astype(np.uint32), *own[1:], small(counts[part])), None
+def _codec(level: int):
+    return (lambda *columns: coded(*columns, n_words=level)), (lambda blob: decoded(blob, level))
 
 
-def _merge(blobs: list, level: int) -> tuple[list[np.ndarray], np.ndarray]:
-    parts = [unpacked(b) for b in blobs]
-    columns = [np.concatenate([np.repeat(p[0], p[1]) for p in parts])] + [np.concatenate([p[i] for p in parts]) for i in range(2, len(parts[0]) - 1)]
-    counts = np.concatenate([p[-1].astype(np.int64) for p in parts])
-    order = np.lexsort((columns[-1], columns[0]))
-    columns = [c[order] for c in columns]
-    at = runs(columns[0], columns[-1])
-    return [c[at] for c in columns], np.add.reduceat(counts[order], at)
+# --- the vocabulary ---
 
 
-def _batch(rows) -> pa.Table:
-    level, shard, data, stats = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.table({"level": pa.array(level, pa.int32()), "shard": pa.array(shard, pa.int32()), "data": pa.array(data, pa.binary()), "stats": pa.array(stats, pa.list_(pa.int64()))})
+def _words(shards: Shards):
+    def count(batches):
+        keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+        def merged():
+            new = np.concatenate([keys, *held])
+            return totals(new, np.concatenate([counts, np.ones(len(new) - len(keys), np.int64)]))
+
+        for b in batches:
+            for i, j, _, _, w in batches_of_words(b.column("text")):
+                held += [w.hash, np.full(j - i, END)]
+                size += len(w.hash) + j - i
+                if size > GATHER:
+                    keys, counts = merged()
+                    held, size = [], 0
+                    if len(keys) > WORDS:
+                        yield cells(shard_of(keys, shards), shards, [keys, small(counts)])
+                        keys, counts = keys[:0], counts[:0]
+        keys, counts = merged()
+        yield cells(shard_of(keys, shards), shards, [keys, small(counts)])
+
+    return count
+
+
+def _number(folder: str, shards: Shards):
+    """Words of a shard numbered by falling count, shards in turn: frequent words have small numbers, which pack well."""
+
+    def number(key, table):
+        parts = [unpacked(b) for b in table["data"].to_pylist()]
+        keys, n = totals(np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts]))
+        number = np.empty(len(keys), np.int64)
+        number[np.lexsort((keys, -n))] = FIRST + np.arange(len(keys)) * int(shards) + key[0].as_py()
+        write_sorted(folder, "word", key[0].as_py(), key=keys, number=small(number), n=small(n))
+        return pa.table({"n": pa.array([int(n.sum())], pa.int64()), "words": pa.array([len(keys)], pa.int64())})
 
+    return number
 
-def _count(order: int, shards: int):
-    """Raw n-grams: of the highest order, of lower orders where the document begins, and single words for level 0."""
+
+# --- n-grams ---
+
+
+def _columns(seq: np.ndarray, place: np.ndarray, own: np.ndarray, level: int) -> list[np.ndarray]:
+    """The words of the n-grams that end at `own`; FILL stands for those before the begin mark."""
+    return [np.where(place[own] >= k, seq[np.maximum(own - k, 0)], FILL) if k else seq[own] for k in range(level - 1, -1, -1)]
+
+
+def _by_shard(level: int, words: list[np.ndarray], values: list[np.ndarray], shards: Shards) -> pa.RecordBatch:
+    """Cells of n-grams by the hash of the whole n-gram, so the successors of one context are in many shards."""
+    where = shard_of(gram_hash(words), shards)
+    order = np.argsort(where.astype(np.min_scalar_type(int(shards))), kind="stable")
+    where, words, values = where[order], [c[order] for c in words], [c[order] for c in values]
+    cut = [*runs(where), len(where)]
+    # Added up shard by shard: short sorts are quicker than a long one.
+    parts = [folded([c[a:b] for c in words], [c[a:b] for c in values]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    size = [len(w[0]) for w, _ in parts]
+    return cells(np.repeat(where[cut[:-1]], size), shards, [np.concatenate(c) for c in zip(*([*w, *v] for w, v in parts), strict=True)], _codec(level)[0])
+
+
+def _count(order: int, folder: str, shards: Shards):
+    """Raw n-grams of the highest order; one that the begin mark cuts short is filled up in front."""
 
     def count(batches):
-        held: dict[int, list] = {}
-        size = 0
+        vocabulary = Sorted(folder, "word", shards, ("number",))
+        held, size = [], 0
 
         def flush():
-            out = []
-            for level, parts in held.items():
-                columns = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
-                if level == 0:
-                    keys, n = totals(columns[0], np.ones(len(columns[0]), np.int64))
-                    cut = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
-                    out += [(0, int(s), packed(keys[cut[s] : cut[s + 1]], small(n[cut[s] : cut[s + 1]])), None) for s in np.flatnonzero(np.diff(cut))]
-                else:
-                    out += _send(level, columns, np.ones(len(columns[0]), np.int64), shards)
-            held.clear()
-            return _batch(out).to_batches()
+            words = [np.concatenate(c) for c in zip(*held, strict=True)]
+            return _by_shard(order, words, [np.ones(len(words[0]), np.int64)], shards)
 
         for b in batches:
             for i, j, _, _, w in batches_of_words(b.column("text")):
                 seq, _, place = sequences(w, j - i)
-                ctx = contexts(seq, place, order)
-                for level in range(1, order + 1):
-                    own = np.flatnonzero(place >= level - 1 if level == order else place == level - 1)
-                    own = own[place[own] > 0]
-                    if len(own):
-                        held.setdefault(level, []).append([*(ctx[k][own] for k in range(level - 1, 0, -1)), seq[own]] if level > 1 else [np.zeros(len(own), np.uint64), seq[own]])
-                held.setdefault(0, []).append([seq[place > 0]])
+                u, inverse = np.unique(seq, return_inverse=True)
+                # The begin mark is in no vocabulary, so its number is 0.
+                seq = small(vocabulary.get(u)[0])[inverse]
+                held.append(_columns(seq, place, np.flatnonzero(place > 0), order))
                 size += len(seq)
                 if size > GATHER:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
     return count
 
 
 def _stats(counts: np.ndarray) -> list[int]:
-    return [*(int((counts == i).sum()) for i in (1, 2, 3, 4)), int(counts.sum()), len(counts), 0, 0]
+    return [*(int((counts == i).sum()) for i in (1, 2, 3, 4)), int(counts.sum()), int((counts > 0).sum())]
+
+
+def _kinds(types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and which one each row is: contexts with few successors look alike."""
+    h = mix(types[:, 0].astype(np.uint64))
+    for k in range(1, types.shape[1]):
+        h = pair(h, types[:, k].astype(np.uint64))
+    _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+    return types[first], small(kind.ravel())
+
 
+def _write_grams(folder: str, level: int, shard: int, words: list[np.ndarray], values: list[np.ndarray]) -> None:
+    """n-grams of a shard by bits of their hash: buckets of about 16 by the higher ones, in each the lower 32 in order."""
+    h = gram_hash(words)
+    bits = max(0, int(len(h)).bit_length() - 5)
+    bucket = (h >> np.uint64(32)) & np.uint64((1 << bits) - 1)
+    order = np.lexsort((h.astype(np.uint32), bucket))
+    first = np.searchsorted(bucket[order], np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+    columns = {"n": small(values[0][order])}
+    if len(values) > 1:
+        columns["types"], columns["kind"] = _kinds(np.stack([v[order] for v in values[1:]], 1))
+    write_sorted(folder, f"grams{level}", shard, key=h[order].astype(np.uint32), first=first, stats=np.array(_stats(values[0]), np.int64), **columns)
 
-def _reduce(level: int, folder: str, shards: int):
-    """Merge one level's shards into files; send the continuation counts of the level below, pass other rows on."""
+
+class Grams(Sorted):
+    """What _write_grams() wrote: n, and the context's total and numbers of successors with counts 1, 2 and more."""
+
+    def __init__(self, folder: str, level: int, shards: Shards, types: bool):
+        super().__init__(folder, f"grams{level}", shards, ("n", "types") if types else ("n",))
+
+    def shard(self, s: int):
+        own = super().shard(s)
+        return own and own | ({"types": _Coded(own["types"], own["kind"])} if "kind" in own else {})
+
+    def find(self, own, q):
+        """A halving search inside the bucket of each key."""
+        key, first = own["key"], own["first"]
+        bucket = ((q >> np.uint64(32)) & np.uint64(len(first) - 2)).astype(np.int64)
+        lo, hi, low = first[bucket].astype(np.int64), first[bucket + 1].astype(np.int64), q.astype(np.uint32)
+        end = hi.copy()
+        for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+            mid = (lo + hi) >> 1
+            less = (lo < hi) & (key[np.minimum(mid, len(key) - 1)] < low)
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.where(lo < hi, mid, hi))
+        hit = lo < end
+        lo[~hit] = 0
+        return lo, hit & (key[lo] == low)
+
+
+class _Coded:
+    """Rows of `types` picked by kind."""
+
+    def __init__(self, types: np.ndarray, kind: np.ndarray):
+        self.types, self.kind = types, kind
+        self.dtype, self.shape = types.dtype, (len(kind), types.shape[1])
+
+    def __getitem__(self, i):
+        return self.types[self.kind[i]]
+
+
+def _reduce(level: int, folder: str, shards: Shards):
+    """Merge one level's shards into files, and send what it makes of the level below.
+
+    Below, an n-gram without its first word has one more different word before it, and one without its last
+    word, a context, has one more successor of this count: both are rows there, of count, total, and numbers
+    of successors with counts 1, 2 and more. A filled n-gram passes its count on to the shorter one it stands for.
+    """
+    unpack = _codec(level)[1]
 
     def reduce(key, table):
-        own, shard = key[0].as_py(), key[1].as_py()
-        blobs = table["data"].to_pylist()
-        if own < 0:
-            return table
-        if own == 0:
-            parts = [unpacked(b) for b in blobs]
-            keys, n = totals(np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts]))
-            if level > 1:
-                return _batch([(0, shard, packed(keys, small(n)), None)])
-            write_sorted(folder, "raw", shard, key=keys, n=n.astype(np.uint32))
-            return _batch([(-1, 0, None, [0, 0, 0, 0, 0, 0, int(n.sum()), len(keys)])])
-        if own != level:
-            return table
-        columns, counts = _merge(blobs, level)
-        ctx, word = columns[0], columns[-1]
+        columns = [np.concatenate(c) for c in zip(*(unpack(b) for b in table["data"].to_pylist()), strict=True)]
+        words, values = folded(columns[:level], [v.astype(np.int64) for v in columns[level:]])
+        filled = words[0] == FILL
+        _write_grams(folder, level, key[0].as_py(), *([c[~filled] for c in x] for x in (words, values)))
+        n = values[0]
+        full = np.flatnonzero(~filled & (n > 0))
         if level == 1:
-            order = np.argsort(word)
-            write_sorted(folder, "1", shard, key=word[order], n=counts[order].astype(np.uint32))
-            return _batch([(-1, 1, None, _stats(counts))])
-        keys = pair(ctx, word)
-        order = np.argsort(keys)
-        write_sorted(folder, str(level), shard, key=keys[order], n=small(counts[order]))
-        at = runs(ctx)
-        types = np.stack([np.add.reduceat(x, at) for x in (counts, counts == 1, counts == 2, counts > 2)], 1).astype(np.uint32)
-        write_sorted(folder, f"{level}c", shard, key=ctx[at], types=types)
-        below = [np.zeros(len(word), np.uint64), word] if level == 2 else columns[1:]
-        return _batch([*_send(level - 1, below, np.ones(len(word), np.int64), shards), (-1, level, None, _stats(counts))])
+            return pa.table({"shard": pa.array([], pa.int32()), "fine": pa.array([], pa.binary()), "data": pa.array([], pa.binary())})
+        short = np.concatenate([np.flatnonzero(filled), full])
+        below = [np.concatenate([a[short], b[full]]) for a, b in zip(words[1:], words[:-1], strict=True)]
+        made = [np.where(filled[short], n[short], 1), *[np.zeros(len(short), np.int64)] * 4], [np.zeros(len(full), np.int64), *(x[full].astype(np.int64) for x in (n, n == 1, n == 2, n > 2))]
+        return pa.Table.from_batches([_by_shard(level - 1, below, [np.concatenate(x) for x in zip(*made, strict=True)], shards)])
 
     return reduce
 
 
+def _sums(folder: str, shards: Shards):
+    """The stats of shards' files; number i is level i // shards + 1, shard i % shards."""
+
+    def sums(batches):
+        for b in batches:
+            level, shard = np.divmod(b.column("id").to_numpy(), int(shards))
+            found = [Sorted(folder, f"grams{k + 1}", shards, ()).shard(int(s)) for k, s in zip(level, shard, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(level + 1, pa.int32()), pa.array([[0] * STATS if x is None else x["stats"].tolist() for x in found], pa.list_(pa.int64()))], ["level", "stats"])
+
+    return sums
+
+
 def discounts(n: list[int]) -> list[float]:
     """D1, D2, D3+ from the numbers of n-grams with counts 1 to 4; plain steps where those are too few."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
@@ -166,88 +307,91 @@ def discounts(n: list[int]) -> list[float]:
 class Model:
     """The counted model: a folder of sorted arrays and a few totals. Probabilities are made from counts when asked for."""
 
-    def __init__(self, folder: str, order: int, shards: int, stats: dict[int, list[int]]):
+    def __init__(self, folder: str, order: int, shards: Shards, train_tokens: int, train_words: int, stats: dict[int, list[int]]):
         self.folder, self.order, self.shards, self.stats = folder, order, shards, stats
+        self.train_tokens, self.train_words = train_tokens, train_words
         self.tables: dict = {}
 
-    def table(self, name: str, column: str) -> Sorted:
-        if name not in self.tables:
-            self.tables[name] = Sorted(self.folder, name, self.shards, (column,))
-        return self.tables[name]
+    def table(self, level: int) -> Sorted:
+        if level not in self.tables:
+            self.tables[level] = Grams(self.folder, level, self.shards, level < self.order) if level else Sorted(self.folder, "word", self.shards, ("number", "n"))
+        return self.tables[level]
 
     def __getstate__(self):
         return self.__dict__ | {"tables": {}}
 
-    @property
-    def train_tokens(self) -> int:
-        return self.stats.get(0, [0] * STATS)[6]
-
-    @property
-    def train_words(self) -> int:
-        return self.stats.get(0, [0] * STATS)[7]
-
     def score(self, w, n_docs: int) -> tuple[np.ndarray, ...]:
         """Of each document: tokens, known tokens, base score, log10 probability."""
         seq, doc, place = sequences(w, n_docs)
-        own = np.flatnonzero(place > 0)
-        ctx = contexts(seq, place, self.order)
-        words, inverse = np.unique(seq[own], return_inverse=True)
-        raw = self.table("raw", "n").get(words)[0]
-        base = np.log10((raw + 1) / (self.train_tokens + self.train_words + 1.0))[inverse]
-        n, total = self.stats.get(1, [0] * STATS), None
+        words, inverse = np.unique(seq, return_inverse=True)
+        number, raw = self.table(0).get(words)
+        number = np.where((raw > 0) | (words == BEGIN), number, UNSEEN)
+        base = np.log10((raw + 1) / (self.train_tokens + self.train_words + 1.0))
+        n = self.stats.get(1, [0] * STATS)
         d = np.array([0.0, *discounts(n)])
-        a = self.table("1", "n").get(words)[0]
+        found = self.table(1).get(gram_hash([number]))
+        count, total = found[0], n[4]
         left = d[1] * n[0] + d[2] * n[1] + d[3] * (n[5] - n[0] - n[1])
-        total = n[4]
-        p = ((np.maximum(a - d[np.minimum(a, 3)], 0) + left / (n[5] + 1)) / total if total else np.full(len(words), 1.0 / (n[5] + 1)))[inverse]
+        p = ((np.maximum(count - d[np.minimum(count, 3)], 0) + left / (n[5] + 1)) / total if total else np.full(len(words), 1.0 / (n[5] + 1)))[inverse]
+        seq, at = small(number)[inverse], np.arange(len(seq))
+        # Of the n-gram that ends at each place, as the context of the next one: its total and successors.
+        types = found[1][inverse] if self.order > 1 and found[1].ndim == 2 else None
         for level in range(2, self.order + 1):
             d = np.array([0.0, *discounts(self.stats.get(level, [0] * STATS))])
-            at = np.flatnonzero(place[own] >= level - 1)
-            c = ctx[level - 1][own[at]]
-            seen, back = np.unique(c, return_inverse=True)
-            types = self.table(f"{level}c", "types").get(seen)[0]
-            if types.ndim == 1:
-                continue
-            sums = types[:, 0].astype(np.float64)
-            rest = (types[:, 1:] @ d[1:]) / np.maximum(sums, 1)
-            count = self.table(str(level), "n").get(pair(c, seq[own[at]]), c)[0]
-            here = (sums > 0)[back]
-            p[at] = np.where(here, np.maximum(count - d[np.minimum(count, 3)], 0) / np.maximum(sums, 1)[back] + rest[back] * p[at], p[at])
+            at = np.flatnonzero(place >= level - 1)
+            found = self.table(level).get(gram_hash(_columns(seq, place, at, level)))
+            if types is not None:
+                context = types[at - 1] if level == 2 else types[where[at - 1]]
+                sums = context[:, 0].astype(np.float64)
+                rest = (context[:, 1:] @ d[1:]) / np.maximum(sums, 1)
+                here = np.maximum(found[0] - d[np.minimum(found[0], 3)], 0) / np.maximum(sums, 1) + rest * p[at]
+                p[at] = np.where(sums > 0, here, p[at])
+            if level < self.order:
+                types = found[1] if found[1].ndim == 2 else None
+                where = np.zeros(len(seq), np.int64)
+                where[at] = np.arange(len(at))
+        own = np.flatnonzero(place > 0)
         by = np.searchsorted(doc[own], np.arange(n_docs))
-        add = lambda x: np.add.reduceat(x, by) if n_docs else np.zeros(0)
-        return add(np.ones(len(own), np.int64)), add((raw > 0)[inverse].astype(np.int64)), add(base), add(np.log10(p))
+        add = lambda x: np.add.reduceat(x[own], by) if n_docs else np.zeros(0)
+        return add(np.ones(len(seq), np.int64)), add((raw > 0)[inverse].astype(np.int64)), add(base[inverse]), add(np.log10(p))
 
 
-def train(texts: DataFrame, order: int = 2, text: str = "text") -> Model:
+def train(texts: DataFrame, order: int = ORDER, text: str = "text") -> Model:
     """Count the n-grams of `text`, each text followed by an end mark, into files under the shared folder.
 
     Level n of the model has adjusted counts: at the highest level, and where a text begins, how often an
-    n-gram occurs; below, how many different words stand before it. One job: map tasks send n-grams by the
-    shard of their context, each level is merged in a shuffle of its own and sends the level below; only
-    totals reach the driver. Shards follow the input's size, and all counts cover all texts. Null is empty.
+    n-gram occurs; below, how many different words stand before it. A first scan counts and numbers the words.
+    A second sends n-grams of word numbers by shard; each level is merged in an exchange of its own and sends
+    the level below its continuation counts and, of each context, how many successors have counts 1, 2 and
+    more. n-grams are dealt by the hash of all their words, so no context, however frequent, is one task's.
+    Only totals reach the driver. Shards follow the input's size, and all counts cover all texts. Null is empty.
     """
     spark = texts.sparkSession
     ship(spark)
     rows = texts.select(F.col(text).alias("text"))
-    shards, folder = shard_number(text_bytes(rows)), new_folder(spark, "lm")
-    df = rows.mapInArrow(_count(order, shards), ROWS)
+    size = text_bytes(rows)
+    shards, folder = shard_number(size), new_folder(spark, "lm")
+    tokens, words = grouped(gathering(rows, size).mapInArrow(_words(shards), CELL), shards).applyInArrow(_number(folder, shards), "n long, words long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    df = rows.mapInArrow(_count(order, folder, shards), CELL)
     for level in range(order, 0, -1):
-        df = grouped(df, 2 * shards, "level", "shard").applyInArrow(_reduce(level, folder, shards), ROWS)
-    sums = df.where("level = -1").groupBy("shard").agg(F.array(*[F.sum(F.element_at("stats", i + 1)) for i in range(STATS)]).alias("s")).collect()
-    return Model(folder, order, shards, {r["shard"]: list(r["s"]) for r in sums})
+        pack, unpack = _codec(level)
+        df = grouped(df, shards, pack, unpack).applyInArrow(_reduce(level, folder, shards), CELL)
+    df.agg(F.count("*")).first()
+    sums = spark.range(order * shards).mapInArrow(_sums(folder, shards), "level int, stats array<long>").groupBy("level").agg(F.array(*[F.sum(F.element_at("stats", i + 1)) for i in range(STATS)]).alias("s")).collect()
+    return Model(folder, order, shards, tokens, words, {r["level"]: list(r["s"]) for r in sums})
 
 
 def _score(model: Model):
     def score(batches):
         for b in batches:
-            parts = [model.score(w, j - i) for i, j, _, _, w in batches_of_words(b.column("text"))]
+            parts = [model.score(w, j - i) for i, j, _, _, w in batches_of_words(b.column("text"), PIECE)]
             n, known, base, log10 = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(4))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), model.train_tokens, np.int64)), pa.array(base.astype(np.float64)), pa.array(log10.astype(np.float64))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return score
 
 
-def lm_scores(documents: DataFrame, held_out, order: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def lm_scores(documents: DataFrame, held_out, order: int = ORDER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Train on the rows that the Column `held_out` does not mark, score all rows.
 
     doc_id, held_out, n_tokens (words and one end mark), n_known (of those seen in training), train_tokens,

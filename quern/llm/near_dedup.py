@@ -81,9 +81,9 @@ def _sketch(batches):
         for _, _, _, _, w in batches_of_words(b.column("text")):
             for s in shingle_sets(w, SHINGLE):
                 n.append(len(s))
-                m = mix(s ^ np.uint64(0x1D8E4E27C47D124F))
-                d1.append(int(np.bitwise_xor.reduce(m).view(np.int64)) if len(s) else 0)
-                d2.append(int(m.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
+                x, y = digests(s)
+                d1.append(x)
+                d2.append(y)
                 regs.append(registers(s).tobytes() if len(s) else b"")
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n", "d1", "d2", "regs"])
 
@@ -141,27 +141,63 @@ def _residual(key, table):
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def _verify(key, table):
-    """Links of one block, or between two: confirmed on full shingle sets, and only those that join two components."""
-    i, j = key[1].as_py(), key[2].as_py()
-    order = np.argsort(table["blk"].to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
-    ids, split = table["id"].to_numpy(), int((table["blk"].to_numpy() == i).sum()) if i != j else 0
+def digests(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums of a set that tell sets apart."""
+    m = mix(shingles ^ np.uint64(0x1D8E4E27C47D124F))
+    return int(np.bitwise_xor.reduce(m).view(np.int64)), int(m.sum(dtype=np.uint64).view(np.int64))
+
+
+def _sets(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
+    """The rows whose text has the set of their class, one a class and side, in order of side, and the sets; ids that repeat bring other texts too."""
+    table = table.sort_by([("side", "ascending"), ("id", "ascending")])
     sets = [s for _, _, _, _, w in batches_of_words(table["text"].combine_chunks()) for s in shingle_sets(w, SHINGLE)]
+    own, seen = [], set()
+    for k, (side, name, d1, d2) in enumerate(zip(*(table[c].to_pylist() for c in ("side", "id", "d1", "d2")), strict=True)):
+        if (side, name) not in seen and digests(sets[k]) == (d1, d2):
+            seen.add((side, name))
+            own.append(k)
+    return table.take(pa.array(own, pa.int64())), [sets[k] for k in own]
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets reach the similarity: 100 * intersection >= SIMILAR * union."""
+    if 100 * min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def _pairs(a: list, b: list) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _verify(key, table):
+    """Links of one block, or of the rows of side 0 with those of side 1: confirmed on full shingle sets, and only those that join two components."""
+    table, sets = _sets(table)
+    ids, side = table["id"].to_numpy(), table["side"].to_numpy()
+    split = int((side == 0).sum()) if (side == 1).any() else 0
     n = np.array([len(s) for s in sets])
     if len(ids) <= 12 and not split:
         pairs = [(x, y) for x in range(len(ids)) for y in range(x + 1, len(ids))]
-    else:
+    elif len(ids):
         pairs = [(int(x), int(y)) for x, y, _ in likely_pairs(np.stack([registers(s) for s in sets]), n, SIMILAR / 100 - DOUBT, split)]
+    else:
+        pairs = []
     links, out = Links(len(ids)), []
     for x, y in pairs:
-        if links.top(x) == links.top(y) or 100 * min(n[x], n[y]) < SIMILAR * max(n[x], n[y]):
-            continue
-        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-        if 100 * both >= SIMILAR * (n[x] + n[y] - both):
+        if links.top(x) != links.top(y) and ids[x] != ids[y] and similar(sets[x], sets[y]):
             links.join(x, y)
             out.append((int(ids[x]), int(ids[y])))
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+    return _pairs([x for x, _ in out], [y for _, y in out])
+
+
+def _with_star(key, table):
+    """Links of a block's rows (side 1) with their cluster's star (side 0)."""
+    table, sets = _sets(table)
+    ids, side = table["id"].to_numpy(), table["side"].to_numpy()
+    star = int(np.flatnonzero(side == 0)[0])
+    own = [k for k in np.flatnonzero(side == 1) if ids[k] != ids[star] and similar(sets[k], sets[star])]
+    return _pairs([int(ids[k]) for k in own], [int(ids[star])] * len(own))
 
 
 def candidate_edges(sketches: DataFrame) -> DataFrame:
@@ -191,36 +227,77 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     A document's set is its distinct runs of five words (lower-cased A-Z), with fewer words the whole sequence;
     without words or text it is empty and linked with nothing. Links have 100 * intersection >= 75 * union on
-    full sets. component_id is the smallest id reachable, kept marks the document that has it. Repeated rows of
-    an id are one node; null ids take no part and get a null component and kept = false; empty input gives no
+    full sets. component_id is the smallest id reachable, kept marks the document that has it. Rows that repeat
+    an id are one node, linked with whatever one of its texts is similar to; null ids take no part and get a null component and kept = false; empty input gives no
     rows; other columns are ignored.
 
     Equal sets are one class from the start, so copies never pair up. Candidate clusters are verified where
-    their texts meet: a cluster beyond a block's bounds is dealt over pairs of blocks.
+    their texts meet, block by block.
     """
     spark = documents.sparkSession
     ship(spark)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches = saved(rows.mapInArrow(_sketch, "doc_id long, n long, d1 long, d2 long, regs binary"), "near-sketches")
     some = sketches.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"))
-    named = saved(some.drop("regs").join(classes, ["d1", "d2", "n"]).select("doc_id", "n", "id"), "near-classes")
-    own = named.where("doc_id = id").select("id").distinct()
-    distinct = saved(some.join(own, F.col("doc_id") == F.col("id")).groupBy("id").agg(F.min(F.struct("n", "regs")).alias("s")).select("id", "s.n", "s.regs"), "near-distinct")
+    # Numbers of classes are made once, in the saved table.
+    classes = saved(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("low")).withColumn("id", F.monotonically_increasing_id()), "near-classes")
+    named = saved(some.drop("regs").join(classes, ["d1", "d2", "n"]).select("doc_id", "n", "id"), "near-named")
+    of = classes.select("id", "d1", "d2", "n", F.col("low").alias("doc_id"))
+    distinct = saved(some.join(of, ["d1", "d2", "n", "doc_id"]).groupBy("id").agg(F.min(F.struct("n", "regs")).alias("s")).select("id", "s.n", "s.regs"), "near-distinct")
     clusters = components(candidate_edges(distinct), "near-clusters")
-    sized = saved(clusters.join(distinct.select(F.col("id").alias("node"), "n"), "node"), "near-sized")
-    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("m"))
-    blk = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    spread = sized.join(blocks, "component").select("component", "node", blk.alias("blk"), "m").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    spread = spread.select("component", "node", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
-    text_of = rows.join(sized.select("node"), F.col("doc_id") == F.col("node"), "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    met = spread.join(text_of, F.col("node") == F.col("doc_id")).select("component", "i", "j", "blk", F.col("node").alias("id"), "text")
-    links = saved(met.groupBy("component", "i", "j").applyInArrow(_verify, "a long, b long"), "near-links")
-    linked = components(links, "near-linked")
-    found = named.join(linked, F.col("id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    links = _confirmed(rows, classes, clusters)
+    # Rows that repeat an id with other texts link their classes.
+    shared = named.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b <> most").drop("most")
+    linked = components(links.unionByName(named.join(shared, "doc_id").select(F.col("id").alias("a"), "b")), "near-linked")
+    grown = linked.join(classes, F.col("id") == F.col("node")).select("id", "component", "low")
+    named_by = grown.join(grown.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("id", "component_id")
+    found = named.join(classes.select("id", "low"), "id").join(named_by, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "low").alias("component_id"))
     rest = sketches.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _confirmed(rows: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Links (a, b) of classes that connect all similar pairs of each candidate cluster, verified on full texts.
+
+    A cluster that fits a block is verified whole. Of a larger one every class first meets the star, the
+    cluster's smallest class; those that are not similar to it meet all classes, block by block. So a family
+    of near copies costs in proportion to its size, times the blocks of those that the star doesn't reach.
+    """
+    sized = saved(clusters.join(classes, F.col("id") == F.col("node")).select("component", "id", "n", "d1", "d2", "low"), "near-sized")
+    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("m"), F.min("id").alias("star"))
+    text_of = rows.join(sized.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h")
+    dealt = sized.join(blocks, "component").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    with_text = saved(dealt.join(text_of, F.col("low") == F.col("doc_id")).select("component", "m", "star", "blk", "id", "d1", "d2", "text"), "near-texts")
+    schema, row = "a long, b long", ["id", "d1", "d2", "text"]
+    small = with_text.where("m = 1").select("component", F.lit(0).alias("side"), *row).groupBy("component").applyInArrow(_verify, schema)
+    large = with_text.where("m > 1")
+    every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    stars = large.where("id = star").select("component", every.alias("blk"), F.lit(0).alias("side"), *row)
+    near = saved(stars.unionByName(large.select("component", "blk", F.lit(1).alias("side"), *row)).groupBy("component", "blk").applyInArrow(_with_star, schema), "near-stars")
+    far = large.where("id <> star").join(near.select(F.col("a").alias("id")), "id", "left_anti")
+    parts = far.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("r"))
+    left = far.join(parts, "component").select("component", F.pmod(F.xxhash64("id", F.lit(1)), F.col("r")).cast("int").alias("i"), every.alias("j"), F.lit(0).alias("side"), *row)
+    right = large.join(parts, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("i"), F.col("blk").alias("j"), F.lit(1).alias("side"), *row)
+    met = left.unionByName(right).groupBy("component", "i", "j").applyInArrow(_verify, schema)
+    return saved(small.unionByName(near).unionByName(met), "near-links")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Five-word sets by whole texts, their similarities by a join on shingles, and components by following links.
+OP9_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM t),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON r.doc_id = l.a),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept FROM s JOIN m USING (doc_id)
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .labelled import SAMPLE_ROWS, sample
 from .lm_scoring import crc_is
-from .sharded import Sorted, grouped, packed, runs, shard_number, shard_of, unpacked, write_sorted
+from .sharded import CELL, Shards, Sorted, cells, gathering, grouped, packed, runs, shard_number, shard_of, unpacked, write_sorted
 from .shared import new_folder, saved, ship, text_bytes
 from .text import SPACE, Words, batches_of_words, mix
 
@@ -17,8 +17,8 @@ from .text import SPACE, Words, batches_of_words, mix
 DIM, PLACES, REACH = 32, 4, 2
 #: Words seen at least so often have a vector from the whole corpus, at every size; a rarer one has that of its context where it stands.
 COMMON = 8
-#: Words gathered before they are sent on.
-GATHER = 900_000
+#: Words held before they are added up; distinct ones, and those with context sums, that a task adds up before it sends them on.
+GATHER, HELD, DISTINCT, SUMMED = 900_000, 300_000, 3_000_000, 600_000
 HIDDEN, ROUNDS, SEED = 24, 400, 7
 #: Bytes of text at a time: arrays have a row of DIM numbers for each word.
 PIECE = 500_000
@@ -67,13 +67,13 @@ def contexts(w: Words, row: np.ndarray, n_rows: int) -> np.ndarray:
     """Sums of the index vectors of the words near each occurrence, by the row given to it (-1: none)."""
     place, sign = index_vectors(w.hash)
     doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    cells, signs = [], []
+    places, signs = [], []
     for d in range(1, REACH + 1):
         for a, b in ((slice(d, None), slice(None, -d)), (slice(None, -d), slice(d, None))):
             own = (doc[a] == doc[b]) & (row[a] >= 0)
-            cells.append((row[a][own] * DIM)[:, None] + place[b][own])
+            places.append((row[a][own] * DIM)[:, None] + place[b][own])
             signs.append(sign[b][own])
-    return np.bincount(np.concatenate(cells).ravel(), np.concatenate(signs).ravel(), n_rows * DIM).reshape(n_rows, DIM)
+    return np.bincount(np.concatenate(places).ravel(), np.concatenate(signs).ravel(), n_rows * DIM).reshape(n_rows, DIM)
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -98,21 +98,32 @@ def unfolded(b: np.ndarray, n: int) -> np.ndarray:
     return (z >> 1) ^ -(z & 1)
 
 
-def _by_shard(keys: np.ndarray, shards: int, value: np.ndarray, coded=np.ravel) -> pa.RecordBatch:
-    """Cells of the keys' low halves and their values: inside a shard of the high halves, 32 bits tell a corpus's words apart."""
-    where = shard_of(keys, shards)
-    low = keys.astype(np.uint32)
-    order = np.lexsort((low, where))
-    low, value = low[order], value[order]
-    cut = np.searchsorted(where[order], np.arange(shards + 1))
-    own = np.flatnonzero(np.diff(cut))
-    # Sorted numbers byte by byte: their high bytes hardly change and pack to nothing.
-    planes = [np.ascontiguousarray(low[cut[s] : cut[s + 1]].view(np.uint8).reshape(-1, 4).T).ravel() for s in own]
-    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([packed(p, coded(value[cut[s] : cut[s + 1]])) for p, s in zip(planes, own, strict=True)], pa.binary())], ["shard", "data"])
+def _low(keys: np.ndarray) -> bytes:
+    """Sorted numbers byte by byte: their high bytes hardly change and pack to nothing."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 4).T).ravel()
 
 
-def _keys_of(part: list[np.ndarray]) -> np.ndarray:
-    return np.ascontiguousarray(part[0].reshape(4, -1).T).view(np.uint32).ravel()
+def pack_counts(low: np.ndarray, counts: np.ndarray) -> bytes:
+    return packed(_low(low), counts.astype(np.uint8))
+
+
+def unpack_counts(blob: bytes) -> list[np.ndarray]:
+    low, counts = unpacked(blob)
+    return [np.ascontiguousarray(low.reshape(4, -1).T).view(np.uint32).ravel(), counts]
+
+
+def pack_sums(low: np.ndarray, sums: np.ndarray) -> bytes:
+    return packed(_low(low), folded(sums))
+
+
+def unpack_sums(blob: bytes) -> list[np.ndarray]:
+    low, sums = unpack_counts(blob)
+    return [low, unfolded(sums, DIM * len(low)).reshape(-1, DIM)]
+
+
+def _by_shard(keys: np.ndarray, shards: Shards, value: np.ndarray, pack) -> pa.RecordBatch:
+    """Cells of the low halves of sorted keys and their values: inside a shard of the high halves, 32 bits tell a corpus's words apart."""
+    return cells(shard_of(keys, shards), shards, [keys.astype(np.uint32), value], pack)
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +134,7 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(values[order], at, axis=0) if len(at) else values
 
 
-def _count(shards: int):
+def _count(shards: Shards):
     def count(batches):
         keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int32), [], 0
 
@@ -138,19 +149,19 @@ def _count(shards: int):
                 if size > GATHER:
                     keys, counts = merged()
                     held, size = [], 0
-                    if len(keys) > 2 * GATHER:
-                        yield _by_shard(keys, shards, np.minimum(counts, COMMON).astype(np.uint8))
+                    if len(keys) > DISTINCT:
+                        yield _by_shard(keys, shards, np.minimum(counts, COMMON), pack_counts)
                         keys, counts = keys[:0], counts[:0]
         keys, counts = merged()
-        yield _by_shard(keys, shards, np.minimum(counts, COMMON).astype(np.uint8))
+        yield _by_shard(keys, shards, np.minimum(counts, COMMON), pack_counts)
 
     return count
 
 
 def _common(folder: str):
     def common(key, table):
-        parts = [unpacked(b) for b in table["data"].to_pylist()]
-        k, n = summed(np.concatenate([_keys_of(p) for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts]))
+        low, counts = zip(*map(unpack_counts, table["data"].to_pylist()), strict=True)
+        k, n = summed(np.concatenate(low), np.concatenate(counts).astype(np.int64))
         k = k[n >= COMMON]
         write_sorted(folder, "common", key[0].as_py(), key=k, one=np.ones(len(k), np.uint8))
         return pa.table({"n": pa.array([len(k)], pa.int64())})
@@ -158,15 +169,15 @@ def _common(folder: str):
     return common
 
 
-def _vectors(folder: str, shards: int):
+def _vectors(folder: str, shards: Shards):
     """Context sums of common words, added up over a task's texts."""
 
     def vectors(batches):
         known = Sorted(folder, "common", shards, ("one",))
         keys, sums = [np.zeros(0, np.uint64)], [np.zeros((0, DIM), np.int32)]
 
-        def cells():
-            return _by_shard(keys[0], shards, sums[0], folded)
+        def sent():
+            return _by_shard(keys[0], shards, sums[0], pack_sums)
 
         for b in batches:
             for _, _, streams in _streams(b.column("text")):
@@ -176,24 +187,23 @@ def _vectors(folder: str, shards: int):
                     row = np.where(own, np.cumsum(own) - 1, -1)
                     keys.append(u[own])
                     sums.append(contexts(w, row[at], int(own.sum())).astype(np.int32))
-                if sum(map(len, keys[1:])) > GATHER // 6:
+                if sum(map(len, keys[1:])) > HELD:
                     k, v = summed(np.concatenate(keys), np.concatenate(sums))
                     keys, sums = [k], [v]
-                    if len(k) > GATHER // 4:
-                        yield cells()
+                    if len(k) > SUMMED:
+                        yield sent()
                         keys, sums = [k[:0]], [v[:0]]
         k, v = summed(np.concatenate(keys), np.concatenate(sums))
         keys, sums = [k], [v]
-        yield cells()
+        yield sent()
 
     return vectors
 
 
 def _write_vectors(folder: str):
     def write(key, table):
-        parts = [unpacked(b) for b in table["data"].to_pylist()]
-        keys = [_keys_of(p) for p in parts]
-        k, v = summed(np.concatenate(keys), np.concatenate([unfolded(p[1], DIM * len(x)).reshape(-1, DIM) for p, x in zip(parts, keys, strict=True)]))
+        low, sums = zip(*map(unpack_sums, table["data"].to_pylist()), strict=True)
+        k, v = summed(np.concatenate(low), np.concatenate(sums))
         write_sorted(folder, "vector", key[0].as_py(), key=k, v=unit(v.astype(np.float64)).astype(np.float32))
         return pa.table({"n": pa.array([len(k)], pa.int64())})
 
@@ -203,7 +213,7 @@ def _write_vectors(folder: str):
 class Vectors:
     """Word vectors in the shared folder, and documents pooled by them."""
 
-    def __init__(self, folder: str, shards: int):
+    def __init__(self, folder: str, shards: Shards):
         self.folder, self.shards = folder, shards
 
     def pool(self, column) -> np.ndarray:
@@ -240,10 +250,10 @@ def random_index(texts: DataFrame, text: str = "text") -> Vectors:
     """Word vectors from the contexts of all words of all texts: two scans, each merged by shards of word hashes."""
     ship(texts.sparkSession)
     rows = texts.select(F.col(text).alias("text"))
-    shards, folder = shard_number(text_bytes(rows)), new_folder(texts.sparkSession, "words")
-    cells = "shard int, data binary"
-    grouped(rows.mapInArrow(_count(shards), cells), shards, "shard").applyInArrow(_common(folder), "n long").agg(F.sum("n")).collect()
-    grouped(rows.mapInArrow(_vectors(folder, shards), cells), shards, "shard").applyInArrow(_write_vectors(folder), "n long").agg(F.sum("n")).collect()
+    size = text_bytes(rows)
+    shards, folder, rows = shard_number(size), new_folder(texts.sparkSession, "words"), gathering(rows, size)
+    grouped(rows.mapInArrow(_count(shards), CELL), shards, pack_counts, unpack_counts).applyInArrow(_common(folder), "n long").agg(F.sum("n")).collect()
+    grouped(rows.mapInArrow(_vectors(folder, shards), CELL), shards, pack_sums, unpack_sums).applyInArrow(_write_vectors(folder), "n long").agg(F.sum("n")).collect()
     return Vectors(folder, shards)
 
 

@@ -6,9 +6,9 @@ from .decontamination import op8_decontamination
 from .line_dedup import op3_line_dedup
 from .lm_scoring import op1_lm_scoring
 from .mixing import op7_mixing
-from .near_dedup import op9_near_dedup
+from .near_dedup import OP9_SQL, op9_near_dedup
 from .quality import op5_quality
-from .suffix_dedup import op10_suffix_dedup
+from .suffix_dedup import OP10_SQL, op10_suffix_dedup
 from .token_counts import op6_token_counts
 from .topk_search import OP4_SQL, op4_topk_search
 from .toxicity import op2_toxicity
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-SQL = {"op4_topk_search": OP4_SQL}
+SQL = {"op4_topk_search": OP4_SQL, "op9_near_dedup": OP9_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -2,29 +2,48 @@
 
 A map task sends, for each shard, arrays compressed into one cell, so a count of hundreds of millions of keys
 shuffles as a few thousand rows. A shard is a range of hashes: its size follows the number of shards, and a
-frequent key adds one entry a task to it, not one an occurrence.
+frequent key adds one entry a task to it, not one an occurrence. Beyond FAN shards a gathering sends one cell
+for each of at most FAN ranges of shards, and tasks that share a range cut it further, exchange by exchange:
+cells then grow with the input, not with its square.
 """
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
+from collections import OrderedDict
 
 import numpy as np
+import pyarrow as pa
 import zstandard
+from pyspark.sql import functions as F
 
 from .shared import write_array_file
 
-#: Bytes of text to a shard of its statistics.
-SHARD_BYTES = 14 << 20
+#: Bytes of text to a shard of its statistics; cells that one gathering sends at most.
+SHARD_BYTES, FAN = 14 << 20, 1024
+#: Bytes of packed cells that a task cuts at a time; bytes of text that one task gathers at least, where the cluster has no more cores.
+RECUT_BYTES, TASK_BYTES = 32 << 20, 256 << 20
+#: Files of one table that a worker keeps mapped.
+OPEN = 512
+CELL = "shard int, fine binary, data binary"
 
 
-def shard_number(input_bytes: int, shard_bytes: int = SHARD_BYTES) -> int:
-    return max(4, -(-input_bytes // shard_bytes))
+class Shards(int):
+    """A number of shards; at: the parts that one exchange cuts into, of which the number is a power."""
 
+    at: int
 
-def grouped(cells, shards: int, *keys: str):
-    """Cells grouped by shard, in as many tasks as shards ask for, whatever the session's number of shuffle partitions."""
-    return cells.repartition(shards, *keys).groupBy(*keys)
+
+def shard_number(input_bytes: int, shard_bytes: int = SHARD_BYTES) -> Shards:
+    """Shards for so many bytes: up to FAN any number, beyond it a square, a cube and so on."""
+    n, k = max(4, -(-input_bytes // shard_bytes)), 1
+    while (f := n if k == 1 else int(np.ceil(round(n ** (1 / k), 9)))) > FAN:
+        k += 1
+    out = Shards(f**k)
+    out.at = f
+    return out
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -48,6 +67,55 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def cells(where: np.ndarray, shards: Shards, columns: list[np.ndarray], pack=packed, at: int | None = None) -> pa.RecordBatch:
+    """Rows in order of their shards `where`, one cell for each range of shards that has rows; pack() keeps rows and their order."""
+    at = at or shards.at
+    step = shards // at
+    cut = np.searchsorted(where, np.arange(0, shards + 1, step))
+    own = np.flatnonzero(np.diff(cut))
+    fine = [None if step == 1 else packed((where[cut[s] : cut[s + 1]] - s * step).astype(np.int32)) for s in own]
+    data = [pack(*(c[cut[s] : cut[s + 1]] for c in columns)) for s in own]
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(fine, pa.binary()), pa.array(data, pa.binary())], ["shard", "fine", "data"])
+
+
+def _recut(shards: Shards, was: int, at: int, pack, unpack):
+    def recut(batches):
+        held, size = [], 0
+
+        def flush():
+            where = np.concatenate([w for w, _ in held])
+            order = np.argsort(where, kind="stable")
+            columns = [np.concatenate(c)[order] for c in zip(*(c for _, c in held), strict=True)]
+            return cells(where[order], shards, columns, pack, at)
+
+        for b in batches:
+            for s, fine, data in zip(*(b.column(c).to_pylist() for c in ("shard", "fine", "data")), strict=True):
+                held.append((unpacked(fine)[0].astype(np.int64) + s * (shards // was), unpack(data)))
+                size += len(data)
+                if size > RECUT_BYTES:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return recut
+
+
+def grouped(df, shards: Shards, pack=packed, unpack=unpacked):
+    """Cells (CELL) grouped by shard, a task each, whatever the session's number of shuffle partitions."""
+    f = at = shards.at
+    while at < shards:
+        n = shards // at
+        df = df.repartitionById(shards, F.col("shard") * n + F.pmod(F.xxhash64("data"), F.lit(n)).cast("int")).mapInArrow(_recut(shards, at, at * f, pack, unpack), CELL)
+        at *= f
+    return df.repartitionById(shards, F.col("shard")).groupBy("shard")
+
+
+def gathering(rows, input_bytes: int):
+    """Rows in fewer, larger map tasks, never fewer than the cluster's cores: what a task adds up before it sends is worth more."""
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-input_bytes // TASK_BYTES)))
+
+
 def small(counts: np.ndarray) -> np.ndarray:
     """Counts in the narrowest unsigned type."""
     return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
@@ -71,43 +139,72 @@ def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def write_sorted(folder: str, name: str, shard: int, **columns: np.ndarray) -> None:
-    for c, a in columns.items():
-        write_array_file(f"{folder}/{name}-{shard}.{c}.npy", lambda p, a=a: _save(p, a))
-
-
-def _save(path: str, a: np.ndarray) -> None:
-    with open(path, "wb") as f:
-        np.save(f, a)
+    """The columns of one shard in one file: a header of names, types, shapes and places, then the arrays."""
+    arrays = {c: np.ascontiguousarray(a) for c, a in columns.items()}
+    head, at = [], 0
+    for c, a in arrays.items():
+        head.append([c, a.dtype.str, list(a.shape), at])
+        at += -(-a.nbytes // 64) * 64
+    text = json.dumps(head).encode()
+    start = -(-(len(text) + 16) // 64) * 64
+
+    def put(path: str) -> None:
+        with open(path, "wb") as f:
+            f.write(np.array([len(text), start], np.int64).tobytes() + text.ljust(start - 16))
+            for a in arrays.values():
+                f.write(a.tobytes() + bytes(-a.nbytes % 64))
+
+    write_array_file(f"{folder}/{name}-{shard}.arrays", put)
+
+
+def _mapped(path: str) -> dict[str, np.ndarray]:
+    with open(path, "rb") as f:
+        m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    n, start = np.frombuffer(m, np.int64, 2)
+    out = {}
+    for c, kind, shape, at in json.loads(m[16 : 16 + int(n)]):
+        size = int(np.prod(shape))
+        out[c] = np.frombuffer(m, np.dtype(kind), size, int(start) + at).reshape(shape) if size else np.zeros(shape, np.dtype(kind))
+    return out
 
 
 class Sorted:
-    """Reads what write_sorted() wrote; shards are mapped when first asked for."""
+    """Reads what write_sorted() wrote; shards are mapped when first asked for, the OPEN last used stay mapped."""
 
     def __init__(self, folder: str, name: str, shards: int, columns: tuple[str, ...]):
-        self.folder, self.name, self.shards, self.columns, self.open = folder, name, shards, columns, {}
+        self.folder, self.name, self.shards, self.columns, self.open = folder, name, shards, columns, OrderedDict()
 
-    def shard(self, s: int) -> list[np.ndarray] | None:
+    def shard(self, s: int) -> dict[str, np.ndarray] | None:
         if s not in self.open:
-            paths = [f"{self.folder}/{self.name}-{s}.{c}.npy" for c in ("key", *self.columns)]
-            self.open[s] = [np.load(p, mmap_mode="r") for p in paths] if os.path.exists(paths[-1]) else None
+            path = f"{self.folder}/{self.name}-{s}.arrays"
+            self.open[s] = _mapped(path) if os.path.exists(path) else None
+            if len(self.open) > OPEN:
+                self.open.popitem(last=False)
+        self.open.move_to_end(s)
         return self.open[s]
 
+    def find(self, own: dict[str, np.ndarray], q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys q in one shard, and whether they are there."""
+        i = np.searchsorted(own["key"], q)
+        i[i == len(own["key"])] = 0
+        return i, own["key"][i] == q
+
     def get(self, q: np.ndarray, by: np.ndarray | None = None) -> list[np.ndarray]:
         """The columns at each key of q, 0 where it is missing; `by` has the hash whose shard holds the key."""
         where = shard_of(q if by is None else by, self.shards)
         order = np.argsort(where, kind="stable")
-        cut = np.searchsorted(where[order], np.arange(self.shards + 1))
+        where = where[order]
+        cut = np.append(runs(where), len(q))
         out: list = [None] * len(self.columns)
-        for s in np.flatnonzero(np.diff(cut)):
-            own = self.shard(int(s))
-            if own is None or not len(own[0]):
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = self.shard(int(where[a]))
+            if own is None or not len(own["key"]):
                 continue
-            rows = order[cut[s] : cut[s + 1]]
-            i = np.searchsorted(own[0], q[rows])
-            i[i == len(own[0])] = 0
-            hit = own[0][i] == q[rows]
-            for k, a in enumerate(own[1:]):
+            rows = order[a:b]
+            i, hit = self.find(own, q[rows])
+            for k, c in enumerate(self.columns):
+                x = own[c]
                 if out[k] is None:
-                    out[k] = np.zeros((len(q), *a.shape[1:]), np.float64 if a.dtype.kind == "f" else np.int64)
-                out[k][rows[hit]] = a[i[hit]]
+                    out[k] = np.zeros((len(q), *x.shape[1:]), np.float64 if x.dtype.kind == "f" else np.int64)
+                out[k][rows[hit]] = x[i[hit]]
         return [np.zeros(len(q), np.int64) if x is None else x for x in out]

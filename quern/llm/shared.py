@@ -30,9 +30,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; one of our own only where it is unset (tests)."""
+    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset and all runs on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

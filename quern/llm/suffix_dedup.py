@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .sharded import Sorted, grouped, packed, runs, shard_number, shard_of, small, totals, unpacked, write_sorted
+from .sharded import CELL, Shards, Sorted, cells, grouped, runs, shard_number, shard_of, small, totals, unpacked, write_sorted
 from .shared import new_folder, saved, ship, text_bytes
 from .text import batches_of_words, grams, pair
 
@@ -37,7 +37,12 @@ def sliding(x: np.ndarray, n: int, fold: np.ufunc) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of selected runs: the smallest of some WINDOW runs in one document. Of equal runs one word apart the first stands for all."""
+    """Hashes and places of selected runs: the smallest of some WINDOW runs in one document.
+
+    Where one word repeats, runs one word apart are equal. Of a stretch of those the first and the last WINDOW
+    stay, and one in WINDOW between: a passage that takes in an end of the stretch meets its partner there, one
+    from the middle at any of those, as their words to either side reach from one to the next.
+    """
     g, at = grams(h, first, RUN)
     if not len(g):
         return g, at
@@ -47,21 +52,21 @@ def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = np.where(doc[: len(low)] == doc[WINDOW - 1 :], low, np.uint64(0)) if len(low) else low
     wide = np.concatenate([np.zeros(WINDOW - 1, np.uint64), low, np.zeros(WINDOW - 1, np.uint64)])
     chosen = (sliding(wide, WINDOW, np.maximum)[: len(g)] == g) if len(low) else np.zeros(len(g), bool)
-    again = np.zeros(len(g), bool)
-    again[1:] = (g[1:] == g[:-1]) & (doc[1:] == doc[:-1])
-    own = np.flatnonzero(chosen & ~again)
+    new = runs(g, doc)
+    size = np.diff(np.append(new, len(g)))
+    into = np.arange(len(g)) - np.repeat(new, size)
+    middle = (into >= WINDOW) & (into < np.repeat(size, size) - WINDOW) & (into % WINDOW != 0)
+    own = np.flatnonzero(chosen & ~middle)
     return g[own], at[own]
 
 
-def _keys(shards: int, hot: int):
+def _keys(shards: Shards, hot: int):
     def keys(batches):
         held, size = [], 0
 
         def flush():
             k, n = totals(np.concatenate(held), np.ones(size, np.int64)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            cut = np.searchsorted(shard_of(k, shards), np.arange(shards + 1))
-            own = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([packed(k[cut[s] : cut[s + 1]], small(np.minimum(n[cut[s] : cut[s + 1]], hot + 1))) for s in own], pa.binary())], ["shard", "data"])
+            return cells(shard_of(k, shards), shards, [k, small(np.minimum(n, hot + 1))])
 
         for b in batches:
             for _, _, _, _, w in batches_of_words(b.column("text")):
@@ -204,15 +209,13 @@ def _two(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return h[at], doc[at], doc[at + (size > 1)]
 
 
-def _documents_of_windows(shards: int):
+def _documents_of_windows(shards: Shards):
     def documents(batches):
         held, size = [], 0
 
         def flush():
             h, low, high = _two(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            cut = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
-            own = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([packed(*(x[cut[s] : cut[s + 1]] for x in (h, low, high - low))) for s in own], pa.binary())], ["shard", "data"])
+            return cells(shard_of(h, shards), shards, [h, low, high - low])
 
         for b in batches:
             rows = Rows(pa.Table.from_batches([b]))
@@ -306,7 +309,7 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     rows = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = rows.select("text")
     shards, folder = shard_number(text_bytes(texts), 56 << 20), new_folder(spark, "suffix")
-    grouped(texts.mapInArrow(_keys(shards, hot), "shard int, data binary"), shards, "shard").applyInArrow(_repeated(folder, hot), "n long").agg(F.sum("n")).collect()
+    grouped(texts.mapInArrow(_keys(shards, hot), CELL), shards).applyInArrow(_repeated(folder, hot), "n long").agg(F.sum("n")).collect()
     suffixes = saved(rows.mapInArrow(_suffixes(folder, shards), ROW), "suffixes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     every = suffixes.where("not hot").drop("hot").repartition(parts, "key").sortWithinPartitions("key", "right", "doc_id", "pos", "left").mapInArrow(_compare(chunk), SPAN)
@@ -314,7 +317,7 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     n_often = often.count()
     if n_often:
         cuts = shard_number(n_often * (SIDE + 1) * 24, 56 << 20)
-        grouped(often.mapInArrow(_documents_of_windows(cuts), "shard int, data binary"), cuts, "shard").applyInArrow(_shared_windows(folder), "n long").agg(F.sum("n")).collect()
+        grouped(often.mapInArrow(_documents_of_windows(cuts), CELL), cuts).applyInArrow(_shared_windows(folder), "n long").agg(F.sum("n")).collect()
         every = every.unionByName(often.mapInArrow(_hot_spans(folder, cuts), SPAN))
     w = Window.partitionBy("doc_id").orderBy("first_word", "end_word")
     before = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -323,4 +326,21 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", F.col("first_word").cast("long").alias("first_word"), F.col("n_words").cast("long").alias("n_words"))
+
+
+#: All stretches of 50 words, those that two documents hold, and the unions of those that overlap or adjoin.
+OP10_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 48), lambda i: {'p': i - 1, 'h': md5(array_to_string(w[i:i + 49], ' '))})) AS g
+  FROM t WHERE len(w) >= 50),
+h AS (SELECT DISTINCT doc_id, g.p AS p, g.h AS h FROM g),
+c AS (SELECT doc_id, p FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(DISTINCT doc_id) > 1)),
+n AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM c),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM n)
+SELECT doc_id, min(p)::BIGINT AS first_word, (max(p) + 50 - min(p))::BIGINT AS n_words FROM i GROUP BY doc_id, island
+"""

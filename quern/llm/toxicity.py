@@ -67,16 +67,21 @@ class Transducer(NamedTuple):
 
     def best(self, symbols: str) -> list[str]:
         """The outputs of the heaviest path that reads the symbols."""
-        paths = {self.start: (0.0, ())}
+        # Outputs as linked pairs, the last one first: paths share what they have in common.
+        paths: dict = {self.start: (0.0, None)}
         for symbol in symbols:
             new: dict = {}
             for state, (weight, out) in paths.items():
                 for o, w, to in self.arcs[state].get(symbol, ()):
                     if to not in new or new[to][0] < weight + w:
-                        new[to] = (weight + w, (*out, o) if len(o) > 1 else out)
+                        new[to] = (weight + w, (o, out) if len(o) > 1 else out)
             paths = new
         ends = [p for s, p in paths.items() if s in self.final]
-        return list(max(ends)[1]) if ends else []
+        out, labels = max(ends, key=lambda p: p[0])[1] if ends else None, []
+        while out:
+            labels.append(out[0])
+            out = out[1]
+        return labels[::-1]
 
 
 def negation(scope: int = 3) -> Transducer:
@@ -179,7 +184,9 @@ class Model:
             symbols[_inside(self.words[symbol], c.hash)] = ord(symbol)
         for k, stems in self.stems.items():
             own, h = c.prefix(k)
-            symbols[own[_inside(stems, h)]] = ord("I")
+            own = own[_inside(stems, h)]
+            # A learned stem never takes a word that the lexicon has.
+            symbols[own[symbols[own] == ord("o")]] = ord("I")
         out = np.zeros((n_docs, len(LABELS)))
         hit = np.flatnonzero((symbols == ord("I")) | (symbols == ord("T")))
         for clause in np.unique(c.clause[hit]):
