@@ -18,7 +18,7 @@ from quern.llm.toxicity import toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar does not predict as toxic; labels with crc32(doc_id) mod 3 = 1 are never learned from."""
+    """Documents that the toxicity grammar does not predict as toxic, with or without an id; labels with crc32(doc_id) mod 3 = 1 are never learned from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     own = [c for c in docs.columns if c != "doc_id"]
     clean = toxicity(docs, labels, crc_is("doc_id", 3, 1), keep=tuple(own)).where("predicted = 0")
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each line class stays where it first occurs; a document whose every line stood elsewhere first goes."""
+    """Each line class stays where it first occurs; a document whose every line stood elsewhere first goes; documents without an id stay whole."""
     own = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     left = dedup_lines(docs, keep=own).where("n_lines is null or n_lines = 0 or size(dropped) < n_lines")
     named = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")} | {c: F.col(f"kept_{c}") for c in own}
@@ -40,9 +40,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold enough of a benchmark item, in any order, go."""
+    """Documents that hold enough of a benchmark item, in any order, go, those without an id too: texts are told apart by their digests."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    digest = F.xxhash64(F.lit(8), "text")
+    held = contaminated(docs.select(digest.alias("digest"), "text"), items, doc_id="digest").select(F.col("doc_id").alias("digest")).distinct()
+    marked = docs.select(F.struct(*docs.columns).alias("row"), digest.alias("digest"))
+    return marked.join(held, "digest", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
