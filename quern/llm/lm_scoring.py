@@ -20,6 +20,8 @@ BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 AT_BEGIN, UNSEEN, FILL, FIRST = 0, 1, 2, 3
 #: n-grams that a task gathers before it sends them on, and distinct words likewise; bytes of text scored at a time.
 GATHER, WORDS, PIECE = 1_200_000, 3_000_000, 1_000_000
+#: Bytes of text to a shard.
+SHARD_BYTES = 10 << 20
 #: stats: n1, n2, n3, n4, the total of (adjusted) counts, entries.
 STATS = 6
 
@@ -52,30 +54,32 @@ def folded(words: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.n
     order = np.lexsort(words[::-1])
     words = [c[order] for c in words]
     at = runs(*words)
-    return [c[at] for c in words], [np.add.reduceat(v[order], at) if len(at) else v for v in values]
+    return [c[at] for c in words], [small(np.add.reduceat(v[order].astype(np.int64), at)) if len(at) else v for v in values]
 
 
 def _planes(x: np.ndarray) -> list[bytes]:
     """Numbers byte by byte, low bytes first, as far as the largest has any."""
     width = (int(x.max(initial=0)).bit_length() + 7) // 8
-    flat = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    flat = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize)
     press = zstandard.ZstdCompressor(level=1).compress
     return [press(np.ascontiguousarray(flat[:, k]).tobytes()) for k in range(width)]
 
 
 def coded(*columns: np.ndarray, n_words: int) -> bytes:
     """n-grams (their first columns) and values, row for row; each word as the step from the row before where all words before it are the same."""
-    words, values, n = columns[:n_words], columns[n_words:], len(columns[0])
+    n = len(columns[0])
+    columns = [c.astype("<u8" if c.dtype.itemsize == 8 else "<u4") for c in columns]
     same = np.ones(max(0, n - 1), bool)
     parts = []
-    for c in words:
-        step = c.astype(np.uint64)
-        step[1:] -= np.where(same, step[:-1].copy(), np.uint64(0))
+    for c in columns[:n_words]:
+        # Steps wrap around where shards of one cell begin again.
+        step = c.copy()
+        step[1:] -= np.where(same, c[:-1], c.dtype.type(0))
         same &= c[1:] == c[:-1]
         parts.append(_planes(step))
-    parts += [_planes(v) for v in values]
+    parts += [_planes(v) for v in columns[n_words:]]
     sizes = [len(b) for p in parts for b in p]
-    head = np.array([n, len(parts), *map(len, parts), *sizes], np.int64)
+    head = np.array([n, len(parts), *(len(p) * 16 + c.dtype.itemsize for p, c in zip(parts, columns, strict=True)), *sizes], np.int64)
     return np.int64(len(head)).tobytes() + head.tobytes() + b"".join(b for p in parts for b in p)
 
 
@@ -84,17 +88,18 @@ def decoded(blob: bytes, n_words: int) -> list[np.ndarray]:
     n, k = int(head[0]), int(head[1])
     sizes, at, out = iter(head[2 + k :]), 8 + head.nbytes, []
     raw = zstandard.ZstdDecompressor().decompress
-    for width in head[2 : 2 + k]:
-        flat = np.zeros((n, 8), np.uint8)
+    for kind in head[2 : 2 + k]:
+        width, item = divmod(int(kind), 16)
+        flat = np.zeros((n, item), np.uint8)
         for p in range(width):
             size = int(next(sizes))
             flat[:, p] = np.frombuffer(raw(blob[at : at + size]), np.uint8)
             at += size
-        out.append(flat.view("<u8").ravel())
+        out.append(flat.view(f"<u{item}").ravel())
     new = np.zeros(n, bool)
     new[:1] = True
     for k in range(n_words):
-        sums = np.cumsum(out[k], dtype=np.uint64)
+        sums = np.cumsum(out[k], dtype=out[k].dtype)
         start = np.flatnonzero(new)
         out[k] = sums - np.repeat(sums[start] - out[k][start], np.diff(np.append(start, n)))
         new[1:] |= out[k][1:] != out[k][:-1]
@@ -151,7 +156,7 @@ def _number(folder: str, shards: Shards):
 
 def _columns(seq: np.ndarray, place: np.ndarray, own: np.ndarray, level: int) -> list[np.ndarray]:
     """The words of the n-grams that end at `own`; FILL stands for those before the begin mark."""
-    return [np.where(place[own] >= k, seq[np.maximum(own - k, 0)], FILL) if k else seq[own] for k in range(level - 1, -1, -1)]
+    return [np.where(place[own] >= k, seq[np.maximum(own - k, 0)], seq.dtype.type(FILL)) if k else seq[own] for k in range(level - 1, -1, -1)]
 
 
 def _by_shard(level: int, words: list[np.ndarray], values: list[np.ndarray], shards: Shards) -> pa.RecordBatch:
@@ -175,7 +180,7 @@ def _count(order: int, folder: str, shards: Shards):
 
         def flush():
             words = [np.concatenate(c) for c in zip(*held, strict=True)]
-            return _by_shard(order, words, [np.ones(len(words[0]), np.int64)], shards)
+            return _by_shard(order, words, [np.ones(len(words[0]), np.uint8)], shards)
 
         for b in batches:
             for i, j, _, _, w in batches_of_words(b.column("text")):
@@ -195,7 +200,7 @@ def _count(order: int, folder: str, shards: Shards):
 
 
 def _stats(counts: np.ndarray) -> list[int]:
-    return [*(int((counts == i).sum()) for i in (1, 2, 3, 4)), int(counts.sum()), int((counts > 0).sum())]
+    return [*(int((counts == i).sum()) for i in (1, 2, 3, 4)), int(counts.sum(dtype=np.int64)), int((counts > 0).sum())]
 
 
 def _kinds(types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +272,8 @@ def _reduce(level: int, folder: str, shards: Shards):
 
     def reduce(key, table):
         columns = [np.concatenate(c) for c in zip(*(unpack(b) for b in table["data"].to_pylist()), strict=True)]
-        words, values = folded(columns[:level], [v.astype(np.int64) for v in columns[level:]])
+        words, values = folded(columns[:level], columns[level:])
+        del columns
         filled = words[0] == FILL
         _write_grams(folder, level, key[0].as_py(), *([c[~filled] for c in x] for x in (words, values)))
         n = values[0]
@@ -276,7 +282,8 @@ def _reduce(level: int, folder: str, shards: Shards):
             return pa.table({"shard": pa.array([], pa.int32()), "fine": pa.array([], pa.binary()), "data": pa.array([], pa.binary())})
         short = np.concatenate([np.flatnonzero(filled), full])
         below = [np.concatenate([a[short], b[full]]) for a, b in zip(words[1:], words[:-1], strict=True)]
-        made = [np.where(filled[short], n[short], 1), *[np.zeros(len(short), np.int64)] * 4], [np.zeros(len(full), np.int64), *(x[full].astype(np.int64) for x in (n, n == 1, n == 2, n > 2))]
+        made = [np.where(filled[short], n[short], 1), *[np.zeros(len(short), np.uint8)] * 4], [np.zeros(len(full), np.uint8), n[full], *(x[full].view(np.uint8) for x in (n == 1, n == 2, n > 2))]
+        del words
         return pa.Table.from_batches([_by_shard(level - 1, below, [np.concatenate(x) for x in zip(*made, strict=True)], shards)])
 
     return reduce
@@ -370,7 +377,7 @@ def train(texts: DataFrame, order: int = ORDER, text: str = "text") -> Model:
     ship(spark)
     rows = texts.select(F.col(text).alias("text"))
     size = text_bytes(rows)
-    shards, folder = shard_number(size), new_folder(spark, "lm")
+    shards, folder = shard_number(size, SHARD_BYTES), new_folder(spark, "lm")
     tokens, words = grouped(gathering(rows, size).mapInArrow(_words(shards), CELL), shards).applyInArrow(_number(folder, shards), "n long, words long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     df = rows.mapInArrow(_count(order, folder, shards), CELL)
     for level in range(order, 0, -1):

@@ -18,7 +18,7 @@ DIM, PLACES, REACH = 32, 4, 2
 #: Words seen at least so often have a vector from the whole corpus, at every size; a rarer one has that of its context where it stands.
 COMMON = 8
 #: Words held before they are added up; distinct ones, and those with context sums, that a task adds up before it sends them on.
-GATHER, HELD, DISTINCT, SUMMED = 900_000, 300_000, 3_000_000, 600_000
+GATHER, HELD, DISTINCT, SUMMED = 900_000, 120_000, 3_000_000, 350_000
 HIDDEN, ROUNDS, SEED = 24, 400, 7
 #: Bytes of text at a time: arrays have a row of DIM numbers for each word.
 PIECE = 500_000
@@ -131,7 +131,12 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     at = runs(keys)
-    return keys[at], np.add.reduceat(values[order], at, axis=0) if len(at) else values
+    if values.ndim == 1 or not len(at):
+        return keys[at], np.add.reduceat(values[order], at) if len(at) else values
+    out = np.empty((len(at), values.shape[1]), values.dtype)
+    for c in range(0, values.shape[1], 8):
+        out[:, c : c + 8] = np.add.reduceat(values[order, c : c + 8], at, axis=0)
+    return keys[at], out
 
 
 def _count(shards: Shards):
