@@ -17,8 +17,8 @@ from .text import SPACE, Words, batches_of_words, mix
 DIM, PLACES, REACH = 32, 4, 2
 #: Words seen at least so often have a vector from the whole corpus, at every size; a rarer one has that of its context where it stands.
 COMMON = 8
-#: Words held before they are added up; distinct ones, and those with context sums, that a task adds up before it sends them on.
-GATHER, HELD, DISTINCT, SUMMED = 900_000, 120_000, 3_000_000, 350_000
+#: New words held before they are merged, those with context sums likewise; distinct ones, and those with context sums, that a task adds up before it sends them on.
+GATHER, HELD, DISTINCT, SUMMED = 600_000, 120_000, 3_000_000, 350_000
 HIDDEN, ROUNDS, SEED = 24, 400, 7
 #: Bytes of text at a time: arrays have a row of DIM numbers for each word.
 PIECE = 500_000
@@ -139,25 +139,41 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], out
 
 
-def _count(shards: Shards):
-    def count(batches):
-        keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int32), [], 0
+class Sums:
+    """Sums by key. Keys that it has are added in place, new ones are held and merged from time to time."""
+
+    def __init__(self, none: np.ndarray):
+        self.keys, self.sums, self.new, self.held = np.zeros(0, np.uint64), none, [], 0
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys and their values."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        hit = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.sums[at[hit]] += values[hit]
+        self.new.append((keys[~hit], values[~hit]))
+        self.held += len(self.new[-1][0])
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """All keys in order, and their sums."""
+        if self.held:
+            keys, values = zip(*self.new, strict=True)
+            self.keys, self.sums = summed(np.concatenate([self.keys, *keys]), np.concatenate([self.sums, *values]))
+        self.new, self.held = [], 0
+        return self.keys, self.sums
 
-        def merged():
-            new = np.concatenate([keys, *held])
-            return summed(new, np.concatenate([counts, np.ones(len(new) - len(keys), np.int32)]))
 
+def _count(shards: Shards):
+    def count(batches):
+        seen = Sums(np.zeros(0, np.int64))
         for b in batches:
             for _, _, streams in _streams(b.column("text")):
-                held += [w.hash for w in streams]
-                size += 2 * len(streams[0].hash)
-                if size > GATHER:
-                    keys, counts = merged()
-                    held, size = [], 0
-                    if len(keys) > DISTINCT:
-                        yield _by_shard(keys, shards, np.minimum(counts, COMMON), pack_counts)
-                        keys, counts = keys[:0], counts[:0]
-        keys, counts = merged()
+                for w in streams:
+                    seen.add(*np.unique(w.hash, return_counts=True))
+                if seen.held > GATHER and len(seen.merged()[0]) > DISTINCT:
+                    yield _by_shard(seen.keys, shards, np.minimum(seen.sums, COMMON), pack_counts)
+                    seen = Sums(np.zeros(0, np.int64))
+        keys, counts = seen.merged()
         yield _by_shard(keys, shards, np.minimum(counts, COMMON), pack_counts)
 
     return count
@@ -179,28 +195,20 @@ def _vectors(folder: str, shards: Shards):
 
     def vectors(batches):
         known = Sorted(folder, "common", shards, ("one",))
-        keys, sums = [np.zeros(0, np.uint64)], [np.zeros((0, DIM), np.int32)]
-
-        def sent():
-            return _by_shard(keys[0], shards, sums[0], pack_sums)
-
+        none = np.zeros((0, DIM), np.int32)
+        seen = Sums(none)
         for b in batches:
             for _, _, streams in _streams(b.column("text")):
                 for w in streams:
                     u, at = np.unique(w.hash, return_inverse=True)
                     own = known.get(u.astype(np.uint32), u)[0] > 0
                     row = np.where(own, np.cumsum(own) - 1, -1)
-                    keys.append(u[own])
-                    sums.append(contexts(w, row[at], int(own.sum())).astype(np.int32))
-                if sum(map(len, keys[1:])) > HELD:
-                    k, v = summed(np.concatenate(keys), np.concatenate(sums))
-                    keys, sums = [k], [v]
-                    if len(k) > SUMMED:
-                        yield sent()
-                        keys, sums = [k[:0]], [v[:0]]
-        k, v = summed(np.concatenate(keys), np.concatenate(sums))
-        keys, sums = [k], [v]
-        yield sent()
+                    seen.add(u[own], contexts(w, row[at], int(own.sum())).astype(np.int32))
+                if seen.held > HELD and len(seen.merged()[0]) > SUMMED:
+                    yield _by_shard(seen.keys, shards, seen.sums, pack_sums)
+                    seen = Sums(none)
+        keys, sums = seen.merged()
+        yield _by_shard(keys, shards, sums, pack_sums)
 
     return vectors
 
