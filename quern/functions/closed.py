@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,14 +60,23 @@ def searchsorted(x: Column, xs: Sequence[float]) -> Column:
     xs = [float(v) for v in xs]
     if any(math.isnan(v) for v in xs) or any(b < a for a, b in zip(xs, xs[1:], strict=False)):
         raise QuernError("interp_axis", "the table must not decrease or hold NaN")
-    return F.size(F.filter(F.array(*map(F.lit, xs)), lambda v: v < x.cast("double"))).cast("int") + 1
+    x = x.cast("double")
+    return F.when(F.isnan(x), F.lit(len(xs) + 1)).otherwise(_place(x, xs, lambda a, b: a > b) + 1)
+
+
+def _place(x: Column, xs: Sequence[float], above: Callable[[Column, Column], Column]) -> Column:
+    """How many of the sorted values x is above, by halving: a tree of comparisons that stays in generated code."""
+    if not xs:
+        return F.lit(0)
+    mid = len(xs) // 2
+    return F.when(above(x, F.lit(xs[mid])), F.lit(mid + 1) + _place(x, xs[mid + 1 :], above)).otherwise(_place(x, xs[:mid], above))
 
 
 def _cell(x: Column, axis: list[float]) -> tuple[Column, Column]:
     """The place, from 1, of the cell of x clamped to the axis, and its share of the cell."""
     grid = F.array(*map(F.lit, axis))
     x = F.when(F.isnan(x), x).otherwise(F.least(F.greatest(x, F.lit(axis[0])), F.lit(axis[-1])))
-    i = F.least(F.greatest(F.size(F.filter(grid, lambda v: v <= x)), F.lit(1)), F.lit(len(axis) - 1))
+    i = F.lit(1) + _place(x, axis[1:-1], lambda a, b: a >= b)
     low = F.element_at(grid, i)
     return i, (x - low) / (F.element_at(grid, i + 1) - low)
 

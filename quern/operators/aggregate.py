@@ -63,13 +63,47 @@ def aggregate(factors: list[Factor], out: list[str], ring: Semiring, body: Colum
 
 
 def prefix(df: DataFrame, by: list[str], order: str, value: Column, ring: Semiring, strict: bool = False, reverse: bool = False, name: str = "value") -> DataFrame:
-    """Running folds: j <= i, j < i (strict), j >= i (reverse), j > i. An inequality self-join would grow with the square; a window does not."""
+    """Running folds: j <= i, j < i (strict), j >= i (reverse), j > i. An inequality self-join would grow with the square; a window does not.
+
+    Without `by`, the one axis is cut into ranges: each is scanned by itself, and starts from the fold of the
+    ranges before it, so no task holds the whole axis.
+    """
+    if not by:
+        return _ranged(df, order, value, ring, strict, reverse, name)
     w = Window.partitionBy(*by).orderBy(order)
     near = (1 if reverse else -1) if strict else 0
     w = w.rowsBetween(near, Window.unboundedFollowing) if reverse else w.rowsBetween(Window.unboundedPreceding, near)
     return df.withColumn(name, F.coalesce(ring.plus(value).over(w), F.lit(ring.zero)))
 
 
+def axis_range(df: DataFrame, order: str) -> Column:
+    """The number of the range of an axis that a row is in, by quantiles: as many ranges as shuffle partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.select(F.percentile_approx(order, F.array(*[F.lit((k + 1) / n) for k in range(max(1, n - 1))]), F.lit(10_000))).first()[0]
+    cuts = sorted(set(cuts or ()))
+
+    def place(xs):
+        if not xs:
+            return F.lit(0)
+        mid = len(xs) // 2
+        return F.when(F.col(order) > F.lit(xs[mid]), F.lit(mid + 1) + place(xs[mid + 1 :])).otherwise(place(xs[:mid]))
+
+    return place(cuts)
+
+
+def _ranged(df: DataFrame, order: str, value: Column, ring: Semiring, strict: bool, reverse: bool, name: str) -> DataFrame:
+    df = df.withColumn("__value", value).withColumn("__range", axis_range(df, order))
+    # One row a range, so this window without partitions holds the list of ranges, not rows.
+    by_range = Window.orderBy(F.desc("__range") if reverse else F.asc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy("__range").agg(ring.plus(F.col("__value")).alias("__fold")).select(F.col("__range").alias("__of"), ring.plus(F.col("__fold")).over(by_range).alias("__start"))
+    near = (1 if reverse else -1) if strict else 0
+    w = Window.partitionBy("__range").orderBy(order)
+    w = w.rowsBetween(near, Window.unboundedFollowing) if reverse else w.rowsBetween(Window.unboundedPreceding, near)
+    out = df.withColumn(name, ring.plus(F.col("__value")).over(w)).join(F.broadcast(starts), F.col("__range") == F.col("__of"))
+    both = F.when(F.col("__start").isNull(), F.col(name)).when(F.col(name).isNull(), F.col("__start")).otherwise(ring.both(F.col("__start"), F.col(name)))
+    return out.withColumn(name, F.coalesce(both, F.lit(ring.zero))).drop("__value", "__range", "__of", "__start")
+
+
 def statistics(df: DataFrame, by: list[str], x: str, weight: str) -> DataFrame:
     """count, mean and weighted_mean by group."""
     return df.groupBy(*by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), (F.sum(F.col(weight) * F.col(x)) / F.sum(weight)).alias("weighted_mean"))

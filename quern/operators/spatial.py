@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QuernError
+from .aggregate import axis_range
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
@@ -59,28 +60,30 @@ def interval_join(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b
     return left.join(right, "__bin").where((F.col(a_lo) - eps <= F.col(b_hi) + eps) & (F.col(b_lo) - eps <= F.col(a_hi) + eps) & once).drop("__bin")
 
 
-def nearest(points: DataFrame, targets: DataFrame, point: str, target: str, x: str, gx: str, width: float) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, point: str, target: str, x: str, gx: str) -> DataFrame:
     """(point, target, distance) of the target nearest on one axis, ties to the smallest id.
 
-    Points meet the targets of their own and growing rings of bins: round r reaches distance r * width for
-    sure, so points whose best is within it are done. Rounds double the reach; every point meets a bounded
-    neighbourhood first, and no product of both tables is formed.
+    Points and targets are sorted together along the axis, range by range: the nearest target is the last one
+    before a point or the first one after it, in its range or in the nearest range that has any. One shuffle
+    by range, whatever the density; null and NaN places take no part.
     """
-    t = targets.select(F.col(target), F.col(gx).alias("__g")).where("__g is not null and not isnan(__g)")
-    span = t.agg(F.min("__g"), F.max("__g")).first()
-    ends = points.agg(F.min(x), F.max(x)).first()
-    if span[0] is None or ends[0] is None:
-        return points.select(point).limit(0).withColumns({target: F.lit(None).cast(t.schema[target].dataType), "distance": F.lit(None).cast("double")})
-    furthest = max(span[1], ends[1]) - min(span[0], ends[0])
-    left, reach, done = points.select(point, F.col(x).alias("__x")).where("__x is not null and not isnan(__x)"), 1, None
-    while True:
-        w = width * reach
-        near = left.withColumn("__bin", F.explode(F.sequence(bin_key(F.col("__x"), w) - 1, bin_key(F.col("__x"), w) + 1)))
-        met = near.join(t.withColumn("__bin", bin_key(F.col("__g"), w)), "__bin").withColumn("distance", F.abs(F.col("__x") - F.col("__g")))
-        best = met.groupBy(point).agg(F.min(F.struct("distance", target)).alias("b")).select(point, F.col(f"b.{target}").alias(target), "b.distance")
-        best = best.where(F.col("distance") <= w)
-        done = best if done is None else done.unionByName(best)
-        if w > furthest:
-            return done
-        left = left.join(best.select(point), point, "left_anti")
-        reach *= 8
+    real = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    t = targets.where(real(gx)).groupBy(F.col(gx).cast("double").alias("__at")).agg(F.min(target).alias("__t"))
+    p = points.where(real(x)).select(F.col(x).cast("double").alias("__at"), F.col(point).alias("__p"))
+    here = axis_range(p, "__at")
+    stop = F.struct("__at", F.col("__t").alias("id"))
+    both = p.select("__at", "__p", F.lit(None).cast(t.schema["__t"].dataType).alias("__t")).unionByName(t.select("__at", F.lit(None).cast(p.schema["__p"].dataType).alias("__p"), "__t"))
+    both = both.withColumn("__range", here).withColumn("__stop", F.when(F.col("__t").isNotNull(), stop))
+    # At one place targets come first, so a point sees those of its own place as before it.
+    w = Window.partitionBy("__range").orderBy("__at", F.col("__p").isNotNull())
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    near = both.select("__p", "__at", "__range", F.last("__stop", True).over(before).alias("__lo"), F.first("__stop", True).over(after).alias("__hi")).where("__p is not null")
+    # One row a range: the windows without partitions hold the list of ranges.
+    ends = both.groupBy("__range").agg(F.min("__stop").alias("__min"), F.max("__stop").alias("__max"))
+    o = Window.orderBy("__range")
+    ends = ends.select(F.col("__range").alias("__of"), F.last("__max", True).over(o.rowsBetween(Window.unboundedPreceding, -1)).alias("__below"), F.first("__min", True).over(o.rowsBetween(1, Window.unboundedFollowing)).alias("__above"))
+    near = near.join(F.broadcast(ends), F.col("__range") == F.col("__of"))
+    lo, hi = F.coalesce("__lo", "__below"), F.coalesce("__hi", "__above")
+    option = lambda s: F.when(s.isNotNull(), F.struct(F.abs(F.col("__at") - s["__at"]).alias("distance"), s["id"].alias("id")))
+    best = F.least(option(lo), option(hi))
+    return near.select(F.col("__p").alias(point), best.alias("b")).where("b is not null").select(point, F.col("b.id").alias(target), "b.distance")

@@ -271,7 +271,7 @@ def group_aggregate_exact(spark, sf_dir):
 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) = 1""")
 def argmin_nearest(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return spatial.nearest(t("customer", "c_custkey", "c_acctbal"), t("supplier", "s_suppkey", "s_acctbal"), "c_custkey", "s_suppkey", "c_acctbal", "s_acctbal", width=50.0)
+    return spatial.nearest(t("customer", "c_custkey", "c_acctbal"), t("supplier", "s_suppkey", "s_acctbal"), "c_custkey", "s_suppkey", "c_acctbal", "s_acctbal")
 
 
 @query("SELECT l_partkey, l_orderkey AS w, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_orderkey) = 1")
@@ -285,7 +285,7 @@ SELECT s.s_suppkey, coalesce(num, 0.0) AS num, coalesce(den, 0.0)::DOUBLE AS den
 def grouped_centroid(spark, sf_dir):
     t = Tables(spark, sf_dir)
     cust, supp = t("customer", "c_custkey", "c_acctbal"), t("supplier", "s_suppkey")
-    who = spatial.nearest(cust, t("supplier", "s_suppkey", "s_acctbal"), "c_custkey", "s_suppkey", "c_acctbal", "s_acctbal", width=50.0).join(cust, "c_custkey")
+    who = spatial.nearest(cust, t("supplier", "s_suppkey", "s_acctbal"), "c_custkey", "s_suppkey", "c_acctbal", "s_acctbal").join(cust, "c_custkey")
     num = relational.grouped(who, "s_suppkey", SEMIRINGS["sum_product"], c("c_acctbal"), supp, "num")
     den = relational.grouped(who, "s_suppkey", SEMIRINGS["sum_product"], F.lit(1.0), supp, "den")
     return num.join(den, "s_suppkey").withColumn("centroid", op("/", c("num"), c("den")))

@@ -50,8 +50,9 @@ def save(doc: dict) -> str:
 
 
 def defined_name(lhs: Expr) -> str:
+    """The name that a left side defines: u, index(u, i), D(u), ic(u), or an aggregate over one of these."""
     while is_node(lhs):
-        lhs = lhs["args"][0]
+        lhs = lhs["expr"] if lhs["op"] == "aggregate" else lhs["args"][0]
     return lhs
 
 

@@ -9,7 +9,7 @@ from collections import Counter
 from collections.abc import Callable, Mapping
 
 from ..errors import QuernError
-from .document import load, save
+from .document import defined_name, load, save
 from .expressions import Expr, check_arity, free_variables, is_node, parse, substitute, to_text
 
 VERSION = "1.0.0"
@@ -177,7 +177,9 @@ def validate(doc: str | dict) -> list[str]:
     except (QuernError, json.JSONDecodeError) as e:
         return [str(e)]
     for m, model in d.get("models", {}).items():
-        known = set(model.get("variables", {})) | {e["lhs"] if isinstance(e["lhs"], str) else e["lhs"]["args"][0] for e in model.get("equations", [])} | {"t"}
+        known = set(model.get("variables", {})) | {defined_name(e["lhs"]) for e in model.get("equations", [])} | {"t"} | set(d.get("index_sets", {}))
+        # A name with dots is looked up in the system that its first part names.
+        systems_ = set(model.get("subsystems", {})) | set(d.get("models", {})) | set(d.get("reaction_systems", {})) | set(d.get("data_sources", {}))
         counts = Counter(json.dumps(e["lhs"]) for e in model.get("equations", []))
         found += [f"[duplicate_equation] {m}: {k}" for k, n in counts.items() if n > 1]
         for e in model.get("equations", []):
@@ -185,7 +187,7 @@ def validate(doc: str | dict) -> list[str]:
                 check_arity(e["rhs"])
             except QuernError as err:
                 found.append(f"{err} in {m}")
-            found += [f"[undefined_name] {m}: {n}" for n in sorted(free_variables(e["rhs"]) - known) if not n.startswith("_")]
+            found += [f"[undefined_name] {m}: {n}" for n in sorted(free_variables(e["rhs"]) - known) if not n.startswith("_") and not ("." in n and n.split(".")[0] in systems_)]
 
             def sets(x):
                 if isinstance(x, dict):

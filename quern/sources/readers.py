@@ -57,7 +57,7 @@ def coded(df: DataFrame, column: str, codes: dict[str, float], unmapped: str | f
     if unmapped == "drop":
         return df.withColumn(name, value).where(F.col(name).isNotNull())
     if unmapped == "error":
-        return df.withColumn(name, F.coalesce(value, F.raise_error(F.concat(F.lit("[unmapped_code] "), key)).cast("double")))
+        return df.withColumn(name, F.coalesce(value, F.raise_error(F.concat(F.lit("[unmapped_code] "), F.coalesce(key, F.lit("null")))).cast("double")))
     return df.withColumn(name, F.coalesce(value, F.lit(float(unmapped))))
 
 

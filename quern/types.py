@@ -23,6 +23,12 @@ class Semiring:
     times: Callable[[Column, Column], Column]
     one: object
 
+    def both(self, a: Column, b: Column) -> Column:
+        """plus of two terms."""
+        if isinstance(self.zero, bool):
+            return a | b
+        return {0.0: lambda: a + b, 1.0: lambda: a * b, -math.inf: lambda: F.greatest(a, b), math.inf: lambda: F.least(a, b)}[self.zero]()
+
 
 _add, _mul = (lambda a, b: a + b), (lambda a, b: a * b)
 #: The closed set; documents name one, identities and products never come from them.

@@ -141,7 +141,7 @@ def test_overlap_equals_brute_force(spark, eps):
 def test_nearest_reaches_far(spark):
     rng = random.Random(6)
     p, t = [(i, rng.uniform(0, 1000)) for i in range(50)], [(i, x) for i, x in enumerate([3.0, 3.0, 900.0])]
-    got = spatial.nearest(frame(spark, p, "p long, x double"), frame(spark, t, "t long, g double"), "p", "t", "x", "g", width=1.0)
+    got = spatial.nearest(frame(spark, p, "p long, x double"), frame(spark, t, "t long, g double"), "p", "t", "x", "g")
     assert rows(got.select("p", "t")) == [(i, min((abs(x - g), j) for j, g in t)[1]) for i, x in p]
 
 
