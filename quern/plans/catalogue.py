@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,36 +14,13 @@ from ..operators import arrays, geometry, relational, spatial
 from ..operators.aggregate import aggregate, expand_range, prefix, statistics
 from ..sources import readers, times
 from ..streaming import refresh
+from ..streaming.refresh import shared_folder
 from ..types import REDUCERS, SEMIRINGS, Factor
 from . import systems
+from . import more_queries  # noqa: F401
 from .document import Evaluator
 from .expressions import node, parse
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-c = F.col
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-class Tables:
-    """Tables of a folder, each read with the columns asked for."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
-
-    def __call__(self, name: str, *columns) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        return df.select(*columns) if columns else df
-
+from .registry import QUERIES, SQL, Tables, c, query
 
 def revenue(price: str = "l_extendedprice", disc: str = "l_discount"):
     return c(price) * (1 - c(disc))
@@ -603,10 +579,7 @@ def file_anchors(spark, sf_dir):
 @query("SELECT event_type, sum(value) AS total, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def refresh_foreach_batch(spark, sf_dir):
     """Refreshes by micro-batches, merged: the same as one batch over everything."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    import uuid
-
-    at = f"{base}/refresh-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
     source = f"{at}/in"
     Tables(spark, sf_dir)("events", "event_type", "value").repartition(4).write.parquet(source)
     return refresh.fold_stream(spark, source, "event_type string, value double", ["event_type"], {"total": c("value"), "n": F.lit(1).cast("long")}, f"{at}/out", f"{at}/log")

@@ -169,6 +169,14 @@ def common_subexpressions(es: list[Expr]) -> list[Expr]:
     return [v[0] for k, v in sorted(seen.items(), key=lambda kv: -len(kv[0])) if len(v) > 1]
 
 
+def bound_names(lhs: Expr) -> set[str]:
+    """Names in a left side that its right side may use: symbols of index(), ranges of an aggregate."""
+    if not is_node(lhs):
+        return set()
+    own = {a for a in lhs["args"][1:] if isinstance(a, str)} if lhs["op"] == "index" else set(lhs.get("ranges", {})) | set(lhs.get("output_idx", []))
+    return own.union(*(bound_names(a) for a in (*lhs.get("args", []), lhs.get("expr"))))
+
+
 def validate(doc: str | dict) -> list[str]:
     """Problems of a document: arity, undeclared sets, undefined names, several definitions of one name."""
     found = []
@@ -177,7 +185,7 @@ def validate(doc: str | dict) -> list[str]:
     except (QuernError, json.JSONDecodeError) as e:
         return [str(e)]
     for m, model in d.get("models", {}).items():
-        known = set(model.get("variables", {})) | {defined_name(e["lhs"]) for e in model.get("equations", [])} | {"t"} | set(d.get("index_sets", {}))
+        known = set(model.get("variables", {})) | {defined_name(e["lhs"]) for e in model.get("equations", [])} | {"t"} | set(d.get("index_sets", {})) | set(d.get("coordinates", {})) | set().union(*(bound_names(e["lhs"]) for e in model.get("equations", [])))
         # A name with dots is looked up in the system that its first part names.
         systems_ = set(model.get("subsystems", {})) | set(d.get("models", {})) | set(d.get("reaction_systems", {})) | set(d.get("data_sources", {}))
         counts = Counter(json.dumps(e["lhs"]) for e in model.get("equations", []))
@@ -187,7 +195,9 @@ def validate(doc: str | dict) -> list[str]:
                 check_arity(e["rhs"])
             except QuernError as err:
                 found.append(f"{err} in {m}")
-            found += [f"[undefined_name] {m}: {n}" for n in sorted(free_variables(e["rhs"]) - known) if not n.startswith("_") and not ("." in n and n.split(".")[0] in systems_)]
+            # An initial condition may be a function of place.
+            places = set("xyz") | {"lon", "lat", "lev"} if is_node(e["lhs"]) and e["lhs"]["op"] == "ic" else set()
+            found += [f"[undefined_name] {m}: {n}" for n in sorted(free_variables(e["rhs"]) - known - places) if not n.startswith("_") and not ("." in n and n.split(".")[0] in systems_)]
 
             def sets(x):
                 if isinstance(x, dict):

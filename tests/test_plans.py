@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.errors import QuernError
-from quern.plans import document, systems
+from quern.plans import document, systems, tools
 from quern.plans.expressions import canonical, check_arity, column, derivative, expand_templates, free_variables, jacobian, node, numeric, parse, rewrite, simplify, substitute, to_latex, to_text
 from quern.types import Factor
 
@@ -92,7 +92,9 @@ def test_document_joins_and_filters(spark):
     get = lambda n: values(spark, e, n, sets)
     assert get("count") == get("named") == [(4.0,)]
     assert get("sums") == [(1, 1.0), (2, 6.0), (3, 18.0), (4, 24.0)]
-    assert get("none") == [(i, math.inf) for i in range(1, 5)] and get("any") == [(1, False), (2, False)]
+    assert get("none") == [(i, math.inf) for i in range(1, 5)]
+    with pytest.raises(QuernError, match="boolean_array"):
+        get("any")
     assert get("prod") == [(105.0,)] and get("old") == [(4.0,)]
 
 
@@ -207,3 +209,75 @@ def test_ensembles(spark):
     for bad, init in ((parse("-q * x"), {}), (parse("x"), {"w": 1.0})):
         with pytest.raises(QuernError):
             systems.simulate(members, {"x": bad}, init, [0.0, 1.0])
+
+
+def test_document_gates_and_nodes(spark):
+    point = lambda rows, axis: Factor(spark.createDataFrame([(i, float(v)) for i, v in enumerate(rows, 1)], f"{axis} long, value double"), (axis,))
+    sets = {"a": {"kind": "interval", "size": 3}, "b": {"kind": "interval", "size": 3}}
+    factors = {"ax": point([0, 5, 9], "i"), "ay": point([0, 0, 0], "i"), "bw": point([-1, 4, 4], "k"), "bs": point([-1, -1, 5], "k"), "be": point([1, 6, 6], "k"), "bn": point([1, 1, 6], "k")}
+    variables = {n: {"type": "parameter", "shape": ["a" if n[0] == "a" else "b"]} for n in factors}
+    over = {"overlap": {"src_env": ["ax", "ay"], "tgt_env": ["bw", "bs", "be", "bn"]}}
+    both = {"i": {"from": "a"}, "j": {"from": "b"}}
+
+    def run(e, **doc):
+        d = model({"y": e}, sets, **doc)
+        d["models"]["M"]["variables"] = variables
+        return sorted(tuple(r) for r in document.Evaluator(spark, d, "M", dict(factors)).evaluate("y").collect())
+
+    assert run(agg(1.0, both, ["i"], join=[over])) == [(1, 1.0), (2, 1.0), (3, 0.0)]
+    assert run(agg(1.0, both, ["j"], join=[over])) == [(1, 1.0), (2, 1.0), (3, 0.0)]
+    assert run(agg(1.0, both, join=[{"overlap": {**over["overlap"], "eps": 10.0}}])) == [(9.0,)]
+    for bad, code in (({"overlap": {"src_env": ["ax", "ay"]}}, "join_overlap"), ({"on": [["i", "j"]], **over}, "join_clause"), ({"near": []}, "join_clause"), ({"overlap": {**over["overlap"], "eps": -1}}, "join_overlap"), ({"overlap": {"src_env": ["nothing", "ay"], "tgt_env": ["bw", "bs"]}}, "undefined_name")):
+        with pytest.raises(QuernError, match=code):
+            run(agg(1.0, both, join=[bad]))
+    # A symbol bound by an equality, directly or by a factor, and inside an argmin that admits nothing for one place.
+    assert run(agg(1.0, both, ["i"], filter=node("==", "j", node("+", "i", 1)))) == [(1, 1.0), (2, 1.0), (3, 0.0)]
+    assert run(agg("j", both, ["i"], filter=node("and", node("==", node("index", "bw", "j"), node("-", node("index", "ax", "i"), 1)), node(">", "j", 2)))) == [(1, 0.0), (2, 3.0), (3, 0.0)]
+    nearest = {"op": "argmin", "args": [], "arg": "j", "ranges": {"j": {"from": "b"}}, "expr": node("abs", node("-", node("index", "ax", "i"), node("index", "bw", "j")))}
+    assert run(agg(nearest, {"i": {"from": "a"}}, ["i"])) == [(1, 1.0), (2, 2.0), (3, 2.0)]
+    with pytest.raises(Exception, match="empty_argmin"):
+        run(agg({**nearest, "filter": node(">", "j", node("+", "i", 1))}, {"i": {"from": "a"}}, ["i"]))
+    tables = {"T": {"axes": [{"name": "p", "values": [0.0, 10.0]}], "outputs": ["u"], "data": [[1.0, 2.0]], "out_of_bounds": "error"}}
+    look = {"op": "table_lookup", "args": [], "table": "T", "axes": {"p": node("index", "ax", "i")}, "output": 0}
+    assert run(agg(look, {"i": {"from": "a"}}, ["i"]), function_tables=tables) == [(1, 1.0), (2, 1.5), (3, 1.9)]
+    with pytest.raises(QuernError, match="unknown_table"):
+        run(agg({**look, "table": "U"}, {"i": {"from": "a"}}, ["i"]))
+
+
+def test_document_prefixes(spark):
+    sets = {"x": {"kind": "interval", "size": 6}, "g": {"kind": "interval", "size": 2}}
+    u = Factor(spark.createDataFrame([(g, i, float(g * 10 + i)) for g in (1, 2) for i in range(1, 7)], "g long, i long, value double"), ("g", "i"))
+    for op_, turned, keep in (("<=", ">=", lambda j, i: j <= i), ("<", ">", lambda j, i: j < i), (">=", "<=", lambda j, i: j >= i), (">", "<", lambda j, i: j > i)):
+        for test in (node(op_, "j", "i"), node(turned, "i", "j")):
+            e = {"one": agg(node("index", "u", 1, "j"), {"i": {"from": "x"}, "j": {"from": "x"}}, ["i"], filter=test), "two": agg(node("index", "u", "h", "j"), {"h": {"from": "g"}, "i": {"from": "x"}, "j": {"from": "x"}}, ["h", "i"], semiring="max_sum", filter=test)}
+            assert values(spark, e, "one", sets, {"u": u}) == [(i, float(sum(10 + j for j in range(1, 7) if keep(j, i)))) for i in range(1, 7)]
+            assert values(spark, e, "two", sets, {"u": u}) == [(h, i, max((h * 10.0 + j for j in range(1, 7) if keep(j, i)), default=-math.inf)) for h in (1, 2) for i in range(1, 7)]
+    e = {"one": agg(node("index", "u", 1, "j"), {"i": {"from": "x"}, "j": {"from": "x"}}, ["i"], filter=node("<=", "j", "i"))}
+    plan = document.Evaluator(spark, model(e, sets), "M", {"u": u}).evaluate("one")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_document_polygons(spark):
+    square = lambda x, y, s: {"op": "const", "args": [], "value": [[x, y], [x + s, y], [x + s, y + s], [x, y + s]]}
+    e = {
+        "a": square(0.0, 0.0, 2.0), "b": square(1.0, 1.0, 2.0), "area": {"op": "polygon_intersection_area", "manifold": "planar", "args": ["a", "b"]},
+        "clip": {"op": "intersect_polygon", "id": "cut", "manifold": "planar", "args": ["a", "b"]},
+        "twice": agg(node("-", node("*", node("index", "clip", "v", 1), node("index", "clip", node("+", "v", 1), 2)), node("*", node("index", "clip", node("+", "v", 1), 1), node("index", "clip", "v", 2))), {"v": {"from": "ring"}}),
+        "unnamed": {"op": "polygon_intersection_area", "args": ["a", "b"]},
+    }
+    sets = {"ring": {"kind": "derived", "from_faq": "cut"}}
+    assert values(spark, e, "area", sets) == [(1.0,)] and values(spark, e, "twice", sets) == [(2.0,)] and len(values(spark, e, "clip", sets)) == 10
+    with pytest.raises(QuernError, match="manifold"):
+        values(spark, e, "unnamed", sets)
+
+
+def test_left_sides_as_documents_write_them():
+    ranges = {"i": {"from": "x"}}
+    d = {"index_sets": {"x": {"kind": "interval", "size": 3}}, "models": {"M": {"variables": {"u": {"type": "unknown", "shape": ["x"]}}, "equations": [
+        {"lhs": {"op": "aggregate", "args": [], "output_idx": ["i"], "ranges": ranges, "expr": node("D", node("index", "u", "i"))}, "rhs": agg(node("index", "u", "i"), ranges, ["i"])},
+        {"lhs": node("ic", "u"), "rhs": parse("exp(-x)")},
+    ]}}}
+    assert document.defined_name(d["models"]["M"]["equations"][0]["lhs"]) == "u"
+    assert tools.validate(d) == []
+    d["models"]["M"]["equations"][0]["rhs"] = node("index", "w", "i")
+    assert tools.validate(d) == ["[undefined_name] M: w"]
