@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import saved, ship
+from .sharded import Shards, Sorted, shard_number, shard_of, write_sorted
+from .shared import new_folder, saved, ship
 from .text import batches_of_words, mix, shingle_sets
 
 #: 32 bands of 5 registers: a pair of similarity 0.75 meets in none with probability 2e-4, one of 0.8 with 3e-6.
@@ -256,6 +257,43 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return found.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _by_hash(shards: Shards):
+    def deal(batches):
+        for b in batches:
+            where = shard_of(mix(b.column("id").to_numpy().view(np.uint64)), shards)
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), b.column("id")], ["shard", "id"])
+
+    return deal
+
+
+def _write_ids(folder: str):
+    def write(key, table):
+        h = np.sort(mix(table["id"].to_numpy().view(np.uint64)))
+        write_sorted(folder, "id", key[0].as_py(), key=h, one=np.ones(len(h), np.uint8))
+        return pa.table({"n": pa.array([len(h)], pa.int64())})
+
+    return write
+
+
+def _with_ids(folder: str, shards: Shards):
+    def own(batches):
+        known = Sorted(folder, "id", shards, ("one",))
+        for b in batches:
+            hit = known.get(mix(b.column("doc_id").fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64)))[0] > 0
+            yield b.filter(pa.compute.and_(pa.array(hit), b.column("doc_id").is_valid()))
+
+    return own
+
+
+def _having(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) whose id is among `ids`: a scan that maps sorted arrays of them, so no other text is shuffled."""
+    spark = rows.sparkSession
+    shards, folder = shard_number(8 * ids.count(), 1 << 20), new_folder(spark, "near-ids")
+    dealt = ids.mapInArrow(_by_hash(shards), "shard int, id long").repartitionById(shards, F.col("shard"))
+    dealt.groupBy("shard").applyInArrow(_write_ids(folder), "n long").agg(F.sum("n")).collect()
+    return rows.mapInArrow(_with_ids(folder, shards), rows.schema)
+
+
 def _confirmed(rows: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
     """Links (a, b) of classes that connect all similar pairs of each candidate cluster, verified on full texts.
 
@@ -265,7 +303,7 @@ def _confirmed(rows: DataFrame, classes: DataFrame, clusters: DataFrame) -> Data
     """
     sized = saved(clusters.join(classes, F.col("id") == F.col("node")).select("component", "id", "n", "d1", "d2", "low"), "near-sized")
     blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("m"), F.min("id").alias("star"))
-    text_of = rows.join(sized.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h")
+    text_of = _having(rows, sized.select(F.col("low").alias("id")).distinct()).groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h")
     dealt = sized.join(blocks, "component").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
     with_text = saved(dealt.join(text_of, F.col("low") == F.col("doc_id")).select("component", "m", "star", "blk", "id", "d1", "d2", "text"), "near-texts")
     schema, row = "a long, b long", ["id", "d1", "d2", "text"]

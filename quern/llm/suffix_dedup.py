@@ -160,12 +160,21 @@ def _span_batch(doc: np.ndarray, first: np.ndarray, end: np.ndarray, other: np.n
 
 
 def _distinct(found: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """doc, first, end once each, with the smallest other document."""
-    doc, first, end, other = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((other, end, first, doc))
+    """Spans of each document that overlap or adjoin as one, with the smallest other document."""
+    doc, first, end, other = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+    order = np.lexsort((first, doc))
     doc, first, end, other = (x[order] for x in (doc, first, end, other))
-    own = runs(doc, first, end)
-    return [x[own] for x in (doc, first, end, other)]
+    # Documents one after the other on one line, so that a running maximum of ends never reaches into the next.
+    at = runs(doc)
+    base = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(doc)))) * (int(end.max(initial=0)) + 2)
+    reach = np.maximum.accumulate(end + base) if len(end) else end
+    new = np.ones(len(doc), bool)
+    new[1:] = first[1:] + base[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    if not len(at):
+        return [doc, first, end, other]
+    last = np.append(at[1:], len(doc)) - 1
+    return [doc[at], first[at], reach[last] - base[last], np.minimum.reduceat(other, at)]
 
 
 def _compare(chunk: int):
