@@ -79,14 +79,12 @@ def doc_prefix(spark, sf_dir):
     return evaluate(spark, "run", {"x": n}, {"u": ["x"]}, {"run": run}, {"u": factor(cust, "k", c("k"), c("c_acctbal"))})
 
 
-@query("SELECT o_orderkey, sum(floor(o_totalprice)) OVER (ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after, max(o_totalprice) OVER (ORDER BY o_orderkey) AS peak FROM orders WHERE true QUALIFY after IS NOT NULL")
+@query("SELECT o_orderkey, coalesce(sum(floor(o_totalprice)) OVER (ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0.0) AS after, max(o_totalprice) OVER (ORDER BY o_orderkey) AS peak FROM orders")
 def prefix_one_axis(spark, sf_dir):
     """Strict reverse sums and running maxima over one axis of all orders: ranges scanned apart, never one task."""
     o = Tables(spark, sf_dir)("orders", "o_orderkey", "o_totalprice")
     ran = prefix(o, [], "o_orderkey", F.floor("o_totalprice").cast("double"), SEMIRINGS["sum_product"], strict=True, reverse=True, name="after")
-    ran = prefix(ran, [], "o_orderkey", c("o_totalprice"), SEMIRINGS["max_sum"], name="peak")
-    last = o.agg(F.max("o_orderkey").alias("last"))
-    return ran.join(F.broadcast(last), c("o_orderkey") < c("last")).select("o_orderkey", "after", "peak")
+    return prefix(ran, [], "o_orderkey", c("o_totalprice"), SEMIRINGS["max_sum"], name="peak").select("o_orderkey", "after", "peak")
 
 
 @query("""WITH g AS (SELECT n_nationkey // 5 + 1 AS i, n_nationkey % 5 + 1 AS j, n_regionkey + n_nationkey AS v FROM nation),
