@@ -265,7 +265,7 @@ def _hot_spans(folder: str, shards: int):
             other = np.where(low[some] == doc[:, None], high[some], low[some])
             # All windows of a row hold its run, so together they are one stretch.
             most, least = SIDE - own[:, ::-1].argmax(1), own.argmax(1)
-            yield _span_batch(doc, pos - most, pos - least + LEAST, np.where(own, other, np.iinfo(np.int64).max).min(1))
+            yield _span_batch(*_distinct([[doc, pos - most, pos - least + LEAST, np.where(own, other, np.iinfo(np.int64).max).min(1)]]))
 
     return spans
 
