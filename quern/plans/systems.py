@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QuernError
 from ..streaming.cadence import check_acyclic
+from ..streaming.refresh import schedule_times
 from .expressions import Expr, expand_templates, free_variables, is_node, node, numeric, simplify, substitute
 
 # --- reactions ---
@@ -351,6 +352,20 @@ def _implicit(f, t, y, h):
     return 2 * half - whole, half - whole
 
 
+def segmented(f: Callable[[float, np.ndarray], np.ndarray], y: np.ndarray, times: list[float], jumps: list[tuple], **how) -> np.ndarray:
+    """States at `times`, solved piece by piece between jumps (t, affect(t, y) -> y); a state at the time of a jump is the one after it."""
+    marks = sorted({*times, *(t for t, _ in jumps if times[0] <= t <= times[-1])})
+    y, at = np.array(y, float), {}
+    for k, t in enumerate(marks):
+        if k:
+            y = integrate(f, y, [marks[k - 1], t], **how)[-1]
+        for when, affect in jumps:
+            if when == t:
+                y = np.array(affect(t, y), float)
+        at[t] = y
+    return np.array([at[t] for t in times])
+
+
 def sweep(spark: SparkSession, parameters: Mapping[str, list[float]]) -> DataFrame:
     """The product of parameter ranges, with a member number."""
     rows = [(i, *map(float, v)) for i, v in enumerate(product(*parameters.values()))]
@@ -365,17 +380,26 @@ def log_range(start: float, stop: float, n: int) -> list[float]:
     return [float(x) for x in np.geomspace(start, stop, n)]
 
 
-def simulate(ensemble: DataFrame, rhs: Mapping[str, Expr], initial: Mapping[str, float], times: list[float], constants: Mapping[str, float] | None = None, stiff: bool = False, noise: Mapping[str, Expr] | None = None, seed: int = 0, steps: int = 200) -> DataFrame:
+def simulate(ensemble: DataFrame, rhs: Mapping[str, Expr], initial: Mapping[str, float], times: list[float], constants: Mapping[str, float] | None = None, stiff: bool = False, noise: Mapping[str, Expr] | None = None, seed: int = 0, steps: int = 200, events: list[dict] = (), updates: list[dict] = ()) -> DataFrame:
     """(member, t, variable, value) of each row of `ensemble` (member and parameters): one solve a member, members over the cluster.
 
     `noise` gives diffusion terms driven by independent Wiener increments, sqrt(dt) wide, in `steps` fixed steps
     between times, from a seed of the member. Unknown names are an error before anything runs.
+
+    events: {root, direction (up, down, all), affect: {state: expression}} at roots of an expression; updates:
+    {times and/or interval with offset, when (a condition, if any), affect} at given times. Noise takes neither.
     """
+    if noise and (events or updates):
+        raise QuernError("noise_events", "noisy runs take no events or updates")
     states = list(rhs)
     params = [c for c in ensemble.columns if c != "member"]
     fixed = {k: float(v) for k, v in (constants or {}).items()}
     known = {*states, *params, *fixed, "t"}
-    for e in [*rhs.values(), *(noise or {}).values()]:
+    if extra := {n for a in [*events, *updates] for n in a["affect"]} - {*states}:
+        raise QuernError("undefined_name", ", ".join(sorted(extra)))
+    ticks = [(t, u) for u in updates for t in schedule_times(times[0], times[-1], u.get("times"), u.get("interval"), u.get("offset", 0.0))]
+    hooked = [x for a in [*events, *updates] for x in [*a["affect"].values(), a.get("root", 0.0), a.get("when", 0.0)]]
+    for e in [*rhs.values(), *(noise or {}).values(), *hooked]:
         if missing := free_variables(e) - known:
             raise QuernError("undefined_name", ", ".join(sorted(missing)))
     if set(initial) - {*states}:
@@ -402,7 +426,20 @@ def simulate(ensemble: DataFrame, rhs: Mapping[str, Expr], initial: Mapping[str,
                             y = y + dt * f(a + k * dt, y) + kick * rng.normal(0, math.sqrt(dt), len(states))
                         ys.append(y)
                 else:
-                    ys = integrate(f, y0, times, stiff=stiff)
+
+                    def value(e, t, y, names=names):
+                        return float(numeric(e, names | {"t": t} | dict(zip(states, y, strict=True))))
+
+                    def change(what, value=value):
+                        def affect(t, y):
+                            if not value(what.get("when", 1.0), t, y):
+                                return y
+                            return [value(what["affect"][s], t, y) if s in what["affect"] else v for s, v in zip(states, y, strict=True)]
+
+                        return affect
+
+                    roots = [(lambda t, y, e=e, value=value: value(e["root"], t, y), e.get("direction", "all"), change(e)) for e in events]
+                    ys = segmented(f, y0, times, [(t, change(u)) for t, u in ticks], stiff=stiff, events=roots)
                 out += [(row["member"], t, s, float(v)) for t, y in zip(times, ys, strict=True) for s, v in zip(states, y, strict=True)]
             yield pd.DataFrame(out, columns=["member", "t", "variable", "value"])
 
