@@ -31,14 +31,18 @@ def nra_top_k(x: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[tuple[np
     order = np.argsort(x, axis=0, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], (n, d)), 0)
-    lists = np.take_along_axis(x, order, 0).astype(np.float64)
+    # Sums of whole numbers below 2 ** 24 are exact in half the width.
+    narrow = d * max(1, int(np.abs(x).max(initial=0))) * int(np.abs(queries).max(initial=0)) < 2**24
+    kind = np.float32 if narrow else np.float64
+    lists = np.take_along_axis(x, order, 0).astype(kind)
     out: list = [None] * len(queries)
+    zero = kind(0)
     live, was, reads = np.arange(len(queries)), 0, 0
     # What was read of each row's score: a column a query.
-    read = np.zeros((n, len(queries)))
+    read = np.zeros((n, len(queries)), kind)
     for depth in DEPTHS:
         r = max(1, int(np.ceil(n * depth)))
-        up, down = np.maximum(queries[live], 0).astype(np.float64), np.minimum(queries[live], 0).astype(np.float64)
+        up, down = np.maximum(queries[live], 0).astype(kind), np.minimum(queries[live], 0).astype(kind)
         for c in range(d):
             for places, side in ((slice(n - r, n - was), up), (slice(was, r), down)):
                 if side[:, c].any():
@@ -47,8 +51,8 @@ def nra_top_k(x: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[tuple[np
         was = r
         if r < n:
             top, bottom = rank >= n - r, rank < r
-            last = np.where(top, 0.0, lists[n - r]) @ up.T + np.where(bottom, 0.0, lists[r - 1]) @ down.T
-            least = np.where(top, 0.0, lists[0]) @ up.T + np.where(bottom, 0.0, lists[-1]) @ down.T
+            last = np.where(top, zero, lists[n - r]) @ up.T + np.where(bottom, zero, lists[r - 1]) @ down.T
+            least = np.where(top, zero, lists[0]) @ up.T + np.where(bottom, zero, lists[-1]) @ down.T
             floor = np.partition(read + least, n - k, axis=0)[n - k]
             can = read + last >= floor
             done = can.sum(0) <= 8 * k
