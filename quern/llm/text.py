@@ -70,9 +70,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start and end."""
-    word = ~SPACE[data]
+def bounds(data: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end; `between` marks the bytes that are in none."""
+    word = ~between[data]
     start, end = word.copy(), word.copy()
     start[1:] &= ~word[:-1]
     end[:-1] &= ~word[1:]
