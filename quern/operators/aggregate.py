@@ -9,53 +9,32 @@ from pyspark.sql import functions as F
 
 from ..errors import QuernError
 from ..types import Factor, Semiring, check_keys
-
-
-def natural_join(factors: list[Factor]) -> DataFrame:
-    """Factors joined by index name. Those that share an index with what is joined so far come first, so no product is formed between factors that are linked at all."""
-    left, rest = factors[0].df, list(factors[1:])
-    axes = set(factors[0].axes)
-    while rest:
-        nxt = next((f for f in rest if axes & set(f.axes)), rest[0])
-        rest.remove(nxt)
-        shared = sorted(axes & set(nxt.axes))
-        left = left.join(nxt.df, shared) if shared else left.crossJoin(nxt.df)
-        axes |= set(nxt.axes)
-    return left
-
-
-def contracted_early(factors: list[Factor], out: list[str], ring: Semiring) -> list[Factor]:
-    """Each factor folded over the indices that it alone has and that are not free: times distributes over plus, so rows shrink before they are joined."""
-    done = []
-    for f in factors:
-        others = {a for g in factors if g is not f for a in g.axes}
-        own = [a for a in f.axes if a in others or a in out]
-        if len(own) < len(f.axes):
-            f = Factor(f.df.groupBy(*own).agg(ring.plus(F.col(f.value)).alias(f.value)), tuple(own), f.value)
-        done.append(f)
-    return done
+from . import elimination
 
 
 def aggregate(factors: list[Factor], out: list[str], ring: Semiring, body: Column | None = None, where: Column | None = None, dense: DataFrame | None = None, name: str = "value", early: bool = True) -> DataFrame:
     """out[free] = plus over the other indices of times over the factors.
 
     `body` replaces the product of the factors' values (named apart); `where` drops inadmissible combinations
-    before the fold; `dense`, a frame of the free indices, adds those without a term, which get the zero.
+    before the fold; `dense`, a frame of the free indices, adds those without a term, which get the zero. Without
+    either, indices are eliminated one by one (operators/elimination.py), unless `early` is false or the ring's product
+    does not distribute over its fold.
     """
     if not factors:
         raise QuernError("no_factors", "an aggregate reads a factor at least")
     names = [f.value for f in factors]
-    if body is None:
+    if body is None and where is None and early and elimination.distributes(ring):
+        folded = elimination.contract(factors, out, ring, name)
+    elif body is None:
         factors = [Factor(f.df.withColumnRenamed(f.value, f"__v{i}"), f.axes, f"__v{i}") for i, f in enumerate(factors)]
-        if early and where is None and ring.zero not in (1.0,):
-            factors = contracted_early(factors, out, ring)
         body = reduce(ring.times, [F.col(f.value) for f in factors])
     elif len(set(names)) < len(names):
         raise QuernError("value_names", "a body needs factors with values of different names")
-    joined = natural_join(factors)
-    if where is not None:
-        joined = joined.where(where)
-    folded = joined.groupBy(*out).agg(ring.plus(body).alias(name)) if out else joined.agg(ring.plus(body).alias(name))
+    if body is not None:
+        joined = elimination.natural_join(factors)
+        if where is not None:
+            joined = joined.where(where)
+        folded = joined.groupBy(*out).agg(ring.plus(body).alias(name)) if out else joined.agg(ring.plus(body).alias(name))
     if dense is not None and out:
         check_keys(dense, *out)
         folded = dense.select(*out).join(folded, out, "left")
@@ -70,25 +49,70 @@ def prefix(df: DataFrame, by: list[str], order: str, value: Column, ring: Semiri
     """
     if not by:
         return _ranged(df, order, value, ring, strict, reverse, name)
-    w = Window.partitionBy(*by).orderBy(order)
-    near = (1 if reverse else -1) if strict else 0
-    w = w.rowsBetween(near, Window.unboundedFollowing) if reverse else w.rowsBetween(Window.unboundedPreceding, near)
-    return df.withColumn(name, F.coalesce(ring.plus(value).over(w), F.lit(ring.zero)))
+    return df.withColumn(name, F.coalesce(ring.plus(value).over(running(by, order, strict, reverse)), F.lit(ring.zero)))
+
+
+def running(by: list[str], order: str, strict: bool, reverse: bool):
+    """The rows up to each one. From the end the axis is turned round: a frame that only grows costs one step a row, one that shrinks is folded anew for each."""
+    w = Window.partitionBy(*by).orderBy(F.desc(order) if reverse else F.asc(order))
+    return w.rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+
+
+#: Cuts that a tree of comparisons holds; more are looked up in an array by halving.
+TREE = 64
+
+
+def place_among(x: Column, cuts: list) -> Column:
+    """How many of the sorted cuts are below x; 0 for null."""
+    if len(cuts) <= TREE:
+
+        def tree(xs):
+            if not xs:
+                return F.lit(0)
+            mid = len(xs) // 2
+            return F.when(x > F.lit(xs[mid]), F.lit(mid + 1) + tree(xs[mid + 1 :])).otherwise(tree(xs[:mid]))
+
+        return tree(cuts)
+    steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+    array = F.array(*[F.lit(v) for v in cuts])
+    return F.aggregate(F.array(*[F.lit(p) for p in steps]), F.lit(0), lambda at, p: F.when(x > F.get(array, at + p - 1), at + p).otherwise(at))
 
 
 def axis_range(df: DataFrame, order: str) -> Column:
-    """The number of the range of an axis that a row is in, by quantiles: as many ranges as shuffle partitions."""
+    """The number of the range of an axis that a row is in, by quantiles: as many ranges as shuffle partitions. Equal places are in one range."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.select(F.percentile_approx(order, F.array(*[F.lit((k + 1) / n) for k in range(max(1, n - 1))]), F.lit(10_000))).first()[0]
-    cuts = sorted(set(cuts or ()))
+    return place_among(F.col(order), sorted(set(cuts or ())))
+
 
-    def place(xs):
-        if not xs:
-            return F.lit(0)
-        mid = len(xs) // 2
-        return F.when(F.col(order) > F.lit(xs[mid]), F.lit(mid + 1) + place(xs[mid + 1 :])).otherwise(place(xs[:mid]))
+def with_halo(df: DataFrame, order: str, before: int, after: int, *needed: str) -> DataFrame:
+    """df cut into ranges of an axis, each with copies of the `before` rows before it and the `after` rows after it: columns __range and __own.
 
-    return place(cuts)
+    Copies have the columns order and `needed`, the others are null, and __own is false. Of a range only its first and last rows
+    move, found before any exchange by a limit in each task; where ranges are shorter than the halo it reaches
+    over several. The driver gets one number a range.
+    """
+    cut = df.withColumn("__range", axis_range(df, order))
+    sizes = {r["__range"]: r["n"] for r in cut.groupBy("__range").agg(F.count("*").alias("n")).collect()}
+    ranges, moves = sorted(sizes), []
+    for at, r in enumerate(ranges):
+        for last, most, others in ((True, before, ranges[at + 1 :]), (False, after, ranges[:at][::-1])):
+            for to in others:
+                if most <= 0:
+                    break
+                moves.append((r, last, to, most))
+                most -= sizes[to]
+    whole = cut.withColumn("__own", F.lit(True))
+    if not moves:
+        return whole
+    own = list(dict.fromkeys((order, *needed)))
+    ends = []
+    for last, most in ((True, before), (False, after)):
+        w = Window.partitionBy("__range").orderBy(F.desc(order) if last else F.asc(order))
+        ends.append(cut.select("__range", *own).withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") <= most).withColumn("__last", F.lit(last)))
+    to = df.sparkSession.createDataFrame(moves, "__from int, __side boolean, __to int, __most int")
+    moved = ends[0].unionByName(ends[1]).join(F.broadcast(to), (F.col("__range") == F.col("__from")) & (F.col("__last") == F.col("__side")) & (F.col("__nth") <= F.col("__most")))
+    return whole.unionByName(moved.select(F.col("__to").alias("__range"), *own, F.lit(False).alias("__own")), allowMissingColumns=True)
 
 
 def _ranged(df: DataFrame, order: str, value: Column, ring: Semiring, strict: bool, reverse: bool, name: str) -> DataFrame:
@@ -96,10 +120,7 @@ def _ranged(df: DataFrame, order: str, value: Column, ring: Semiring, strict: bo
     # One row a range, so this window without partitions holds the list of ranges, not rows.
     by_range = Window.orderBy(F.desc("__range") if reverse else F.asc("__range")).rowsBetween(Window.unboundedPreceding, -1)
     starts = df.groupBy("__range").agg(ring.plus(F.col("__value")).alias("__fold")).select(F.col("__range").alias("__of"), ring.plus(F.col("__fold")).over(by_range).alias("__start"))
-    near = (1 if reverse else -1) if strict else 0
-    w = Window.partitionBy("__range").orderBy(order)
-    w = w.rowsBetween(near, Window.unboundedFollowing) if reverse else w.rowsBetween(Window.unboundedPreceding, near)
-    out = df.withColumn(name, ring.plus(F.col("__value")).over(w)).join(F.broadcast(starts), F.col("__range") == F.col("__of"))
+    out = df.withColumn(name, ring.plus(F.col("__value")).over(running(["__range"], order, strict, reverse))).join(F.broadcast(starts), F.col("__range") == F.col("__of"))
     both = F.when(F.col("__start").isNull(), F.col(name)).when(F.col(name).isNull(), F.col("__start")).otherwise(ring.both(F.col("__start"), F.col(name)))
     return out.withColumn(name, F.coalesce(both, F.lit(ring.zero))).drop("__value", "__range", "__of", "__start")
 

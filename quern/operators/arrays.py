@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QuernError
 from ..types import Factor
+from .aggregate import with_halo
 
 
 def bound(i: Column, n: int | Column, policy: str = "error") -> Column:
@@ -103,10 +104,16 @@ def broadcast(fn, arrays: list[Factor], target: list[str], sets: dict[str, DataF
 
 
 def stencil(df: DataFrame, by: list[str], order: str, value: str, weights: dict[int, float], name: str = "value", ghost: float = 0.0) -> DataFrame:
-    """Weighted sum of neighbours at offsets along a gap-free axis; beyond its ends they read `ghost`."""
-    w = Window.partitionBy(*by).orderBy(order)
-    at = lambda k: F.col(value) if k == 0 else F.coalesce(F.lead(value, k).over(w) if k > 0 else F.lag(value, -k).over(w), F.lit(ghost))
-    return df.withColumn(name, reduce(lambda a, b: a + b, [F.lit(c) * at(k) for k, c in sorted(weights.items())]))
+    """Weighted sum of neighbours at offsets along a gap-free axis; beyond its ends they read `ghost`.
+
+    Without `by`, the one axis is cut into ranges, and each gets a halo of the rows around it, so no task holds the whole axis.
+    """
+    at = lambda k, w: F.col(value) if k == 0 else F.coalesce(F.lead(value, k).over(w) if k > 0 else F.lag(value, -k).over(w), F.lit(ghost))
+    total = lambda w: reduce(lambda a, b: a + b, [F.lit(c) * at(k, w) for k, c in sorted(weights.items())])
+    if by:
+        return df.withColumn(name, total(Window.partitionBy(*by).orderBy(order)))
+    cut = with_halo(df, order, max(0, -min(weights)), max(0, max(weights)), value)
+    return cut.withColumn(name, total(Window.partitionBy("__range").orderBy(order))).where("__own").drop("__range", "__own")
 
 
 def shifted(array: Factor, axis: str, by: int, name: str, ghost: float = 0.0) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QuernError
+from ..shared import ship
 from .spatial import envelope, overlap_join
 
 RING = "array<struct<lon:double,lat:double>>"
@@ -51,89 +54,153 @@ def polygon_area(df: DataFrame, key: str, ring: str) -> DataFrame:
     return a.join(b, ["__key", "__k"]).groupBy(F.col("__key").alias(key)).agg(area.alias("area"))
 
 
-def _points(ring) -> list[tuple[float, float]]:
-    pts = [(float(p["lon"]), float(p["lat"])) for p in ring]
-    out: list[tuple[float, float]] = []
-    for p in pts:
-        if not out or any(abs(a - b) > CLOSE[1] + CLOSE[0] * abs(b) for a, b in zip(p, out[-1], strict=True)):
-            out.append(p)
-    while len(out) > 1 and all(abs(a - b) <= CLOSE[1] + CLOSE[0] * abs(b) for a, b in zip(out[0], out[-1], strict=True)):
-        out.pop()
+class Rings:
+    """Rings of many rows, one after the other: points (n, d), and where each ring begins (one more at the end)."""
+
+    def __init__(self, points: np.ndarray, start: np.ndarray):
+        self.points, self.start = points, start
+
+    @property
+    def size(self) -> np.ndarray:
+        return np.diff(self.start)
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size)), self.size)
+
+    def neighbour(self, by: int) -> np.ndarray:
+        """The place of each point's next (1) or previous (-1) point, round its ring."""
+        own, n = self.owner, self.size
+        return self.start[:-1][own] + (np.arange(len(own)) - self.start[:-1][own] + by) % n[own] if len(own) else np.zeros(0, np.int64)
+
+    def kept(self, keep: np.ndarray) -> Rings:
+        return Rings(self.points[keep], np.append(0, np.cumsum(keep))[self.start])
+
+    def turned(self, which: np.ndarray) -> Rings:
+        """The rings marked in reverse order."""
+        own = self.owner
+        at = np.arange(len(own))
+        return Rings(self.points[np.where(which[own], self.start[:-1][own] + self.start[1:][own] - 1 - at, at)], self.start)
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Rings:
+        """From lists of structs (lon, lat); null is empty. Of points close to the one kept before only the first stays."""
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        flat, n = column.flatten(), pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        rings = cls(np.stack([np.asarray(flat.field(k).cast(pa.float64()).to_numpy(zero_copy_only=False), float) for k in ("lon", "lat")], 1), np.append(0, np.cumsum(n)))
+        same = (rings.points[1:] == rings.points[:-1]).all(1) & (rings.owner[1:] == rings.owner[:-1])
+        rings = rings.kept(~np.append(False, same)[: len(rings.points)])
+        while True:
+            # A point goes if it is close to one that stays; the next of a chain is then held against that one.
+            before, own = rings.neighbour(-1), rings.owner
+            first = np.arange(len(own)) == rings.start[:-1][own] if len(own) else np.zeros(0, bool)
+            with np.errstate(invalid="ignore"):
+                close = (np.abs(rings.points - rings.points[before]) <= CLOSE[1] + CLOSE[0] * np.abs(rings.points[before])).all(1) & ~first
+            run = np.arange(len(own)) - np.maximum.accumulate(np.where(~close, np.arange(len(own)), 0))
+            gone = close & (run == 1)
+            if not gone.any():
+                break
+            rings = rings.kept(~gone)
+        while True:
+            size = rings.size
+            last, lead = np.maximum(rings.start[1:] - 1, 0), np.minimum(rings.start[:-1], max(0, len(rings.points) - 1))
+            if not len(rings.points):
+                return rings
+            p, q = rings.points[lead], rings.points[last]
+            shut = (size > 1) & (np.abs(p - q) <= CLOSE[1] + CLOSE[0] * np.abs(q)).all(1)
+            if not shut.any():
+                return rings
+            keep = np.ones(len(rings.points), bool)
+            keep[last[shut]] = False
+            rings = rings.kept(keep)
+
+
+def _cut(rings: Rings, side: np.ndarray, between) -> Rings:
+    """The part of each ring where `side` is not negative; between(p, q, s, t) are the points where edges cross."""
+    nxt = rings.neighbour(1)
+    s, t = side, side[nxt]
+    stay, cross = s >= 0, ((s > 0) & (t < 0)) | ((s < 0) & (t > 0))
+    n = stay.astype(np.int64) + cross
+    ends = np.cumsum(n)
+    out = np.empty((int(n.sum()), rings.points.shape[1]))
+    out[(ends - n)[stay]] = rings.points[stay]
+    x = np.flatnonzero(cross)
+    out[ends[x] - 1] = between(rings.points[x], rings.points[nxt[x]], s[x][:, None], t[x][:, None])
+    return Rings(out, np.append(0, ends)[rings.start])
+
+
+def _clipped(subject: Rings, clip: Rings, plane, between) -> Rings:
+    """Each subject cut by the edges of its clip ring in turn, all rows at once; plane(p, q, x) is the side of x of the edge from p to q."""
+    ok = (subject.size >= 3) & (clip.size >= 3)
+    out = subject.kept(ok[subject.owner])
+    nxt = clip.neighbour(1)
+    for k in range(int(clip.size[ok].max(initial=0))):
+        own = out.owner
+        if not len(own):
+            break
+        has = k < clip.size[own]
+        at = np.where(has, clip.start[:-1][own] + k, clip.start[:-1][own])
+        side = np.where(has, plane(clip.points[at], clip.points[nxt[at]], out.points), 1.0)
+        out = _cut(out, side, between)
     return out
 
 
-def _side(p, a, b) -> float:
-    return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
-
-
-def clip_planar(subject: list[tuple[float, float]], clip: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """The part of a polygon inside a convex one: cut by each of its edges' half planes in turn."""
-    if len(subject) < 3 or len(clip) < 3:
-        return []
-    if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(clip, clip[1:] + clip[:1], strict=True)) < 0:
-        clip = clip[::-1]
-    out = subject
-    for a, b in zip(clip, clip[1:] + clip[:1], strict=True):
-        kept = []
-        for p, q in zip(out, out[1:] + out[:1], strict=True):
-            s, t = _side(p, a, b), _side(q, a, b)
-            if s >= 0:
-                kept.append(p)
-            if (s > 0 > t) or (s < 0 < t):
-                r = s / (s - t)
-                kept.append((p[0] + r * (q[0] - p[0]), p[1] + r * (q[1] - p[1])))
-        out = kept
-        if not out:
-            return []
-    return out
+def _plane_side(p, q, x):
+    return (q[:, 0] - p[:, 0]) * (x[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (x[:, 0] - p[:, 0])
+
+
+def clip_planar(subject: Rings, clip: Rings) -> Rings:
+    """The parts of polygons inside convex ones: cut by each of their edges' half planes in turn."""
+    p, q = clip.points, clip.points[clip.neighbour(1)]
+    turn = np.bincount(clip.owner, p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1], len(clip.size)) < 0
+    return _clipped(subject, clip.turned(turn), _plane_side, lambda p, q, s, t: p + s / (s - t) * (q - p))
 
 
-def _unit(p) -> tuple[float, float, float]:
-    lon, lat = math.radians(p[0]), math.radians(p[1])
-    return math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat)
+def _units(rings: Rings) -> Rings:
+    lon, lat = np.radians(rings.points).T
+    return Rings(np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], 1), rings.start)
 
 
-def _cross(a, b):
-    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+def _crossing(p, q, s, t):
+    r = p * np.abs(t) + q * np.abs(s)
+    return r / np.sqrt((r * r).sum(1))[:, None]
 
 
-def clip_spherical(subject, clip) -> list[tuple[float, float]]:
-    """The same on a sphere: half spaces of great circles through a convex ring's edges, smaller than a hemisphere."""
-    if len(subject) < 3 or len(clip) < 3:
-        return []
-    ring, out = [_unit(p) for p in clip], [_unit(p) for p in subject]
-    middle = tuple(sum(v[i] for v in ring) for i in range(3))
-    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
-    if dot(_cross(ring[0], ring[1]), middle) < 0:
-        ring = ring[::-1]
-    for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
-        n, kept = _cross(a, b), []
-        for p, q in zip(out, out[1:] + out[:1], strict=True):
-            s, t = dot(n, p), dot(n, q)
-            if s >= 0:
-                kept.append(p)
-            if (s > 0 > t) or (s < 0 < t):
-                r = tuple(x * abs(t) + y * abs(s) for x, y in zip(p, q, strict=True))
-                size = math.sqrt(dot(r, r))
-                kept.append(tuple(x / size for x in r))
-        out = kept
-        if not out:
-            return []
-    return [(math.degrees(math.atan2(y, x)), math.degrees(math.asin(max(-1.0, min(1.0, z))))) for x, y, z in out]
+def clip_spherical(subject: Rings, clip: Rings) -> Rings:
+    """The same on a sphere: half spaces of great circles through convex rings' edges, smaller than a hemisphere."""
+    ring = _units(clip)
+    middle = np.stack([np.bincount(ring.owner, ring.points[:, i], len(ring.size)) for i in range(3)], 1)
+    if len(ring.points):
+        # Rings without points read any; they clip nothing.
+        a = np.minimum(ring.start[:-1], len(ring.points) - 1)
+        b = np.minimum(a + (ring.size > 1), len(ring.points) - 1)
+        ring = ring.turned((np.cross(ring.points[a], ring.points[b]) * middle).sum(1) < 0)
+    out = _clipped(_units(subject), ring, lambda p, q, x: (np.cross(p, q) * x).sum(1), _crossing)
+    x, y, z = out.points.T
+    return Rings(np.stack([np.degrees(np.arctan2(y, x)), np.degrees(np.arcsin(np.clip(z, -1, 1)))], 1), out.start)
 
 
-MANIFOLDS = {"planar": clip_planar, "spherical": clip_spherical, "geodesic": clip_spherical}
+MANIFOLDS = {"planar": clip_planar, "spherical": clip_spherical}
 
 
 def intersect_polygon(a: Column, b: Column, manifold: str) -> Column:
-    """The overlap ring (open, possibly empty) of ring a with the convex ring b; a manifold must be named."""
+    """The overlap ring (open, possibly empty) of ring a with the convex ring b; a manifold must be named. Null rings give null.
+
+    All rows of a batch are cut together, edge by edge, as arrays.
+    """
+    if manifold == "geodesic":
+        raise QuernError("manifold", "edges on the ellipsoid are not implemented; spherical takes great circles")
     if manifold not in MANIFOLDS:
         raise QuernError("manifold", f"{manifold} is not one of {sorted(MANIFOLDS)}")
     cut = MANIFOLDS[manifold]
-
-    @F.pandas_udf(RING)
-    def clip(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else [{"lon": u, "lat": v} for u, v in cut(_points(p), _points(q))] for p, q in zip(x, y, strict=True)])
+    ship(SparkSession.active())
+
+    @F.arrow_udf(RING)
+    def clip(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = cut(Rings.of(x), Rings.of(y))
+        points = pa.StructArray.from_arrays([pa.array(out.points[:, 0]), pa.array(out.points[:, 1])], ["lon", "lat"])
+        null = np.asarray(pa.compute.or_(x.is_null(), y.is_null()))
+        return pa.ListArray.from_arrays(pa.array(out.start, pa.int32(), mask=np.append(null, False)), points)
 
     return clip(a, b)
 

@@ -21,36 +21,84 @@ def bin_key(x: Column, width: float) -> Column:
     return F.floor(x / F.lit(float(width))).cast("long")
 
 
+#: Widths of cells grow by STEP from level to level; boxes of next to no extent are at LOWEST.
+STEP, LOWEST = 4.0, -8
+#: Rows of one cell that one task joins; a cell with more is split.
+CELL_ROWS = 100_000
+
+
 def _bins(df: DataFrame, lo: str, hi: str, width: float, eps: float, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(bin_key(F.col(lo) - eps, width), bin_key(F.col(hi) + eps, width))))
 
 
 def bin_width(a: DataFrame, b: DataFrame, eps: float = 0.0) -> tuple[float, float]:
-    """Twice the mean extent of both sides' boxes in x and in y: most boxes then take up to two bins each way."""
-    out = []
-    for lo, hi in (("xmin", "xmax"), ("ymin", "ymax")):
-        r = a.select((F.col(hi) - F.col(lo)).alias("d")).unionByName(b.select((F.col(hi) - F.col(lo)).alias("d"))).agg(F.avg("d")).first()[0]
-        out.append(max(2.0 * ((r or 0.0) + 2 * eps), 1e-9))
-    return out[0], out[1]
-
-
-def overlap_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, eps: float = 0.0, width: tuple[float, float] | None = None) -> DataFrame:
-    """(a_id, b_id) of boxes that meet, edges included, after both sides grow by eps.
-
-    Boxes are cut into grid bins and joined on them, so the plan is an equi-join, never a nested loop. A pair
-    that shares several bins is kept in one: the bin of the larger of its two lower corners, so nothing is
-    shuffled to remove repeats.
+    """Twice the mean extent of both sides' boxes in x and in y."""
+    mean = lambda lo, hi: F.avg(F.col(hi) - F.col(lo))
+    r = a.select(*BOX).unionByName(b.select(*BOX)).agg(mean("xmin", "xmax"), mean("ymin", "ymax")).first()
+    return tuple(max(2.0 * ((x or 0.0) + 2 * eps), 1e-9) for x in r)
+
+
+def box_level(wx: float, wy: float, eps: float) -> Column:
+    """The level whose cells are as wide and high as a box at least: it lies in four of them at most."""
+    extent = F.greatest((F.col("xmax") - F.col("xmin") + 2 * eps) / wx, (F.col("ymax") - F.col("ymin") + 2 * eps) / wy)
+    level = F.ceil(F.log(extent) / F.log(F.lit(STEP)) + 1e-9).cast("int")
+    return F.when(extent > STEP**LOWEST, F.greatest(level, F.lit(LOWEST))).otherwise(F.lit(LOWEST))
+
+
+def _cells(df: DataFrame, levels: Column, wx: float, wy: float, eps: float) -> DataFrame:
+    """A row for each of `levels` and cell (bx, by) of it that a box meets."""
+    df = df.withColumn("bl", F.explode(levels))
+    key = lambda c, w, more: F.floor((F.col(c) + more) / (F.lit(w) * F.pow(F.lit(STEP), F.col("bl")))).cast("long")
+    df = df.withColumn("bx", F.explode(F.sequence(key("xmin", wx, -eps), key("xmax", wx, eps))))
+    return df.withColumn("by", F.explode(F.sequence(key("ymin", wy, -eps), key("ymax", wy, eps))))
+
+
+def _split(left: DataFrame, right: DataFrame, key: list[str], most: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with a part of the cell, where any cell has more than `most` rows of the left: its rows are dealt to parts, the right's stand in each."""
+    hot = left.groupBy(*key).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    if hot.isEmpty():
+        return left, right, key
+    parts = F.coalesce("parts", F.lit(1))
+    left = left.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("parts")
+    right = right.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left, right, [*key, "part"]
+
+
+def overlap_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, eps: float = 0.0, width: tuple[float, float] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(a_id, b_id) of boxes that meet, edges included, after both sides grow by eps; boxes with a null or NaN corner meet nothing.
+
+    A hierarchy of grids: each box is at the level whose cells are about its size, and stands in four of them at
+    most. Two boxes meet in the cells of the coarser one's level, so a side also stands in the cells of those coarser
+    levels that the other side has. The plan is one equi-join, or two where both sides have coarser boxes than the other.
+    A pair that shares several cells is kept in that of the larger of its two lower corners, so nothing is shuffled to
+    remove repeats. `width` is the size of level 0; cells with more than cell_rows of the finer side are split.
     """
     if a_id == b_id:
         raise QuernError("overlap_names", "the two sides' ids need different names")
-    wx, wy = width or bin_width(a, b, eps)
-    left, right = a.select(a_id, *[F.col(c).alias(f"a_{c}") for c in BOX]), b.select(b_id, *[F.col(c).alias(f"b_{c}") for c in BOX])
-    left = _bins(_bins(left, "a_xmin", "a_xmax", wx, eps, "bx"), "a_ymin", "a_ymax", wy, eps, "by")
-    right = _bins(_bins(right, "b_xmin", "b_xmax", wx, eps, "bx"), "b_ymin", "b_ymax", wy, eps, "by")
     c = F.col
-    meet = (c("a_xmin") - eps <= c("b_xmax") + eps) & (c("b_xmin") - eps <= c("a_xmax") + eps) & (c("a_ymin") - eps <= c("b_ymax") + eps) & (c("b_ymin") - eps <= c("a_ymax") + eps)
-    once = (c("bx") == bin_key(F.greatest("a_xmin", "b_xmin") - eps, wx)) & (c("by") == bin_key(F.greatest("a_ymin", "b_ymin") - eps, wy))
-    return left.join(right, ["bx", "by"]).where(meet & once).select(a_id, b_id)
+    real = lambda df: df.where(" and ".join(f"{x} is not null and not isnan({x})" for x in BOX))
+    a, b = (real(df.select(c(i).alias(i), *[c(x).cast("double").alias(x) for x in BOX])) for df, i in ((a, a_id), (b, b_id)))
+    wx, wy = width or bin_width(a, b, eps)
+    left, right = (df.withColumn("level", box_level(wx, wy, eps)) for df in (a, b))
+    # Levels are a few dozen at most, whatever the tables.
+    have = left.select(F.lit(0).alias("side"), "level").unionByName(right.select(F.lit(1).alias("side"), "level")).distinct().collect()
+    of = [sorted(r["level"] for r in have if r["side"] == side) for side in (0, 1)]
+
+    def joined(fine: DataFrame, coarse: DataFrame, levels: list[int], strict: bool) -> DataFrame:
+        """Pairs at the levels of `coarse`, with the other side's boxes that are finer, or as fine unless strict."""
+        up = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x > c("level") if strict else x >= c("level"))
+        fine, coarse = _cells(fine, up, wx, wy, eps), _cells(coarse, F.array("level"), wx, wy, eps)
+        fine, coarse, key = _split(fine.drop("level"), coarse.drop("level"), ["bl", "bx", "by"], cell_rows)
+        fine, coarse = (df.withColumnsRenamed({x: f"{side}_{x}" for x in BOX}) for df, side in ((fine, "f"), (coarse, "c")))
+        meet = (c("f_xmin") - eps <= c("c_xmax") + eps) & (c("c_xmin") - eps <= c("f_xmax") + eps) & (c("f_ymin") - eps <= c("c_ymax") + eps) & (c("c_ymin") - eps <= c("f_ymax") + eps)
+        cell = lambda x, w: F.floor((F.greatest(f"f_{x}", f"c_{x}") - eps) / (F.lit(w) * F.pow(F.lit(STEP), c("bl")))).cast("long")
+        once = (c("bx") == cell("xmin", wx)) & (c("by") == cell("ymin", wy))
+        return fine.join(coarse, key).where(meet & once).select(a_id, b_id)
+
+    pairs = joined(left, right, of[1], False)
+    if of[0] and of[1] and of[0][-1] > of[1][0]:
+        pairs = pairs.unionByName(joined(right, left, of[0], True))
+    return pairs
 
 
 def interval_join(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b_hi: str, width: float, eps: float = 0.0) -> DataFrame:
@@ -75,13 +123,15 @@ def nearest(points: DataFrame, targets: DataFrame, point: str, target: str, x: s
     both = p.select("__at", "__p", F.lit(None).cast(t.schema["__t"].dataType).alias("__t")).unionByName(t.select("__at", F.lit(None).cast(p.schema["__p"].dataType).alias("__p"), "__t"))
     both = both.withColumn("__range", here).withColumn("__stop", F.when(F.col("__t").isNotNull(), stop))
     # At one place targets come first, so a point sees those of its own place as before it.
-    w = Window.partitionBy("__range").orderBy("__at", F.col("__p").isNotNull())
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    near = both.select("__p", "__at", "__range", F.last("__stop", True).over(before).alias("__lo"), F.first("__stop", True).over(after).alias("__hi")).where("__p is not null")
+    # Turned round, what comes after is the last one before: frames that only grow cost one step a row.
+    w, past = Window.partitionBy("__range"), (Window.unboundedPreceding, -1)
+    before = w.orderBy("__at", F.col("__p").isNotNull()).rowsBetween(*past)
+    after = w.orderBy(F.desc("__at"), F.col("__p").isNull()).rowsBetween(*past)
+    near = both.select("__p", "__at", "__range", F.last("__stop", True).over(before).alias("__lo"), F.last("__stop", True).over(after).alias("__hi")).where("__p is not null")
     # One row a range: the windows without partitions hold the list of ranges.
     ends = both.groupBy("__range").agg(F.min("__stop").alias("__min"), F.max("__stop").alias("__max"))
-    o = Window.orderBy("__range")
-    ends = ends.select(F.col("__range").alias("__of"), F.last("__max", True).over(o.rowsBetween(Window.unboundedPreceding, -1)).alias("__below"), F.first("__min", True).over(o.rowsBetween(1, Window.unboundedFollowing)).alias("__above"))
+    below, above = (Window.orderBy(o("__range")).rowsBetween(*past) for o in (F.asc, F.desc))
+    ends = ends.select(F.col("__range").alias("__of"), F.last("__max", True).over(below).alias("__below"), F.last("__min", True).over(above).alias("__above"))
     near = near.join(F.broadcast(ends), F.col("__range") == F.col("__of"))
     lo, hi = F.coalesce("__lo", "__below"), F.coalesce("__hi", "__above")
     option = lambda s: F.when(s.isNotNull(), F.struct(F.abs(F.col("__at") - s["__at"]).alias("distance"), s["id"].alias("id")))

@@ -17,7 +17,7 @@ from ..streaming import refresh
 from ..streaming.refresh import shared_folder
 from ..types import REDUCERS, SEMIRINGS, Factor
 from . import systems
-from . import field_queries, more_queries  # noqa: F401
+from . import field_queries, more_queries, wide_queries  # noqa: F401
 from .document import Evaluator
 from .expressions import node, parse
 from .registry import QUERIES, SQL, Tables, c, query

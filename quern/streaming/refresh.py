@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import signal
-import tempfile
 import time
 from collections.abc import Callable
 
@@ -13,18 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..errors import QuernError
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset and all runs on this machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise QuernError("no_shared_folder", "set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = f"file://{tempfile.mkdtemp()}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
+from ..shared import shared_folder  # noqa: F401
 
 
 def on_refresh(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:

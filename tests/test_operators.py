@@ -226,7 +226,7 @@ def test_spherical_area(spark):
     self_overlap = df.select(geometry.intersection_area(F.col("a"), F.col("a"), "spherical")).first()[0]
     assert math.isclose(self_overlap, math.pi / 2, rel_tol=1e-9)
     small = frame(spark, [(square(0, 0, 2), square(1, 1, 2))], f"a {geometry.RING}, b {geometry.RING}")
-    flat, round_ = small.select(geometry.intersection_area(F.col("a"), F.col("b")), geometry.intersection_area(F.col("a"), F.col("b"), "geodesic", 180 / math.pi)).first()
+    flat, round_ = small.select(geometry.intersection_area(F.col("a"), F.col("b")), geometry.intersection_area(F.col("a"), F.col("b"), "spherical", 180 / math.pi)).first()
     assert math.isclose(flat, round_, rel_tol=2e-3)
 
 
