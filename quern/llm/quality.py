@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .labelled import SAMPLE_ROWS, sample
+from .labelled import DIGITS, SAMPLE_ROWS, sample, times
 from .lm_scoring import crc_is
 from .sharded import CELL, Shards, Sorted, cells, gathering, grouped, packed, runs, shard_number, shard_of, unpacked, write_sorted
 from .shared import new_folder, saved, ship, text_bytes
@@ -299,10 +299,10 @@ class Network:
             self.temperature = float(grid[int(np.argmin(loss))])
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.mean) / self.spread @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3]
+        return times(np.tanh(times((x - self.mean) / self.spread, self.p[0]) + self.p[1]), self.p[2][:, None])[:, 0] + self.p[3]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -30, 30))), DIGITS)
 
 
 class Constant:

@@ -1,48 +1,15 @@
-"""The folder that driver and executors share, tables cut from their lineage, and the package on the executors."""
+"""Files in the folder that driver and executors share, beside the tables of quern.shared."""
 
 from __future__ import annotations
 
 import os
 import shutil
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parent.parent
-    folder = Path(tempfile.mkdtemp())
-    with zipfile.ZipFile(folder / "quern_pkg.zip", "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(Path(root.name) / p.relative_to(root)))
-    spark.sparkContext.addPyFile(str(folder / "quern_pkg.zip"))
-    _SHIPPED.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset and all runs on this machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+from ..shared import dropped, new_path, saved, ship  # noqa: F401
 
 def local_path(url: str) -> str:
     """A shared folder as the file system shows it: what is memory-mapped must be a mounted path."""
@@ -59,23 +26,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage is cut, and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quern_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete what saved() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, df._quern_path
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def write_array_file(path: str, put) -> None:
     """put(temporary path), then an atomic rename: a task that runs twice leaves one whole file."""
     temporary = f"{path}.{uuid.uuid4().hex}"

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .labelled import SAMPLE_ROWS, sample
+from .labelled import DIGITS, SAMPLE_ROWS, sample, times
 from .lm_scoring import crc_is
 from .sharded import packed, runs, shard_of, totals, unpacked
 from .shared import saved, ship
@@ -196,7 +196,7 @@ class Model:
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.log1p(x) @ self.weights + self.bias, -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(times(np.log1p(x), self.weights[:, None])[:, 0] + self.bias, -30, 30))), DIGITS)
 
 
 def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, drawn: float = DRAWN) -> tuple[np.ndarray, float]:
