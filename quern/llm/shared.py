@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shared import dropped, new_path, saved, ship  # noqa: F401
 
+
 def local_path(url: str) -> str:
     """A shared folder as the file system shows it: what is memory-mapped must be a mounted path."""
     if url.startswith("file:"):
