@@ -22,6 +22,7 @@ from ..functions.scalar import ALIASES, OPS, op, truth
 from ..functions.closed import FunctionTable
 from ..operators import arrays, geometry
 from ..operators.aggregate import expand_range, prefix
+from ..operators.elimination import contract
 from ..operators.relational import key_int, rank, skolem, skolem_edge
 from ..operators.spatial import overlap_join
 from ..types import Factor, IndexSet, check_keys, semiring
@@ -31,6 +32,8 @@ from .systems import lower
 ARRAYOP = {"arrayop": "aggregate"}
 #: Comparisons of a contracted symbol with an output symbol that make a fold a prefix: (strict, reverse).
 PREFIX = {"<=": (False, False), "<": (True, False), ">=": (False, True), ">": (True, True)}
+#: What a body's product is called in each semiring.
+PRODUCT = {"sum_product": "*", "max_product": "*", "min": "*", "min_sum": "+", "max_sum": "+"}
 TURNED = {"<=": ">=", "<": ">", ">=": "<=", ">": "<"}
 
 
@@ -519,6 +522,10 @@ class Evaluator:
             own = {s: r for s, r in e.get("ranges", {}).items() if s in out}
             dense, _ = self.enumerate({"ranges": own}) if out else (self.spark.range(1).select(), {})
             dense = dense.select(*out)
+            if (parts := self.product_of(e, ring)) is not None:
+                folded = contract(parts, list(out), ring, "value", {s: self.sets[r["from"]].size for s, r in e["ranges"].items()})
+                folded = dense.join(folded, list(out), "left") if out else folded
+                return Factor(folded.withColumn("value", F.coalesce("value", F.lit(ring.zero))), tuple(out))
             df, names = self.enumerate(e)
             df, body = self.column(e["expr"], df, names)
         if out and out == list(e.get("ranges", {})):
@@ -533,6 +540,43 @@ class Evaluator:
         folded = df.groupBy(*out).agg(ring.plus(body).alias("value"))
         return Factor(dense.join(folded, list(out), "left").withColumn("value", F.coalesce("value", F.lit(ring.zero))), tuple(out))
 
+    def product_of(self, e: Expr, ring) -> list[Factor] | None:
+        """The factors of a body that is the ring's product of two or more arrays, each by symbols of interval sets; None for any other.
+
+        Such a fold is contracted index by index, and symbols that no factor ties to others are never multiplied out.
+        """
+        ranges, times = e.get("ranges", {}), PRODUCT.get(ring.name)
+        plain = all(isinstance(r, dict) and not r.get("of") and self.kind(r["from"]) == "interval" for r in ranges.values())
+        if times is None or not plain or e.get("filter") is not None or e.get("join") or e.get("key") is not None:
+            return None
+        terms, parts, scale = [e["expr"]], [], None
+        while terms:
+            t = terms.pop(0)
+            if is_node(t) and t["op"] == times:
+                terms = list(t["args"]) + terms
+            elif is_node(t) and t["op"] == "index" and isinstance(t["args"][0], str) and t["args"][0] not in self.model.get("states", ()):
+                parts.append((t["args"][0], t["args"][1:]))
+            elif isinstance(t, int | float) and not isinstance(t, bool) or isinstance(t, str) and t in self.scalars:
+                x = float(self.scalars.get(t, t) if isinstance(t, str) else t)
+                scale = x if scale is None else scale * x if times == "*" else scale + x
+            else:
+                return None
+        used = [s for _, at in parts for s in at]
+        if len(parts) < 2 or any(not isinstance(s, str) or s not in ranges for s in used) or set(used) != set(ranges) or any(len(set(at)) < len(at) for _, at in parts):
+            return None
+        out = []
+        for name, at in parts:
+            f = self.factor(name)
+            if len(f.axes) != len(at):
+                return None
+            f = f.named(*at, value="value")
+            inside = reduce(lambda a, b: a & b, [F.col(s).between(1, self.sets[ranges[s]["from"]].size) for s in at])
+            value = F.col("value").cast("double")
+            if scale is not None:
+                value, scale = (value * scale if times == "*" else value + scale), None
+            out.append(Factor(f.df.where(inside).select(*at, value.alias("value")), tuple(at)))
+        return out
+
     def prefix_of(self, e: Expr) -> tuple[str, str, bool, bool] | None:
         """(output symbol, contracted symbol, strict, reverse) if e folds one symbol up to another of the same set, and nothing else."""
         out, ranges, test = e.get("output_idx", []), e.get("ranges", {}), e.get("filter")

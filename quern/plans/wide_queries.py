@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import arrays, spatial
 from ..operators.aggregate import aggregate
 from ..types import SEMIRINGS, Factor
+from .expressions import node
+from .more_queries import aggregated, evaluate
 from .registry import Tables, c, query
 
 # --- contractions ---
@@ -41,6 +43,23 @@ def faq_triangle(spark, sf_dir):
     return aggregate([supplies, serves, buys, home], ["nation"], SEMIRINGS["sum_product"], name="triangles")
 
 
+@query("""WITH n AS (SELECT c_nationkey AS n, c_custkey % 40 + 1 AS k, sum(floor(c_acctbal)) AS v FROM customer GROUP BY 1, 2),
+o AS (SELECT o_custkey % 40 + 1 AS k, o_orderkey % 60 + 1 AS m, count(*)::DOUBLE AS v FROM orders GROUP BY 1, 2),
+l AS (SELECT l_orderkey % 60 + 1 AS m, l_suppkey % 30 + 1 AS s, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
+SELECT a.n::BIGINT + 1 AS i, l.s::BIGINT AS l, 0.5 * sum(a.v * o.v * l.v) AS value FROM n a JOIN o USING (k) JOIN l USING (m) GROUP BY 1, 2""")
+def doc_chain(spark, sf_dir):
+    """A document whose equation is a product of three arrays over four symbols: contracted symbol by symbol, none multiplied out."""
+    t = Tables(spark, sf_dir)
+    place = lambda key, n: (c(key) % n + 1).cast("long")
+    a = t("customer").groupBy((c("c_nationkey") + 1).cast("long").alias("i"), place("c_custkey", 40).alias("j")).agg(F.sum(F.floor("c_acctbal")).cast("double").alias("value"))
+    b = t("orders").groupBy(place("o_custkey", 40).alias("j"), place("o_orderkey", 60).alias("k")).agg(F.count("*").cast("double").alias("value"))
+    d = t("lineitem").groupBy(place("l_orderkey", 60).alias("k"), place("l_suppkey", 30).alias("l")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    at = lambda name, *s: node("index", name, *s)
+    flow = aggregated(node("*", 0.5, at("a", "i", "j"), node("*", at("b", "j", "k"), at("d", "k", "l"))), {"i": "p", "j": "q", "k": "r", "l": "s"}, ["i", "l"])
+    factors = {"a": Factor(a, ("i", "j")), "b": Factor(b, ("j", "k")), "d": Factor(d, ("k", "l"))}
+    return evaluate(spark, "flow", {"p": 25, "q": 40, "r": 60, "s": 30}, {"a": ["p", "q"], "b": ["q", "r"], "d": ["r", "s"]}, {"flow": flow}, factors)
+
+
 # --- long axes, mixed boxes ---
 
 

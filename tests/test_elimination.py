@@ -135,3 +135,24 @@ def test_a_product_of_products_is_folded_once(spark):
     f = Factor(spark.createDataFrame([(1, 2.0), (1, 3.0)], "i long, value double"), ("i",))
     g = Factor(spark.createDataFrame([(1, 1, 5.0), (1, 2, 7.0)], "i long, j long, value double"), ("i", "j"))
     assert aggregate([f, g], [], REDUCERS["*"], name="x").first().x == 2.0 * 5 * 2 * 7 * 3 * 5 * 3 * 7
+
+
+@pytest.mark.parametrize(("semiring", "times"), [("sum_product", "*"), ("max_product", "*"), ("min_sum", "+"), ("max_sum", "+")])
+def test_a_document_of_a_product_of_arrays_equals_loops(spark, semiring, times):
+    from quern.plans.document import Evaluator
+    from quern.plans.expressions import node
+
+    rng = random.Random(semiring)
+    sizes = {"i": 3, "j": 4, "k": 5}
+    value = lambda *ns: {at: float(rng.randint(-5, 5)) for at in itertools.product(*(range(1, n + 1) for n in ns))}
+    a, b, c = value(3, 4), value(4, 5), value(5)
+    frame = lambda d, axes: Factor(spark.createDataFrame([(*k, v) for k, v in d.items()], ", ".join(f"{x} long" for x in axes) + ", value double"), tuple(axes))
+    body = node(times, 2.0, node("index", "a", "i", "j"), node(times, node("index", "b", "j", "k"), node("index", "c", "k")))
+    eq = {"op": "aggregate", "args": [], "semiring": semiring, "output_idx": ["i"], "ranges": {s: {"from": f"set_{s}"} for s in sizes}, "expr": body}
+    doc = {"index_sets": {f"set_{s}": {"kind": "interval", "size": n} for s, n in sizes.items()}, "models": {"M": {"variables": {}, "equations": [{"lhs": "y", "rhs": eq}]}}}
+    ev = Evaluator(spark, doc, "M", {"a": frame(a, "xy"), "b": frame(b, "pq"), "c": frame(c, "z")})
+    got = ev.evaluate("y")
+    assert "CartesianProduct" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "Join Cross" not in plan
+    plus = PLUS[semiring][0]
+    term = (lambda i, j, k: 2.0 * a[i, j] * b[j, k] * c[k,]) if times == "*" else (lambda i, j, k: 2.0 + a[i, j] + b[j, k] + c[k,])
+    assert {r.i: r.value for r in got.collect()} == {i: plus(term(i, j, k) for j in range(1, 5) for k in range(1, 6)) for i in range(1, 4)}
