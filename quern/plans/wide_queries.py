@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import arrays, spatial
 from ..operators.aggregate import aggregate
+from ..shared import shared_folder
+from ..streaming import stateful
 from ..types import SEMIRINGS, Factor
 from .expressions import node
 from .more_queries import aggregated, evaluate
@@ -80,3 +84,19 @@ def overlap_mixed_sizes(spark, sf_dir):
     a = t("orders", c("o_orderkey").alias("a"), *n(c("o_totalprice"), c("o_custkey").cast("double"), F.when(c("o_orderkey") % 500 == 0, 20000.0).otherwise(2.0)))
     b = t("customer", c("c_custkey").alias("b"), *n(c("c_acctbal") * 20, c("c_custkey").cast("double"), 3.0 * F.pow(F.lit(10.0), c("c_custkey") % 4)))
     return spatial.overlap_join(a, b, "a", "b").groupBy("a").agg(F.count("*").alias("n"), F.sum("b").alias("ids"))
+
+
+# --- streams ---
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, value - 245 AS x, lag(value - 245) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE (p < 0 AND x >= 0) OR (p > 0 AND x <= 0)")
+def event_stream(spark, sf_dir):
+    """Crossings found on a stream: five micro-batches of later and later events, the stream stopped and started again between them."""
+    at, parts = f"{shared_folder(spark)}/event-stream-{uuid.uuid4().hex}", 5
+    events = Tables(spark, sf_dir)("events", "user_id", "event_id", (c("value") - 245).alias("x"))
+    lo, hi = events.agg(F.min("event_id"), F.max("event_id")).first()
+    for k in range(parts):
+        events.where(F.floor((c("event_id") - lo) * parts / (hi - lo + 1)) == k).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{at}/in")
+        stateful.append_now(stateful.crossings(stream, ["user_id"], "event_id", "x"), f"{at}/out", f"{at}/log")
+    return spark.read.parquet(f"{at}/out").select("user_id", "event_id")
