@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import arrays, spatial
 from ..operators.aggregate import aggregate
 from ..shared import shared_folder
+from ..sources import grids
 from ..streaming import stateful
 from ..types import SEMIRINGS, Factor
 from .expressions import node
@@ -86,6 +87,19 @@ def overlap_mixed_sizes(spark, sf_dir):
     return spatial.overlap_join(a, b, "a", "b").groupBy("a").agg(F.count("*").alias("n"), F.sum("b").alias("ids"))
 
 
+# --- grids ---
+
+
+@query("""WITH g AS (SELECT dayofyear(ts)::BIGINT AS day, user_id % 24 + 1 AS slot, sum(floor(value)) AS total FROM events GROUP BY 1, 2)
+SELECT day, slot::BIGINT AS slot, CASE WHEN g.total IS NULL THEN 'NaN'::DOUBLE ELSE g.total::DOUBLE END AS total FROM (SELECT unnest(range(5, 21)) AS day) CROSS JOIN (SELECT unnest(range(7, 25)) AS slot) LEFT JOIN g USING (day, slot)""")
+def grid_zarr(spark, sf_dir):
+    """Sums by day and slot written as a Zarr array of 10 x 8 cells a chunk, and a box of it read back: of 111 chunks 6 are opened."""
+    at = f"{shared_folder(spark)}/grid-{uuid.uuid4().hex}"
+    sums = Tables(spark, sf_dir)("events").groupBy(F.dayofyear("ts").cast("long").alias("day"), (c("user_id") % 24 + 1).cast("long").alias("slot")).agg(F.sum(F.floor("value")).cast("double").alias("total"))
+    grids.write_zarr(sums, at, "total", {"day": 366, "slot": 24}, {"day": 10, "slot": 8})
+    return grids.read_zarr(spark, at, "total").where((c("day") >= 5) & (c("day") <= 20) & (c("slot") > 6))
+
+
 # --- streams ---
 
 

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QuernError
+from . import grids
 
 #: Formats by name; register() adds more. Each reader takes (spark, path, options).
 FORMATS: dict[str, Callable[[SparkSession, str, dict], DataFrame]] = {
     f: (lambda spark, path, options, f=f: spark.read.format(f).options(**options).load(path)) for f in ("parquet", "orc", "json", "text", "binaryFile")
 }
+FORMATS["zarr"] = lambda spark, path, options: grids.read_zarr(spark, path, **options)
+FORMATS["netcdf"] = lambda spark, path, options: grids.read_netcdf(spark, path, **options)
 FORMATS["csv"] = lambda spark, path, options: spark.read.options(**{"header": "true", "inferSchema": "true"} | options).csv(path)
 
 
