@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import saved, ship
+from .shared import new_folder, saved, ship
+from .sharded import Shards, Sorted, written_table
 from .text import counts_of_words
+from .text import mix as hashed
 
 #: Documents that one flight handles; what it leaves undecided (at most two) flies again with that of other blocks.
 BLOCK = 2048
@@ -159,7 +161,25 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
         every = every.unionByName(p)
     taken = (copies + F.round("p").cast("long")).cast("long")
     out = every.join(goal, of).select("doc_id", "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken"), "source", *place)
-    return out.join(sizes.select("place", *kept), "place").drop("place") if keep else out
+    if not keep:
+        return out
+    # What is kept stays where it is: a scan looks up each row's copies, and no text is shuffled.
+    folder = new_folder(spark, "mix-taken")
+    shards = written_table(out, folder, "taken", "place", ("source_size", "target", "copies"))
+    schema = "doc_id long, size long, source_size long, target double, copies long, taken long, source string"
+    return sizes.mapInArrow(_with_copies(folder, shards, kept), StructType([*StructType.fromDDL(schema), *(sizes.schema[k] for k in kept)]))
+
+
+def _with_copies(folder: str, shards: Shards, kept: list[str]):
+    def look(batches):
+        known = Sorted(folder, "taken", shards, ("source_size", "target", "copies"))
+        for b in batches:
+            whole, target, copies = known.get(hashed(b.column("place").to_numpy().view(np.uint64)))
+            size = b.column("size").to_numpy()
+            own = [b.column("doc_id"), b.column("size"), pa.array(whole), pa.array(target.astype(float)), pa.array(copies), pa.array(copies * size), b.column("source"), *(b.column(k) for k in kept)]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "size", "source_size", "target", "copies", "taken", "source", *kept])
+
+    return look
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from .shared import write_array_file
+from .text import mix
 
 #: Bytes of text to a shard of its statistics; cells that one gathering sends at most.
 SHARD_BYTES, FAN = 14 << 20, 1024
@@ -208,3 +209,31 @@ class Sorted:
                     out[k] = np.zeros((len(q), *x.shape[1:]), np.float64 if x.dtype.kind == "f" else np.int64)
                 out[k][rows[hit]] = x[i[hit]]
         return [np.zeros(len(q), np.int64) if x is None else x for x in out]
+
+
+def _dealt_by(key: str, shards: Shards):
+    def deal(batches):
+        for b in batches:
+            where = shard_of(mix(b.column(key).to_numpy().view(np.uint64)), shards)
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), *b.columns], ["shard", *b.schema.names])
+
+    return deal
+
+
+def _written(folder: str, name: str, key: str, columns: tuple[str, ...]):
+    def write(shard, table):
+        h = mix(table[key].to_numpy().view(np.uint64))
+        order = np.argsort(h)
+        write_sorted(folder, name, shard[0].as_py(), key=h[order], **{c: table[c].to_numpy()[order] for c in columns})
+        return pa.table({"n": pa.array([len(h)], pa.int64())})
+
+    return write
+
+
+def written_table(df, folder: str, name: str, key: str, columns: tuple[str, ...]) -> Shards:
+    """Rows of a unique long key and columns of numbers without nulls, as sorted arrays of the shared folder that scans map and look up."""
+    rows = df.select(key, *columns)
+    shards = shard_number(8 * (1 + len(columns)) * rows.count())
+    dealt = rows.mapInArrow(_dealt_by(key, shards), "shard int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)).repartitionById(shards, F.col("shard"))
+    dealt.groupBy("shard").applyInArrow(_written(folder, name, key, columns), "n long").agg(F.sum("n")).collect()
+    return shards
