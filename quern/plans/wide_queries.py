@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import arrays, spatial
+from ..operators import arrays, exact, spatial
 from ..operators.aggregate import aggregate
 from ..shared import shared_folder
 from ..sources import grids
-from ..streaming import stateful
+from ..streaming import deltas, refresh, stateful
 from ..types import SEMIRINGS, Factor
 from .expressions import node
 from .more_queries import aggregated, evaluate
@@ -114,3 +114,38 @@ def event_stream(spark, sf_dir):
         stream = spark.readStream.schema(events.schema).parquet(f"{at}/in")
         stateful.append_now(stateful.crossings(stream, ["user_id"], "event_id", "x"), f"{at}/out", f"{at}/log")
     return spark.read.parquet(f"{at}/out").select("user_id", "event_id")
+
+
+@query("""SELECT CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_nationkey END::BIGINT AS nation, count(*)::BIGINT AS n, sum(x)::DOUBLE AS total, min(x)::DOUBLE AS least, max(x)::DOUBLE AS most
+FROM (SELECT o_custkey, floor(CASE WHEN o_orderkey % 10 = 0 THEN 2 * o_totalprice ELSE o_totalprice END) AS x FROM orders WHERE o_orderkey % 15 <> 0) JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
+def refresh_deltas(spark, sf_dir):
+    """Folds over orders and customers as both change: three micro-batches, of which the second corrects prices and moves customers, the third takes orders away."""
+    at, t = f"{shared_folder(spark)}/deltas-{uuid.uuid4().hex}", Tables(spark, sf_dir)
+    orders = t("orders", c("o_custkey").alias("k"), "o_orderkey", c("o_totalprice").alias("x"))
+    cust = t("customer", c("c_custkey").alias("k"), c("c_nationkey").cast("long").alias("nation"))
+    row = lambda df, side, sign: df.select(F.lit(side).alias("side"), "k", *[c(x) if x in df.columns else F.lit(None).cast(kind).alias(x) for x, kind in (("nation", "long"), ("x", "double"), ("o_orderkey", "long"))], F.lit(sign).alias("sign"))
+    tenth, moved, gone = orders.where("o_orderkey % 10 = 0"), cust.where("k % 7 = 0"), orders.where("o_orderkey % 15 = 0")
+    price = F.when(c("o_orderkey") % 10 == 0, 2 * c("x")).otherwise(c("x"))
+    batches = [
+        [row(orders, "left", 1), row(cust, "right", 1)],
+        [row(tenth, "left", -1), row(tenth.withColumn("x", 2 * c("x")), "left", 1), row(moved, "right", -1), row(moved.withColumn("nation", F.lit(0).cast("long")), "right", 1)],
+        [row(gone.withColumn("x", price), "left", -1)],
+    ]
+    folds = {"n": ("count", None), "total": ("sum", "y"), "least": ("min", "y"), "most": ("max", "y")}
+    view = deltas.JoinedView(spark, f"{at}/view", {"k": "long", "o_orderkey": "long", "x": "double"}, {"k": "long", "nation": "long"}, {"nation": "long"}, folds, lambda df: df.withColumn("y", F.floor("x").cast("double")), buckets=16)
+
+    def apply(batch, number):
+        view.refresh(number, batch.where("side = 'left'"), batch.where("side = 'right'")).write.format("noop").mode("overwrite").save()
+
+    for parts in batches:
+        for part in parts:
+            part.write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(parts[0].schema).parquet(f"{at}/in")
+        refresh.on_refresh(stream, apply, f"{at}/log").awaitTermination()
+    return view.current()
+
+
+@query("SELECT l_returnflag, fsum(l_extendedprice) AS total FROM lineitem GROUP BY 1")
+def sum_exact(spark, sf_dir):
+    """Sums over three hot groups that are exact until they are rounded once, partial in every task."""
+    return exact.exact_sum(Tables(spark, sf_dir)("lineitem", "l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", "total")
