@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..errors import QuernError
 from ..operators import exact
+from ..shared import saved
 
 BUCKETS = 64
 
@@ -120,7 +121,7 @@ class FoldView:
             else:
                 every.append(F.when(F.lit(True) if column is None else F.col(column).isNotNull(), one(name, F.lit(0.0), F.col("sign"))))
         rows = changes.select(*self.keys, F.explode(F.array_compact(F.array(*every))).alias("p")).select(*self.keys, "p.*")
-        return rows.groupBy(*self.keys, "fold", "part").agg(F.sum("amount").cast("decimal(38,0)").alias("amount")).where("amount <> 0")
+        return rows.groupBy(*self.keys, "fold", "part").agg(F.sum("amount").cast("decimal(38,0)").alias("amount"))
 
     def values(self, rows: DataFrame) -> DataFrame:
         """keys and folds of kept amounts."""
@@ -140,8 +141,9 @@ class FoldView:
 
     def refresh(self, batch: int, changes: DataFrame) -> DataFrame:
         """Take a batch's changes in; gives the keys that they touch with their new folds, read from those keys' buckets only."""
-        own = self.kept.apply(batch, self.parts(changes))
-        return self.values(self.kept.rows(buckets=own).join(changes.select(*self.keys).distinct(), self.keys, "left_semi"))
+        parts = saved(self.parts(changes), "delta")
+        own = self.kept.apply(batch, parts)
+        return self.values(self.kept.rows(buckets=own).join(parts.select(*self.keys).distinct(), self.keys, "left_semi"))
 
     def current(self) -> DataFrame:
         return self.values(self.kept.rows())
@@ -165,7 +167,7 @@ class JoinedView:
         """Changes of both sides: new left rows meet the right side as it was, new right rows the left side as it is now."""
         real = " and ".join(f"`{c}` is not null" for c in self.on)
         net = lambda df, kept: df.groupBy(*kept.columns).agg(F.sum("sign").alias("amount")).where("amount <> 0").where(real)
-        dl, dr = net(left, self.left), net(right, self.right)
+        dl, dr = saved(net(left, self.left), "delta"), saved(net(right, self.right), "delta")
         before = self.right.rows(batch, self.right.touched(dl))
         self.left.apply(batch, dl)
         now = self.left.rows(batch + 1, self.left.touched(dr))
