@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QuernError
+from ..shared import ship
 from ..types import Factor
 from .aggregate import with_halo
 
@@ -149,3 +152,49 @@ def parse_cell(name: Column) -> tuple[Column, Column]:
 def matvec(matrix: Factor, vector: Factor, row: str, col: str, name: str = "value") -> DataFrame:
     """y[r] = sum over c of A[r, c] * x[c]; map-side sums keep the shuffle at one row a row and task."""
     return matrix.df.select(row, col, F.col(matrix.value).alias("__a")).join(vector.df.select(col, F.col(vector.value).alias("__x")), col).groupBy(row).agg(F.sum(F.col("__a") * F.col("__x")).alias(name))
+
+
+#: Rows and columns of a packed block.
+BLOCK_ROWS, BLOCK_COLS = 4096, 512
+
+
+def matmul(a: Factor, b: Factor, name: str = "value", inner: int | None = None, block: tuple[int, int] = (BLOCK_ROWS, BLOCK_COLS)) -> Factor:
+    """out[r, k] = sum over c of a[r, c] * b[c, k], by dense products of blocks of rows and columns; places count from 1.
+
+    Cells of a meet in blocks of rows and columns; those of b that have a block's columns stand beside each block of rows. One
+    exchange, and a second that adds up where the columns, `inner` of them (their largest place, if not given), fill
+    more than one block. A cell of the result exists where a row and a column share a place; cells with a null key or value take no part,
+    cells given twice are added.
+    """
+    (row, col), (bcol, k) = a.axes, b.axes
+    ship(a.df.sparkSession)
+    tall, wide = block
+    left = a.df.where(F.col(row).isNotNull() & F.col(col).isNotNull() & F.col(a.value).isNotNull()).select(F.col(row).cast("long").alias("r"), F.col(col).cast("long").alias("c"), F.col(a.value).cast("double").alias("v"))
+    right = b.df.where(F.col(bcol).isNotNull() & F.col(k).isNotNull() & F.col(b.value).isNotNull()).select(F.col(k).cast("long").alias("r"), F.col(bcol).cast("long").alias("c"), F.col(b.value).cast("double").alias("v"))
+    rows, cols = left.agg(F.max("r"), F.max("c")).first()
+    blocks = -(-(rows or 0) // tall)
+    placed = lambda df, at, side: df.select(at.alias("rb"), F.floor((F.col("c") - 1) / wide).alias("cb"), F.lit(side).alias("side"), "r", "c", "v")
+    both = placed(left, F.floor((F.col("r") - 1) / tall), 0).unionByName(placed(right, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))) if blocks else F.lit(0).cast("long"), 1))
+
+    def product(key, table):
+        """One block: dense where it has cells, rows and columns that it lacks left out."""
+        side = table["side"].to_numpy()
+        r, c, v = (table[x].to_numpy() for x in "rcv")
+        own, other = side == 0, side == 1
+        rows, ri = np.unique(r[own], return_inverse=True)
+        ks, ki = np.unique(r[other], return_inverse=True)
+        places, ci = np.unique(c, return_inverse=True)
+        dense, there = [], []
+        for n, i, which in ((len(rows), ri, own), (len(ks), ki, other)):
+            x, has = np.zeros((n, len(places))), np.zeros((n, len(places)), np.float32)
+            np.add.at(x, (i, ci[which]), v[which])
+            has[i, ci[which]] = 1
+            dense.append(x)
+            there.append(has)
+        met = np.nonzero(there[0] @ there[1].T)
+        return pa.table({row: rows[met[0]], k: ks[met[1]], name: (dense[0] @ dense[1].T)[met]})
+
+    out = both.groupBy("rb", "cb").applyInArrow(product, f"`{row}` long, `{k}` long, `{name}` double")
+    if (inner or cols or 0) > wide:
+        out = out.groupBy(row, k).agg(F.sum(name).alias(name))
+    return Factor(out, (row, k), name)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import arrays, exact, spatial
+from ..operators import arrays, exact, graphs, spatial
 from ..operators.aggregate import aggregate
 from ..shared import shared_folder
 from ..sources import grids
@@ -65,6 +65,32 @@ def doc_chain(spark, sf_dir):
     return evaluate(spark, "flow", {"p": 25, "q": 40, "r": 60, "s": 30}, {"a": ["p", "q"], "b": ["q", "r"], "d": ["r", "s"]}, {"flow": flow}, factors)
 
 
+@query("""WITH v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS c FROM embeddings),
+m AS (SELECT l_partkey % 64 + 1 AS c, l_suppkey % 64 + 1 AS k, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2)
+SELECT vec_id::BIGINT + 1 AS r, k::BIGINT AS k, sum(floor(256 * x::DOUBLE) * y)::DOUBLE AS value FROM v JOIN m USING (c) GROUP BY 1, 2""")
+def matmul_embeddings(spark, sf_dir):
+    """All embeddings times a 64 x 64 matrix of sums: dense products of packed blocks after one exchange."""
+    t = Tables(spark, sf_dir)
+    vectors = t("embeddings", (c("vec_id") + 1).cast("long").alias("r"), F.posexplode("embedding").alias("c", "x")).select("r", (c("c") + 1).cast("long").alias("c"), F.floor(256 * c("x").cast("double")).cast("double").alias("value"))
+    m = t("lineitem").groupBy((c("l_partkey") % 64 + 1).cast("long").alias("c"), (c("l_suppkey") % 64 + 1).cast("long").alias("k")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    return arrays.matmul(Factor(vectors, ("r", "c")), Factor(m, ("c", "k"))).df
+
+
+# --- graphs ---
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+  WHERE a.l_quantity + b.l_quantity >= 98 AND a.l_suppkey <> b.l_suppkey),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT node::BIGINT AS node, least(node, coalesce(min(x.b), node))::BIGINT AS component FROM (SELECT a AS node FROM e UNION SELECT b FROM e) LEFT JOIN (SELECT r.a, r.b FROM r JOIN r q ON q.a = r.b AND q.b = r.a) x ON x.a = node GROUP BY node""")
+def strong_components(spark, sf_dir):
+    """Strong components of suppliers, one after another in orders of large quantities."""
+    line = Tables(spark, sf_dir)("lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    after = line.select("l_orderkey", (c("l_linenumber") - 1).alias("l_linenumber"), c("l_suppkey").alias("b"), c("l_quantity").alias("q"))
+    e = line.join(after, ["l_orderkey", "l_linenumber"]).where((c("l_quantity") + c("q") >= 98) & (c("l_suppkey") != c("b")))
+    return graphs.strong_components(e.select(c("l_suppkey").cast("long").alias("a"), c("b").cast("long").alias("b")))
+
+
 # --- long axes, mixed boxes ---
 
 
