@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Mapping
+from fractions import Fraction
 from itertools import product
 
 import numpy as np
@@ -213,35 +214,87 @@ UNITS = {
     "A": (1.0, (0, 0, 0, 0, 0, 1, 0)), "cd": (1.0, (0, 0, 0, 0, 0, 0, 1)), "min": (60.0, (0, 0, 1, 0, 0, 0, 0)), "h": (3600.0, (0, 0, 1, 0, 0, 0, 0)), "hr": (3600.0, (0, 0, 1, 0, 0, 0, 0)), "day": (86400.0, (0, 0, 1, 0, 0, 0, 0)), "yr": (31557600.0, (0, 0, 1, 0, 0, 0, 0)),
     "L": (1e-3, (3, 0, 0, 0, 0, 0, 0)), "N": (1.0, (1, 1, -2, 0, 0, 0, 0)), "Pa": (1.0, (-1, 1, -2, 0, 0, 0, 0)), "J": (1.0, (2, 1, -2, 0, 0, 0, 0)), "W": (1.0, (2, 1, -3, 0, 0, 0, 0)), "Hz": (1.0, (0, 0, -1, 0, 0, 0, 0)),
     "rad": (1.0, (0,) * 7), "deg": (math.pi / 180, (0,) * 7), "ppm": (1e-6, (0,) * 7), "ppb": (1e-9, (0,) * 7), "ton": (907.18474, (0, 1, 0, 0, 0, 0, 0)), "atm": (101325.0, (-1, 1, -2, 0, 0, 0, 0)), "bar": (1e5, (-1, 1, -2, 0, 0, 0, 0)),
+    "C": (1.0, (0, 0, 1, 0, 0, 1, 0)), "V": (1.0, (2, 1, -3, 0, 0, -1, 0)), "degC": (1.0, (0, 0, 0, 1, 0, 0, 0)), "°C": (1.0, (0, 0, 0, 1, 0, 0, 0)), "degF": (5 / 9, (0, 0, 0, 1, 0, 0, 0)), "°F": (5 / 9, (0, 0, 0, 1, 0, 0, 0)), "degree": (math.pi / 180, (0,) * 7), "degrees": (math.pi / 180, (0,) * 7),
+    "DU": (2.6867e20, (-2, 0, 0, 0, 0, 0, 0)), "cal": (4.184, (2, 1, -2, 0, 0, 0, 0)), "short_ton": (907.18474, (0, 1, 0, 0, 0, 0, 0)), "tonne": (1000.0, (0, 1, 0, 0, 0, 0, 0)), "lb": (0.45359237, (0, 1, 0, 0, 0, 0, 0)), "eV": (1.602176634e-19, (2, 1, -2, 0, 0, 0, 0)), "mi": (1609.344, (1, 0, 0, 0, 0, 0, 0)), "ft": (0.3048, (1, 0, 0, 0, 0, 0, 0)), "year": (31557600.0, (0, 0, 1, 0, 0, 0, 0)), "ha": (1e4, (2, 0, 0, 0, 0, 0, 0)), "M": (1000.0, (-3, 0, 0, 0, 1, 0, 0)), "psi": (6894.757293168, (-1, 1, -2, 0, 0, 0, 0)), "ppt": (1e-12, (0,) * 7), "%": (1e-2, (0,) * 7), "percent": (1e-2, (0,) * 7), "Torr": (101325 / 760, (-1, 1, -2, 0, 0, 0, 0)), "sr": (1.0, (0,) * 7),
 }
+SIGNS = {ord("²"): "^2", ord("³"): "^3", ord("⋅"): "*", ord("×"): "*", ord("μ"): "µ", ord("⁻"): "^-"}
+UNITS |= {
+    "T": (1.0, (0, 1, -2, 0, 0, -1, 0)), "F": (1.0, (-2, -1, 4, 0, 0, 2, 0)), "Ω": (1.0, (2, 1, -3, 0, 0, -2, 0)), "Wh": (3600.0, (2, 1, -2, 0, 0, 0, 0)), "BTU": (1055.05585262, (2, 1, -2, 0, 0, 0, 0)), "erg": (1e-7, (2, 1, -2, 0, 0, 0, 0)), "mmHg": (133.322387415, (-1, 1, -2, 0, 0, 0, 0)),
+    "meters": (1.0, (1, 0, 0, 0, 0, 0, 0)), "meter": (1.0, (1, 0, 0, 0, 0, 0, 0)), "hour": (3600.0, (0, 0, 1, 0, 0, 0, 0)), "Celsius": (1.0, (0, 0, 0, 1, 0, 0, 0)), "degrees_east": (math.pi / 180, (0,) * 7), "degrees_north": (math.pi / 180, (0,) * 7),
+}
+#: Counts and other plain numbers, which take no prefixes.
+COUNTS = ("dimensionless", "molec", "molecule", "molecules", "individuals", "individual", "units", "unit", "count", "counts", "particles", "cells", "people", "person", "animals", "vehicles", "ppbv", "ppmv", "pptv", "fraction", "psu")
+UNITS |= {name: ({"ppbv": 1e-9, "ppmv": 1e-6, "pptv": 1e-12}.get(name, 1.0), (0,) * 7) for name in COUNTS}
 PREFIXES = {"G": 1e9, "M": 1e6, "k": 1e3, "h": 1e2, "d": 1e-1, "c": 1e-2, "m": 1e-3, "u": 1e-6, "µ": 1e-6, "n": 1e-9, "p": 1e-12}
 
 
 def unit(text: str) -> tuple[float, tuple[int, ...]]:
-    """Factor to SI and dimensions of a unit such as "kg*m^2/s^2", "ug/m3" or "1"."""
-    factor, dims, sign = 1.0, [0.0] * 7, 1
-    for token in re.findall(r"[*/·]|[^*/·\s]+", text.replace("**", "^")):
-        if token in "*·":
-            continue
-        if token == "/":
-            sign = -1
-            continue
-        m = re.fullmatch(r"([^\d^+-]+|1)\^?([+-]?\d+)?", token)
-        if not m:
-            raise QuernError("unit", text)
-        name, power = m[1], sign * int(m[2] or 1)
-        sign = 1
-        if name == "1":
-            continue
-        scale = 1.0
-        if name not in UNITS:
-            if name[0] not in PREFIXES or name[1:] not in UNITS:
-                raise QuernError("unit", f"{name} in {text}")
-            scale, name = PREFIXES[name[0]], name[1:]
-        f, d = UNITS[name]
-        factor *= (f * scale) ** power
-        dims = [a + b * power for a, b in zip(dims, d, strict=True)]
-    return factor, tuple(int(d) for d in dims)
+    """Factor to SI and dimensions of a unit such as "kg*m^2/s^2", "J/(mol*K)", "s^0.5", "ug/m3" or "1".
+
+    Products and quotients are taken from left to right; powers are rational; a number stands for 1 only.
+    """
+    text = text.translate(SIGNS)
+    tokens = re.findall(r"[()*/·^]|[+-]?\d+(?:\.\d+)?|[^\W\d]+[^\W\d]*|[°%µ][^\W\d]*|\S", text.replace("**", "^").strip() or "1")
+    at = 0
+
+    def power() -> Fraction:
+        nonlocal at
+        negative = at < len(tokens) and tokens[at] == "-"
+        at += negative
+        if at < len(tokens) and tokens[at] == "(":
+            inner = "".join(tokens[at + 1 : tokens.index(")", at) if ")" in tokens[at:] else len(tokens)])
+            at = tokens.index(")", at) + 1 if ")" in tokens[at:] else len(tokens)
+            value = inner
+        else:
+            value = tokens[at] if at < len(tokens) else ""
+            at += 1
+        try:
+            return -Fraction(value) if negative else Fraction(value)
+        except (ValueError, ZeroDivisionError):
+            raise QuernError("unit", text) from None
+
+    def atom() -> tuple[float, list]:
+        nonlocal at
+        token = tokens[at] if at < len(tokens) else ""
+        at += 1
+        if token == "(":
+            factor, dims = product()
+            if at >= len(tokens) or tokens[at] != ")":
+                raise QuernError("unit", text)
+            at += 1
+        elif re.fullmatch(r"\d+(\.\d+)?", token):
+            if float(token) != 1:
+                raise QuernError("unit", f"{token} in {text}")
+            factor, dims = 1.0, [Fraction(0)] * 7
+        else:
+            scale, name = 1.0, token
+            if name not in UNITS:
+                if not name or name[0] not in PREFIXES or name[1:] not in UNITS or name[1:] in COUNTS:
+                    raise QuernError("unit", f"{name} in {text}")
+                scale, name = PREFIXES[name[0]], name[1:]
+            factor, dims = UNITS[name][0] * scale, [Fraction(d) for d in UNITS[name][1]]
+        p = Fraction(1)
+        if at < len(tokens) and tokens[at] == "^":
+            at += 1
+            p = power()
+        elif at < len(tokens) and token != "1" and re.fullmatch(r"[+-]?\d+", tokens[at]):
+            p = power()
+        return factor ** float(p), [d * p for d in dims]
+
+    def product() -> tuple[float, list]:
+        nonlocal at
+        factor, dims = atom()
+        while at < len(tokens) and tokens[at] != ")":
+            sign = -1 if tokens[at] == "/" else 1
+            at += tokens[at] in "*·/"
+            f, d = atom()
+            factor, dims = factor * f**sign, [x + sign * y for x, y in zip(dims, d, strict=True)]
+        return factor, dims
+
+    factor, dims = product()
+    if at < len(tokens):
+        raise QuernError("unit", text)
+    return factor, tuple(int(d) if d.denominator == 1 else d for d in dims)
 
 
 def convert_units(source: str, target: str) -> float:

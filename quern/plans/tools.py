@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Callable, Mapping
 
 from ..errors import QuernError
+from .checks import problems
 from .document import defined_name, load, save
 from .expressions import Expr, check_arity, free_variables, is_node, parse, substitute, to_text
 
@@ -178,12 +179,21 @@ def bound_names(lhs: Expr) -> set[str]:
 
 
 def validate(doc: str | dict) -> list[str]:
-    """Problems of a document: arity, undeclared sets, undefined names, several definitions of one name."""
-    found = []
+    """Problems of a document, each with a code: fields, arity, undeclared sets, undefined names, equations, couplings, events, units.
+
+    A document without a version and metadata is a part that a program holds: only its equations are looked at.
+    """
+    try:
+        raw = json.loads(doc) if isinstance(doc, str) else doc
+    except json.JSONDecodeError as e:
+        return [f"[json] {e}"]
+    found = problems(raw) if not isinstance(raw, dict) or "esm" in raw or "metadata" in raw else []
+    if any(p.startswith("[schema]") for p in found):
+        return found
     try:
-        d = load(doc)
-    except (QuernError, json.JSONDecodeError) as e:
-        return [str(e)]
+        d = load(raw)
+    except QuernError as e:
+        return [*found, str(e)]
     for m, model in d.get("models", {}).items():
         known = set(model.get("variables", {})) | {defined_name(e["lhs"]) for e in model.get("equations", [])} | {"t"} | set(d.get("index_sets", {})) | set(d.get("coordinates", {})) | set().union(*(bound_names(e["lhs"]) for e in model.get("equations", [])))
         # A name with dots is looked up in the system that its first part names.
@@ -211,7 +221,7 @@ def validate(doc: str | dict) -> list[str]:
                         sets(v)
 
             sets(e["rhs"])
-    return found
+    return list(dict.fromkeys(found))
 
 
 def to_python(rhs: Mapping[str, Expr], name: str = "rhs") -> str:
