@@ -18,10 +18,13 @@ from .text import LOWER, PIECE, _powers, buffers, mix, pieces
 
 #: Words of each symbol, in English, German, French and Spanish.
 LEXICON = {
-    "I": "idiot idiots idiotic stupid moron morons moronic loser losers scum trash garbage worthless pathetic disgusting clown clowns dumb imbecile cretin vermin filth filthy bastard bitch asshole "
+    "W": "idiot idiots idiotic stupid moron morons moronic loser losers scum trash garbage worthless pathetic disgusting clown clowns dumb imbecile cretin vermin filth filthy bastard bitch asshole "
     "idiotin idioten dummkopf abschaum versager trottel wertlos widerlich arschloch idiote imbécile crétin connard ordure minable répugnant salope idiota imbécil estúpido estúpida basura escoria asqueroso patético",
-    "T": "kill murder destroy hurt beat strangle shoot stab burn töten umbringen ermorden verprügeln tuer frapper massacrer matar matarte golpear destruir",
-    "y": "you your yours yourself u they them he she him her everyone people du dich dir euch ihr sie tu toi vous ils elles usted ustedes tú ti ellos ellas",
+    "V": "kill murder destroy hurt beat strangle shoot stab burn töten umbringen ermorden verprügeln tuer frapper massacrer matar matarte golpear destruir",
+    "y": "you your yours yourself u they them he she him her everyone people you're youre they're theyre he's she's du dich dir euch ihr sie tu toi vous ils elles usted ustedes tú ti ellos ellas eres sois",
+    "e": "what such quel quelle espèce qué vaya welch solch",
+    "c": "are is am was were be bist ist sind seid war es est êtes sont étais son era",
+    "m": "will would gonna going shall must should want wants let's i'll we'll they'll he'll she'll werde werden wirst wird sollte sollen vais vas allons vont veux doit voy vamos quiero debe deben",
     "n": "not no never isn't aren't wasn't don't doesn't nobody nicht kein keine keiner niemals pas jamais aucun aucune nunca jamás ningún ninguna",
     "r": "said says say told claims claimed called calls quoted quote wrote writes reported according alleged sagte sagt behauptet nannte zitiert dit disait affirme appelé cité dijo dice afirma llamó citó",
 }
@@ -29,9 +32,10 @@ LEXICON = {
 PREFIXES, CONTEXTS = (0, 4, 5, 6, 7, 8, 9, 10), 6
 #: Of a stem's countable occurrences, the share that may stand in documents that aren't toxic.
 STRAY = 0.05
-LABELS = [f"{kind}{target}" for kind in "IiQTtq" for target in "01"]
-#: Weights that training starts from and is drawn to: insult (plain, denied, reported), threat (the same), each without and with a target.
-PRIOR = np.array([2.5, 4.0, 0.2, 0.5, 0.4, 0.8, 0.5, 4.0, 0.0, 0.3, 0.1, 0.8])
+LABELS = [f"{kind}{target}" for kind in "IiQTtqJX" for target in "01"]
+#: Weights that training starts from and is drawn to: insult (plain, denied, reported), threat (the same), and by themselves an
+#: insulting word and a violent verb; each without and with a target.
+PRIOR = np.array([3.5, 6.5, 0.2, 0.5, 0.4, 0.8, 0.5, 6.5, 0.0, 0.3, 0.1, 0.8, 0.6, 1.0, 0.0, 0.2])
 PRIOR_BIAS, DRAWN = -3.5, 0.3
 
 LETTER = np.zeros(256, bool)
@@ -84,27 +88,55 @@ class Transducer(NamedTuple):
         return labels[::-1]
 
 
+def insult(scope: int = 4) -> Transducer:
+    """An insulting word (W) is an insult (I) after an address or an exclamation at most `scope` words before, before an address at most two words on, or alone in its clause; else it is just a word (J). Copulas (c) keep what is addressed."""
+    rest = "noVmr"
+    ahead = {"W": [("J", 0.0, 0), ("I", 1.0, "owed 2")]}
+    arcs: dict = {"start": {c: [(c, 0.0, 0)] for c in rest} | {"c": [("o", 0.0, 0)], "W": [*ahead["W"], ("I", 0.5, "alone")]}, 0: {c: [(c, 0.0, 0)] for c in rest} | {"c": [("o", 0.0, 0)]} | ahead}
+    for k in range(1, scope + 1):
+        arcs[k] = {c: [(c, 0.0, k - 1)] for c in rest} | {"c": [("o", 0.0, k)], "W": [("I", 1.0, k)]}
+    for k in (2, 1):
+        arcs[f"owed {k}"] = ({c: [(c, 0.0, "owed 1")] for c in rest} | {"c": [("o", 0.0, "owed 1")]} if k == 2 else {}) | {"W": [("I", 1.0, f"owed {k}")]}
+    for state in arcs.values():
+        state |= {"y": [("y", 0.0, scope)]}
+    for k in ("start", *range(scope + 1)):
+        arcs[k]["e"] = [("o", 0.0, scope)]
+    arcs["alone"] = {"W": [("I", 0.5, "alone")]}
+    return Transducer("start", arcs, frozenset(["start", "alone", *range(scope + 1)]))
+
+
+def threat(scope: int = 4) -> Transducer:
+    """A violent verb (V) is a threat (T) at most `scope` words after an intention or duty (m), or as a command that begins its clause; else it is just a verb (X)."""
+    arcs: dict = {}
+    for k in ("start", *range(scope + 1)):
+        down = max(0, k - 1) if k != "start" else 0
+        arcs[k] = {c: [(c, 0.0, down)] for c in "yroIJ"} | {"n": [("n", 0.0, k if k == "start" else down)], "m": [("o", 0.0, scope)]}
+        arcs[k]["V"] = [("T", 0.0, k if k != "start" else scope)] if k else [("X", 0.0, 0)]
+    return Transducer("start", arcs, frozenset(arcs))
+
+
 def negation(scope: int = 3) -> Transducer:
-    """A negation denies insults and threats among the next `scope` words: I to i, T to t."""
+    """A negation denies insults and threats among the next `scope` words: I to i, T to t; a denied word by itself is nothing."""
     arcs = {}
     for k in range(scope + 1):
         down = max(0, k - 1)
         arcs[k] = {c: [(c, 0.0, down)] for c in "yro"} | {"n": [("n", 0.0, scope)]}
         arcs[k] |= {c: [(c.lower() if k else c, 0.0, down)] for c in "IT"}
+        arcs[k] |= {c: [("o" if k else c, 0.0, down)] for c in "JX"}
     return Transducer(0, arcs, frozenset(arcs))
 
 
 def reported() -> Transducer:
-    """After a verb of speech the rest of a clause is reported: I to Q, T to q."""
+    """After a verb of speech the rest of a clause is reported: I to Q, T to q; a reported word by itself is nothing."""
     arcs = {k: {c: [(c, 0.0, k)] for c in "ynoit"} | {"r": [("r", 0.0, 1)]} for k in (0, 1)}
-    arcs[0] |= {c: [(c, 0.0, 0)] for c in "IT"}
-    arcs[1] |= {"I": [("Q", 0.0, 1)], "T": [("q", 0.0, 1)]}
+    arcs[0] |= {c: [(c, 0.0, 0)] for c in "ITJX"}
+    arcs[1] |= {"I": [("Q", 0.0, 1)], "T": [("q", 0.0, 1)]} | {c: [("o", 0.0, 1)] for c in "JX"}
     return Transducer(0, arcs, frozenset(arcs))
 
 
 def targeted() -> Transducer:
-    """An insult or threat has a target if one stands before it in its clause, or after: a path may promise that."""
-    match = "IiQTtq"
+    """What is matched has a target if one stands before it in its clause, or after: a path may promise that."""
+    match = "IiQTtqJX"
     arcs = {
         "none": {c: [(c, 0.0, "none")] for c in "nro"} | {"y": [("y", 0.0, "seen")]} | {c: [(c + "0", 1.0, "bare"), (c + "1", 2.0, "promised")] for c in match},
         "bare": {c: [(c, 0.0, "bare")] for c in "nro"} | {"y": [("y", -9.0, "seen")]} | {c: [(c + "0", 1.0, "bare")] for c in match},
@@ -115,9 +147,15 @@ def targeted() -> Transducer:
 
 
 def grammar() -> Transducer:
+    """Over insults and threats as they are found."""
     return negation().compose(reported()).compose(targeted())
 
 
+def clause_grammar() -> Transducer:
+    """Over the words' symbols: insults and threats are composed of them first."""
+    return insult().compose(threat()).compose(grammar())
+
+
 class Clauses:
     """Words of letters in a piece of text, and the clause of each."""
 
@@ -175,20 +213,20 @@ class Model:
             b = np.frombuffer(text.encode(), np.uint8)
             self.words[symbol] = np.unique(Clauses(b, np.array([0, len(b)])).hash)
         self.weights = PRIOR.copy() if weights is None else weights
-        self.bias, self.grammar = bias, grammar()
+        self.bias, self.grammar = bias, clause_grammar()
 
     def features(self, c: Clauses, n_docs: int) -> np.ndarray:
         """How often each kind of match stands in each document."""
         symbols = np.full(len(c.hash), ord("o"), np.uint8)
-        for symbol in "ynrTI":
+        for symbol in "cemynrVW":
             symbols[_inside(self.words[symbol], c.hash)] = ord(symbol)
         for k, stems in self.stems.items():
             own, h = c.prefix(k)
             own = own[_inside(stems, h)]
             # A learned stem never takes a word that the lexicon has.
-            symbols[own[symbols[own] == ord("o")]] = ord("I")
+            symbols[own[symbols[own] == ord("o")]] = ord("W")
         out = np.zeros((n_docs, len(LABELS)))
-        hit = np.flatnonzero((symbols == ord("I")) | (symbols == ord("T")))
+        hit = np.flatnonzero((symbols == ord("W")) | (symbols == ord("V")))
         for clause in np.unique(c.clause[hit]):
             a, b = np.searchsorted(c.clause, [clause, clause + 1])
             for label in self.grammar.best(symbols[a:b].tobytes().decode()):
@@ -328,8 +366,10 @@ def toxicity(documents: DataFrame, labels: DataFrame, held_out, least: float = 0
     """doc_id, held_out, score (0 to 1), predicted (1 from `least` on), n_matches and the columns `keep` (as kept_<name>) of every row.
 
     Clauses end at punctuation, brackets, quotes and newlines. Their words become symbols by the lexicon and
-    the stems learned from labels, and the grammar - negation, then reported speech, then targets, composed -
-    turns each clause into matches: insults and threats, plain, denied or reported, with or without a target.
+    the stems learned from labels, and the grammar - insult, threat, negation, reported speech and target, composed -
+    turns each clause into matches: insults (an insulting word with an address, an exclamation or alone) and threats (a
+    violent verb with an intention, or as a command), plain, denied or reported, and such words by themselves, with or
+    without a target.
     The score is logistic in their numbers. The Column `held_out` (of an id) marks rows whose labels aren't
     learned from. Null and empty texts have no match and the score of the bias; null ids are scored; rows that
     repeat an id are scored each; other columns are ignored.
