@@ -10,7 +10,7 @@ from ..operators import arrays, exact, graphs, spatial
 from ..operators.aggregate import aggregate
 from ..shared import shared_folder
 from ..sources import grids
-from ..streaming import deltas, refresh, stateful
+from ..streaming import deltas, refresh, stateful, versions
 from ..types import SEMIRINGS, Factor
 from .expressions import node
 from .more_queries import aggregated, evaluate
@@ -50,8 +50,9 @@ def faq_triangle(spark, sf_dir):
 
 @query("""WITH n AS (SELECT c_nationkey AS n, c_custkey % 40 + 1 AS k, sum(floor(c_acctbal)) AS v FROM customer GROUP BY 1, 2),
 o AS (SELECT o_custkey % 40 + 1 AS k, o_orderkey % 60 + 1 AS m, count(*)::DOUBLE AS v FROM orders GROUP BY 1, 2),
-l AS (SELECT l_orderkey % 60 + 1 AS m, l_suppkey % 30 + 1 AS s, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
-SELECT a.n::BIGINT + 1 AS i, l.s::BIGINT AS l, 0.5 * sum(a.v * o.v * l.v) AS value FROM n a JOIN o USING (k) JOIN l USING (m) GROUP BY 1, 2""")
+l AS (SELECT l_orderkey % 60 + 1 AS m, l_suppkey % 30 + 1 AS s, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+f AS (SELECT a.n::BIGINT + 1 AS i, l.s::BIGINT AS l, 0.5 * sum(a.v * o.v * l.v) AS value FROM n a JOIN o USING (k) JOIN l USING (m) GROUP BY 1, 2)
+SELECT i, l, coalesce(value, 0.0) AS value FROM (SELECT unnest(range(1, 26)) AS i) CROSS JOIN (SELECT unnest(range(1, 31)) AS l) LEFT JOIN f USING (i, l)""")
 def doc_chain(spark, sf_dir):
     """A document whose equation is a product of three arrays over four symbols: contracted symbol by symbol, none multiplied out."""
     t = Tables(spark, sf_dir)
@@ -126,6 +127,30 @@ def grid_zarr(spark, sf_dir):
     return grids.read_zarr(spark, at, "total").where((c("day") >= 5) & (c("day") <= 20) & (c("slot") > 6))
 
 
+# --- versions and ticks ---
+
+
+@query("""WITH a AS (SELECT DISTINCT p_brand AS b FROM part WHERE p_partkey % 40 = 0 AND p_size < 20), z AS (SELECT DISTINCT p_brand AS b FROM part WHERE p_partkey % 3 = 0),
+s AS (SELECT b, row_number() OVER (ORDER BY b) AS pos FROM a UNION ALL SELECT b, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY b) FROM (SELECT b FROM z EXCEPT SELECT b FROM a))
+SELECT b AS member, pos::BIGINT AS pos, (SELECT count(*) FROM part WHERE p_brand = b)::BIGINT AS n, (SELECT count(*) FROM a)::BIGINT AS before FROM s""")
+def set_remesh(spark, sf_dir):
+    """An index set of brands that grows in its second version: places stay, what depends on it is rebuilt, the first version is still there."""
+    part = Tables(spark, sf_dir)("part", c("p_brand").alias("member"), "p_partkey", "p_size")
+    brands = versions.VersionedSet(spark, f"{shared_folder(spark)}/brands-{uuid.uuid4().hex}")
+    brands.depends("counts", lambda members: members.join(part, "member").groupBy("member").agg(F.count("*").alias("n")))
+    brands.remesh(0, part.where("p_partkey % 40 = 0 and p_size < 20"))
+    brands.remesh(1, part.where("p_partkey % 3 = 0"))
+    return brands.at(1).join(brands.dependant("counts", 1), "member").withColumn("before", F.lit(brands.at(0).count()).cast("long"))
+
+
+@query("""WITH k AS (SELECT unnest([100.0, 400.0, 650.0, 5000.0])::DOUBLE AS tick), r AS (SELECT user_id, tick, event_id, event_type, row_number() OVER (PARTITION BY user_id, tick ORDER BY event_id DESC) AS n FROM events JOIN k ON event_id <= tick)
+SELECT user_id, tick, event_id, event_type FROM r WHERE n = 1""")
+def output_ticks(spark, sf_dir):
+    """Every user's last event at four ticks: one row a user and tick goes through the window, whatever the number of events."""
+    events = Tables(spark, sf_dir)("events", "user_id", "event_id", "event_type")
+    return versions.snapshots(events, ["user_id"], "event_id", [100.0, 400.0, 650.0, 5000.0], "event_id", "event_type")
+
+
 # --- streams ---
 
 

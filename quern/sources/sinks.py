@@ -63,6 +63,12 @@ class ParquetSink:
             raise QuernError("sink_closed", self.path)
         snapshot.write.mode("overwrite").parquet(f"{self.path}/t={t!r}")
 
+    def written(self) -> list[float]:
+        """Times whose snapshots are whole."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/t=*/_SUCCESS")
+        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at)
+        return sorted(float(f.getPath().getParent().getName()[2:]) for f in found or [])
+
     def flush(self) -> None:
         """Every write is whole when it returns."""
 
