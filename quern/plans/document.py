@@ -13,6 +13,7 @@ import json
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from ..operators.aggregate import expand_range, prefix
 from ..operators.elimination import contract
 from ..operators.relational import key_int, rank, skolem, skolem_edge
 from ..operators.spatial import overlap_join
+from ..streaming.cadence import check_relational
 from ..types import Factor, IndexSet, check_keys, semiring
 from .expressions import LOGICAL, Expr, check_arity, free_variables, is_node
 from .systems import lower
@@ -65,6 +67,15 @@ def defined_name(lhs: Expr) -> str:
     return lhs
 
 
+def is_rate(lhs: Expr) -> bool:
+    """Whether a left side is a time derivative, of a name or an array's cell."""
+    while is_node(lhs):
+        if lhs["op"] == "D":
+            return lhs.get("wrt", "t") == "t"
+        lhs = lhs.get("expr") if lhs["op"] == "aggregate" else lhs["args"][0]
+    return False
+
+
 def conjuncts(e: Expr) -> list[Expr]:
     """The parts that must all hold."""
     if e is None:
@@ -72,6 +83,16 @@ def conjuncts(e: Expr) -> list[Expr]:
     return [c for a in e["args"] for c in conjuncts(a)] if is_node(e) and e["op"] == "and" else [e]
 
 
+class Invented(NamedTuple):
+    """extents: sizes of derived sets; members and assignments: their members, and with places; groups: folds over them; join_key_buffers: minted keys that joins go by."""
+
+    extents: dict[str, int]
+    members: dict[str, DataFrame]
+    assignments: dict[str, DataFrame]
+    groups: dict[str, Factor]
+    join_key_buffers: dict[str, Factor]
+
+
 class Evaluator:
     """One model of a document with its inputs: factors in long form by name, and scalars by name."""
 
@@ -91,8 +112,17 @@ class Evaluator:
             if s["kind"] in ("interval", "categorical"):
                 self.sets[name] = IndexSet(s["kind"], s.get("size", len(s.get("members", ()))), tuple(s.get("members", ())))
 
+        #: Names that change as time runs, and what each name reads.
+        self.reads = {n: free_variables(rhs) & set(self.equations) - {n} for n, rhs in self.equations.items()}
+        self.rates = {defined_name(e["lhs"]) for e in self.model.get("equations", []) if is_rate(e["lhs"])}
+
     # --- ranges ---
 
+    def guard(self, name: str, e: Expr) -> None:
+        """Sets and minted keys are made before time runs: what makes one may not read a state, or what follows from one."""
+        reads = {n: set() if n in self.rates else r for n, r in self.reads.items()} | {name: (free_variables(e) | free_variables(e.get("key"))) & set(self.equations)}
+        check_relational(reads, dict.fromkeys(self.rates, "continuous"), {name})
+
     def derived(self, name: str) -> IndexSet:
         """The distinct keys that a producing aggregate (id) mints, in order; made once."""
         if name not in self.sets:
@@ -102,6 +132,7 @@ class Evaluator:
             makers = [e for e in self.equations.values() if is_node(e) and e.get("id") == s.get("from_faq")]
             if s["kind"] != "derived" or not makers:
                 raise QuernError("no_producer", name)
+            self.guard(name, makers[0])
             if makers[0]["op"] == "intersect_polygon":
                 n = self.clipped(makers[0]).df.agg(F.max("v")).first()[0] or 1
                 self.sets[name] = IndexSet("interval", n - 1)
@@ -616,6 +647,42 @@ class Evaluator:
         v = (-body if e["op"] == "argmax" else body).cast("double")
         return F.min(F.when(v.isNotNull() & ~F.isnan(v), F.struct(v.alias("v"), F.col(e["arg"]).alias("w"))))["w"].cast("double")
 
+    def invented(self) -> Invented:
+        """Everything that the document invents from data: its derived sets, who is in them, which place each member got, what is folded by them, and the buffers that joins go by."""
+        out = Invented({}, {}, {}, {}, {})
+        for name, s in self.doc.get("index_sets", {}).items():
+            if s["kind"] != "derived":
+                continue
+            made = self.derived(name)
+            if made.frame is None:
+                out.extents[name] = made.size
+                continue
+            out.members[name] = made.frame.select("member")
+            out.assignments[name] = made.frame.select("member", "pos")
+            out.extents[name] = made.frame.count()
+        for name, rhs in self.equations.items():
+            nodes = [rhs] if is_node(rhs) else []
+            while nodes:
+                e = nodes.pop()
+                sets = [r["from"] for s, r in (e.get("ranges") or {}).items() if isinstance(r, dict) and s in (e.get("output_idx") or [])]
+                if any(self.kind(x) == "derived" for x in sets):
+                    out.groups[name] = self.factor(name)
+                for clause in e.get("join") or []:
+                    for k in (k for pair in clause.get("on", []) for k in pair):
+                        if k in self.equations:
+                            out.join_key_buffers[k] = self.factor(k)
+                nodes += [a for a in [*e.get("args", []), e.get("expr"), e.get("filter"), e.get("key")] if is_node(a)]
+        return out
+
+    def inspect(self) -> dict[str, dict]:
+        """What has been built so far: of each name its axes and schema and the plan that Spark makes of it, and of each set its kind and size."""
+        out = {}
+        for name, f in self.factors.items():
+            out[name] = {"kind": "input" if name not in self.equations else "equation", "axes": list(f.axes), "schema": f.df.schema.simpleString(), "plan": f.df._jdf.queryExecution().optimizedPlan().toString()}
+        for name, s in self.sets.items():
+            out[name] = {"kind": s.kind, "size": s.size} if s.frame is None else {"kind": s.kind, "schema": s.frame.schema.simpleString(), "plan": s.frame._jdf.queryExecution().optimizedPlan().toString()}
+        return out
+
     def evaluate(self, name: str) -> DataFrame:
         f = self.factor(name)
         return f.df.select(*f.axes, F.col(f.value).alias("value"))

@@ -288,13 +288,38 @@ def match(pattern: Expr, e: Expr, found: dict[str, Expr] | None = None) -> dict[
     return found if pattern == e and type(pattern) is type(e) or isinstance(pattern, int | float) and pattern == e else None
 
 
-def rewrite(e: Expr, rules: list[tuple[Expr, Expr, int]], most: int = 64) -> Expr:
-    """Rules (pattern, result, priority) applied from the outside in until none matches; over `most` passes is an error."""
-    rules = sorted(rules, key=lambda r: -r[2])
+def shape_of(e: Expr, shapes: Mapping[str, list[str]]) -> list[str] | None:
+    """The axes of an expression that works element by element: those of the names in it, each once, in the order met; None where a name's are not told."""
+    if isinstance(e, str):
+        return list(shapes[e]) if e in shapes else None
+    if not is_node(e):
+        return []
+    if e["op"] in ("index", "aggregate", "makearray", "reshape", "transpose", "concat"):
+        return list(e.get("output_idx") or []) if e["op"] == "aggregate" else [] if e["op"] == "index" else None
+    out: list[str] = []
+    for a in e.get("args", []):
+        own = shape_of(a, shapes)
+        if own is None:
+            return None
+        out += [x for x in own if x not in out]
+    return out
+
+
+def admitted(found: Mapping[str, Expr], where: Mapping[str, Mapping], shapes: Mapping[str, list[str]]) -> bool:
+    """Whether a match's bindings have the shapes that a rule asks for."""
+    return all(shape_of(found.get(h if h.startswith("?") else f"?{h}"), shapes) == list(c["shape"]) for h, c in where.items() if "shape" in c)
+
+
+def rewrite(e: Expr, rules: list[tuple], most: int = 64, shapes: Mapping[str, list[str]] | None = None) -> Expr:
+    """Rules (pattern, result, priority, and where: {hole: {"shape": axes}}) applied from the outside in until none matches; over `most` passes is an error.
+
+    A rule with `where` takes only what has these axes, by the shapes of names.
+    """
+    rules = sorted(((*r, {}) if len(r) == 3 else r for r in rules), key=lambda r: -r[2])
 
     def once(x: Expr) -> tuple[Expr, bool]:
-        for pattern, result, _ in rules:
-            if (found := match(pattern, x)) is not None:
+        for pattern, result, _, where in rules:
+            if (found := match(pattern, x)) is not None and admitted(found, where, shapes or {}):
                 return substitute(result, found), True
         if not is_node(x):
             return x, False

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import arrays, exact, graphs, spatial
+from ..operators import arrays, exact, graphs, spatial, views
 from ..operators.aggregate import aggregate
 from ..shared import shared_folder
 from ..sources import grids
@@ -127,6 +127,20 @@ def grid_zarr(spark, sf_dir):
     return grids.read_zarr(spark, at, "total").where((c("day") >= 5) & (c("day") <= 20) & (c("slot") > 6))
 
 
+# --- views ---
+
+
+@query("""SELECT 40.0 * least(floor(value / 40), 11) AS x, 500.0 * least(floor(user_id / 500.0), 11) AS y, avg(session) AS value FROM (SELECT value, user_id, event_id % 7 AS session FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts <= TIMESTAMP '2024-01-20 12:00:00' AND user_id <= 900)
+WHERE value BETWEEN 0 AND 480 AND user_id BETWEEN 0 AND 6000 GROUP BY 1, 2""")
+def domain_heatmap(spark, sf_dir):
+    """A domain's part of all events as the data of a heat map: filters on times and places reach the scan, bins fold in every task."""
+    events = Tables(spark, sf_dir)("events", "ts", "user_id", "value", (c("event_id") % 7).alias("session"))
+    part = views.domain(events, {"temporal": {"start": "2024-01-08T00:00:00Z", "end": "2024-01-20T12:00:00Z"}, "spatial": {"user": {"max": 900}}}, "ts", {"user": "user_id"})
+    wide = part.withColumn("y", c("user_id").cast("double"))
+    cells = views.plot_data(wide, {"type": "heatmap", "x": {"variable": "value"}, "y": {"variable": "y"}, "value": {"variable": "session"}}, bins=12, bounds={"value": (0.0, 480.0), "y": (0.0, 6000.0)})
+    return cells
+
+
 # --- versions and ticks ---
 
 
