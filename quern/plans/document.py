@@ -25,7 +25,7 @@ from ..operators import arrays, geometry
 from ..operators.aggregate import expand_range, prefix
 from ..operators.elimination import contract
 from ..operators.relational import key_int, rank, skolem, skolem_edge
-from ..operators.spatial import overlap_join
+from ..operators.spatial import nearest, overlap_join
 from ..streaming.cadence import check_relational
 from ..types import Factor, IndexSet, check_keys, semiring
 from .expressions import LOGICAL, Expr, check_arity, free_variables, is_node
@@ -547,6 +547,11 @@ class Evaluator:
         ring = semiring(e.get("semiring"), e.get("reduce"))
         if out and isinstance(ring.zero, bool):
             raise QuernError("boolean_array", "bool_and_or folds to one value, or mints members with `distinct`")
+        inner = e["expr"]
+        if is_node(inner) and inner["op"] == "argmin" and out == list(e.get("ranges", {})) and e.get("filter") is None and not e.get("join") and not inner.get("output_idx"):
+            # A fold of one term, the nearest of another set.
+            if (found := self.nearest_of({**inner, "output_idx": out, "ranges": e["ranges"] | inner.get("ranges", {})})) is not None:
+                return found
         with self.within(e):
             if (found := self.prefix_of(e)) is not None:
                 return self.running(e, ring, *found)
@@ -632,6 +637,8 @@ class Evaluator:
     def witness(self, e: Expr) -> Factor:
         """argmin / argmax over one symbol: the witnessing place of each output place, the smallest of ties."""
         out = e.get("output_idx", [])
+        if (found := self.nearest_of(e)) is not None:
+            return found
         with self.within(e):
             df, names = self.enumerate(e)
             df, body = self.column(e["expr"], df, names)
@@ -642,6 +649,24 @@ class Evaluator:
         folded = dense.join(df.groupBy(*out).agg(best), list(out), "left") if out else df.agg(best)
         return Factor(folded.withColumn("value", F.coalesce("value", none)), tuple(out))
 
+    def nearest_of(self, e: Expr) -> Factor | None:
+        """argmin over j of |a[i] - b[j]|, and nothing else: both sides are sorted together along the axis, their product is never made."""
+        out, ranges, body = e.get("output_idx", []), e.get("ranges", {}), e.get("expr")
+        if e["op"] != "argmin" or len(out) != 1 or len(ranges) != 2 or e.get("filter") is not None or e.get("join") or not is_node(body) or body["op"] != "abs":
+            return None
+        i, j = out[0], e["arg"]
+        apart = body["args"][0]
+        plain = {i, j} == set(ranges) and all(isinstance(r, dict) and not r.get("of") and self.kind(r["from"]) == "interval" for r in ranges.values())
+        sides = {a["args"][1]: a["args"][0] for a in apart["args"] if is_node(a) and a["op"] == "index" and len(a["args"]) == 2 and isinstance(a["args"][0], str) and isinstance(a["args"][1], str)} if is_node(apart) and apart["op"] == "-" and len(apart["args"]) == 2 else {}
+        if not plain or set(sides) != {i, j} or set(sides.values()) & set(self.model.get("states", ())) or any(len(self.factor(n).axes) != 1 for n in sides.values()):
+            return None
+        size = {s: self.sets[ranges[s]["from"]].size for s in (i, j)}
+        points, targets = (self.factor(sides[s]).named(s, value=v).df.where(F.col(s).between(1, size[s])).select(F.col(s).cast("long").alias(s), F.col(v).cast("double").alias(v)) for s, v in ((i, "__x"), (j, "__y")))
+        near = nearest(points, targets, i, j, "__x", "__y").select(F.col(i).alias("__i"), F.col(j).cast("double").alias("value"))
+        dense = self.sets[ranges[i]["from"]].positions(self.spark, i)
+        none = F.raise_error(F.lit(f"[empty_argmin] no {j} is admitted")).cast("double")
+        return Factor(dense.join(near, F.col(i) == F.col("__i"), "left").select(i, F.coalesce("value", none).alias("value")), (i,))
+
     def least(self, e: Expr, body: Column) -> Column:
         """The place of arg with the least (argmax: largest) value, the smallest of ties; null and NaN values take no part."""
         v = (-body if e["op"] == "argmax" else body).cast("double")
