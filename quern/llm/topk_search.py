@@ -28,11 +28,22 @@ def nra_top_k(x: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[tuple[np
     if not n:
         return [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries], 0
     k = min(k, n)
+    largest = d * max(1, int(np.abs(x).max(initial=0))) * int(np.abs(queries).max(initial=0))
+    if largest >= 2**63:
+        raise OverflowError(f"scores of up to {largest} are beyond 64 bits; use a smaller scale")
+    if largest >= 2**53:
+        # Bounds would be rounded: every list is read to its end, in whole numbers.
+        out = []
+        for q in queries:
+            score = x @ q
+            keep = score >= np.partition(score, n - k)[n - k]
+            out.append((np.flatnonzero(keep), score[keep]))
+        return out, n * d * len(queries)
     order = np.argsort(x, axis=0, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], (n, d)), 0)
     # Sums of whole numbers below 2 ** 24 are exact in half the width.
-    narrow = d * max(1, int(np.abs(x).max(initial=0))) * int(np.abs(queries).max(initial=0)) < 2**24
+    narrow = largest < 2**24
     kind = np.float32 if narrow else np.float64
     lists = np.take_along_axis(x, order, 0).astype(kind)
     out: list = [None] * len(queries)
@@ -143,7 +154,8 @@ def top_k(vectors: DataFrame, asks, k: int = 5, vec_id: str = "vec_id", embeddin
 
     Components become floor(scale * x); scores are integer inner products, ties go to the smaller id. Null
     vectors, vectors with null or non-finite components and null ids take no part; of rows that repeat an id
-    each counts; shorter vectors are filled with zeros; empty input gives no rows; other columns are ignored.
+    each counts; shorter vectors are filled with zeros; empty input gives no rows; other columns are ignored. Scores that
+    64 bits cannot hold fail the query; beyond 53 bits, where bounds would be rounded, lists are read whole.
 
     Queries are written in blocks to the shared folder, as sorted arrays that tasks map one at a time. Each
     candidate is scanned once, or by a few groups of query blocks where the table has fewer blocks than the

@@ -40,3 +40,21 @@ def test_an_id_that_repeats_gives_a_few_texts(spark):
     got = labelled.sample(docs, labels, "quality", F.lit(True)).collect()
     assert len([r for r in got if r.doc_id == 1]) == labelled.TEXTS_OF_ID == len({r.text for r in got if r.doc_id == 1})
     assert sorted((r.doc_id, r.text, r.label) for r in got if r.doc_id != 1) == [(2, "b", 1), (3, None, 0)]
+
+
+def test_scores_beyond_53_and_64_bits(spark):
+    import pytest
+
+    from quern.llm import topk_search
+
+    rng = random.Random(2)
+    data = [(i, [float(rng.randint(-(10**6), 10**6)) for _ in range(4)]) for i in range(60)] + [(7, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = topk_search.top_k(df, F.col("vec_id") % 20 == 0, k=3, scale=256).collect()
+    whole = [(i, [int(x) * 256 for x in v]) for i, v in data]
+    for ask, q in whole:
+        if ask % 20 == 0:
+            want = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in whole if i != ask)[:3]
+            assert [(-s, i) for s, i in want] == [(r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == ask), key=lambda r: r.rank)]
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.top_k(df, F.col("vec_id") % 20 == 0, k=3, scale=2**20).collect()
