@@ -65,6 +65,23 @@ def reshape(array: Factor, shape: list[int], to: list[int]) -> Factor:
     return Factor(array.df.select(*cols, array.value), tuple(f"d{k}" for k in range(1, len(to) + 1)), array.value)
 
 
+def flat(array: Factor, shape: list[int]) -> Factor:
+    """A grid's elements in one axis `at`, column by column: how a solver holds a state."""
+    return Factor(array.df.select((_linear(array.axes, shape) + 1).cast("long").alias("at"), array.value), ("at",), array.value)
+
+
+def scattered(vector: Factor, shape: list[int], axes: tuple[str, ...]) -> Factor:
+    """The grid that flat() came from; places outside the shape fail the query."""
+    if len(axes) != len(shape):
+        raise QuernError("reshape", f"{len(axes)} axes of a grid of {len(shape)}")
+    at = bound(F.col(vector.axes[0]), reduce(lambda a, b: a * b, shape)) - 1
+    cols, step = [], 1
+    for a, n in zip(axes, shape, strict=True):
+        cols.append((F.pmod(F.floor(at / step), F.lit(n)) + 1).cast("long").alias(a))
+        step *= n
+    return Factor(vector.df.select(*cols, vector.value), tuple(axes), vector.value)
+
+
 def transpose(array: Factor, perm: list[int] | None = None) -> Factor:
     """Axes in the order perm (from 0; backwards if absent), under the names they take over."""
     perm = perm or list(range(len(array.axes)))[::-1]

@@ -58,16 +58,35 @@ def rank(df: DataFrame, *columns: str, base: int = 0, name: str = "rank") -> Dat
     return ranges.withColumn(name, ids).drop("__part")
 
 
-def equijoin(left: DataFrame, right: DataFrame, on_left: list[str], on_right: list[str]) -> DataFrame:
-    """All m * n pairs of rows with equal keys; null keys match nothing. Same-named columns of `right` get the suffix _r."""
+def without_nulls(df: DataFrame, *keys: str) -> DataFrame:
+    """df, whose query fails where one of its keys is null: what declared keys must not be."""
+    for k in keys:
+        df = df.withColumn(k, F.coalesce(F.col(k), F.raise_error(F.lit(f"[null_key] {k}")).cast(df.schema[k].dataType)))
+    return df
+
+
+def categories(df: DataFrame, *keys: str) -> DataFrame:
+    """Boolean keys as the numbers 0 and 1, which other keys of numbers match."""
+    return df.withColumns({k: F.col(k).cast("int") for k in keys if isinstance(df.schema[k].dataType, T.BooleanType)})
+
+
+def equijoin(left: DataFrame, right: DataFrame, on_left: list[str], on_right: list[str], strict: bool = False, order: tuple[str, str] | None = None) -> DataFrame:
+    """All m * n pairs of rows with equal keys; null keys match nothing, or with `strict` fail the query. Same-named columns of `right` get the suffix _r.
+
+    `order` (a column of each side) asks for the rows in order of key, left and right: a sort by ranges, where it can be seen.
+    """
     if len(on_left) != len(on_right) or not on_left:
         raise QuernError("join_keys", "as many keys on the left as on the right")
     check_keys(left, *on_left)
     check_keys(right, *on_right)
+    if strict:
+        left, right = without_nulls(left, *on_left), without_nulls(right, *on_right)
+    left, right = categories(left, *on_left), categories(right, *on_right)
     clash = {c: f"{c}_r" for c in right.columns if c in left.columns}
     r = right.withColumnsRenamed(clash)
     cond = [F.col(a) == F.col(clash.get(b, b)) for a, b in zip(on_left, on_right, strict=True)]
-    return left.join(r, cond)
+    out = left.join(r, cond)
+    return out if order is None else out.orderBy(*on_left, order[0], clash.get(order[1], order[1]))
 
 
 def exists(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

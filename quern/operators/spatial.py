@@ -27,10 +27,6 @@ STEP, LOWEST = 4.0, -8
 CELL_ROWS = 100_000
 
 
-def _bins(df: DataFrame, lo: str, hi: str, width: float, eps: float, name: str) -> DataFrame:
-    return df.withColumn(name, F.explode(F.sequence(bin_key(F.col(lo) - eps, width), bin_key(F.col(hi) + eps, width))))
-
-
 def bin_width(a: DataFrame, b: DataFrame, eps: float = 0.0) -> tuple[float, float]:
     """Twice the mean extent of both sides' boxes in x and in y."""
     mean = lambda lo, hi: F.avg(F.col(hi) - F.col(lo))
@@ -102,10 +98,33 @@ def overlap_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, eps: float =
 
 
 def interval_join(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b_hi: str, width: float, eps: float = 0.0) -> DataFrame:
-    """Rows whose closed intervals meet, by bins of one axis."""
-    left, right = _bins(a, a_lo, a_hi, width, eps, "__bin"), _bins(b, b_lo, b_hi, width, eps, "__bin")
-    once = F.col("__bin") == bin_key(F.greatest(F.col(a_lo), F.col(b_lo)) - eps, width)
-    return left.join(right, "__bin").where((F.col(a_lo) - eps <= F.col(b_hi) + eps) & (F.col(b_lo) - eps <= F.col(a_hi) + eps) & once).drop("__bin")
+    """Rows whose closed intervals meet, after both grow by eps, by bins of one axis; `width` is that of the finest bins.
+
+    As with boxes, an interval stands in two bins at most of the level that fits its length, and meets longer ones at their level.
+    """
+    c = F.col
+    length = lambda lo, hi: F.greatest((c(hi) - c(lo) + 2 * eps) / F.lit(float(width)), F.lit(1.0))
+    level = lambda lo, hi: F.ceil(F.log(length(lo, hi)) / F.log(F.lit(STEP))).cast("int")
+    real = lambda df, lo, hi: df.where(c(lo).isNotNull() & c(hi).isNotNull() & (c(lo) <= c(hi))).withColumn("__level", level(lo, hi))
+    left, right = real(a, a_lo, a_hi), real(b, b_lo, b_hi)
+    have = left.select(F.lit(0).alias("side"), "__level").unionByName(right.select(F.lit(1).alias("side"), "__level")).distinct().collect()
+    of = [sorted(r["__level"] for r in have if r["side"] == side) for side in (0, 1)]
+    meet = (c(a_lo) - eps <= c(b_hi) + eps) & (c(b_lo) - eps <= c(a_hi) + eps)
+
+    def binned(df: DataFrame, lo: str, hi: str, levels: Column) -> DataFrame:
+        df = df.withColumn("__bl", F.explode(levels)).drop("__level")
+        wide = F.lit(float(width)) * F.pow(F.lit(STEP), c("__bl"))
+        return df.withColumn("__bin", F.explode(F.sequence(F.floor((c(lo) - eps) / wide).cast("long"), F.floor((c(hi) + eps) / wide).cast("long"))))
+
+    def joined(levels: list[int], finer: str, strict: bool) -> DataFrame:
+        up = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x > c("__level") if strict else x >= c("__level"))
+        own = F.array("__level")
+        sides = binned(left, a_lo, a_hi, up if finer == "a" else own).join(binned(right, b_lo, b_hi, up if finer == "b" else own), ["__bl", "__bin"])
+        once = c("__bin") == F.floor((F.greatest(c(a_lo), c(b_lo)) - eps) / (F.lit(float(width)) * F.pow(F.lit(STEP), c("__bl")))).cast("long")
+        return sides.where(meet & once).drop("__bl", "__bin")
+
+    out = joined(of[1] or [0], "a", False)
+    return out.unionByName(joined(of[0], "b", True)) if of[0] and of[1] and of[0][-1] > of[1][0] else out
 
 
 def nearest(points: DataFrame, targets: DataFrame, point: str, target: str, x: str, gx: str) -> DataFrame:

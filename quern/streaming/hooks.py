@@ -41,6 +41,31 @@ def run_callbacks(coupling: list[Mapping], frames: Mapping[str, DataFrame]) -> d
     return out
 
 
+#: Functions that compute a parameter's new value: (variables, parameters, config) -> frame of the parameter's axes and `value`.
+HANDLERS: dict[str, Callable[[Mapping[str, DataFrame], Mapping[str, DataFrame], Mapping], DataFrame]] = {}
+
+
+def handler(name: str):
+    """Register a function as the handler of parameters' updates."""
+
+    def add(f):
+        HANDLERS[name] = f
+        return f
+
+    return add
+
+
+def handled(rule: Mapping, variables: Mapping[str, DataFrame], parameters: Mapping[str, DataFrame]) -> DataFrame:
+    """A parameter's new value by its update rule's handler, which sees what the rule says that it reads, and nothing else."""
+    h = rule.get("handler") or {}
+    if h.get("handler_id") not in HANDLERS:
+        raise QuernError("unknown_handler", f"{h.get('handler_id')}")
+    for names, frames in ((h.get("read_vars"), variables), (h.get("read_params"), parameters)):
+        if missing := [n for n in names or [] if n not in frames]:
+            raise QuernError("undefined_name", f"{missing}")
+    return HANDLERS[h["handler_id"]]({n: variables[n] for n in h.get("read_vars") or []}, {n: parameters[n] for n in h.get("read_params") or []}, h.get("config") or {})
+
+
 class Progress(StreamingQueryListener):
     """Tells `heard` of each micro-batch (stream's name, batch number, rows) and of ends; a failure of `heard` stops no stream."""
 

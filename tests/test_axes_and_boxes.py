@@ -183,3 +183,14 @@ def test_spherical_cuts_agree_with_planar_ones_of_small_rings(spark):
 def test_the_ellipsoid_is_refused(spark):
     with pytest.raises(QuernError):
         geometry.intersect_polygon(F.col("a"), F.col("b"), "geodesic")
+
+
+@pytest.mark.parametrize(("width", "eps"), [(0.5, 0.0), (20.0, 0.25), (1e6, 0.0)])
+def test_intervals_of_mixed_lengths_equal_loops(spark, width, eps):
+    rng = random.Random(str(width))
+    make = lambda n: [(i, x := rng.uniform(-50, 50), x + rng.choice([0.0, 0.1, 5.0, 4000.0]) * rng.random()) for i in range(n)] + [(n, None, 1.0), (n + 1, 3.0, 2.0)]
+    a, b = make(70), make(60)
+    got = spatial.interval_join(spark.createDataFrame(a, "i long, p double, q double"), spark.createDataFrame(b, "j long, r double, s double"), "p", "q", "r", "s", width, eps).collect()
+    real = lambda x: x[1] is not None and x[1] <= x[2]
+    assert sorted((r.i, r.j) for r in got) == sorted((x[0], y[0]) for x in a for y in b if real(x) and real(y) and x[1] - eps <= y[2] + eps and y[1] - eps <= x[2] + eps)
+    assert set(got[0].asDict()) == {"i", "p", "q", "j", "r", "s"}

@@ -127,3 +127,40 @@ def test_rules_that_ask_for_shapes():
     for left in (node("flux", "h"), node("flux", "unknown"), node("flux", node("*", "f", "g"))):
         assert rewrite(left, rules, shapes=shapes) == left
     assert rewrite(node("flux", "h"), [*rules, (node("flux", "?F"), "?F", 0)], shapes=shapes) == "h"
+
+
+def test_handlers_see_what_they_read(spark):
+    @hooks.handler("test-mean")
+    def mean(variables, parameters, config):
+        assert set(variables) == {"u"} and set(parameters) == set()
+        return variables["u"].agg((F.avg("value") * config["by"]).alias("value"))
+
+    u = spark.createDataFrame([(1, 2.0), (2, 4.0)], "i long, value double")
+    rule = {"kind": "schedule", "handler": {"handler_id": "test-mean", "read_vars": ["u"], "config": {"by": 10.0}}}
+    assert hooks.handled(rule, {"u": u, "v": u}, {"k": u}).first().value == 30.0
+    for bad, code in (({"handler_id": "nobody"}, "unknown_handler"), ({"handler_id": "test-mean", "read_vars": ["w"]}, "undefined_name")):
+        with pytest.raises(QuernError, match=code):
+            hooks.handled({"handler": bad}, {"u": u}, {})
+
+
+def test_grids_go_flat_and_back(spark):
+    from quern.operators import arrays
+
+    grid = Factor(spark.createDataFrame([(i, j, 10.0 * i + j) for i in (1, 2, 3) for j in (1, 2)], "i long, j long, value double"), ("i", "j"))
+    vector = arrays.flat(grid, [3, 2])
+    assert {r.at: r.value for r in vector.df.collect()} == {1: 11.0, 2: 21.0, 3: 31.0, 4: 12.0, 5: 22.0, 6: 32.0}
+    assert {tuple(r) for r in arrays.scattered(vector, [3, 2], ("i", "j")).df.collect()} == {tuple(r) for r in grid.df.collect()}
+    with pytest.raises(Exception, match="index_out_of_range"):
+        arrays.scattered(vector, [2, 2], ("i", "j")).df.collect()
+
+
+def test_strict_keys_and_ordered_pairs(spark):
+    from quern.operators import relational
+
+    a = spark.createDataFrame([(2, "x"), (1, "z"), (1, "y"), (None, "n")], "k long, l string")
+    b = spark.createDataFrame([(1, "q"), (1, "p"), (2, "r")], "k long, m string")
+    assert [(r.k, r.l, r.m) for r in relational.equijoin(a, b, ["k"], ["k"], order=("l", "m")).collect()] == [(1, "y", "p"), (1, "y", "q"), (1, "z", "p"), (1, "z", "q"), (2, "x", "r")]
+    with pytest.raises(Exception, match="null_key"):
+        relational.equijoin(a, b, ["k"], ["k"], strict=True).collect()
+    flags = spark.createDataFrame([(True, 1), (False, 2)], "f boolean, n int")
+    assert {(r.n, r.m) for r in relational.equijoin(flags, b, ["f"], ["k"]).collect()} == {(1, "q"), (1, "p")}
