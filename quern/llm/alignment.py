@@ -172,6 +172,29 @@ def _unpacked(batch: pa.RecordBatch):
         yield lo, hi, a, b, np.repeat(np.arange(hi - lo), np.diff(off["a"][lo : hi + 1]))
 
 
+def _group_texts(len_a: np.ndarray, len_b: np.ndarray):
+    """The groups of each document as text, from its ids."""
+
+    def scan(batches):
+        table = decimals(max(len(len_a), len(len_b)))
+        for batch in batches:
+            for lo, hi, a, b, doc in _unpacked(batch):
+                _, group_a, group_b = groups_of(a, b, len_a, len_b)
+                said, ends = written(a, b, group_a, group_b, table)
+                said = said.tobytes()
+                upto = np.maximum.accumulate(np.append(0, np.append(0, group_a + 1)[np.searchsorted(doc, np.arange(hi - lo), "right")]))
+                at = np.append(0, ends)[upto].tolist()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([said[x : max(x, y - 1)].decode() for x, y in zip(at[:-1], at[1:], strict=True)], pa.string())], ["doc_id", "groups"])
+
+    return scan
+
+
+def group_texts(tokens: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """doc_id, groups of token_alignment's tokens: `a1,a2|b1;a3|b2,b3`, the ids of both tokenizers between common cuts; empty without tokens."""
+    len_a, len_b = lengths(ByteLevel(path_a).entries), lengths(Pieces(path_b).entries)
+    return tokens.mapInArrow(_group_texts(len_a, len_b), "doc_id long, groups string")
+
+
 def _pairs_by_document(len_a: np.ndarray, len_b: np.ndarray):
     """pair, salt, n: documents of the task that hold each pair linked, folded before they are sent."""
 
@@ -260,8 +283,9 @@ def _score(folder: str, shards: Shards, len_a: np.ndarray, len_b: np.ndarray):
     return scan
 
 
-def token_alignment(documents: DataFrame, path_a: str, path_b: str, ranks_path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables: of every row doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; and pair, n, best of all id pairs.
+def token_alignment(documents: DataFrame, path_a: str, path_b: str, ranks_path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: of every row doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; pair, n, best of all id pairs; and
+    of every row its ids (a, b: 16 bits each), of which group_texts() writes the groups.
 
     A (a byte-level vocabulary of the tokenizers library) encodes a space and the text, B (a sentencepiece model) the text,
     to which it adds a space. Places where tokens of both end cut them into groups; tokens whose bytes overlap are linked.
@@ -287,7 +311,7 @@ def token_alignment(documents: DataFrame, path_a: str, path_b: str, ranks_path:
     dealt = pairs.mapInArrow(_deal(shards), "shard int, pair long, n long, best boolean").repartitionById(shards, F.col("shard"))
     dealt.groupBy("shard").applyInArrow(_write(folder), "n long").agg(F.sum("n")).collect()
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return tokens.mapInArrow(_score(folder, shards, len_a, len_b), schema), pairs
+    return tokens.mapInArrow(_score(folder, shards, len_a, len_b), schema), pairs, tokens
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

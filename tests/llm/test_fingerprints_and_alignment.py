@@ -267,15 +267,17 @@ def test_alignment_equals_loops(monkeypatch, docs, rows, ranks):
     monkeypatch.setattr(alignment, "PIECE", 900)
     monkeypatch.setattr(alignment, "HELD", 500)
     P = public_tokenizers
-    got, pairs = alignment.token_alignment(docs, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), ranks and P.path(ranks))
+    got, pairs, tokens = alignment.token_alignment(docs, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), ranks and P.path(ranks))
     want, counts = aligned(rows)
     assert Counter(tuple(r) for r in got.collect()) == want
     assert {tuple(r) for r in pairs.collect()} == counts
     assert sum(1 for r in want if not r[1]) >= 4
+    texts = alignment.group_texts(tokens, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")).collect()
+    assert Counter((r.doc_id, hashlib.sha256(r.groups.encode()).hexdigest() if r.groups else "") for r in texts) == Counter((k[0], k[7]) for k in want.elements())
 
 
 @needs_vocabularies
 def test_alignment_of_no_rows(empty):
     P = public_tokenizers
-    got, pairs = alignment.token_alignment(empty, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
-    assert got.collect() == [] and pairs.collect() == []
+    got, pairs, tokens = alignment.token_alignment(empty, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    assert got.collect() == [] and pairs.collect() == [] and tokens.collect() == []
