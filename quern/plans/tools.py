@@ -12,6 +12,7 @@ from ..errors import QuernError
 from .checks import problems
 from .document import defined_name, load, save
 from .expressions import Expr, check_arity, free_variables, is_node, parse, substitute, to_text
+from .imports import resolved
 
 VERSION = "1.0.0"
 
@@ -178,10 +179,11 @@ def bound_names(lhs: Expr) -> set[str]:
     return own.union(*(bound_names(a) for a in (*lhs.get("args", []), lhs.get("expr"))))
 
 
-def validate(doc: str | dict) -> list[str]:
+def validate(doc: str | dict, at: str = "", read: Callable[[str], str] | None = None) -> list[str]:
     """Problems of a document, each with a code: fields, arity, undeclared sets, undefined names, equations, couplings, events, units.
 
-    A document without a version and metadata is a part that a program holds: only its equations are looked at.
+    A document without a version and metadata is a part that a program holds: only its equations are looked at. With
+    `read`, which gives the text at a place, what it imports and refers to is looked at too; `at` is its own place.
     """
     try:
         raw = json.loads(doc) if isinstance(doc, str) else doc
@@ -190,6 +192,11 @@ def validate(doc: str | dict) -> list[str]:
     found = problems(raw) if not isinstance(raw, dict) or "esm" in raw or "metadata" in raw else []
     if any(p.startswith("[schema]") for p in found):
         return found
+    if read is not None and isinstance(raw, dict):
+        try:
+            resolved(raw, at, read)
+        except QuernError as e:
+            found.append(str(e))
     try:
         d = load(raw)
     except QuernError as e:
@@ -238,9 +245,9 @@ def main(argv: list[str] | None = None) -> int:
     with open(a.file) as f:
         text = f.read()
     if a.command == "validate":
-        problems = validate(text)
-        print("\n".join(problems) or "valid")
-        return int(bool(problems))
+        found = validate(text, a.file, lambda path: open(path).read())  # noqa: SIM115
+        print("\n".join(found) or "valid")
+        return int(bool(found))
     if a.command == "migrate":
         print(save(migrate(json.loads(text))))
         return 0
