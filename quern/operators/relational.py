@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QuernError
+from ..shared import saved
 from ..types import Semiring, check_keys
 
 
@@ -46,7 +47,8 @@ def rank(df: DataFrame, *columns: str, base: int = 0, name: str = "rank") -> Dat
     """
     check_keys(df, *columns)
     keys = df.select(*columns).where(" and ".join(f"`{c}` is not null" for c in columns)).distinct()
-    ranges = keys.repartitionByRange(*[F.col(c) for c in columns]).withColumn("__part", F.spark_partition_id()).persist()
+    # Written once: ranges are drawn anew each time they are asked for, and ids must come from one drawing.
+    ranges = saved(keys.repartitionByRange(*[F.col(c) for c in columns]).withColumn("__part", F.spark_partition_id()), "rank")
     sizes = ranges.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()
     before, start = {}, base
     for r in sizes:

@@ -137,7 +137,7 @@ class Evaluator:
                 n = self.clipped(makers[0]).df.agg(F.max("v")).first()[0] or 1
                 self.sets[name] = IndexSet("interval", n - 1)
                 return self.sets[name]
-            self.sets[name] = IndexSet("derived", frame=self.members(makers[0]).persist())
+            self.sets[name] = IndexSet("derived", frame=self.members(makers[0]))
         return self.sets[name]
 
     def members(self, e: Expr) -> DataFrame:

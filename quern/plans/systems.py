@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QuernError
+from ..shared import saved
 from ..streaming.cadence import check_acyclic
 from ..streaming.refresh import schedule_times
 from .expressions import Expr, expand_templates, free_variables, is_node, node, numeric, simplify, substitute
@@ -165,7 +166,7 @@ def levels(edges: DataFrame) -> DataFrame:
     n = level.count()
     for _ in range(n + 1):
         up = level.join(edges, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("up"))
-        new = level.join(up, F.col("id") == F.col("node"), "left").select("id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")).persist()
+        new = saved(level.join(up, F.col("id") == F.col("node"), "left").select("id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")), "levels")
         grown = new.join(level.withColumnRenamed("level", "old"), "id").where("level > old").limit(1).count()
         level = new
         if not grown:
