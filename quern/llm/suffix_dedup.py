@@ -302,7 +302,7 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     """doc_id, first_word, n_words, other_doc of every stretch of 50 words or more that another document repeats.
 
     Words are lower-cased A-Z runs without white space; overlapping and adjoining matches of a document are
-    one stretch; other_doc is the smallest document seen at the other end of one of its matches. Texts of fewer
+    one stretch; other_doc is one document that holds a part of it (which one depends on how often its runs occur). Texts of fewer
     words, null and empty texts and null ids take no part; rows that repeat an id are one document; empty input
     gives no rows; other columns are ignored.
 
