@@ -16,7 +16,7 @@ def test_formats(spark, tmp_path):
     (tmp_path / "p.csv").write_text("a,b\n1,x\n2,y\n")
     assert readers.extent(readers.read(spark, str(tmp_path / "p.csv"), "csv")) == 2
     with pytest.raises(QuernError, match="unknown_format"):
-        readers.read(spark, "x", "zarr")
+        readers.read(spark, "x", "grib")
     readers.register("rows", lambda s, path, options: s.range(int(options["n"])))
     assert readers.read(spark, "", "rows", n=3).count() == 3
 
