@@ -332,6 +332,8 @@ def check_units(e: Expr, units: Mapping[str, str]) -> tuple[int, ...]:
 _A = [[], [1 / 5], [3 / 40, 9 / 40], [44 / 45, -56 / 15, 32 / 9], [19372 / 6561, -25360 / 2187, 64448 / 6561, -212 / 729], [9017 / 3168, -355 / 33, 46732 / 5247, 49 / 176, -5103 / 18656], [35 / 384, 0, 500 / 1113, 125 / 192, -2187 / 6784, 11 / 84]]
 _E = np.array([71 / 57600, 0, -71 / 16695, 71 / 1920, -17253 / 339200, 22 / 525, -1 / 40])
 _C = [0, 1 / 5, 3 / 10, 4 / 5, 8 / 9, 1, 1]
+#: Numbers in one array of states (increments of noise, Jacobians) that a task solves at a time.
+SOLVED_AT_ONCE = 1 << 18
 
 
 def integrate(f: Callable[[float, np.ndarray], np.ndarray], y: np.ndarray, times: list[float], rtol: float = 1e-8, atol: float = 1e-10, stiff: bool = False, events: list[tuple] = ()) -> np.ndarray:
@@ -339,83 +341,113 @@ def integrate(f: Callable[[float, np.ndarray], np.ndarray], y: np.ndarray, times
 
     events: (root(t, y), direction, affect(t, y) -> y); a root is bracketed by a step and found by halving it.
     """
-    out, t, y, h = [np.array(y, float)], times[0], np.array(y, float), max((times[-1] - times[0]) / 100, 1e-12)
+    return integrate_many(_each(f), np.array(y, float)[None], times, rtol, atol, stiff, [(_each(root), direction, _each(affect)) for root, direction, affect in events])[:, 0]
+
+
+def _each(f):
+    """f of one trajectory for rows of them."""
+    return lambda t, y, who: np.array([np.asarray(f(float(a), b), float) for a, b in zip(t, y, strict=True)])
+
+
+def integrate_many(f: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], y: np.ndarray, times: list[float], rtol: float = 1e-8, atol: float = 1e-10, stiff: bool = False, events: list[tuple] = ()) -> np.ndarray:
+    """integrate() for rows of states, (time, row, state): each row has its own time and step, all rows that are not there yet step together.
+
+    f, roots and affects take the times and states of some rows, and which rows they are.
+    """
+    y, step, power = np.array(y, float), _implicit if stiff else _explicit, -(0.5 if stiff else 0.2)
+    t, h, out = np.full(len(y), float(times[0])), np.full(len(y), max((times[-1] - times[0]) / 100, 1e-12)), [y.copy()]
     for stop in times[1:]:
-        while t < stop:
-            h = min(h, stop - t)
-            new, error = (_implicit if stiff else _explicit)(f, t, y, h)
-            size = float(np.sqrt(np.mean((error / (atol + rtol * np.maximum(np.abs(y), np.abs(new)))) ** 2))) if len(y) else 0.0
-            if size > 1 or not np.isfinite(size):
-                h *= max(0.1, 0.9 * size ** -(0.5 if stiff else 0.2)) if np.isfinite(size) else 0.1
-                if h < 1e-14 * max(1.0, abs(t)):
-                    raise QuernError("step_too_small", f"at {t}")
-                continue
-            hit = None
-            for root, direction, affect in events:
-                a, b = root(t, y), root(t + h, new)
-                if a * b < 0 or a != 0 and b == 0:
-                    if direction in ("all", "up" if b > a else "down"):
-                        lo, hi = 0.0, h
-                        for _ in range(60):
-                            mid = (lo + hi) / 2
-                            state = (_implicit if stiff else _explicit)(f, t, y, mid)[0]
-                            lo, hi = (lo, mid) if a * root(t + mid, state) <= 0 else (mid, hi)
-                        if hit is None or hi < hit[0]:
-                            hit = (hi, affect)
-            if hit:
-                at, affect = hit
-                y = np.array(affect(t + at, (_implicit if stiff else _explicit)(f, t, y, at)[0]), float)
-                t = t + at if t + at > t else np.nextafter(t, np.inf)
-                continue
-            t, y = (stop if h == stop - t else t + h), new
-            h *= min(5.0, 0.9 * max(size, 1e-10) ** -(0.5 if stiff else 0.2))
+        while len(who := np.flatnonzero(t < stop)):
+            at, own = t[who], y[who]
+            dt = np.minimum(h[who], stop - at)
+            with np.errstate(all="ignore"):
+                new, error = step(f, at, own, dt, who)
+                size = np.sqrt(np.mean((error / (atol + rtol * np.maximum(np.abs(own), np.abs(new)))) ** 2, axis=1)) if own.shape[1] else np.zeros(len(who))
+                good, real = size <= 1, np.isfinite(size)
+                less = np.where(real, np.maximum(0.1, 0.9 * size**power), 0.1)
+                more = np.minimum(5.0, 0.9 * np.maximum(size, 1e-10) ** power)
+            if (stuck := ~good & (dt * less < 1e-14 * np.maximum(1.0, np.abs(at)))).any():
+                raise QuernError("step_too_small", f"at {at[stuck][0]}")
+            first, by = np.full(len(who), np.inf), np.full(len(who), -1)
+            for number, (root, direction, _) in enumerate(events):
+                a, b = root(at, own, who), root(at + dt, new, who)
+                hit = good & ((a * b < 0) | (a != 0) & (b == 0))
+                if direction != "all":
+                    hit &= (b > a) == (direction == "up")
+                if not (x := np.flatnonzero(hit)).size:
+                    continue
+                lo, hi = np.zeros(len(x)), dt[x]
+                for _ in range(60):
+                    mid = (lo + hi) / 2
+                    left = a[x] * root(at[x] + mid, step(f, at[x], own[x], mid, who[x])[0], who[x]) <= 0
+                    lo, hi = np.where(left, lo, mid), np.where(left, mid, hi)
+                sooner = hi < first[x]
+                first[x[sooner]], by[x[sooner]] = hi[sooner], number
+            for number, (_, _, affect) in enumerate(events):
+                if (x := np.flatnonzero(by == number)).size:
+                    now = at[x] + first[x]
+                    y[who[x]] = affect(now, step(f, at[x], own[x], first[x], who[x])[0], who[x])
+                    t[who[x]] = np.where(now > at[x], now, np.nextafter(at[x], np.inf))
+            on = good & (by < 0)
+            y[who[on]] = new[on]
+            t[who[on]] = np.where(dt == stop - at, stop, at + dt)[on]
+            h[who] = np.where(on, dt * more, np.where(good, dt, dt * less))
         out.append(y.copy())
     return np.array(out)
 
 
-def _explicit(f, t, y, h):
-    k = [np.asarray(f(t, y), float)]
+def _explicit(f, t, y, h, who):
+    k, wide = [f(t, y, who)], h[:, None]
     for a, c in zip(_A[1:], _C[1:], strict=True):
-        k.append(np.asarray(f(t + c * h, y + h * sum(w * x for w, x in zip(a, k, strict=True))), float))
-    return y + h * sum(w * x for w, x in zip(_A[-1], k[:6], strict=True)), h * sum(e * x for e, x in zip(_E, k, strict=True))
+        k.append(f(t + c * h, y + wide * sum(w * x for w, x in zip(a, k, strict=True)), who))
+    return y + wide * sum(w * x for w, x in zip(_A[-1], k[:6], strict=True)), wide * sum(e * x for e, x in zip(_E, k, strict=True))
 
 
-def _solve(f, t, y, h, theta):
-    """y1 = y + h (theta f(t1, y1) + (1 - theta) f(t, y)) by Newton steps."""
-    f0, z, n = np.asarray(f(t, y), float), y.copy(), len(y)
+def _solve(f, t, y, h, theta, who):
+    """y1 = y + h (theta f(t1, y1) + (1 - theta) f(t, y)) by Newton steps; a row that is there stays."""
+    f0, done, n = f(t, y, who), y.copy(), y.shape[1]
+    go = np.arange(len(y))
     for _ in range(12):
-        fz = np.asarray(f(t + h, z), float)
-        r = z - y - h * (theta * fz + (1 - theta) * f0)
-        jac = np.empty((n, n))
+        z, wide, late = done[go], h[go][:, None], (t + h)[go]
+        fz = f(late, z, who[go])
+        r = z - y[go] - wide * (theta * fz + (1 - theta) * f0[go])
+        jac = np.empty((len(go), n, n))
         for i in range(n):
-            e = 1e-7 * max(1.0, abs(z[i]))
+            e = 1e-7 * np.maximum(1.0, np.abs(z[:, i]))
             zi = z.copy()
-            zi[i] += e
-            jac[:, i] = (np.asarray(f(t + h, zi), float) - fz) / e
-        d = np.linalg.solve(np.eye(n) - h * theta * jac, -r)
-        z = z + d
-        if np.max(np.abs(d)) <= 1e-12 * max(1.0, np.max(np.abs(z))):
+            zi[:, i] += e
+            jac[:, :, i] = (f(late, zi, who[go]) - fz) / e[:, None]
+        d = np.linalg.solve(np.eye(n) - wide[:, :, None] * theta * jac, -r[:, :, None])[:, :, 0]
+        done[go] = z + d
+        go = go[~(np.abs(d).max(1, initial=0) <= 1e-12 * np.maximum(1.0, np.abs(z + d).max(1, initial=0)))]
+        if not len(go):
             break
-    return z
+    return done
 
 
-def _implicit(f, t, y, h):
+def _implicit(f, t, y, h, who):
     """Two backward steps of half the size against one whole, extrapolated to second order."""
-    whole = _solve(f, t, y, h, 1.0)
-    half = _solve(f, t + h / 2, _solve(f, t, y, h / 2, 1.0), h / 2, 1.0)
+    whole = _solve(f, t, y, h, 1.0, who)
+    half = _solve(f, t + h / 2, _solve(f, t, y, h / 2, 1.0, who), h / 2, 1.0, who)
     return 2 * half - whole, half - whole
 
 
-def segmented(f: Callable[[float, np.ndarray], np.ndarray], y: np.ndarray, times: list[float], jumps: list[tuple], **how) -> np.ndarray:
+def segmented(f: Callable[[float, np.ndarray], np.ndarray], y: np.ndarray, times: list[float], jumps: list[tuple], events: list[tuple] = (), **how) -> np.ndarray:
     """States at `times`, solved piece by piece between jumps (t, affect(t, y) -> y); a state at the time of a jump is the one after it."""
+    roots = [(_each(root), direction, _each(affect)) for root, direction, affect in events]
+    return segmented_many(_each(f), np.array(y, float)[None], times, [(t, _each(affect)) for t, affect in jumps], events=roots, **how)[:, 0]
+
+
+def segmented_many(f, y: np.ndarray, times: list[float], jumps: list[tuple], **how) -> np.ndarray:
+    """segmented() for rows of states, as integrate_many()."""
     marks = sorted({*times, *(t for t, _ in jumps if times[0] <= t <= times[-1])})
-    y, at = np.array(y, float), {}
+    y, at, who = np.array(y, float), {}, np.arange(len(y))
     for k, t in enumerate(marks):
         if k:
-            y = integrate(f, y, [marks[k - 1], t], **how)[-1]
+            y = integrate_many(f, y, [marks[k - 1], t], **how)[-1]
         for when, affect in jumps:
             if when == t:
-                y = np.array(affect(t, y), float)
+                y = affect(np.full(len(y), float(t)), y, who)
         at[t] = y
     return np.array([at[t] for t in times])
 
@@ -435,7 +467,7 @@ def log_range(start: float, stop: float, n: int) -> list[float]:
 
 
 def simulate(ensemble: DataFrame, rhs: Mapping[str, Expr], initial: Mapping[str, float], times: list[float], constants: Mapping[str, float] | None = None, stiff: bool = False, noise: Mapping[str, Expr] | None = None, seed: int = 0, steps: int = 200, events: list[dict] = (), updates: list[dict] = ()) -> DataFrame:
-    """(member, t, variable, value) of each row of `ensemble` (member and parameters): one solve a member, members over the cluster.
+    """(member, t, variable, value) of each row of `ensemble` (member and parameters): each member has its own steps, members of a batch step together, batches over the cluster.
 
     `noise` gives diffusion terms driven by independent Wiener increments, sqrt(dt) wide, in `steps` fixed steps
     between times, from a seed of the member. Unknown names are an error before anything runs.
@@ -459,45 +491,52 @@ def simulate(ensemble: DataFrame, rhs: Mapping[str, Expr], initial: Mapping[str,
     if set(initial) - {*states}:
         raise QuernError("unknown_override", ", ".join(sorted(set(initial) - set(states))))
 
+    width = max(1, len(states))
+    at_once = max(1, SOLVED_AT_ONCE // (width * (steps if noise else width if stiff else 1)))
+
     def solve(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                names = fixed | {p: float(row[p]) for p in params}
-
-                def f(t, y, names=names):
-                    at = names | {"t": t} | dict(zip(states, y, strict=True))
-                    return np.array([float(numeric(rhs[s], at)) for s in states])
-
-                y0 = np.array([float(initial.get(s, 0.0)) for s in states])
-                if noise:
-                    rng, y, ys = np.random.default_rng([seed, int(row["member"])]), y0, [y0]
-                    for a, b in zip(times, times[1:], strict=False):
-                        dt = (b - a) / steps
-                        for k in range(steps):
-                            at = names | {"t": a + k * dt} | dict(zip(states, y, strict=True))
-                            kick = np.array([float(numeric(noise[s], at)) if s in noise else 0.0 for s in states])
-                            y = y + dt * f(a + k * dt, y) + kick * rng.normal(0, math.sqrt(dt), len(states))
-                        ys.append(y)
-                else:
-
-                    def value(e, t, y, names=names):
-                        return float(numeric(e, names | {"t": t} | dict(zip(states, y, strict=True))))
-
-                    def change(what, value=value):
-                        def affect(t, y):
-                            if not value(what.get("when", 1.0), t, y):
-                                return y
-                            return [value(what["affect"][s], t, y) if s in what["affect"] else v for s, v in zip(states, y, strict=True)]
-
-                        return affect
-
-                    roots = [(lambda t, y, e=e, value=value: value(e["root"], t, y), e.get("direction", "all"), change(e)) for e in events]
-                    ys = segmented(f, y0, times, [(t, change(u)) for t, u in ticks], stiff=stiff, events=roots)
-                out += [(row["member"], t, s, float(v)) for t, y in zip(times, ys, strict=True) for s, v in zip(states, y, strict=True)]
-            yield pd.DataFrame(out, columns=["member", "t", "variable", "value"])
-
-    return ensemble.mapInPandas(solve, "member long, t double, variable string, value double")
+        for whole in batches:
+            for lo in range(0, len(whole), at_once):
+                yield solved(whole.iloc[lo : lo + at_once])
+
+    def solved(pdf):
+        held = fixed | {p: pdf[p].to_numpy(dtype=float, na_value=np.nan) for p in params}
+
+        def value(e, t, y, who):
+            names = {n: x[who] if n in params else x for n, x in held.items()} | {"t": t} | dict(zip(states, y.T, strict=True))
+            return np.broadcast_to(np.asarray(numeric(e, names), float), len(t))
+
+        def f(t, y, who):
+            return np.stack([value(rhs[s], t, y, who) for s in states], 1) if states else np.zeros_like(y)
+
+        def change(what):
+            def affect(t, y, who):
+                new = np.stack([value(what["affect"][s], t, y, who) if s in what["affect"] else x for s, x in zip(states, y.T, strict=True)], 1)
+                return np.where((value(what.get("when", 1.0), t, y, who) != 0)[:, None], new, y)
+
+            return affect
+
+        y0 = np.tile(np.array([float(initial.get(s, 0.0)) for s in states]), (len(pdf), 1))
+        if noise:
+            rngs, who = [np.random.default_rng([seed, int(m)]) for m in pdf["member"]], np.arange(len(pdf))
+            y, ys = y0, [y0]
+            for a, b in zip(times, times[1:], strict=False):
+                dt = (b - a) / steps
+                wiener = np.stack([rng.normal(0, math.sqrt(dt), (steps, len(states))) for rng in rngs], 1)
+                for k in range(steps):
+                    t = np.full(len(pdf), a + k * dt)
+                    kick = np.stack([value(noise[s], t, y, who) if s in noise else np.zeros(len(pdf)) for s in states], 1)
+                    y = y + dt * f(t, y, who) + kick * wiener[k]
+                ys.append(y)
+        else:
+            roots = [(lambda t, y, who, e=e: value(e["root"], t, y, who), e.get("direction", "all"), change(e)) for e in events]
+            ys = segmented_many(f, y0, times, [(t, change(u)) for t, u in ticks], stiff=stiff, events=roots)
+        n, each = len(pdf), len(times) * len(states)
+        return pd.DataFrame({"member": pdf["member"].repeat(each).to_numpy(), "t": np.tile(np.repeat(np.array(times, float), len(states)), n), "variable": np.tile(np.array(states, object), n * len(times)), "value": np.asarray(ys, float).transpose(1, 0, 2).ravel()})
+
+    # Solving costs far more than a row's bytes tell, so members are spread whatever the size of their file.
+    spread = ensemble.repartition(4 * ensemble.sparkSession.sparkContext.defaultParallelism, "member")
+    return spread.mapInPandas(solve, "member long, t double, variable string, value double")
 
 
 def lower(e: Expr, templates: Mapping[str, dict], enums: Mapping[str, Mapping[str, int]]) -> Expr:
