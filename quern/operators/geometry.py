@@ -46,12 +46,20 @@ def spherical_area(ring: Column, radius: float = 1.0) -> Column:
 
 
 def polygon_area(df: DataFrame, key: str, ring: str) -> DataFrame:
-    """The same planar area as an aggregate over exploded vertices: (key, area)."""
-    v = df.select(F.col(key).alias("__key"), F.posexplode(close_ring(F.col(ring))).alias("__k", "p"))
-    a = v.select("__key", "__k", F.col("p.lon").alias("x"), F.col("p.lat").alias("y"))
-    b = v.select("__key", (F.col("__k") - 1).alias("__k"), F.col("p.lon").alias("x2"), F.col("p.lat").alias("y2"))
-    area = F.abs(F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y"))) / 2.0
-    return a.join(b, ["__key", "__k"]).groupBy(F.col("__key").alias(key)).agg(area.alias("area"))
+    """(key, area) of each ring of two vertices at least: the cross products of its edges folded inside its row, so nothing is shuffled or held.
+
+    Edges with a missing place take no part; a ring of none but such has null.
+    """
+    cross = lambda p, q: p["lon"] * q["lat"] - q["lon"] * p["lat"]
+    edges = lambda r: F.filter(F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), cross), lambda x: x.isNotNull())
+    half = lambda e: F.when(F.size(e) > 0, F.abs(F.aggregate(e, F.lit(0.0), lambda a, x: a + x)) / 2.0)
+    area = _let(F.col(ring), lambda r: _let(close_ring(r), lambda r: _let(edges(r), half)))
+    return df.where(F.size(F.col(ring)) >= 2).select(F.col(key), area.alias("area"))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once: as a column's name it would be written out wherever body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 class Rings:
