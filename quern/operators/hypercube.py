@@ -1,7 +1,8 @@
 """Cyclic joins in one exchange: rows go to the cells of a grid over the indices, and each cell joins index by index.
 
 Each index has a share, the number of parts that its values are hashed into; a cell is one part of each. A row goes to all cells
-that agree with its indices, so any combination of rows meets in exactly one. In a cell the factors are tries of
+that agree with its indices, so any combination of rows meets in exactly one; rows that go to the same cells go as one
+compressed block, packed before it is repeated, so a repetition costs a few bytes a row. In a cell the factors are tries of
 sorted arrays, and an index is bound by the factor that offers the fewest values and looked up in the others,
 many partial bindings at a time: no intermediate exceeds what the body can give.
 """
@@ -132,19 +133,47 @@ def load(rows: dict[frozenset, int], shares: dict[str, int]) -> float:
     return sum(n / np.prod([shares[a] for a in axes]) for axes, n in rows.items())
 
 
+def _steps(shares: dict[str, int]) -> dict[str, int]:
+    """What each index's part counts in the number of a cell."""
+    step, out = 1, {}
+    for v in sorted(shares):
+        out[v] = step
+        step *= shares[v]
+    return out
+
+
+def _dealt(df: DataFrame, axes: frozenset, shares: dict[str, int]) -> DataFrame:
+    """df with a column __own, what its own indices add to a cell's number: rows with the same one are a block."""
+    own, steps = F.lit(0).cast("long"), _steps(shares)
+    for v in sorted(axes):
+        own = own + F.pmod(F.xxhash64(F.lit(v), F.col(v)), F.lit(shares[v])) * steps[v]
+    return df.withColumn("__own", own)
+
+
 def _placed(df: DataFrame, axes: frozenset, shares: dict[str, int]) -> DataFrame:
-    """df with a column __cell, a row for each cell that agrees with its indices."""
-    cell, step = F.lit(0).cast("long"), 1
+    """Blocks (a column __own) with a column __cell, a row for each cell that agrees with a block."""
+    cell, steps = F.col("__own"), _steps(shares)
     for v in sorted(shares):
-        if v in axes:
-            cell = cell + F.pmod(F.xxhash64(F.lit(v), F.col(v)), F.lit(shares[v])) * step
-        elif shares[v] > 1:
+        if v not in axes and shares[v] > 1:
             df = df.withColumn(f"__at_{v}", F.explode(F.sequence(F.lit(0), F.lit(shares[v] - 1))))
-            cell = cell + F.col(f"__at_{v}") * step
-        step *= shares[v]
+            cell = cell + F.col(f"__at_{v}") * steps[v]
     return df.withColumn("__cell", cell)
 
 
+def _pack(number: int):
+    """A block of a factor as one row: sorted and compressed, since it goes to many cells."""
+
+    def pack(key, table):
+        rows = table.drop_columns(["__own"])
+        rows = rows.sort_by([(c, "ascending") for c in rows.column_names])
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(rows)
+        return pa.table({"__own": pa.array([key[0].as_py()], pa.int64()), "__factor": pa.array([number], pa.int32()), "__block": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+
+    return pack
+
+
 def choose_shares(parts: list[tuple[frozenset, DataFrame]], cores: int, cell_rows: int = CELL_ROWS) -> dict[str, int]:
     """Shares are doubled, one at a time, until cells are as many as cores and, as counted, none has more than cell_rows rows.
 
@@ -161,9 +190,10 @@ def choose_shares(parts: list[tuple[frozenset, DataFrame]], cores: int, cell_row
     def largest(s: dict[str, int]) -> int:
         placed = None
         for axes, df in parts:
-            own = _placed(df.select(*sorted(axes)), axes, s).select("__cell")
+            blocks = _dealt(df.select(*sorted(axes)), axes, s).groupBy("__own").count()
+            own = _placed(blocks, axes, s).select("__cell", "count")
             placed = own if placed is None else placed.unionByName(own)
-        return placed.groupBy("__cell").count().agg(F.max("count")).first()[0] or 0
+        return placed.groupBy("__cell").agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0] or 0
 
     while (load(rows, shares) > cell_rows / 2 or cells() < cores and total > 10_000) and cells() < MOST_CELLS:
         v = min(shares, key=lambda v: (load(rows, shares | {v: 2 * shares[v]}), shares[v], v))
@@ -184,17 +214,23 @@ def join_core(parts: list[tuple[frozenset, DataFrame]], keep: frozenset, algebra
     # Indices of most factors first: they are looked up in most others.
     order = sorted(shares, key=lambda v: (-sum(v in a for a, _ in parts), v))
     keys = {v: next(df.schema[v].dataType for a, df in parts if v in a) for v in order}
-    placed = None
+    placed, empty = None, []
     for k, (axes, df) in enumerate(parts):
-        own = _placed(df, axes, shares).select("__cell", F.lit(k).alias("__factor"), *[F.col(v).cast(keys[v]).alias(v) if v in axes else F.lit(None).cast(keys[v]).alias(v) for v in order], *algebra.columns)
-        placed = own if placed is None else placed.unionByName(own)
+        own = _dealt(df.select(*[F.col(v).cast(keys[v]).alias(v) for v in sorted(axes)], *algebra.columns), axes, shares)
+        empty.append(own.drop("__own").limit(0).toArrow().schema.empty_table())
+        blocks = own.groupBy("__own").applyInArrow(_pack(k), "__own long, __factor int, __block binary")
+        cells = _placed(blocks, axes, shares).select("__cell", "__factor", "__block")
+        placed = cells if placed is None else placed.unionByName(cells)
     axes, kept = [sorted(a) for a, _ in parts], sorted(keep)
     out = parts[0][1].select(*algebra.columns).schema
     schema = ", ".join([*(f"`{v}` {keys[v].simpleString()}" for v in kept), *(f"{f.name} {f.dataType.simpleString()}" for f in out)])
 
     def cell(table: pa.Table) -> pa.Table:
-        of = table["__factor"].to_numpy()
-        return join_cell([table.filter(pa.array(of == k)) for k in range(len(axes))], axes, order, kept, algebra)
+        blocks = [[e] for e in empty]
+        for k, block in zip(table["__factor"].to_pylist(), table["__block"], strict=True):
+            rows = pa.ipc.open_stream(block.as_buffer()).read_all()
+            blocks[k].append(rows.cast(empty[k].schema))
+        return join_cell([pa.concat_tables(b) for b in blocks], axes, order, kept, algebra)
 
     met = placed.groupBy("__cell").applyInArrow(cell, schema)
     return met.groupBy(*kept).agg(*algebra.folds()) if kept else met.agg(*algebra.folds())
