@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QuernError
+from ..shared import saved
 from .aggregate import axis_range
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -25,6 +28,10 @@ def bin_key(x: Column, width: float) -> Column:
 STEP, LOWEST = 4.0, -8
 #: Rows of one cell that one task joins; a cell with more is split.
 CELL_ROWS = 100_000
+#: Cells where the sides' rows are more than BLOCK_ROWS x BLOCK_ROWS pairs are split into blocks of so many rows; a task gets TASK_BLOCKS pairs of blocks or so.
+BLOCK_ROWS, TASK_BLOCKS = 1000, 128
+#: Cells are counted by so many hashes first, and one by one only where a hash has many rows.
+HASHES = 1 << 18
 
 
 def bin_width(a: DataFrame, b: DataFrame, eps: float = 0.0) -> tuple[float, float]:
@@ -42,22 +49,44 @@ def box_level(wx: float, wy: float, eps: float) -> Column:
 
 
 def _cells(df: DataFrame, levels: Column, wx: float, wy: float, eps: float) -> DataFrame:
-    """A row for each of `levels` and cell (bx, by) of it that a box meets."""
+    """A row for each of `levels` and cell (bx, by) of it that a box meets; x0 and y0 say if the cell is the first on its axis."""
     df = df.withColumn("bl", F.explode(levels))
     key = lambda c, w, more: F.floor((F.col(c) + more) / (F.lit(w) * F.pow(F.lit(STEP), F.col("bl")))).cast("long")
-    df = df.withColumn("bx", F.explode(F.sequence(key("xmin", wx, -eps), key("xmax", wx, eps))))
-    return df.withColumn("by", F.explode(F.sequence(key("ymin", wy, -eps), key("ymax", wy, eps))))
+    for x, w in (("x", wx), ("y", wy)):
+        df = df.withColumn(f"{x}0", key(f"{x}min", w, -eps)).withColumn(f"b{x}", F.explode(F.sequence(F.col(f"{x}0"), key(f"{x}max", w, eps))))
+    return df.withColumn("x0", F.col("x0") == F.col("bx")).withColumn("y0", F.col("y0") == F.col("by"))
 
 
 def _split(left: DataFrame, right: DataFrame, key: list[str], most: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with a part of the cell, where any cell has more than `most` rows of the left: its rows are dealt to parts, the right's stand in each."""
-    hot = left.groupBy(*key).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
-    if hot.isEmpty():
+    """Both sides with a part of the cell, where cells have many pairs: each side's rows are dealt to blocks, and every two blocks meet in one part.
+
+    Without such cells nothing changes. With them the sides are dealt to as many tasks as the pairs of blocks ask for: a
+    pair costs the same however few bytes its rows have.
+    """
+    block = min(most, BLOCK_ROWS)
+    many = f"n * m > {block * block} or n > {most} or m > {most}"
+    place = F.pmod(F.xxhash64(*key), F.lit(HASHES)).cast("int").alias("__hash")
+    counted = lambda by: left.groupBy(*by).agg(F.count("*").alias("n")).join(right.groupBy(*by).agg(F.count("*").alias("m")), [x if isinstance(x, str) else "__hash" for x in by]).where(many)
+    full = saved(counted([place]).select("__hash"), "cells")
+    if full.isEmpty():
+        return left, right, key
+    some = lambda df: df.withColumn("__hash", place).join(F.broadcast(full), "__hash", "left_semi").groupBy(*key).agg(F.count("*").alias("n"))
+    hot = some(left).join(some(right).withColumnRenamed("n", "m"), key).where(many)
+    hot = saved(hot.select(*key, *[F.ceil(F.col(n) / block).cast("int").alias(f"__{n}") for n in "nm"]), "cells")
+    blocks = hot.agg(F.sum(F.col("__n").cast("long") * F.col("__m"))).first()[0]
+    if not blocks:
         return left, right, key
-    parts = F.coalesce("parts", F.lit(1))
-    left = left.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("parts")
-    right = right.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return left, right, [*key, "part"]
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, -(-blocks // TASK_BLOCKS))
+    n, m = (F.coalesce(f"__{x}", F.lit(1)) for x in "nm")
+    own = lambda df, parts: F.pmod(F.xxhash64(*[f.name for f in df.schema if "map<" not in f.dataType.simpleString()]), parts).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    key_parts = [*key, "part"]
+    sides = []
+    for df, mine, other, part in ((left, n, m, lambda i, j: i * m + j), (right, m, n, lambda i, j: j * m + i)):
+        dealt = df.join(hot, key, "left").withColumn("__own", own(df, mine)).withColumn("__other", each(other))
+        sides.append(dealt.withColumn("part", part(F.col("__own"), F.col("__other"))).drop("__n", "__m", "__own", "__other").repartition(tasks, *key_parts))
+    return *sides, key_parts
 
 
 def overlap_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, eps: float = 0.0, width: tuple[float, float] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -67,7 +96,8 @@ def overlap_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, eps: float =
     most. Two boxes meet in the cells of the coarser one's level, so a side also stands in the cells of those coarser
     levels that the other side has. The plan is one equi-join, or two where both sides have coarser boxes than the other.
     A pair that shares several cells is kept in that of the larger of its two lower corners, so nothing is shuffled to
-    remove repeats. `width` is the size of level 0; cells with more than cell_rows of the finer side are split.
+    remove repeats. `width` is the size of level 0; cells with more than cell_rows of a side, or with very many pairs, are split. Boxes outside
+    all that the other side has at a level don't go there.
     """
     if a_id == b_id:
         raise QuernError("overlap_names", "the two sides' ids need different names")
@@ -76,24 +106,30 @@ def overlap_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, eps: float =
     a, b = (real(df.select(c(i).alias(i), *[c(x).cast("double").alias(x) for x in BOX])) for df, i in ((a, a_id), (b, b_id)))
     wx, wy = width or bin_width(a, b, eps)
     left, right = (df.withColumn("level", box_level(wx, wy, eps)) for df in (a, b))
-    # Levels are a few dozen at most, whatever the tables.
-    have = left.select(F.lit(0).alias("side"), "level").unionByName(right.select(F.lit(1).alias("side"), "level")).distinct().collect()
-    of = [sorted(r["level"] for r in have if r["side"] == side) for side in (0, 1)]
+    # Levels are a few dozen at most, whatever the tables; of each the box around all that it holds.
+    around = [*[F.min(x).alias(x) for x in BOX[:2]], *[F.max(x).alias(x) for x in BOX[2:]]]
+    have = left.select(F.lit(0).alias("side"), "level", *BOX).unionByName(right.select(F.lit(1).alias("side"), "level", *BOX)).groupBy("side", "level").agg(*around).collect()
+    of = [{r["level"]: r for r in sorted(have, key=lambda r: r["level"]) if r["side"] == side} for side in (0, 1)]
+    near = lambda r: (c("xmin") - eps <= r["xmax"] + eps) & (r["xmin"] - eps <= c("xmax") + eps) & (c("ymin") - eps <= r["ymax"] + eps) & (r["ymin"] - eps <= c("ymax") + eps)
 
-    def joined(fine: DataFrame, coarse: DataFrame, levels: list[int], strict: bool) -> DataFrame:
+    def joined(fine: DataFrame, coarse: DataFrame, finer: dict, levels: dict, strict: bool) -> DataFrame:
         """Pairs at the levels of `coarse`, with the other side's boxes that are finer, or as fine unless strict."""
-        up = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x > c("level") if strict else x >= c("level"))
-        fine, coarse = _cells(fine, up, wx, wy, eps), _cells(coarse, F.array("level"), wx, wy, eps)
+        below = lambda x, y: x < y if strict else x <= y
+        up = F.array_compact(F.array(*[F.when(below(c("level"), F.lit(x)) & near(r), F.lit(x)) for x, r in levels.items()]))
+        own = F.array_compact(F.array(F.when(reduce(lambda p, q: p | q, [below(F.lit(x), c("level")) & near(r) for x, r in finer.items()]), c("level"))))
+        fine, coarse = _cells(fine, up, wx, wy, eps), _cells(coarse, own, wx, wy, eps)
         fine, coarse, key = _split(fine.drop("level"), coarse.drop("level"), ["bl", "bx", "by"], cell_rows)
-        fine, coarse = (df.withColumnsRenamed({x: f"{side}_{x}" for x in BOX}) for df, side in ((fine, "f"), (coarse, "c")))
+        fine, coarse = (df.withColumnsRenamed({x: f"{side}_{x}" for x in (*BOX, "x0", "y0")}) for df, side in ((fine, "f"), (coarse, "c")))
         meet = (c("f_xmin") - eps <= c("c_xmax") + eps) & (c("c_xmin") - eps <= c("f_xmax") + eps) & (c("f_ymin") - eps <= c("c_ymax") + eps) & (c("c_ymin") - eps <= c("f_ymax") + eps)
-        cell = lambda x, w: F.floor((F.greatest(f"f_{x}", f"c_{x}") - eps) / (F.lit(w) * F.pow(F.lit(STEP), c("bl")))).cast("long")
-        once = (c("bx") == cell("xmin", wx)) & (c("by") == cell("ymin", wy))
+        # A cell that both stand in has the larger of their lower corners if it is the first of one of them.
+        once = (c("f_x0") | c("c_x0")) & (c("f_y0") | c("c_y0"))
         return fine.join(coarse, key).where(meet & once).select(a_id, b_id)
 
-    pairs = joined(left, right, of[1], False)
-    if of[0] and of[1] and of[0][-1] > of[1][0]:
-        pairs = pairs.unionByName(joined(right, left, of[0], True))
+    if not of[0] or not of[1]:
+        return left.select(a_id).limit(0).withColumn(b_id, F.lit(None).cast(right.schema[b_id].dataType))
+    pairs = joined(left, right, of[0], of[1], False)
+    if max(of[0]) > min(of[1]):
+        pairs = pairs.unionByName(joined(right, left, of[1], of[0], True))
     return pairs
 
 
@@ -111,17 +147,18 @@ def interval_join(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b
     of = [sorted(r["__level"] for r in have if r["side"] == side) for side in (0, 1)]
     meet = (c(a_lo) - eps <= c(b_hi) + eps) & (c(b_lo) - eps <= c(a_hi) + eps)
 
-    def binned(df: DataFrame, lo: str, hi: str, levels: Column) -> DataFrame:
+    def binned(df: DataFrame, lo: str, hi: str, levels: Column, first: str) -> DataFrame:
         df = df.withColumn("__bl", F.explode(levels)).drop("__level")
         wide = F.lit(float(width)) * F.pow(F.lit(STEP), c("__bl"))
-        return df.withColumn("__bin", F.explode(F.sequence(F.floor((c(lo) - eps) / wide).cast("long"), F.floor((c(hi) + eps) / wide).cast("long"))))
+        df = df.withColumn(first, F.floor((c(lo) - eps) / wide).cast("long")).withColumn("__bin", F.explode(F.sequence(c(first), F.floor((c(hi) + eps) / wide).cast("long"))))
+        return df.withColumn(first, c(first) == c("__bin"))
 
     def joined(levels: list[int], finer: str, strict: bool) -> DataFrame:
         up = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x > c("__level") if strict else x >= c("__level"))
         own = F.array("__level")
-        sides = binned(left, a_lo, a_hi, up if finer == "a" else own).join(binned(right, b_lo, b_hi, up if finer == "b" else own), ["__bl", "__bin"])
-        once = c("__bin") == F.floor((F.greatest(c(a_lo), c(b_lo)) - eps) / (F.lit(float(width)) * F.pow(F.lit(STEP), c("__bl")))).cast("long")
-        return sides.where(meet & once).drop("__bl", "__bin")
+        sides = binned(left, a_lo, a_hi, up if finer == "a" else own, "__a0"), binned(right, b_lo, b_hi, up if finer == "b" else own, "__b0")
+        one, other, key = _split(*sides, ["__bl", "__bin"], CELL_ROWS)
+        return one.join(other, key).where(meet & (c("__a0") | c("__b0"))).drop(*key, "__a0", "__b0")
 
     out = joined(of[1] or [0], "a", False)
     return out.unionByName(joined(of[0], "b", True)) if of[0] and of[1] and of[0][-1] > of[1][0] else out
