@@ -47,27 +47,22 @@ def nra_top_k(x: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[tuple[np
     kind = np.float32 if narrow else np.float64
     lists = np.take_along_axis(x, order, 0).astype(kind)
     out: list = [None] * len(queries)
-    zero = kind(0)
     live, was, reads = np.arange(len(queries)), 0, 0
-    # What was read of each row's score: a column a query.
-    read = np.zeros((n, len(queries)), kind)
+    whole = x.astype(kind)
     for depth in DEPTHS:
         r = max(1, int(np.ceil(n * depth)))
         up, down = np.maximum(queries[live], 0).astype(kind), np.minimum(queries[live], 0).astype(kind)
-        for c in range(d):
-            for places, side in ((slice(n - r, n - was), up), (slice(was, r), down)):
-                if side[:, c].any():
-                    read[order[places, c]] += lists[places, c][:, None] * side[:, c]
         reads += (r - was) * d * len(live)
         was = r
         if r < n:
             top, bottom = rank >= n - r, rank < r
-            last = np.where(top, zero, lists[n - r]) @ up.T + np.where(bottom, zero, lists[r - 1]) @ down.T
-            least = np.where(top, zero, lists[0]) @ up.T + np.where(bottom, zero, lists[-1]) @ down.T
-            floor = np.partition(read + least, n - k, axis=0)[n - k]
-            can = read + last >= floor
+            # What a list has given where it was read, what it can still give elsewhere: as products, exact in whole numbers.
+            most = np.where(top, whole, lists[n - r]) @ up.T + np.where(bottom, whole, lists[r - 1]) @ down.T
+            least = np.where(top, whole, lists[0]) @ up.T + np.where(bottom, whole, lists[-1]) @ down.T
+            can = most >= np.partition(least, n - k, axis=0)[n - k]
             done = can.sum(0) <= 8 * k
         else:
+            read = whole @ (up + down).T
             can = read >= np.partition(read, n - k, axis=0)[n - k]
             done = np.ones(len(live), bool)
         for q in np.flatnonzero(done):
@@ -76,7 +71,7 @@ def nra_top_k(x: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[tuple[np
             kth = np.partition(score, len(rows) - k)[len(rows) - k]
             keep = score >= kth
             out[live[q]] = rows[keep], score[keep]
-        live, read = live[~done], read[:, ~done]
+        live = live[~done]
         if not len(live):
             break
     return out, reads
