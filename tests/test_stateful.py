@@ -64,3 +64,28 @@ def test_rows_out_of_order_without_a_delay_fail(spark, tmp_path):
 
 def test_a_stream_of_nothing(spark, tmp_path):
     assert run(spark, tmp_path, [[("a", 1, 1.0, START, 1.0)]], lambda s: stateful.crossings(s, ["who"], "i", "x")) == []
+
+
+def test_state_is_kept_by_buckets_and_not_by_trajectory(spark, tmp_path):
+    # Each key of the state costs trips to the store: with one for each trajectory a batch's time grew with their number.
+    data = [(f"t{i % 300}", i, float((-1) ** (i // 300)), START, 1.0) for i in range(900)]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"file://{tmp_path}/in")
+    found = stateful.crossings(spark.readStream.schema(SCHEMA).parquet(f"file://{tmp_path}/in"), ["who"], "i", "x", buckets=8)
+    query = found.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 8
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 600
+
+
+def test_keys_of_any_kind_stay_apart_and_exact(spark, tmp_path):
+    big, schema = 2**60 + 1, "k long, d double, s string, i long, x double, more long"
+    whose = [(None, 0.0, "a"), (big, 0.0, "a"), (big + 1, 0.0, "a"), (big, None, "a"), (big, 0.0, None), (big, 0.0, ""), (big, float("nan"), "a"), (None, None, None)]
+    data = [(k, -d if d == 0.0 and i % 2 else d, s, i, float((-1) ** i), None if i % 3 else big + i) for i in range(6) for k, d, s in whose]
+    for part in (data[:20], data[20:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")
+        stateful.append_now(stateful.crossings(stream, ["k", "d", "s"], "i", "x", buckets=2), f"file://{tmp_path}/out", f"file://{tmp_path}/log")
+    want = refresh.crossings(spark.createDataFrame(data, schema), ["k", "d", "s"], "i", "x")
+    plain = lambda df: sorted(map(repr, df.selectExpr("k", "d + 0.0 as d", "s", "i", "x", "more").collect()))
+    got = plain(spark.read.parquet(f"file://{tmp_path}/out"))
+    assert got == plain(want) and len(got) == 5 * len(whose)
