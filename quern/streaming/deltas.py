@@ -19,16 +19,17 @@ from ..operators import exact
 from ..shared import saved
 
 BUCKETS = 64
+AMOUNT = T.DecimalType(38, 0)
 
 
 class Kept:
-    """Rows and their amounts, in buckets by `keys`; schema is that of the rows."""
+    """Rows and their amounts, in buckets by `keys`; schema is that of the rows. Whole amounts that only count rows may be longs."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str | T.StructType, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str | T.StructType, buckets: int = BUCKETS, amount: T.DataType = AMOUNT):
         self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), keys, buckets
         own = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.columns = [f.name for f in own]
-        self.schema = T.StructType([*own.fields, T.StructField("amount", T.DecimalType(38, 0))])
+        self.amount, self.schema = amount, T.StructType([*own.fields, T.StructField("amount", amount)])
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
@@ -63,17 +64,25 @@ class Kept:
         paths = [f for b, f in folders.items() if buckets is None or b in buckets]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def apply(self, batch: int, changes: DataFrame) -> list[int]:
-        """Add changes (rows, amount) to the version before `batch`, as that version; gives the buckets written. A batch that is there already stays."""
-        own = self.touched(changes)
+    def part(self) -> Column:
+        """Rows of a bucket are dealt further, so a version takes as many tasks as the session has, however few the buckets or the keys."""
+        n = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        return F.pmod(F.xxhash64(*self.columns), F.lit(n)).cast("int")
+
+    def apply(self, batch: int, changes: DataFrame, own: list[int] | None = None) -> list[int]:
+        """Add changes (rows, amount) to the version before `batch`, as that version; gives the buckets written (`own`, where known). A batch that is there already stays."""
+        own = self.touched(changes) if own is None else own
         if batch in self.versions():
             return own
         if any(v > batch for v in self.versions()):
             raise QuernError("batch_order", f"batch {batch} after {self.versions()[-1]}")
         folders = self.folders(batch)
         if own:
-            summed = self.rows(batch, own).unionByName(changes.select(*self.columns, F.col("amount").cast("decimal(38,0)").alias("amount"))).groupBy(*self.columns).agg(F.sum("amount").cast("decimal(38,0)").alias("amount")).where("amount <> 0")
-            summed.withColumn("__bucket", self.bucket()).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/batch={batch}")
+            rows = self.rows(batch, own).unionByName(changes.select(*self.columns, F.col("amount").cast(self.amount).alias("amount")))
+            # Dealt once, by what both the sums and the folders need.
+            dealt = rows.withColumns({"__bucket": self.bucket(), "__part": self.part()}).repartition("__bucket", "__part")
+            summed = dealt.groupBy("__bucket", "__part", *self.columns).agg(F.sum("amount").cast(self.amount).alias("amount")).where("amount <> 0")
+            summed.drop("__part").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/batch={batch}")
             fs, _ = self._fs(self.path)
             for b in own:
                 at = f"{self.path}/batch={batch}/__bucket={b}"
@@ -106,13 +115,22 @@ class FoldView:
         if bad := {k for k, _ in folds.values()} - {"count", "sum", "min", "max"}:
             raise QuernError("fold", f"{sorted(bad)}")
         self.keys, self.folds = list(keys), folds
+        # Kept once for all folds that need it: the least and greatest of a column are read from the same values, a count of rows is there anyway.
+        first: dict = {("count", None): ""}
+        self.stored = {name: first.setdefault(("values" if kind in ("min", "max") else kind, column), name) for name, (kind, column) in folds.items()}
         self.kept = Kept(spark, path, self.keys, ", ".join([*(f"`{k}` {t}" for k, t in keys.items()), "fold string", "part double"]), buckets)
 
     def parts(self, changes: DataFrame) -> DataFrame:
         """Changes of rows as amounts that add up."""
+        if any(kind in ("min", "max") for kind, _ in self.folds.values()):
+            # Each different value is kept, so rows that are alike become one before they are taken apart.
+            columns = [c for c in dict.fromkeys(c for _, c in self.folds.values()) if c is not None and c not in self.keys]
+            changes = changes.groupBy(*self.keys, *columns).agg(F.sum("sign").alias("sign"))
         one = lambda name, part, amount: F.struct(F.lit(name).alias("fold"), part.cast("double").alias("part"), amount.cast("decimal(38,0)").alias("amount"))
         every = [one("", F.lit(0.0), F.col("sign"))]
         for name, (kind, column) in self.folds.items():
+            if self.stored[name] != name:
+                continue
             if kind == "sum":
                 strip, digits = exact.terms(F.col(column))
                 every.append(F.when(digits.isNotNull(), one(name, strip, (digits * F.col("sign").cast("decimal(18,0)")).cast("decimal(38,0)"))))
@@ -128,14 +146,15 @@ class FoldView:
         of = lambda name: F.col("fold") == name
         aggs, out = [F.max(F.when(of(""), F.col("amount"))).alias("__n")], []
         for name, (kind, _) in self.folds.items():
+            kept = self.stored[name]
             if kind == "sum":
-                aggs.append(F.collect_list(F.when(of(name), F.struct(F.col("part").cast("int").alias("strip"), F.col("amount").alias("digits")))).alias(name))
+                aggs.append(F.collect_list(F.when(of(kept), F.struct(F.col("part").cast("int").alias("strip"), F.col("amount").alias("digits")))).alias(name))
                 out.append(exact.rounded(F.col(name)).alias(name))
             elif kind == "count":
-                aggs.append(F.max(F.when(of(name), F.col("amount"))).alias(name))
+                aggs.append(F.max(F.when(of(kept), F.col("amount"))).alias(name))
                 out.append(F.coalesce(F.col(name).cast("long"), F.lit(0).cast("long")).alias(name))
             else:
-                aggs.append(getattr(F, kind)(F.when(of(name) & (F.col("amount") > 0), F.col("part"))).alias(name))
+                aggs.append(getattr(F, kind)(F.when(of(kept) & (F.col("amount") > 0), F.col("part"))).alias(name))
                 out.append(F.col(name))
         return rows.groupBy(*self.keys).agg(*aggs).where("__n > 0").select(*self.keys, *out)
 
@@ -160,7 +179,7 @@ class JoinedView:
         if not self.on:
             raise QuernError("join_keys", "the sides share no column")
         ddl = lambda cols: ", ".join(f"`{c}` {t}" for c, t in cols.items())
-        self.left, self.right = Kept(spark, f"{path}/left", self.on, ddl(left), buckets), Kept(spark, f"{path}/right", self.on, ddl(right), buckets)
+        self.left, self.right = (Kept(spark, f"{path}/{name}", self.on, ddl(side), buckets, T.LongType()) for name, side in (("left", left), ("right", right)))
         self.view, self.body = FoldView(spark, f"{path}/view", keys, folds, buckets), body or (lambda df: df)
 
     def refresh(self, batch: int, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -168,10 +187,12 @@ class JoinedView:
         real = " and ".join(f"`{c}` is not null" for c in self.on)
         net = lambda df, kept: df.groupBy(*kept.columns).agg(F.sum("sign").alias("amount")).where("amount <> 0").where(real)
         dl, dr = saved(net(left, self.left), "delta"), saved(net(right, self.right), "delta")
-        before = self.right.rows(batch, self.right.touched(dl))
-        self.left.apply(batch, dl)
-        now = self.left.rows(batch + 1, self.left.touched(dr))
-        self.right.apply(batch, dr)
+        # Both sides have their buckets by the same columns.
+        of_left, of_right = self.left.touched(dl), self.right.touched(dr)
+        before = self.right.rows(batch, of_left)
+        self.left.apply(batch, dl, of_left)
+        now = self.left.rows(batch + 1, of_right)
+        self.right.apply(batch, dr, of_right)
         pair = lambda a, b: a.withColumnRenamed("amount", "__a").join(b.withColumnRenamed("amount", "__b"), self.on).withColumn("sign", (F.col("__a") * F.col("__b")).cast("long")).drop("__a", "__b")
         changes = self.body(pair(dl, before).unionByName(pair(now, dr)))
         return self.view.refresh(batch, changes)

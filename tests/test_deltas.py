@@ -109,3 +109,28 @@ def test_a_join_of_two_tables_that_change(spark, tmp_path):
         view.refresh(batch, *frames)
         want = folded([(g, x) for k, x in left for j, g in right if k is not None and k == j])
         assert {r.g: tuple(r)[1:] for r in view.current().collect()} == want
+
+
+def test_what_folds_share_is_kept_once_and_a_hot_key_is_written_by_several_tasks(spark, tmp_path):
+    n, aqe = 4000, spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        view = deltas.FoldView(spark, f"file://{tmp_path}/v", {"k": "long"}, FOLDS, buckets=1)
+        rows = spark.range(n).select(F.lit(7).cast("long").alias("k"), (F.col("id") % 1000).cast("double").alias("x"), F.lit(1).alias("sign"))
+        assert tuple(view.refresh(0, rows).first()) == (7, n, n, float(sum(range(1000)) * 4), 0.0, 999.0)
+        kept = view.kept.rows()
+        # 1,000 values for both the least and the greatest, beside counts and strips of sums.
+        assert 1000 < kept.count() < 1100
+        assert kept.select(F.input_file_name()).distinct().count() > 1
+        gone = rows.where("x = 0 or x > 990").withColumn("sign", F.lit(-1))
+        assert tuple(view.refresh(1, gone).first()) == (7, n - 40, n - 40, float(sum(range(991)) * 4), 1.0, 990.0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
+
+
+def test_a_key_whose_changes_cancel_is_still_given(spark, tmp_path):
+    view = deltas.FoldView(spark, f"file://{tmp_path}/v", {"k": "string"}, FOLDS, buckets=2)
+    schema = "k string, x double, sign int"
+    view.refresh(0, spark.createDataFrame([("a", 2.5, 1), ("a", None, 1), ("b", 1.0, 1)], schema))
+    got = view.refresh(1, spark.createDataFrame([("a", 4.0, 1), ("a", 4.0, -1)], schema))
+    assert [tuple(r) for r in got.collect()] == [("a", 2, 1, 2.5, 2.5, 2.5)]
