@@ -18,8 +18,10 @@ ORDER = 3
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Numbers of words: of the begin mark, of words that training never saw, of what fills an n-gram before the begin mark, of the first others.
 AT_BEGIN, UNSEEN, FILL, FIRST = 0, 1, 2, 3
-#: n-grams that a task gathers before it sends them on, and distinct words likewise; bytes of text scored at a time.
-GATHER, WORDS, PIECE = 1_200_000, 3_000_000, 1_000_000
+#: n-grams that a task gathers before it sends them on, and distinct words likewise.
+GATHER, WORDS = 1_200_000, 3_000_000
+#: Bytes of text scored at a time; shards from which they are more, as each piece of text visits every shard, and how many times as many at most.
+PIECE, VISITS, PIECES = 1_000_000, 128, 4
 #: Bytes of text to a shard.
 SHARD_BYTES = 10 << 20
 #: stats: n1, n2, n3, n4, the total of (adjusted) counts, entries.
@@ -389,9 +391,11 @@ def train(texts: DataFrame, order: int = ORDER, text: str = "text") -> Model:
 
 
 def _score(model: Model):
+    piece = PIECE * min(PIECES, -(-int(model.shards) // VISITS))
+
     def score(batches):
         for b in batches:
-            parts = [model.score(w, j - i) for i, j, _, _, w in batches_of_words(b.column("text"), PIECE)]
+            parts = [model.score(w, j - i) for i, j, _, _, w in batches_of_words(b.column("text"), piece)]
             n, known, base, log10 = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(4))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), model.train_tokens, np.int64)), pa.array(base.astype(np.float64)), pa.array(log10.astype(np.float64))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

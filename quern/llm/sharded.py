@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import mmap
 import os
+import sys
 from collections import OrderedDict
 
 import numpy as np
@@ -26,8 +27,10 @@ from .text import mix
 SHARD_BYTES, FAN = 14 << 20, 1024
 #: Bytes of packed cells that a task cuts at a time; bytes of text that one task gathers at least, where the cluster has no more cores.
 RECUT_BYTES, TASK_BYTES = 32 << 20, 256 << 20
-#: Files of one table that a worker keeps mapped.
-OPEN = 512
+#: Whether a mapped file can do without its descriptor; files of one table that a worker keeps mapped. Keys visit the shards in turn, so
+#: with fewer than there are shards each visit would map its file, and fault its pages in, again.
+FREE = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+OPEN = 8192 if FREE else 512
 CELL = "shard int, fine binary, data binary"
 
 
@@ -160,7 +163,7 @@ def write_sorted(folder: str, name: str, shard: int, **columns: np.ndarray) -> N
 
 def _mapped(path: str) -> dict[str, np.ndarray]:
     with open(path, "rb") as f:
-        m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **FREE)
     n, start = np.frombuffer(m, np.int64, 2)
     out = {}
     for c, kind, shape, at in json.loads(m[16 : 16 + int(n)]):
