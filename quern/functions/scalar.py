@@ -22,9 +22,9 @@ def _double(x) -> Column:
 
 
 def divide(a, b) -> Column:
-    """x / 0 is infinite with the sign of x and of the zero, 0 / 0 is NaN."""
+    """x / 0 is infinite with the sign of x and of the zero, 0 / 0 is NaN: the literal's, as processors give theirs a sign that shows in its text."""
     a, b = _double(a), _double(b)
-    return F.when(b == 0.0, a * F.pow(b, F.lit(-1.0))).otherwise(a / F.when(b == 0.0, F.lit(1.0)).otherwise(b))
+    return F.when(b == 0.0, F.nanvl(a * F.pow(b, F.lit(-1.0)), F.lit(math.nan))).otherwise(a / F.when(b == 0.0, F.lit(1.0)).otherwise(b))
 
 
 def _log(fn: Callable[[Column], Column]) -> Callable[[Column], Column]:
