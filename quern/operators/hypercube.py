@@ -1,38 +1,60 @@
 """Cyclic joins in one exchange: rows go to the cells of a grid over the indices, and each cell joins index by index.
 
-Each index has a share, the number of parts that its values are hashed into; a cell is one part of each. A row goes to all cells
-that agree with its indices, so any combination of rows meets in exactly one; rows that go to the same cells go as one
-compressed block, packed before it is repeated, so a repetition costs a few bytes a row. In a cell the factors are tries of
+Each index has a share, the number of parts that its values are cut into: ranges of as many rows for numbers, so that values that
+lie together stay together, and hashes for anything else. A cell is one part of each index, and a block is what a factor has in one part of
+each of its own. Cells are listed from the counts of the blocks: one in which some factor has no row is none, and gets
+nothing. A block goes to all listed cells that agree with it, so any combination of rows meets in exactly one; it goes
+compressed, packed before it is repeated. Where values occur with few others of another index, and those lie together, cells grow with the
+rows; where any value meets any other, they are the whole grid. In a cell the factors are tries of
 sorted arrays, and an index is bound by the factor that offers the fewest values and looked up in the others,
 many partial bindings at a time: no intermediate exceeds what the body can give.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shared import saved, ship
 from .elimination import Algebra
 
 #: Rows of all factors that a cell should not exceed; cells at most; partial bindings extended at a time.
 CELL_ROWS, MOST_CELLS, AT_ONCE = 500_000, 1 << 20, 1 << 19
+#: Blocks of a factor that can be counted; rows that a task packs at a time; places of a level that are looked up in a table.
+MOST_BLOCKS, PACK_ROWS, DENSE = 1 << 20, 1 << 20, 1 << 23
+
+
+def _sorted(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by columns of whole numbers: of one number each, where that fits."""
+    spans = [int(x.max()) - int(x.min()) + 1 if len(x) else 1 for x in columns]
+    if np.prod(spans, dtype=float) >= 1 << 62:
+        return np.lexsort(columns[::-1])
+    return np.argsort(_combined([x - (x.min() if len(x) else 0) for x in columns], spans))
+
+
+def _combined(parts: list[np.ndarray], shares: list[int]) -> np.ndarray:
+    """One number for a part of each index."""
+    return reduce(lambda own, x: own * x[1] + x[0], zip(parts, shares, strict=True), np.int64(0))
 
 
 class Trie:
     """Distinct rows of codes, level by level: keys are parent * size + code, in order; start says where a parent's children begin."""
 
     def __init__(self, columns: list[np.ndarray], sizes: list[int]):
-        order = np.lexsort(columns[::-1])
-        self.sizes, self.keys, self.start, node, parents = sizes, [], [], np.zeros(len(order), np.int64), 1
+        order = _sorted(columns)
+        self.sizes, self.keys, self.codes, self.start, self.tables, node, parents = sizes, [], [], [], {}, np.zeros(len(order), np.int64), 1
         for column, size in zip(columns, sizes, strict=True):
             key = node * size + column[order]
             new = np.append(True, key[1:] != key[:-1])[: len(key)]
             self.keys.append(key[new])
+            self.codes.append(column[order][new])
             self.start.append(np.searchsorted(self.keys[-1], np.arange(parents + 1) * size))
             node, parents = np.cumsum(new) - 1, int(new.sum())
         #: Of each leaf the row that it came from.
@@ -44,6 +66,12 @@ class Trie:
     def find(self, level: int, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The child with a code, or -1."""
         key = node * self.sizes[level] + code
+        space = (len(self.start[level]) - 1) * self.sizes[level]
+        if level not in self.tables and space <= min(DENSE, 8 * len(key)):
+            self.tables[level] = np.full(space, -1, np.int32)
+            self.tables[level][self.keys[level]] = np.arange(len(self.keys[level]), dtype=np.int32)
+        if level in self.tables:
+            return self.tables[level][key].astype(np.int64)
         at = np.minimum(np.searchsorted(self.keys[level], key), len(self.keys[level]) - 1)
         return np.where(self.keys[level][at] == key, at, -1)
 
@@ -74,7 +102,7 @@ def bindings(tries: list[Trie], axes: list[list[int]], n_vars: int, keep: list[i
                 n = fewest[some]
                 back = np.repeat(some, n)
                 child = np.arange(int(n.sum())) + np.repeat(spans[r][0][some] - (np.cumsum(n) - n), n)
-                code = tries[r].keys[level[r]][child] % tries[r].sizes[level[r]]
+                code = tries[r].codes[level[r]][child]
                 found = {r: child}
                 for s in own:
                     if s != r:
@@ -128,109 +156,205 @@ def join_cell(tables: list[pa.Table], axes: list[list[str]], order: list[str], k
     return pa.table({**{v: names[v].take(pa.array(k)) for v, k in zip(keep, keys, strict=True)}, **dict(zip(algebra.columns, map(pa.array, sums), strict=True))})
 
 
-def load(rows: dict[frozenset, int], shares: dict[str, int]) -> float:
-    """Rows that a cell gets if values are spread."""
-    return sum(n / np.prod([shares[a] for a in axes]) for axes, n in rows.items())
-
-
-def _steps(shares: dict[str, int]) -> dict[str, int]:
-    """What each index's part counts in the number of a cell."""
-    step, out = 1, {}
-    for v in sorted(shares):
-        out[v] = step
-        step *= shares[v]
-    return out
-
-
-def _dealt(df: DataFrame, axes: frozenset, shares: dict[str, int]) -> DataFrame:
-    """df with a column __own, what its own indices add to a cell's number: rows with the same one are a block."""
-    own, steps = F.lit(0).cast("long"), _steps(shares)
-    for v in sorted(axes):
-        own = own + F.pmod(F.xxhash64(F.lit(v), F.col(v)), F.lit(shares[v])) * steps[v]
-    return df.withColumn("__own", own)
-
+@dataclass(frozen=True)
+class Grid:
+    """The parts of the indices and the cells that hold a row of each factor.
 
-def _placed(df: DataFrame, axes: frozenset, shares: dict[str, int]) -> DataFrame:
-    """Blocks (a column __own) with a column __cell, a row for each cell that agrees with a block."""
-    cell, steps = F.col("__own"), _steps(shares)
-    for v in sorted(shares):
-        if v not in axes and shares[v] > 1:
-            df = df.withColumn(f"__at_{v}", F.explode(F.sequence(F.lit(0), F.lit(shares[v] - 1))))
-            cell = cell + F.col(f"__at_{v}") * steps[v]
-    return df.withColumn("__cell", cell)
-
-
-def _pack(number: int):
-    """A block of a factor as one row: sorted and compressed, since it goes to many cells."""
-
-    def pack(key, table):
-        rows = table.drop_columns(["__own"])
-        rows = rows.sort_by([(c, "ascending") for c in rows.column_names])
-        out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(rows)
-        return pa.table({"__own": pa.array([key[0].as_py()], pa.int64()), "__factor": pa.array([number], pa.int32()), "__block": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+    An index has `fine` parts, between `cuts` or by hash; neighbours are put together until `shares` are left. `cells` has the
+    parts of each cell, by index.
+    """
 
-    return pack
+    fine: int
+    cuts: dict[str, np.ndarray | None]
+    shares: dict[str, int]
+    cells: dict[str, np.ndarray]
+
+    def hashed(self, df: DataFrame) -> DataFrame:
+        """df with a column __at_v for each index v that has no cuts."""
+        return df.withColumns({f"__at_{v}": F.pmod(F.xxhash64(F.lit(v), F.col(v)), F.lit(self.fine)).cast("int") for v in df.columns if v in self.cuts and self.cuts[v] is None})
+
+    def part(self, rows: pa.Table, v: str) -> np.ndarray:
+        """Of what hashed() gave, the part of each row."""
+        fine = rows[f"__at_{v}"].to_numpy() if self.cuts[v] is None else np.searchsorted(self.cuts[v], rows[v].to_numpy())
+        return fine.astype(np.int64) * self.shares[v] // self.fine
+
+    def own(self, rows: pa.Table, axes: list[str]) -> np.ndarray:
+        """The block of each row."""
+        return _combined([self.part(rows, v) for v in axes], [self.shares[v] for v in axes])
+
+    def places(self, axes: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks that have cells; where the cells of each begin, and the end; cells in this order."""
+        own = _combined([self.cells[v] for v in axes], [self.shares[v] for v in axes])
+        order = np.argsort(own, kind="stable")
+        blocks, start = np.unique(own[order], return_index=True)
+        return blocks, np.append(start, len(own)), order
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of about so many rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _cuts(parts: list[tuple[frozenset, DataFrame]], v: str, fine: int) -> np.ndarray | None:
+    """Ends of ranges of an index with as many rows each; none unless it is of numbers."""
+    own = [df.select(v) for axes, df in parts if v in axes]
+    if not isinstance(own[0].schema[v].dataType, T.IntegralType | T.FractionalType) or isinstance(own[0].schema[v].dataType, T.DecimalType):
+        return None
+    ends = F.array(*[F.lit(k / fine) for k in range(1, fine)])
+    return np.unique(reduce(DataFrame.unionByName, own).select(F.percentile_approx(v, ends, 10_000)).first()[0] or [0])
+
+
+def _counted(df: DataFrame, axes: list[str], grid: Grid) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The blocks of a factor that have rows, by index, and their rows: MOST_BLOCKS numbers at most, whatever the rows are."""
+    size = int(np.prod([grid.shares[v] for v in axes]))
+
+    def count(batches):
+        n = np.zeros(size, np.int64)
+        for rows in _gathered(batches, PACK_ROWS):
+            n += np.bincount(grid.own(rows, axes), minlength=size)
+        at = np.flatnonzero(n)
+        yield pa.record_batch({"__own": pa.array(at), "__n": pa.array(n[at])})
+
+    got = grid.hashed(df.select(*axes)).mapInArrow(count, "__own long, __n long").groupBy("__own").agg(F.sum("__n").alias("__n")).toArrow()
+    own = got["__own"].to_numpy()
+    return dict(zip(axes, np.unravel_index(own, [grid.shares[v] for v in axes]), strict=True)), got["__n"].to_numpy()
+
+
+def _listed(blocks: list[tuple[dict[str, np.ndarray], np.ndarray]], shares: dict[str, int], fine: int) -> tuple[dict[str, np.ndarray], np.ndarray] | None:
+    """The cells that have rows of each factor, and how many; None if they are too many."""
+    order, tries, sums = sorted(shares), [], []
+    for fines, n in blocks:
+        sizes = [shares[v] for v in sorted(fines)]
+        sums.append(np.bincount(_combined([fines[v].astype(np.int64) * shares[v] // fine for v in sorted(fines)], sizes), n, int(np.prod(sizes))))
+        at = np.flatnonzero(sums[-1])
+        sums[-1] = sums[-1][at]
+        tries.append(Trie([x.astype(np.int64) for x in np.unravel_index(at, sizes)], sizes))
+    held, cells = [], 0
+    for own, leaves in bindings(tries, [[order.index(v) for v in sorted(fines)] for fines, _ in blocks], len(order), list(range(len(order)))):
+        held.append((own, sum(n[t.row[leaf]] for n, t, leaf in zip(sums, tries, leaves, strict=True))))
+        cells += len(held[-1][1])
+        if cells > MOST_CELLS:
+            return None
+    joined = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+    return {v: joined([own[k] for own, _ in held]) for k, v in enumerate(order)}, joined([n for _, n in held])
+
+
+def choose_grid(parts: list[tuple[frozenset, DataFrame]], cores: int, cell_rows: int = CELL_ROWS) -> Grid:
+    """Shares that give as many cells as cores and, as counted, none with more than cell_rows rows, and send few rows to several cells.
+
+    All are doubled together while cells are too large; then, if that would list too many cells, that of the index whose
+    doubling makes the largest cell smallest. What was doubled in vain, or for fewer rows than it repeats, is halved again.
+    """
+    ship(parts[0][1].sparkSession)
+    axes = sorted(frozenset().union(*(a for a, _ in parts)))
+    total = sum(df.count() for _, df in parts)
+    most = MOST_BLOCKS.bit_length() - 1
+    fine = 1 << min(most // max(len(a) for a, _ in parts), max(6, (8 * total // cell_rows).bit_length()))
+    finest = Grid(fine, {v: _cuts(parts, v, fine) for v in axes}, dict.fromkeys(axes, fine), {})
+    blocks = [_counted(df, sorted(a), finest) for a, df in parts]
+    cost = lambda shares: (listed := _listed(blocks, shares, fine)) and (listed[1].max(initial=0), listed[1].sum(), shares, listed)
+    enough = lambda at: not at[1] or at[0] <= cell_rows and (len(at[3][1]) >= cores or total <= 10_000)
+    step = lambda shares, own, by: cost(shares | {v: int(shares[v] * by) for v in own})
+    at = cost(dict.fromkeys(axes, 1))
+    while not enough(at) and at[2][axes[0]] < fine and (more := step(at[2], axes, 2)):
+        at = more
+    while not enough(at) and (tried := [x for v in axes if at[2][v] < fine and (x := step(at[2], [v], 2))]):
+        at = min(tried, key=lambda x: x[:2])
+    cell_rows = max(cell_rows, at[0])
+    while tried := [x for v in axes if at[2][v] > 1 and (x := step(at[2], [v], 0.5)) and enough(x) and x[1] < at[1]]:
+        at = min(tried, key=lambda x: x[1])
+    shares, (cells, _) = at[2:]
+    return Grid(fine, finest.cuts, shares, cells)
 
 
 def choose_shares(parts: list[tuple[frozenset, DataFrame]], cores: int, cell_rows: int = CELL_ROWS) -> dict[str, int]:
-    """Shares are doubled, one at a time, until cells are as many as cores and, as counted, none has more than cell_rows rows.
+    return choose_grid(parts, cores, cell_rows).shares
+
+
+def _written(rows: pa.Table) -> bytes:
+    """A block as bytes; whole numbers are counted from the least, in as few bytes as they need."""
+    least, columns = {}, {}
+    for name, x in zip(rows.column_names, rows.columns, strict=True):
+        if pa.types.is_signed_integer(x.type):
+            x = x.to_numpy()
+            low, high = int(x.min()), int(x.max())
+            if high - low < 1 << 32:
+                least[name], x = str(low), (x - low).astype(np.min_scalar_type(high - low))
+        columns[name] = x
+    table = pa.table(columns).replace_schema_metadata(least)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _read(block: pa.Buffer, schema: pa.Schema) -> pa.Table:
+    """What _written() was given."""
+    table = pa.ipc.open_stream(block).read_all()
+    least = {k.decode(): int(v) for k, v in (table.schema.metadata or {}).items()}
+    return pa.table([table[f.name].to_numpy().astype(np.int64) + least[f.name] if f.name in least else table[f.name] for f in schema], names=schema.names).cast(schema)
+
+
+def _packed(number: int, axes: list[str], columns: list[str], grid) -> Callable:
+    """A factor's rows as blocks, sorted where keys are whole numbers and compressed since they go to many cells, each with its cells; a block without a cell is left out.
+    A task packs PACK_ROWS rows at a time, so a block can come in several pieces."""
+
+    def pack(batches):
+        own_grid = grid.value
+        blocks, start, cells = own_grid.places(axes)
+        for rows in _gathered(batches, PACK_ROWS):
+            own = own_grid.own(rows, axes)
+            whole = [rows[v].to_numpy().astype(np.int64) for v in axes if pa.types.is_integer(rows.schema.field(v).type)]
+            order = _sorted([own, *whole])
+            own, rows = own[order], rows.select(columns).combine_chunks().take(order)
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            place = np.searchsorted(blocks, own[first])
+            out = []
+            for lo, hi, at in zip(first, [*first[1:], len(own)], place, strict=True):
+                if at < len(blocks) and blocks[at] == own[lo]:
+                    out.append((cells[start[at] : start[at + 1]], number, _written(rows.slice(lo, hi - lo))))
+            if out:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.list_(pa.int64()), pa.int32(), pa.binary()), strict=True)], names=["__cells", "__factor", "__block"])
 
-    First the index whose doubling makes the estimate smallest; once that is small enough and a frequent value still
-    fills a cell, the index whose doubling makes the counted largest cell smallest.
-    """
-    rows: dict[frozenset, int] = {}
-    for axes, df in parts:
-        rows[axes] = rows.get(axes, 0) + df.count()
-    shares = dict.fromkeys(sorted(frozenset().union(*rows)), 1)
-    cells = lambda: int(np.prod(list(shares.values())))
-    total = sum(rows.values())
-
-    def largest(s: dict[str, int]) -> int:
-        placed = None
-        for axes, df in parts:
-            blocks = _dealt(df.select(*sorted(axes)), axes, s).groupBy("__own").count()
-            own = _placed(blocks, axes, s).select("__cell", "count")
-            placed = own if placed is None else placed.unionByName(own)
-        return placed.groupBy("__cell").agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0] or 0
-
-    while (load(rows, shares) > cell_rows / 2 or cells() < cores and total > 10_000) and cells() < MOST_CELLS:
-        v = min(shares, key=lambda v: (load(rows, shares | {v: 2 * shares[v]}), shares[v], v))
-        shares[v] *= 2
-    while largest(shares) > cell_rows and cells() < MOST_CELLS:
-        tried = {v: largest(shares | {v: 2 * shares[v]}) for v in shares}
-        v = min(tried, key=lambda v: (tried[v], v))
-        shares[v] *= 2
-    return shares
+    return pack
 
 
 def join_core(parts: list[tuple[frozenset, DataFrame]], keep: frozenset, algebra: Algebra, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The join of factors (indices, rows) of a cyclic body, folded onto the indices in `keep`."""
     spark = parts[0][1].sparkSession
     ship(spark)
-    parts = [(axes, saved(df.groupBy(*sorted(axes)).agg(*algebra.folds()), "core")) for axes, df in parts]
-    shares = choose_shares(parts, spark.sparkContext.defaultParallelism, cell_rows)
     # Indices of most factors first: they are looked up in most others.
-    order = sorted(shares, key=lambda v: (-sum(v in a for a, _ in parts), v))
+    order = sorted(frozenset().union(*(a for a, _ in parts)), key=lambda v: (-sum(v in a for a, _ in parts), v))
     keys = {v: next(df.schema[v].dataType for a, df in parts if v in a) for v in order}
-    placed, empty = None, []
-    for k, (axes, df) in enumerate(parts):
-        own = _dealt(df.select(*[F.col(v).cast(keys[v]).alias(v) for v in sorted(axes)], *algebra.columns), axes, shares)
-        empty.append(own.drop("__own").limit(0).toArrow().schema.empty_table())
-        blocks = own.groupBy("__own").applyInArrow(_pack(k), "__own long, __factor int, __block binary")
-        cells = _placed(blocks, axes, shares).select("__cell", "__factor", "__block")
-        placed = cells if placed is None else placed.unionByName(cells)
-    axes, kept = [sorted(a) for a, _ in parts], sorted(keep)
+    parts = [(axes, saved(df.select(*[F.col(v).cast(keys[v]).alias(v) for v in sorted(axes)], *algebra.columns).groupBy(*sorted(axes)).agg(*algebra.folds()), "core", tidy=True)) for axes, df in parts]
+    cores = spark.sparkContext.defaultParallelism
+    grid = choose_grid(parts, cores, cell_rows)
+    shared = spark.sparkContext.broadcast(grid)
+    axes, empty, placed = [sorted(a) for a, _ in parts], [], []
+    for k, (a, (_, df)) in enumerate(zip(axes, parts, strict=True)):
+        columns = [*a, *algebra.columns]
+        empty.append(df.select(*columns).limit(0).toArrow().schema.empty_table())
+        blocks = grid.hashed(df.select(*columns)).mapInArrow(_packed(k, a, columns, shared), "__cells array<long>, __factor int, __block binary")
+        placed.append(blocks.select(F.explode("__cells").alias("__cell"), "__factor", "__block"))
+    kept = sorted(keep)
     out = parts[0][1].select(*algebra.columns).schema
     schema = ", ".join([*(f"`{v}` {keys[v].simpleString()}" for v in kept), *(f"{f.name} {f.dataType.simpleString()}" for f in out)])
 
     def cell(table: pa.Table) -> pa.Table:
         blocks = [[e] for e in empty]
         for k, block in zip(table["__factor"].to_pylist(), table["__block"], strict=True):
-            rows = pa.ipc.open_stream(block.as_buffer()).read_all()
-            blocks[k].append(rows.cast(empty[k].schema))
+            blocks[k].append(_read(block.as_buffer(), empty[k].schema))
         return join_cell([pa.concat_tables(b) for b in blocks], axes, order, kept, algebra)
 
-    met = placed.groupBy("__cell").applyInArrow(cell, schema)
+    # Some cells a task, whatever they weigh, and few enough to be sorted in memory.
+    n = min(10_000, max(4 * cores, len(grid.cells[order[0]]) // 8))
+    met = reduce(DataFrame.unionByName, placed).repartition(n, "__cell").groupBy("__cell").applyInArrow(cell, schema)
     return met.groupBy(*kept).agg(*algebra.folds()) if kept else met.agg(*algebra.folds())

@@ -43,11 +43,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage is cut, and losing an executor loses nothing."""
+#: Spark deletes the shuffle files of a query once it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: its lineage is cut, and losing an executor loses nothing.
+
+    `tidy` deletes the shuffle files of the writing at its end, which the result doesn't need, not some time later.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(TIDY, None)
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
     return out
