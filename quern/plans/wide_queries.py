@@ -39,10 +39,10 @@ def faq_triangle(spark, sf_dir):
     """Triangles of parts, suppliers and customers over three tables, by the customer's nation: a cyclic core joined in one exchange."""
     t = Tables(spark, sf_dir)
     line = t("lineitem", c("l_orderkey").alias("o_orderkey"), c("l_partkey").alias("p"), c("l_suppkey").alias("s"))
-    # Joined once for two factors. Pairs are made distinct in ranges, so that what lies together goes to the core together.
+    # Joined once for two factors. Pairs are made distinct in ranges, so that what lies together goes to the core together, of a million rows, which a task holds.
     bought = saved(line.join(t("orders", "o_orderkey", c("o_custkey").alias("k")), "o_orderkey").drop("o_orderkey"), "bought", tidy=True)
-    one = F.lit(1.0).alias("value")
-    pairs = lambda df, *axes: Factor(df.select(*axes).repartitionByRange(*axes).distinct().select(*axes, one), axes)
+    one, n = F.lit(1.0).alias("value"), max(spark.sparkContext.defaultParallelism, line.count() // 1_000_000)
+    pairs = lambda df, *axes: Factor(df.select(*axes).repartitionByRange(n, *axes).distinct().select(*axes, one), axes)
     supplies, serves, buys = pairs(line, "p", "s"), pairs(bought, "k", "s"), pairs(bought, "k", "p")
     home = Factor(t("customer", c("c_custkey").alias("k"), c("c_nationkey").cast("long").alias("nation"), one), ("k", "nation"))
     out = aggregate([supplies, serves, buys, home], ["nation"], SEMIRINGS["sum_product"], name="triangles")
