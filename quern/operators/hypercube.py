@@ -5,7 +5,8 @@ lie together stay together, and hashes for anything else. A cell is one part of
 each of its own. Cells are listed from the counts of the blocks: one in which some factor has no row is none, and gets
 nothing. A block goes to all listed cells that agree with it, so any combination of rows meets in exactly one; it goes
 compressed, packed before it is repeated. Where values occur with few others of another index, and those lie together, cells grow with the
-rows; where any value meets any other, they are the whole grid. In a cell the factors are tries of
+rows; where any value meets any other, they are the whole grid, and go in waves, each joined and folded before the next is sent, so that
+what stands on disk grows with the rows still. In a cell the factors are tries of
 sorted arrays, and an index is bound by the factor that offers the fewest values and looked up in the others,
 many partial bindings at a time: no intermediate exceeds what the body can give.
 """
@@ -13,7 +14,7 @@ many partial bindings at a time: no intermediate exceeds what the body can give.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -27,6 +28,8 @@ from .elimination import Algebra
 
 #: Rows of all factors that a cell should not exceed; cells at most; partial bindings extended at a time.
 CELL_ROWS, MOST_CELLS, AT_ONCE = 500_000, 1 << 20, 1 << 19
+#: Rows that a wave sends to cells: so many, or so many times the rows of the factors.
+WAVE_ROWS, WAVE_TIMES = 100_000_000, 4
 #: Blocks of a factor that can be counted; rows that a task packs at a time; places of a level that are looked up in a table.
 MOST_BLOCKS, PACK_ROWS, DENSE = 1 << 20, 1 << 20, 1 << 23
 
@@ -161,13 +164,21 @@ class Grid:
     """The parts of the indices and the cells that hold a row of each factor.
 
     An index has `fine` parts, between `cuts` or by hash; neighbours are put together until `shares` are left. `cells` has the
-    parts of each cell, by index.
+    parts of each cell, by index, and `rows` what it gets.
     """
 
     fine: int
     cuts: dict[str, np.ndarray | None]
     shares: dict[str, int]
     cells: dict[str, np.ndarray]
+    rows: np.ndarray | None = None
+
+    def waves(self, most: int) -> list[Grid]:
+        """The cells in groups that get about `most` rows each, those of one part of the first index together."""
+        order = np.lexsort([self.cells[v] for v in sorted(self.cells)][::-1])
+        wave = (np.cumsum(self.rows[order]) - self.rows[order]) // most
+        groups = [g for g in np.split(order, np.flatnonzero(np.diff(wave)) + 1) if len(g)]
+        return [replace(self, cells={v: x[g] for v, x in self.cells.items()}, rows=self.rows[g]) for g in groups] or [self]
 
     def hashed(self, df: DataFrame) -> DataFrame:
         """df with a column __at_v for each index v that has no cuts."""
@@ -182,6 +193,18 @@ class Grid:
         """The block of each row."""
         return _combined([self.part(rows, v) for v in axes], [self.shares[v] for v in axes])
 
+    def within(self, df: DataFrame) -> DataFrame:
+        """The rows of df between the first and the last part of each index that cells have."""
+        for v in df.columns:
+            cuts = self.cuts.get(v)
+            if cuts is None or not len(self.cells[v]):
+                continue
+            wide = self.fine // self.shares[v]
+            lo, hi = int(self.cells[v].min()) * wide, int(self.cells[v].max() + 1) * wide
+            df = df.where(F.col(v) > cuts[lo - 1].item()) if 0 < lo <= len(cuts) else df
+            df = df.where(F.col(v) <= cuts[hi - 1].item()) if hi <= len(cuts) else df
+        return df
+
     def places(self, axes: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Blocks that have cells; where the cells of each begin, and the end; cells in this order."""
         own = _combined([self.cells[v] for v in axes], [self.shares[v] for v in axes])
@@ -271,8 +294,8 @@ def choose_grid(parts: list[tuple[frozenset, DataFrame]], cores: int, cell_rows:
     cell_rows = max(cell_rows, at[0])
     while tried := [x for v in axes if at[2][v] > 1 and (x := step(at[2], [v], 0.5)) and enough(x) and x[1] < at[1]]:
         at = min(tried, key=lambda x: x[1])
-    shares, (cells, _) = at[2:]
-    return Grid(fine, finest.cuts, shares, cells)
+    shares, (cells, rows) = at[2:]
+    return Grid(fine, finest.cuts, shares, cells, rows)
 
 
 def choose_shares(parts: list[tuple[frozenset, DataFrame]], cores: int, cell_rows: int = CELL_ROWS) -> dict[str, int]:
@@ -310,19 +333,22 @@ def _packed(number: int, axes: list[str], columns: list[str], grid) -> Callable:
     def pack(batches):
         own_grid = grid.value
         blocks, start, cells = own_grid.places(axes)
+        has_cells = np.zeros(int(np.prod([own_grid.shares[v] for v in axes])), bool)
+        has_cells[blocks] = True
         for rows in _gathered(batches, PACK_ROWS):
             own = own_grid.own(rows, axes)
+            at = np.flatnonzero(has_cells[own])
+            if not len(at):
+                continue
+            if len(at) < len(own):
+                own, rows = own[at], rows.combine_chunks().take(at)
             whole = [rows[v].to_numpy().astype(np.int64) for v in axes if pa.types.is_integer(rows.schema.field(v).type)]
             order = _sorted([own, *whole])
             own, rows = own[order], rows.select(columns).combine_chunks().take(order)
             first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             place = np.searchsorted(blocks, own[first])
-            out = []
-            for lo, hi, at in zip(first, [*first[1:], len(own)], place, strict=True):
-                if at < len(blocks) and blocks[at] == own[lo]:
-                    out.append((cells[start[at] : start[at + 1]], number, _written(rows.slice(lo, hi - lo))))
-            if out:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.list_(pa.int64()), pa.int32(), pa.binary()), strict=True)], names=["__cells", "__factor", "__block"])
+            out = [(cells[start[k] : start[k + 1]], number, _written(rows.slice(lo, hi - lo))) for lo, hi, k in zip(first, [*first[1:], len(own)], place, strict=True)]
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.list_(pa.int64()), pa.int32(), pa.binary()), strict=True)], names=["__cells", "__factor", "__block"])
 
     return pack
 
@@ -337,13 +363,8 @@ def join_core(parts: list[tuple[frozenset, DataFrame]], keep: frozenset, algebra
     parts = [(axes, saved(df.select(*[F.col(v).cast(keys[v]).alias(v) for v in sorted(axes)], *algebra.columns).groupBy(*sorted(axes)).agg(*algebra.folds()), "core", tidy=True)) for axes, df in parts]
     cores = spark.sparkContext.defaultParallelism
     grid = choose_grid(parts, cores, cell_rows)
-    shared = spark.sparkContext.broadcast(grid)
-    axes, empty, placed = [sorted(a) for a, _ in parts], [], []
-    for k, (a, (_, df)) in enumerate(zip(axes, parts, strict=True)):
-        columns = [*a, *algebra.columns]
-        empty.append(df.select(*columns).limit(0).toArrow().schema.empty_table())
-        blocks = grid.hashed(df.select(*columns)).mapInArrow(_packed(k, a, columns, shared), "__cells array<long>, __factor int, __block binary")
-        placed.append(blocks.select(F.explode("__cells").alias("__cell"), "__factor", "__block"))
+    axes, frames = [sorted(a) for a, _ in parts], [df.select(*sorted(a), *algebra.columns) for a, df in parts]
+    empty = [df.limit(0).toArrow().schema.empty_table() for df in frames]
     kept = sorted(keep)
     out = parts[0][1].select(*algebra.columns).schema
     schema = ", ".join([*(f"`{v}` {keys[v].simpleString()}" for v in kept), *(f"{f.name} {f.dataType.simpleString()}" for f in out)])
@@ -354,7 +375,19 @@ def join_core(parts: list[tuple[frozenset, DataFrame]], keep: frozenset, algebra
             blocks[k].append(_read(block.as_buffer(), empty[k].schema))
         return join_cell([pa.concat_tables(b) for b in blocks], axes, order, kept, algebra)
 
-    # Some cells a task, whatever they weigh, and few enough to be sorted in memory.
-    n = min(10_000, max(4 * cores, len(grid.cells[order[0]]) // 8))
-    met = reduce(DataFrame.unionByName, placed).repartition(n, "__cell").groupBy("__cell").applyInArrow(cell, schema)
-    return met.groupBy(*kept).agg(*algebra.folds()) if kept else met.agg(*algebra.folds())
+    def folded_onto(df: DataFrame) -> DataFrame:
+        return df.groupBy(*kept).agg(*algebra.folds()) if kept else df.agg(*algebra.folds())
+
+    def met(some: Grid) -> DataFrame:
+        shared, placed = spark.sparkContext.broadcast(some), []
+        for k, (a, df) in enumerate(zip(axes, frames, strict=True)):
+            blocks = some.hashed(some.within(df)).mapInArrow(_packed(k, a, df.columns, shared), "__cells array<long>, __factor int, __block binary")
+            placed.append(blocks.select(F.explode("__cells").alias("__cell"), "__factor", "__block"))
+        # Some cells a task, whatever they weigh, and few enough to be sorted in memory.
+        n = min(10_000, max(4 * cores, len(some.rows) // 8))
+        return folded_onto(reduce(DataFrame.unionByName, placed).repartition(n, "__cell").groupBy("__cell").applyInArrow(cell, schema))
+
+    waves = grid.waves(max(WAVE_ROWS, WAVE_TIMES * sum(df.count() for df in frames)))
+    if len(waves) == 1:
+        return met(grid)
+    return folded_onto(reduce(DataFrame.unionByName, [saved(met(w), "wave", tidy=True) for w in waves]))
